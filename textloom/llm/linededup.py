@@ -72,3 +72,9 @@ def site_line_dedup(docs: DataFrame, host: str = "source", text: str = "text", m
     count = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(total)
     out = joined.select(*(F.col(f"`{c}`") for c in docs.columns if c != text), cut.alias("__cut"), count.alias("lines_total"), F.when(F.col("__lines").isNull() | F.col(text).isNull(), F.lit(0).cast("long")).otherwise(total - F.size(stay)).alias("lines_dropped"))
     return out.select(*(F.col("__cut").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns), "lines_total", "lines_dropped")
+
+
+def cut_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs without their hosts' boilerplate lines; same columns, n_chars counted anew."""
+    cut = site_line_dedup(docs, **options)
+    return cut.select(*(F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))

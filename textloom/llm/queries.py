@@ -4,16 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, linededup, quality
+from . import chat, jaccard, langid, linededup, packing, pii, piece_bpe, quality, topk, training_order
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(_table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.turns_of_table(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], chat.TURNS)
+    return chat.read_back(chat.format_turns(turns.union(probe)))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = linededup.site_line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return cut.select("doc_id", "lines_total", "lines_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -31,22 +51,58 @@ SELECT doc_id, len(a)::BIGINT AS lines_total, (len(a) - len(k))::BIGINT AS lines
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs, langid.learn(docs))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", "class_id", "class_links")
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.exact_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+OP7_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.e, x.e), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_bpe.encode_and_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_BPE)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("cleaned")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
+        "op2_training_order": op2_training_order,
+        "op3_chat_format": op3_chat_format,
         "op4_line_dedup": op4_line_dedup,
+        "op5_language_id": op5_language_id,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_top_k": op7_top_k,
+        "op8_pieces": op8_pieces,
+        "op9_personal_data": op9_personal_data,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op7_top_k": OP7_SQL}
