@@ -2,8 +2,10 @@
 
 No piece of such a tokenizer spans ASCII white space, so a text's ids are those of its
 words one after the other; the ids of words seen before are kept, up to a limit. Words of
-Latin letters are encoded many at a time as one string, since each gives exactly one
-pre-token whose last id is marked as a word's end.
+Latin letters, alone or before ASCII punctuation, give one pre-token for the letters and
+one for what follows. The letters go to the file's BPE model many words at a time, lower-cased and
+written in its byte alphabet; the last id of each is marked as a word's end. Other words go
+through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -12,87 +14,140 @@ import os
 
 import numpy as np
 
+from .common import ragged
+
 END_OF_WORD = "</w>"
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _STOP = b" "  # no word: stands for the id at a document's end
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes with: printable ones as they are, the others from 256 on. Spaces are left, as they part words."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(rest) if b != 32}
+
+
+class _Index(dict):
+    """Numbers words as they are asked for; `new` gathers those numbered since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self)
+        self.new.append(word)
+        return found
+
+
 class WordTokens:
-    def __init__(self, path: str, end_id: int, limit: int = 300_000):
+    def __init__(self, path: str, end_id: int, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.alphabet = byte_alphabet()
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if max(size, end_id + 1) <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(size, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith(END_OF_WORD)
         self.end_id, self.limit = end_id, limit
-        self.marks = {x: self._encode(x) for x in (".", ",")}
+        self.marks: dict[bytes, np.ndarray] = {}
         self._reset()
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {_STOP: 0}
+        self.index = _Index()
+        self.index[_STOP] = 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.sizes[0] = 1
         self.flat, self.used = np.full(1 << 16, self.end_id, self.dtype), 1
 
-    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Ids of the next len(sizes) words of the index."""
-        at, n = len(self.index) - len(sizes), len(sizes)
-        while at + n > len(self.starts):
+    def _add(self, rows: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of the words with these numbers, one after the other."""
+        while len(self.index) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[at : at + n] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[at : at + n] = sizes
+        self.starts[rows] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[rows] = sizes
         self.used += len(ids)
 
     def _learn(self, new: list[bytes]) -> None:
-        """Plain words are encoded together, without one mark at their end, which is a pre-token of its own."""
-        plain: list[tuple[str, str]] = []
-        places: list[bytes] = []
-        odd: list[bytes] = []
-        for word in new:
-            text = word.decode("utf-8")
-            mark = text[-1] if text[-1] in self.marks else ""
-            stem = (text[:-1] if mark else text).lower()
-            if stem.isalpha() and max(stem) < "\u0300":
-                plain.append((stem, mark))
-                places.append(word)
+        """Encode the words numbered last and keep their ids."""
+        base = len(self.index) - len(new)
+        plain: dict[bytes, tuple[list[int], list[bytes]]] = {}  # by what follows the letters: numbers of words and their letters, lower-cased
+        letters = [i for i, w in enumerate(new, base) if w.isalpha()]
+        if letters:
+            plain[b""] = (letters, [w.lower() for w in new if w.isalpha()])
+        odd: list[int] = []
+        for i, word in enumerate(new, base):
+            if word.isalpha():
+                continue
+            stem = word.rstrip(_MARKS)
+            if stem.isalpha():
+                low = stem.lower()
             else:
-                odd.append(word)
-        if plain:
-            stems = list(dict.fromkeys(s for s, _ in plain))
-            ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, self.dtype)
+                text = stem.decode("utf-8").lower()
+                if not text.isalpha() or max(text) >= "\u0300":
+                    odd.append(i)
+                    continue
+                low = text.encode()
+            own = plain.setdefault(word[len(stem) :], ([], []))
+            own[0].append(i)
+            own[1].append(low)
+        every = dict.fromkeys(x for _, lows in plain.values() for x in lows)
+        at: dict[bytes, int] = {}
+        parts = []
+        for ascii in (True, False):
+            stems = [x for x in every if x.isascii() == ascii]
+            if stems:
+                joined = b" ".join(stems).decode("latin-1")
+                ids = np.array(self.model.encode_batch_fast([joined if ascii else joined.translate(self.alphabet)], add_special_tokens=False)[0].ids, self.dtype)
+                if int(self.ends[ids].sum()) != len(stems):
+                    raise ValueError("a word of letters gave other than one pre-token")
+                at.update(zip(stems, range(len(at), len(at) + len(stems)), strict=True))
+                parts.append(ids)
+        if at:
+            ids = np.concatenate(parts)
             last = np.flatnonzero(self.ends[ids])
-            assert len(last) == len(stems), "a word of letters gave other than one pre-token"
             first = np.r_[0, last[:-1] + 1]
-            at = dict(zip(stems, range(len(stems)), strict=True))
-            which = np.fromiter((at[s] for s, _ in plain), np.int64, len(plain))
-            tails = {"": 0, **{m: len(x) for m, x in self.marks.items()}}
-            extra = np.fromiter((tails[m] for _, m in plain), np.int64, len(plain))
-            sizes = (last + 1 - first)[which] + extra
-            out = np.empty(int(sizes.sum()), self.dtype)
-            ends = np.cumsum(sizes)
-            body = sizes - extra
-            index = np.arange(int(body.sum())) - np.repeat(np.cumsum(body) - body, body)
-            out[np.repeat(ends - sizes, body) + index] = ids[np.repeat(first[which], body) + index]
-            for m, x in self.marks.items():
-                rows = np.flatnonzero([k == m for _, k in plain])
-                for j in range(len(x)):
-                    out[ends[rows] - len(x) + j] = x[j]
-            self.index.update(zip(places, range(len(self.index), len(self.index) + len(places)), strict=True))
-            self._add(out, sizes)
-        for i in range(0, len(odd), 4096):
-            part = odd[i : i + 4096]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)]
-            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part)), strict=True))
-            self._add(np.array([t for x in found for t in x], self.dtype), np.array([len(x) for x in found], np.int64))
+            for mark, (own, lows) in plain.items():
+                if mark not in self.marks:
+                    if len(self.marks) > 10_000:
+                        self.marks.clear()
+                    self.marks[mark] = self._encode(mark.decode())
+                tail = self.marks[mark]
+                which = np.fromiter(map(at.__getitem__, lows), np.int64, len(lows))
+                body = (last + 1 - first)[which]
+                sizes = body + len(tail)
+                ends = np.cumsum(sizes)
+                out = np.empty(int(ends[-1]), self.dtype)
+                index = np.arange(int(body.sum())) - np.repeat(np.cumsum(body) - body, body)
+                out[np.repeat(ends - sizes, body) + index] = ids[np.repeat(first[which], body) + index]
+                for j, x in enumerate(tail):
+                    out[ends - len(tail) + j] = x
+                self._add(np.array(own), out, sizes)
+        for k in range(0, len(odd), 4096):
+            part = odd[k : k + 4096]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([new[i - base].decode("utf-8") for i in part], add_special_tokens=False)]
+            self._add(np.array(part), np.array([t for x in found for t in x], self.dtype), np.array([len(x) for x in found], np.int64))
+
+    def _renew(self, words: list[bytes]) -> None:
+        """Forget all but those of words that are known."""
+        kept = [w for w in dict.fromkeys(words) if w in self.index and w != _STOP]
+        rows = np.fromiter(map(self.index.__getitem__, kept), np.int64, len(kept))
+        ids, sizes = ragged(self.flat, self.starts[rows], self.sizes[rows]), self.sizes[rows]
+        self._reset()
+        self.index.update(zip(kept, range(1, len(kept) + 1), strict=True))
+        self._add(np.arange(1, len(kept) + 1), ids, sizes)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id, and how many each text has."""
@@ -104,11 +159,11 @@ class WordTokens:
             counts[i] = len(own)
             words += own
         if len(self.index) > self.limit:
-            self._reset()
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if new:
-            self._learn(new)
+            self._renew(words)
         rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            new, self.index.new = self.index.new, []
+            self._learn(new)
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
