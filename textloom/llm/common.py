@@ -77,7 +77,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         yield batch.slice(int(a), int(b - a))
 
 
-def map_chunks(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_chunks(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow over chunks; make() runs once a task and gives the function for a chunk."""
 
     def run(batches):
@@ -89,6 +89,15 @@ def map_chunks(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def with_text(batch: pa.RecordBatch, text: pa.Array) -> pa.RecordBatch:
+    """The batch with this text, and n_chars to match where it has that column."""
+    i = batch.schema.get_field_index("text")
+    batch = batch.set_column(i, batch.schema.field(i), text.cast(batch.schema.field(i).type))
+    if (i := batch.schema.get_field_index("n_chars")) >= 0:
+        batch = batch.set_column(i, batch.schema.field(i), pc.utf8_length(text).cast(batch.schema.field(i).type))
+    return batch
+
+
 def strings(column: pa.Array) -> list[str]:
     return column.to_pylist()
 

@@ -21,11 +21,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_chunks, strings, text_of
+from .common import map_chunks, strings, text_of, with_text
 from .crf import train, viterbi
 
 KINDS = ("email", "ip", "card", "phone")
@@ -297,15 +296,12 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every span masked; a null text stays null."""
     sent = docs.sparkSession.sparkContext.broadcast(model())
 
-    def run(batches):
-        for batch in batches:
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = strings(batch.column("text"))
             _, every = find_spans([t or "" for t in texts], *sent.value)
-            new = pa.array([t and masked(t, s) for t, s in zip(texts, every, strict=True)], pa.string())
-            i = batch.schema.get_field_index("text")
-            batch = batch.set_column(i, batch.schema.field(i), new.cast(batch.schema.field(i).type))
-            if (i := batch.schema.get_field_index("n_chars")) >= 0:
-                batch = batch.set_column(i, batch.schema.field(i), pc.utf8_length(new).cast(batch.schema.field(i).type))
-            yield batch
-
-    return docs.mapInArrow(run, docs.schema)
+            return with_text(batch, pa.array([t and masked(t, s) for t, s in zip(texts, every, strict=True)], pa.string()))
+
+        return work
+
+    return map_chunks(docs, "text", make, docs.schema)

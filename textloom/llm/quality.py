@@ -17,11 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_chunks, strings, text_of
+from .common import map_chunks, strings, text_of, with_text
 from .words import WordHashes, grams
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -132,19 +131,18 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that are kept, without the lines that fail; same columns, n_chars counted anew."""
 
-    def run(batches):
+    def make():
         hashes = WordHashes()
-        for batch in batches:
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep, texts = [], []
             for text in strings(batch.column("text")):
                 n, _, _, _, rep = base_figures(text or "", hashes)
                 cleaned, _, lost = clean(text or "", rules)
                 keep.append(n >= rules.min_words and 100 * rep <= rules.max_repeat_percent * n and lost <= rules.max_lost * n)
                 texts.append(cleaned)
-            kept = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).filter(pa.array(keep, pa.bool_()))
-            if "n_chars" in batch.schema.names:
-                i = batch.schema.get_field_index("n_chars")
-                kept = kept.set_column(i, "n_chars", pc.utf8_length(kept.column("text")).cast(batch.schema.field(i).type))
-            yield kept
+            return with_text(batch, pa.array(texts, pa.string())).filter(pa.array(keep, pa.bool_()))
+
+        return work
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_chunks(docs, "text", make, docs.schema)
