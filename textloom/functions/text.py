@@ -99,7 +99,9 @@ def fingerprint_list(values: Column) -> Column:
 
 
 def retry_after_seconds(header: Column) -> Column:
-    return F.greatest(F.expr("0"), F.regexp_extract(strip_ws(header), r"^([+-]?[0-9]{1,9})\z", 1).try_cast("int"))
+    """Whole seconds, 0 at least; null for anything else."""
+    seconds = F.regexp_extract(strip_ws(header), r"^([+-]?[0-9]{1,9})\z", 1).try_cast("int")
+    return F.when(seconds < 0, 0).otherwise(seconds)
 
 
 def seed_list(text: Column) -> Column:

@@ -145,8 +145,12 @@ def structure(df: DataFrame, blocks: str, given_title: Column, source_name: Colu
         "source_url": source_url,
     }
     data = F.struct(*(values.get(f, F.col(f)).alias(f) for f in lx.EXPORT_FIELDS))
-    # As a generator's column, so that filters on the record are not pushed below it and computed again there.
-    return df.select("*", F.inline(F.array(F.struct(data.alias("data"))))).drop("said", *lexicon.sentence_classes())
+    return df.withColumn("data", data).drop("said", *lexicon.sentence_classes())
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column as a generator's output, so that filters on it stay above it; pushed below, they would compute all that it is made of again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def complete(data: str = "data") -> Column:
@@ -174,7 +178,7 @@ def build_records(pages: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
         .when(~reference_page(F.col("title"), F.col("joined"), F.col("source_url"), lexicon), "not a reference page")
         .when(~complete(), "incomplete")
     )
-    return df.withColumn("tags", F.col("__source.tags")).withColumn("reject_reason", reason).drop("__source", "joined")
+    return settled(df.withColumn("tags", F.col("__source.tags")), "reject_reason", reason).drop("__source", "joined")
 
 
 def extract_documents(docs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -183,4 +187,4 @@ def extract_documents(docs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     df = df.withColumn("language", tx.detect_language(F.array_join("accepted", " ")))
     df = structure(df, "accepted", F.col("title"), F.col("source_name"), F.col("source_url"), F.col("verified"), F.col("verified_from"), lexicon)
     error = F.when(F.size("accepted") == 0, "rejected: no block with required terms").when(~complete(), "incomplete: a required field is empty")
-    return df.withColumn("error", error).drop("joined")
+    return settled(df, "error", error).drop("joined")

@@ -33,9 +33,15 @@ def _locations(xml: Column) -> Column:
     return F.filter(found, lambda x: x != "")
 
 
+def _balanced(xml: Column) -> Column:
+    """As many tags that open as close. from_xml alone takes a document that breaks off."""
+    bare = F.regexp_replace(xml, r"(?s)<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>", "")
+    return F.regexp_count(bare, F.lit(r"<[A-Za-z_](?:[^>]*[^/>])?>")) == F.regexp_count(bare, F.lit(r"</[A-Za-z_]"))
+
+
 def parse_sitemap(xml: Column) -> Column:
     """struct(urls, nested): every loc of a urlset, or of a sitemapindex; both empty for other roots and for XML that is not well-formed."""
-    well = F.from_xml(xml, "url ARRAY<STRUCT<loc:STRING>>").isNotNull()
+    well = F.from_xml(xml, "url ARRAY<STRUCT<loc:STRING>>").isNotNull() & _balanced(xml)
     root = F.regexp_extract(xml, _ROOT, 1)
     none = F.array().cast("array<string>")
     pick = lambda name: F.when(well & (root == name), _locations(xml)).otherwise(none)

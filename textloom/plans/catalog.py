@@ -295,7 +295,7 @@ def extract_documents(spark, sf_dir):
 
 def _copies(spark, sf_dir):
     """Complete records with a re-cased copy of every third."""
-    rows = _records(spark, sf_dir).filter(records.complete()).select("doc_id", "data")
+    rows = records.settled(_records(spark, sf_dir), "whole", records.complete()).filter("whole").select("doc_id", "data")
     again = rows.filter("doc_id % 3 = 0").withColumn("data", F.col("data").withField("title", F.upper("data.title")).withField("description", F.concat(F.lit("  "), F.upper("data.description"))))
     # Descriptions hold the driver's text and so tell all records apart; half of them get the same one.
     rows = rows.unionByName(again.withColumn("doc_id", F.col("doc_id") + 1_000_000_000))

@@ -117,13 +117,19 @@ def with_defaults(data: Column) -> Column:
     return F.struct(*(special.get(f, F.coalesce(data[f], given.get(f, F.lit("")))).alias(f) for f in lx.EXPORT_FIELDS))
 
 
+def strict_json(text: Column) -> Column:
+    """The text as a variant, null if it is not one JSON value. The parser passes over what follows a value; inside an array and inside an object, nothing can follow in both."""
+    one = lambda a, b: F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull()
+    return F.when(one("[", "]") & one('{"v":', "}"), F.try_parse_json(text))
+
+
 def json_records(files: DataFrame, name: str = "filename", content: str = "content") -> DataFrame:
     """Records of JSON files: an array, or an object with an array `records`; items that are no objects are left out.
 
     filename, pos, data, error. Files of another ending, broken JSON and other layouts give a row with an error; so do items
     whose arrays or texts have another type, since from_json would take 5 for '5'."""
     text = F.decode(F.col(content), F.lit("UTF-8")) if files.schema[content].dataType == T.BinaryType() else F.col(content)
-    rows = files.select(F.col(name).alias("filename"), text.alias("text")).withColumn("v", F.try_parse_json("text"))
+    rows = files.select(F.col(name).alias("filename"), text.alias("text")).withColumn("v", strict_json(F.col("text")))
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.records", "array<variant>"))
     error = F.when(~F.endswith(F.lower("filename"), F.lit(".json")), "not a .json file").when(F.col("v").isNull(), "not valid JSON").when(items.isNull(), "neither an array nor an object with records")
     rows = rows.withColumn("error", error).withColumn("items", F.when(F.col("error").isNull(), items))
