@@ -67,7 +67,7 @@ def token_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int) -
 
         part, nth = TaskContext.get().partitionId(), 0
         coder = WordTokens(tokenizer, end_id)
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         held, docs_held = np.empty(0, coder.dtype), []  # ids that fill no sequence yet; (doc, start, count)
 
         def out(ids, spans, rows):
