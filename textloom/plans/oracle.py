@@ -183,16 +183,16 @@ def using(names: str, select: str, *more: str) -> str:
     return f"WITH {', '.join([*(RELATIONS[k] for k in need), *more])} {select}"
 
 
-def _list(name: str) -> str:
-    return f"{joined(name)} AS {name}"
+def _list(name: str, by: str = "|") -> str:
+    return f"{joined(name, by)} AS {name}"
 
 
 _VERIFIED = f"CASE WHEN label <> '' THEN {verified_from('source_name', 'label')} ELSE '' END AS verified_from"
-_RECORD = (
-    f"d_title AS title, 'disease' AS category, {_list('symptoms')}, {joined('symptoms[1:4]')} AS common_symptoms, {joined('symptoms[5:8]')} AS rare_symptoms, description, {joined(array(lx.QUESTIONS))} AS differential_questions, "
-    f"{_list('home_care')}, {_list('lifestyle_tips')}, {_list('warning_signs')}, seek AS when_to_seek_doctor, {_list('prevention')}, {joined(array(lx.RISK_GROUPS))} AS risk_groups, {joined(array(lx.CONFUSIONS))} AS possible_confusions, "
-    f"source_name AS source, label <> '' AS verified, {_VERIFIED}, source_url"
-)
+def _record(by: str = "|") -> str:
+    """The record's columns but the two nested ones, lists joined."""
+    flat = lambda name, values: f"{joined(values, by)} AS {name}"
+    lists = ", ".join([_list("symptoms", by), flat("common_symptoms", "symptoms[1:4]"), flat("rare_symptoms", "symptoms[5:8]"), flat("differential_questions", array(lx.QUESTIONS)), *(_list(n, by) for n in ("home_care", "lifestyle_tips", "warning_signs", "prevention")), flat("risk_groups", array(lx.RISK_GROUPS)), flat("possible_confusions", array(lx.CONFUSIONS))])
+    return f"d_title AS title, 'disease' AS category, {lists}, description, seek AS when_to_seek_doctor, source_name AS source, label <> '' AS verified, {_VERIFIED}, source_url"
 
 
 def _some(name: str, default) -> str:
@@ -253,7 +253,7 @@ ORACLE = {
     "infer_title": using("a", f"SELECT doc_id, {_title('title')} AS title, {_title(quoted(''))} AS own_title FROM a"),
     "seek_doctor": using("r", "SELECT doc_id, seek AS when_to_seek_doctor FROM r"),
     "severity_levels": using("r", f"SELECT doc_id, {joined(array(lx.MILD_CONDITIONS))} AS mild_conditions, {_some('home_care', lx.MILD_ADVICE)} AS mild_advice, {joined(array(lx.MODERATE_CONDITIONS))} AS moderate_conditions, {joined(array(lx.MODERATE_ADVICE))} AS moderate_advice, {_some('warning_signs', lx.SEVERE_CONDITIONS)} AS severe_conditions, {joined(array(lx.SEVERE_ADVICE))} AS severe_advice FROM r"),
-    "structured_record": using("r", f"SELECT doc_id, {_RECORD}, 2 AS min_symptoms_match, 0.7::DOUBLE AS high_confidence_threshold FROM r"),
+    "structured_record": using("r", f"SELECT doc_id, {_record()}, 2 AS min_symptoms_match, 0.7::DOUBLE AS high_confidence_threshold FROM r"),
     "complete_fields": using("r", "SELECT doc_id, complete FROM r"),
     "record_gate": using("r", f"SELECT doc_id, language, score, tag AS tags, md5({joined('accepted')}) AS blocks_md5 FROM r WHERE reject_reason IS NULL"),
     "reject_reasons": using("r", "SELECT coalesce(reject_reason, 'accepted') AS outcome, count(*) AS n FROM r GROUP BY ALL"),
@@ -270,7 +270,7 @@ ORACLE = {
     "head_limits": using("c", f"SELECT doc_id, md5({joined('z[1:3]')}) AS first_md5, md5({joined('z[greatest(len(z) - 1, 1):len(z)]')}) AS last_md5 FROM (SELECT o.doc_id, coalesce(list(block ORDER BY pos) FILTER (block IS NOT NULL), []) AS z FROM o LEFT JOIN c USING (doc_id) GROUP BY o.doc_id)"),
     "visited_anti_join": using("n", "SELECT min(page_id) AS page_id, u AS url FROM n WHERE page_id % 2 = 0 AND u IS NOT NULL AND u NOT IN (SELECT u FROM n WHERE page_id % 2 = 1 AND u IS NOT NULL) GROUP BY u"),
     "platform_counters": using("r", f"SELECT {root_host('source_url')} AS platform_id, count(*) AS scraped, count(*) FILTER (reject_reason IS NULL) AS accepted, count(*) FILTER (reject_reason IS NOT NULL) AS rejected FROM r GROUP BY ALL"),
-    "export_csv_rows": using("r", f"SELECT {_RECORD}, language, score AS quality_score, {joined('accepted', chr(10) * 2)} AS raw_text FROM r WHERE reject_reason IS NULL"),
+    "export_csv_rows": using("r", f"SELECT {_record(' | ')}, language, score AS quality_score, {joined('accepted', chr(10) * 2)} AS raw_text FROM r WHERE reject_reason IS NULL"),
     "export_jsonl_rows": using("r", f"SELECT doc_id, d_title AS title, {_list('symptoms')}, label <> '' AS verified, md5({joined('accepted')}) AS blocks_md5, language, score AS quality_score, tag AS tags FROM r WHERE reject_reason IS NULL"),
     "job_views": using("r", "SELECT doc_id, d_title AS title, score AS quality_score FROM r WHERE reject_reason IS NULL ORDER BY doc_id LIMIT 10"),
 }

@@ -20,7 +20,8 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 def decode_upload(content: Column) -> Column:
     """Bytes of strict base64, null where it is none or holds over 12 MiB."""
-    raw = F.try_to_binary(content, F.lit("base64"))
+    strict = (F.length(content) % 4 == 0) & F.rlike(content, F.lit(r"^[A-Za-z0-9+/]*={0,2}\z"))
+    raw = F.when(strict, F.try_to_binary(content, F.lit("base64")))
     return F.when(F.octet_length(raw) <= lx.UPLOAD_LIMIT, raw)
 
 
@@ -128,7 +129,7 @@ def json_records(files: DataFrame, name: str = "filename", content: str = "conte
 
     filename, pos, data, error. Files of another ending, broken JSON and other layouts give a row with an error; so do items
     whose arrays or texts have another type, since from_json would take 5 for '5'."""
-    text = F.decode(F.col(content), F.lit("UTF-8")) if files.schema[content].dataType == T.BinaryType() else F.col(content)
+    text = F.try_validate_utf8(F.col(content).cast("string")) if files.schema[content].dataType == T.BinaryType() else F.col(content)
     rows = files.select(F.col(name).alias("filename"), text.alias("text")).withColumn("v", strict_json(F.col("text")))
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.records", "array<variant>"))
     error = F.when(~F.endswith(F.lower("filename"), F.lit(".json")), "not a .json file").when(F.col("v").isNull(), "not valid JSON").when(items.isNull(), "neither an array nor an object with records")
