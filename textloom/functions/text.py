@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 #: What counts as white space: the code points of Unicode's property, with the four separators U+001C-1F.
 WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 EDGE = " -:;"
+#: A run that is not one plain space already; most gaps between words are, and are passed over. The look-aheads turn plain characters away at once.
+_UNEVEN = f"(?=[^ -~]){WS}+| (?=[^!-~]){WS}+"
 
 
 def ws_normalize(text: Column) -> Column:
     """Runs of white space as one space, none at the edges; zero-width spaces removed."""
-    return F.trim(F.regexp_replace(F.replace(text, F.lit("​"), F.lit("")), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(F.replace(text, F.lit("\u200b"), F.lit("")), _UNEVEN, " "))
 
 
 def strip_ws(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def fold(text: Column) -> Column:
@@ -46,7 +49,7 @@ def text_blocks(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences end at . ! or ? before white space; normalised, blank ones dropped."""
-    parts = F.filter(F.split(text, f"(?<=[.!?]){WS}+", -1), lambda x: F.regexp_replace(x, WS, "") != "")
+    parts = F.filter(F.split(text, f"(?<=[.!?]){WS}+", -1), lambda x: strip_ws(x) != "")
     return F.transform(parts, ws_normalize)
 
 

@@ -38,7 +38,7 @@ def evidence(folded: Column, lexicon: Lexicon = DEFAULT) -> tuple[Column, Column
 
 def strong_folded(folded: Column, lexicon: Lexicon = DEFAULT) -> Column:
     required, context, condition, excluded = evidence(folded, lexicon)
-    return ~excluded & (required > 0) & (required * 2 + context + condition * 2 >= 4) & ((context > 0) | (condition > 0))
+    return (required > 0) & ~excluded & (required * 2 + context + condition * 2 >= 4) & ((context > 0) | (condition > 0))
 
 
 def strong_blocks(blocks: str, lexicon: Lexicon = DEFAULT) -> Column:
