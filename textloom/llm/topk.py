@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16, 32)
 _DOUBLE = 2.0**53
 
 
@@ -113,7 +113,7 @@ def search_block(block: Block, ids: np.ndarray, rows: np.ndarray, best: Best, qu
         for level, there in zip(block.levels[1:], levels[1:], strict=True):
             if not len(q):
                 break
-            if 4 * len(q) > bound.size:  # most are left: all at once
+            if 20 * len(q) > bound.size:  # many are left: all at once
                 finer = upper_bounds(part(level), there)[q, c]
             else:
                 finer = np.concatenate([(level[0][own][a] * there[0][b]).sum(1) + (level[1][own][a] * there[1][b]).sum(1) for a, b in zip(np.array_split(q, 1 + len(q) // 200_000), np.array_split(c, 1 + len(q) // 200_000), strict=True)])
@@ -121,10 +121,11 @@ def search_block(block: Block, ids: np.ndarray, rows: np.ndarray, best: Best, qu
             q, c = q[left], c[left]
         new = block.ids[own][q] != ids[c]
         q, c = q[new], c[new]
+        product = block.rows[own].astype(np.float64) @ rows.astype(np.float64).T if safe and 20 * len(q) > bound.size else None
         for a, b in zip(np.array_split(q, 1 + len(q) // 200_000), np.array_split(c, 1 + len(q) // 200_000), strict=True):
             if len(a):
                 exact += len(a)
-                scores = _products(block.rows[own][a], rows[b], safe)
+                scores = _products(block.rows[own][a], rows[b], safe) if product is None else product[a, b].astype(np.int64)
                 enters = scores >= floor[a]
                 if enters.any():
                     best.add(at + a[enters], ids[b][enters], scores[enters])
