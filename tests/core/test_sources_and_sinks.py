@@ -123,3 +123,23 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
         assert incremental.progress(q)["active"] is False
         counts.append(spark.read.text(f"{where}/out").count())
     assert counts == [2, 3]
+
+
+def test_manifests(spark, tmp_path):
+    from textloom.sources import jobs
+
+    for name, body in (("a", {"status": "running", "in_progress_urls": ["u"], "start_urls": ["https://who.int/", "https://who.int/"], "platform_max_pages": 7}), ("b", {"job_id": "own", "status": "completed", "queue_items": [{"url": "u"}], "errors": list(map(str, range(30)))}), ("c", None)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "job.json").write_text("{" if body is None else json.dumps(body, indent=2))
+    rows = {r.job_id: r for r in jobs.read_manifests(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"a", "own", "c"}
+    assert (rows["c"].broken, rows["a"].broken, rows["c"].status) == (True, False, "queued")
+    state = rows["a"].platform_states
+    assert [(p.label, p.max_pages, p.root_host) for p in state] == [("World Health Organization", 7, "who.int")]
+    assert [r.job_id for r in jobs.pending(jobs.read_manifests(spark, str(tmp_path))).collect()] == ["a"]
+    view = {r.job_id: r for r in jobs.job_view(jobs.read_manifests(spark, str(tmp_path))).collect()}
+    assert view["own"].errors == list(map(str, range(10, 30)))
+    assert view["own"].download_json_url == "/api/crawl/own/download/json"
+    assert view["a"].download_json_url is None
+    over = {r.job_id: r for r in jobs.finished(jobs.read_manifests(spark, str(tmp_path))).collect()}
+    assert (over["own"].queue_items, len(over["a"].in_progress_urls)) == ([], 1)

@@ -13,7 +13,7 @@ from textloom.functions import urls
 from textloom.operators import crawl, dedup, html, records, sitemap
 from textloom.plans import overlay
 from textloom.plans.lexicon import DEFAULT as LEX
-from textloom.sources import files, sinks
+from textloom.sources import files, jobs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -508,6 +508,50 @@ def job_views(spark, sf_dir):
     return sinks.preview(rows.orderBy("doc_id"))
 
 
+def _manifests(spark, sf_dir):
+    """A manifest a document: states, queues, start URLs that repeat and platforms by doc_id, fields missing by turns."""
+    i = F.col("doc_id")
+    one = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    state = F.when(i % 7 == 6, F.lit(None)).otherwise(overlay.pick("doc_id", ("queued", "running", "paused", "completed", "failed")))
+    item = F.struct(F.col("source_url").alias("url"), F.when(i % 4 == 0, F.col("src")).alias("platform_id"), F.when(i % 3 == 0, F.lit("host.org")).alias("root_host"), one("a", "").alias("tags"))
+    platform = F.struct(F.col("src").alias("platform_id"), F.lit(9).alias("max_pages"))
+    body = F.struct(
+        i.cast("string").alias("job_id"),
+        state.alias("status"),
+        F.array("source_url", F.lit("https://cdc.gov/a"), "source_url", F.lit("")).alias("start_urls"),
+        F.when(i % 2 == 0, i % 50).cast("int").alias("max_pages"),
+        F.when(i % 3 != 1, F.array(item)).alias("queue_items"),
+        F.when(i % 5 == 0, one("https://x.org/")).alias("in_progress_urls"),
+        F.when(i % 2 == 1, F.array(platform, platform)).alias("platform_states"),
+        F.transform(F.sequence(F.lit(1), (i % 40).cast("int") + 1), lambda x: F.concat(F.lit("e"), x.cast("string"))).alias("errors"),
+    )
+    return jobs.with_defaults(_docs(spark, sf_dir).select(F.from_json(F.to_json(body), jobs.MANIFEST).alias("j")).select("j.*"))
+
+
+@query
+def manifest_defaults(spark, sf_dir):
+    rows = _manifests(spark, sf_dir)
+    platform = F.try_element_at("platform_states", F.lit(1))
+    item = F.try_element_at("queue_items", F.lit(1))
+    return rows.select("job_id", "status", "max_pages", "concurrency", F.array_join("start_urls", "|").alias("start_urls"), F.size("platform_states").cast("long").alias("platforms"), platform["label"].alias("label"), platform["max_pages"].alias("platform_pages"), item["platform_id"].alias("item_platform"), F.array_join(item["tags"], "|").alias("item_tags"))
+
+
+@query
+def pending_jobs(spark, sf_dir):
+    return jobs.pending(_manifests(spark, sf_dir)).select("job_id", "status")
+
+
+@query
+def job_responses(spark, sf_dir):
+    return jobs.job_view(_manifests(spark, sf_dir)).select("job_id", F.array_join("errors", "|").alias("errors"), "download_csv_url", F.size("platform_progress").cast("long").alias("platforms"))
+
+
+@query
+def job_id_union(spark, sf_dir):
+    rows = _manifests(spark, sf_dir)
+    return jobs.job_ids(rows.filter("max_pages < 30"), jobs.pending(rows)).agg(F.count("*").alias("jobs"))
+
+
 @query
 def stream_equals_batch(spark, sf_dir):
     """Records of the pages by a stream, stopped and started again, beside those of the batch: one row of counts."""

@@ -321,3 +321,13 @@ ORACLE |= {
         FROM (SELECT *, 'f' || doc_id || CASE WHEN doc_id % 5 = 2 THEN '.txt' ELSE '.JSON' END AS filename, doc_id % 5 = 2 AS txt, doc_id % 5 = 1 AS broken FROM o) f, (VALUES (-1), (0), (4)) v(pos) WHERE (pos < 0) = (txt OR broken)""",
     ),
 }
+
+_STATE = "CASE WHEN doc_id % 7 = 6 THEN 'queued' ELSE " + pick_sql("doc_id", ("queued", "running", "paused", "completed", "failed")) + " END"
+_PAGES = "CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 ELSE 1000 END"
+_PENDING = f"{_STATE} IN ('queued', 'running') AND (doc_id % 3 <> 1 OR doc_id % 5 = 0)"
+ORACLE |= {
+    "manifest_defaults": using("o", f"SELECT doc_id::VARCHAR AS job_id, {_STATE} AS status, ({_PAGES})::INTEGER AS max_pages, 4 AS concurrency, source_url || '|https://cdc.gov/a' AS start_urls, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 2 END::BIGINT AS platforms, CASE WHEN doc_id % 2 = 1 THEN '' ELSE {_NAME} END AS label, CASE WHEN doc_id % 2 = 1 THEN 9 ELSE doc_id % 50 END::INTEGER AS platform_pages, CASE WHEN doc_id % 3 <> 1 THEN CASE WHEN doc_id % 4 = 0 THEN src WHEN doc_id % 3 = 0 THEN 'host.org' ELSE source_url END END AS item_platform, CASE WHEN doc_id % 3 <> 1 THEN 'a' END AS item_tags FROM o"),
+    "pending_jobs": f"SELECT doc_id::VARCHAR AS job_id, {_STATE} AS status FROM documents WHERE {_PENDING}",
+    "job_responses": f"SELECT doc_id::VARCHAR AS job_id, array_to_string(list_transform(range(greatest(1, doc_id % 40 - 18), doc_id % 40 + 2), lambda x: 'e' || x), '|') AS errors, CASE WHEN {_STATE} = 'completed' THEN '/api/crawl/' || doc_id || '/download/csv' END AS download_csv_url, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 2 END::BIGINT AS platforms FROM documents",
+    "job_id_union": f"SELECT count(*) AS jobs FROM documents WHERE {_PAGES} < 30 OR ({_PENDING})",
+}
