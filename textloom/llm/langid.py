@@ -7,7 +7,7 @@ highest mean posterior.
 
 The classifier is fitted on the driver from a bounded sample: at most `per_lang` labelled
 documents of each language, whole, drawn in the order of a hash of doc_id over all
-labelled documents. Predictions use nothing but the text and cover every word of it.
+labelled documents of at most `max_chars` characters, so the sample's size is bounded for a given number of languages. Predictions use nothing but the text and cover every word of it.
 
 Defined results: null text, or text without a letter, is `und` with score 0; null doc_id is
 never held out and never learned from; null lang is never learned from; a table without
@@ -84,9 +84,9 @@ def fit(rows: list[tuple[str, str]], line_words: int = 48, min_count: int = 3, p
     return LanguageModel(languages, lexicon, weights.astype(np.float32), trans)
 
 
-def learn(docs: DataFrame, per_lang: int = 60) -> LanguageModel | None:
-    """Fit on at most per_lang documents of each language that are labelled and not held out."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+def learn(docs: DataFrame, per_lang: int = 60, max_chars: int = 200_000) -> LanguageModel | None:
+    """Fit on at most per_lang documents of each language, of at most max_chars characters, that are labelled and not held out."""
+    usable = docs.filter((F.length("text") <= max_chars) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
