@@ -24,8 +24,6 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_remove_written)
     _WRITTEN.append((spark, path))
     return path
 
@@ -34,7 +32,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing will read again."""
+    for table in tables:
+        drop_written(table.sparkSession, {table._written_to})
+
+
+def written() -> set[str]:
+    return {path for _, path in _WRITTEN}
+
+
+def drop_written(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths:
+        remove(spark, path)
+    _WRITTEN[:] = [x for x in _WRITTEN if x[1] not in paths]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -42,6 +58,7 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@atexit.register
 def _remove_written() -> None:
     for spark, path in _WRITTEN:
         try:
