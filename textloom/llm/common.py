@@ -82,13 +82,13 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         yield batch.slice(int(a), int(b - a))
 
 
-def map_chunks(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
+def map_chunks(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, limit: int = CHUNK_BYTES) -> DataFrame:
     """mapInArrow over chunks; make() runs once a task and gives the function for a chunk."""
 
     def run(batches):
         work = make()
         for batch in batches:
-            for part in chunks(batch, column):
+            for part in chunks(batch, column, limit):
                 yield work(part)
 
     return df.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_strings, map_chunks, text_of
+from .common import CHUNK_BYTES, byte_strings, map_chunks, text_of
 from .tokens import WordTokens
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -92,7 +92,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
 
         return work
 
-    return map_chunks(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), "text", make, PIECES)
+    return map_chunks(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), "text", make, PIECES, CHUNK_BYTES // 2)
 
 
 def _pack_group(table: pa.Table, length: int) -> pa.Table:

@@ -42,7 +42,7 @@ class _Index(dict):
 
 
 class WordTokens:
-    def __init__(self, path: str, end_id: int, limit: int = 450_000):
+    def __init__(self, path: str, end_id: int, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
