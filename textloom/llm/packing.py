@@ -9,7 +9,7 @@ a tree of the greatest room left under each node finds that sequence in logarith
 Padding fills a sequence to `length`, unless it is already at a power of two.
 
 Defined results: null text is empty; an empty text is its end id alone; ties in length are
-packed by doc_id, then place (null doc_id first); rows that repeat are packed each; an
+packed by doc_id, then place (null doc_id last); rows that repeat are packed each; an
 empty table gives an empty result; other columns are passed over.
 """
 
