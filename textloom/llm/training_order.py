@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_strings, chunks, materialise, new_path, text_of
+from .common import byte_strings, chunks, materialise, new_path, text_of
 from .tokens import WordTokens
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -66,7 +66,7 @@ def token_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int) -
         from pyspark import TaskContext
 
         part, nth = TaskContext.get().partitionId(), 0
-        coder = WordTokens(tokenizer, end_id)
+        coder = WordTokens(tokenizer, end_id, limit=600_000)
         pack = zstandard.ZstdCompressor(level=3)
         held, docs_held = np.empty(0, coder.dtype), []  # ids that fill no sequence yet; (doc, start, count)
 
@@ -80,7 +80,7 @@ def token_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int) -
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["part", "nth", "n", "blob", "doc_id", "start", "length"])
 
         for batch in batches:
-            for chunk in chunks(batch, "text", CHUNK_BYTES // 2):
+            for chunk in chunks(batch, "text"):
                 ids, counts = coder.encode(byte_strings(chunk.column("text")))
                 held = np.concatenate([held, ids])
                 docs_held += [[d, 0, int(c)] for d, c in zip(chunk.column("doc_id").to_pylist(), counts, strict=True)]
