@@ -240,6 +240,18 @@ def test_personal_data_field():
     assert hits > 0.9 * total
 
 
+DISGUISED = [f"{a}{at}{b}{dot}org" for a, b in (("anna", "lamo"), ("jane.x", "verla")) for at in (" at ", " (at) ", " [at] ", " {at} ", "(at)", "[at]", "{at}", " AT ") for dot in (".", " dot ", "(dot)", " [dot] ")]
+
+
+def test_personal_data_disguised_alone():
+    """Each disguised address alone on a line without digits."""
+    assert all(pii._sane("email", x) and pii._EVIDENCE.search(x) for x in DISGUISED)
+    missed = [x for x, found in zip(DISGUISED, pii.find_spans(DISGUISED, *pii.model())[1], strict=True) if found != [("email", 0, len(x))]]
+    assert not missed
+    said = ["write to anna at lamo.org today", "mail jane.x(at)verla.com, please", "anna at\tlamo", "we are at work. Then on", "look at la. Mira the house"]
+    assert [[s[0] for s in x] for x in pii.find_spans(said, *pii.model())[1]] == [["email"], ["email"], [], [], []]
+
+
 def test_personal_data_odd(spark):
     assert pii.find_personal_data(odd(spark)).count() == len(odd_rows())
     kept = pii.redact(odd(spark))
