@@ -252,6 +252,30 @@ def test_personal_data_disguised_alone():
     assert [[s[0] for s in x] for x in pii.find_spans(said, *pii.model())[1]] == [["email"], ["email"], [], [], []]
 
 
+SIDE_BY_SIDE = {
+    "email": ["anna at lamo dot org", "bob at verla.de", "eve.x(at)lamo.net"],
+    "phone": ["415-555-2671", "(415) 555-2672", "+49 123 4567890"],
+    "card": ["4111.1111.1111.1111", "5500.0000.0000.0004", "4012.8888.8888.1881"],
+    "ip": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80:0000:0000:0000:0202:b3ff:fe1e:8329", "2001:0db8:0000:0042:0000:8a2e:0370:7334"],
+}
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_personal_data_side_by_side(n):
+    """Items of one kind with nothing but a comma or a space between them are a span each."""
+    import itertools
+
+    for kind, items in SIDE_BY_SIDE.items():
+        for some in itertools.permutations(items, n):
+            for by in (" ", ", "):
+                line, expected = "", []
+                for x in some:
+                    line += by if line else ""
+                    expected.append((kind, len(line), len(line) + len(x)))
+                    line += x
+                assert pii.find_spans([line], *pii.model())[1][0] == expected, line
+
+
 def test_personal_data_odd(spark):
     assert pii.find_personal_data(odd(spark)).count() == len(odd_rows())
     kept = pii.redact(odd(spark))

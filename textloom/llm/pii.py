@@ -6,7 +6,8 @@ a spelled-out `dot`, a bracketed `at`, or an `at` between spaces before a name w
 The exact check of a span accepts nothing without one of these, so no other line is
 decoded. The features are of word shape and of the words around. It is
 trained on the driver from a small labelled table, made here by rule, and decoded by
-Viterbi in numpy batches. Its spans are added where they touch no pattern's span.
+Viterbi in numpy batches. Neighbours of one label are one span if it passes the check, else they are
+split into pieces that pass and cover the most words. Spans are added where they touch no pattern's span.
 
 Offsets are code points, ends exclusive. Defined results: null text is empty, an empty
 text has no spans; rows that repeat are each treated; an empty table gives an empty
@@ -207,6 +208,55 @@ def _sane(kind: str, text: str) -> bool:
     return 9 <= len(d) <= 15 and not re.search(r"[^0-9 ().+/-]", text) and bool(re.search(r"[ ().-]", text))
 
 
+#: What a span of more words may still become; once this fails, more words do not help.
+_EMAIL_SO_FAR = re.compile(r"[a-z0-9._%+-]+(?: ?(?:@|[\[({]at[\])}]| at)(?: ?[a-z0-9-]+(?: ?(?:\.|[\[({]dot[\])}]| dot ) ?[a-z0-9-]+)*(?: ?(?:\.|[\[({]dot[\])}]| dot))?)?)?")
+_PARTS = {"card": re.compile(r"[0-9 .-]*"), "phone": re.compile(r"\(*\+?[0-9 ()./-]*")}
+_MOST_DIGITS = {"card": 19, "phone": 15}
+
+
+def _open(kind: str, text: str) -> bool:
+    if kind == "email":
+        return bool(_EMAIL_SO_FAR.fullmatch(text.lower()))
+    return kind in _PARTS and len(_digits(text)) <= _MOST_DIGITS[kind] and bool(_PARTS[kind].fullmatch(text))
+
+
+def _pieces(kind: str, text: str, words: list[re.Match]) -> list[tuple[int, int]]:
+    """The spans in a run of words of one label: the whole run if it passes the check, else the pieces that cover
+    the most words; of such splits the one with the fewest pieces, then with the most even ones."""
+
+    def ends(i: int, j: int) -> tuple[int, int]:
+        start, end = words[i].start(), words[j - 1].end()
+        while end > start and text[end - 1] in ".,;:!?":
+            end -= 1
+        return start, end
+
+    start, end = ends(0, len(words))
+    if _sane(kind, text[start:end]):
+        return [(start, end)]
+    n = len(words)
+    best = [(0, 0, 0)] * (n + 1)
+    came = [-1] * (n + 1)  # where the piece that ends here begins; -1: no piece ends here
+    for i in range(n):
+        covered, pieces, uneven = best[i]
+        if best[i] > best[i + 1]:
+            best[i + 1], came[i + 1] = best[i], -1
+        if kind in _PARTS and not _digits(words[i][0]):
+            continue
+        for j in range(i + 1, n + 1):
+            start, end = ends(i, j)
+            score = (covered + j - i, pieces - 1, uneven - (j - i) ** 2)
+            if score > best[j] and not (kind == "phone" and "+" in text[start:end].lstrip("(")[1:]) and _sane(kind, text[start:end]):
+                best[j], came[j] = score, i
+            if not _open(kind, text[words[i].start() : words[j - 1].end()]):
+                break
+    out = []
+    while n:
+        if came[n] >= 0:
+            out.append(ends(came[n], n))
+        n = came[n] if came[n] >= 0 else n - 1
+    return out[::-1]
+
+
 def method_spans(texts: list[str], weights: np.ndarray, trans: np.ndarray, batch_words: int = 200_000) -> list[list[Span]]:
     """The field's spans of each text; lines of many texts are decoded together."""
     out: list[list[Span]] = [[] for _ in texts]
@@ -231,12 +281,8 @@ def method_spans(texts: list[str], weights: np.ndarray, trans: np.ndarray, batch
                 while own[i] and j < len(own) and own[j] == own[i]:
                     j += 1
                 if own[i]:
-                    start, end = words[i].start(), words[j - 1].end()
-                    text = texts[which]
-                    while end > start and text[end - 1] in ".,;:!?":
-                        end -= 1
-                    if _sane(LABELS[own[i]], text[start:end]):
-                        out[which].append((LABELS[own[i]], start, end))
+                    kind = LABELS[own[i]]
+                    out[which] += [(kind, a, b) for a, b in _pieces(kind, texts[which], words[i:j])]
                 i = j
         lines.clear()
 
