@@ -117,6 +117,15 @@ def test_line_dedup(spark, limit):
     assert got == dict(zip([r.doc_id for r in rows], boilerplate_by_hand([(r.source, r.text) for r in rows], 0.05, 5, 2), strict=True))
 
 
+def test_line_dedup_small_hosts(spark):
+    """The ratio alone decides on hosts of any size; a line on one page only always stays."""
+    rows = [(f"h{n}", f"own {n} {i}\nfooter\n" + ("few" if i < 3 else f"other {n} {i}")) for n in (1, 2, 9, 19, 20, 25, 39) for i in range(n)]
+    got = linededup.site_line_dedup(spark.createDataFrame(rows, "source string, text string")).collect()
+    assert Counter((r.source, r.text) for r in got) == Counter(zip([s for s, _ in rows], boilerplate_by_hand(rows, 0.1, 1, 2), strict=True))
+    assert {r.source for r in got if "footer" in r.text} == {"h1"}
+    assert {r.source for r in got if "few" in r.text} == {"h1", "h39"}
+
+
 def test_line_dedup_odd(spark):
     cut = linededup.site_line_dedup(odd(spark), max_ratio=0.3, min_pages=2, min_line_pages=2)
     assert cut.count() == len(odd_rows())

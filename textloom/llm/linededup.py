@@ -2,8 +2,10 @@
 
 The documents are grouped by host. A line's page count is the number of that host's
 documents that hold it, white space around it apart; divided by the host's documents it
-gives the line's ratio. Lines over `max_ratio` on a host with at least `min_pages`
-documents are boilerplate there and are dropped from every document of the host.
+gives the line's ratio. Lines over `max_ratio` that are on two documents of their host or more are
+boilerplate there and are dropped from every document of the host. A line on one document is not
+repeated, whatever its ratio on a host of few. `min_pages` and `min_line_pages` can ask for more
+documents of a host and of a line; by default they leave no host out.
 
 The boilerplate lines of one host fit in an array: each is in over max_ratio of the
 host's documents, so there are at most (mean lines a document) / max_ratio of them.
@@ -52,7 +54,7 @@ def boilerplate_lines(docs: DataFrame, host: str, text: str, max_ratio: float, m
     return over.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def site_line_dedup(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 20, min_line_pages: int = 5, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def site_line_dedup(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 1, min_line_pages: int = 2, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """docs with `text` cut, and lines_total, lines_dropped (long) added."""
     found = materialise(boilerplate_lines(docs, host, text, max_ratio, min_pages, min_line_pages), "boilerplate")
     size = found.agg(F.sum(16 + 8 * F.size("lines"))).first()[0] or 0
