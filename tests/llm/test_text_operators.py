@@ -183,6 +183,53 @@ def test_jaccard_odd(spark):
     assert jaccard.jaccard_join(none(spark)).count() == 0
 
 
+def links_by_hand(rows):
+    """How many other sets each text's set links with."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(lower))
+        sets.append(frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[j : j + 5]) for j in range(len(w) - 4)]))
+    different = {s for s in sets if s}
+    return [(d, sum(x != s and 100 * len(s & x) >= 80 * len(s | x) for x in different) if s else 0) for (d, _), s in zip(rows, sets, strict=True)]
+
+
+@pytest.mark.parametrize("block, size", [(1024, 4 << 20), (16, 4 << 20), (1024, 1500)])
+def test_jaccard_counts_every_link(spark, monkeypatch, block, size):
+    """A family that all links, one that links in part, a chain, odd rows; with families in one block, in many, and in more than they have members."""
+    import random
+
+    from .common import words
+
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
+    monkeypatch.setattr(jaccard, "LINK_BYTES", size)
+    r = random.Random(8)
+    rows = [(r_[0], r_[1]) for r_ in odd_rows() if r_[1] is None or len(r_[1]) < 50_000]
+    base = words(r, 150).split()
+    rows += [(100 + i, " ".join([*base, f"end{i}"])) for i in range(60)]
+    other = words(r, 145).split()
+    for i in range(60):
+        own = list(other)
+        for k in r.sample(range(145), r.randint(0, 6)):
+            own[k] = f"w{i}x{k}"
+        rows += [(200 + i, " ".join(own))] * (1 + i % 2)
+    chain = words(r, 200).split()
+    for i in range(12):
+        chain = [*chain[10:], *(f"c{i}y{k}" for k in range(10))]
+        rows.append((300 + i, " ".join(chain)))
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_links").collect()
+    expected = links_by_hand(rows)
+    assert Counter(map(tuple, got)) == Counter(expected)
+    assert dict(expected)[100] == 59
+
+
+def test_jaccard_shared_counts():
+    r = np.random.default_rng(4)
+    for many in (1, 3, 70):
+        one, other = ([np.unique(r.integers(0, 40 + 9000 * (i % 2), 300)) for i in range(k)] for k in (many, many + 2))
+        assert jaccard._shared(one, other).tolist() == [[len(np.intersect1d(x, y)) for y in other] for x in one]
+
+
 def test_jaccard_families(spark):
     """A family whose members link to some of each other only, and a chain."""
     import random

@@ -19,6 +19,9 @@ Jaccard similarity is at least `percent` / 100, compared in integers.
    that can follow them must reach the needed overlap), and the suffix filter (what
    follows, dealt into 16 hash classes, can share the smaller count of each class at most).
    A pair that is left is checked once on the whole sets.
+5. Every link lies within a component, so the links of each class are counted there: its
+   classes are dealt by hash into blocks of bounded count and size, and each two blocks of a component
+   are held against each other on whole sets, each pair of classes once. What is returned is counts, not pairs.
 
 Every posting list is a Spark group that spills; a list is only paired with itself across
 components. Defined results: null or empty text, or text of white space, has an empty set,
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_strings, chunks, drop_written, materialise, release, text_of, written
+from .common import CHUNK_BYTES, byte_strings, chunks, drop_written, materialise, ragged, release, text_of, written
 from .components import connected_components
 from .words import LOWER, WordHashes, shingle_set
 
@@ -148,12 +151,8 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b: classes) that link, judged on whole sets, each pair once.
-
-    The sets are made from the texts again, for the classes in pairs only; sets of all documents are never kept."""
-    pairs = materialise(pairs.select("a", "b"), "pairs")
-    of = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+def _whole_sets(docs: DataFrame, classes: DataFrame, of: DataFrame, size: int) -> DataFrame:
+    """cls, shingles of the classes in `of`, each once, made from the texts again; sets of all documents are never kept."""
     marks = docs.sparkSession.sparkContext.broadcast(_marks(classes.select("cls", "rep").join(of, "cls")))
 
     def fetch(batches):
@@ -170,8 +169,14 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keep], pa.int64()), pa.array([x[1] for x in keep], pa.binary())], ["cls", "shingles"])
 
     found = docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(fetch, "cls long, shingles binary")
-    once = found.join(of, "cls", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy(F.lit(0)))).filter("nth = 1").drop("nth")
-    sets = materialise(once, "sets")
+    return found.join(of, "cls", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy(F.lit(0)))).filter("nth = 1").drop("nth")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b: classes) that link, judged on whole sets, each pair once."""
+    pairs = materialise(pairs.select("a", "b"), "pairs")
+    of = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    sets = materialise(_whole_sets(docs, classes, of, size), "sets")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("other")), "b")
 
     def check(batches):
@@ -240,8 +245,86 @@ def _across(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.filter(shared + F.when(first, can("a", "b")).otherwise(can("b", "a")) >= F.expr(_need("n_a", "n_b", percent))).select("a", "b")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, stars: int = 2) -> DataFrame:
-    """A row per document: doc_id, n_shingles, class_id, class_links (checked links of its class), component_id (smallest doc_id of its component), text_hash (xxhash64 of the text)."""
+LINK_BLOCK, LINK_BYTES = 1024, 4 << 20
+_DENSE_COLUMNS, _SPARSE_PAIRS = 2048, 1 << 22
+
+
+def _shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of `one` shares with each of `other`. Shingles that many sets hold are counted by a product of matrices, rare ones pair by pair."""
+    out = np.zeros(len(one) * len(other), np.int64)
+    kinds, which = np.unique(np.concatenate([*one, *other]), return_inverse=True)
+    cut = sum(map(len, one))
+    left, right = which[:cut], which[cut:]
+    of_left, of_right = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, other))
+    n_left, n_right = (np.bincount(x, minlength=len(kinds)) for x in (left, right))
+    dense = 64 * n_left * n_right > len(out)
+    place = np.cumsum(dense) - 1
+    for at in range(0, int(dense.sum()), _DENSE_COLUMNS):
+        both = []
+        for x, of, n in ((left, of_left, len(one)), (right, of_right, len(other))):
+            own = dense[x] & (place[x] >= at) & (place[x] < at + _DENSE_COLUMNS)
+            m = np.zeros((n, _DENSE_COLUMNS), np.float32)
+            m[of[own], place[x[own]] - at] = 1
+            both.append(m)
+        out += np.rint(both[0] @ both[1].T).astype(np.int64).ravel()
+    by_kind = of_right[np.argsort(right, kind="stable")]
+    starts = np.cumsum(n_right) - n_right
+    rare = np.flatnonzero(~dense[left] & (n_right[left] > 0))
+    part = np.cumsum(n_right[left[rare]]) // _SPARSE_PAIRS
+    for own in np.split(rare, np.flatnonzero(np.diff(part)) + 1):
+        counts = n_right[left[own]]
+        pairs = np.repeat(of_left[own] * len(other), counts) + ragged(by_kind, starts[left[own]], counts)
+        out += np.bincount(pairs, minlength=len(out))
+    return out.reshape(len(one), len(other))
+
+
+def _count_links(docs: DataFrame, classes: DataFrame, comps: DataFrame, size: int, percent: int) -> DataFrame:
+    """cls, class_links: how many other classes each class links with, of all that exist.
+
+    Links lie within components. A component is dealt by hash into blocks of some LINK_BLOCK classes
+    and LINK_BYTES; each pair of its blocks is one unit of work, and small components share one by hash."""
+    sizes = comps.join(classes.select(F.col("cls").alias("node"), "n"), "node").groupBy("comp").agg(F.count("*").alias("members"), F.sum(8 * F.col("n")).alias("bytes"))
+    blocks = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("members") / LINK_BLOCK), F.ceil(F.col("bytes") / LINK_BYTES)).cast("int"))
+    blocks = materialise(blocks, "blocks")
+    total = blocks.filter("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
+    shares = max(1, total // LINK_BYTES)
+    named = comps.join(blocks.select("comp", "blocks"), "comp").select(F.col("node").alias("cls"), "comp", "blocks")
+    named = materialise(named.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "members")
+    held = _whole_sets(docs, classes, named.select("cls"), size).join(named, "cls")
+    dealt = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    share = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(shares))).otherwise(F.col("comp"))
+    units = dealt.select(share.alias("unit"), F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "with")).alias("lo"), F.greatest("block", "with").alias("hi"), "comp", "block", "cls", "shingles")
+
+    def count(table: pa.Table) -> pa.Table:
+        order = np.lexsort((table["block"].to_numpy(), table["comp"].to_numpy()))
+        comp, block, cls = (table[c].to_numpy()[order] for c in ("comp", "block", "cls"))
+        sets = [np.frombuffer(x, np.int64) for x in table["shingles"].cast(pa.binary()).take(pa.array(order)).to_pylist()]
+        n = np.array([len(s) for s in sets], np.int64)
+        found = np.zeros(len(sets), np.int64)
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        cuts = np.r_[0, np.flatnonzero(np.diff(comp)) + 1, len(sets)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            two = 0 <= lo < hi
+            mid = a + int(np.searchsorted(block[a:b], hi))
+            one, other = (slice(a, mid), slice(mid, b)) if two else (slice(a, b), slice(a, b))
+            if two and mid in (a, b):
+                continue  # one of the blocks is empty
+            linked = (100 + percent) * _shared(sets[one], sets[other]) >= percent * (n[one, None] + n[None, other])
+            if two:
+                found[other] = linked.sum(0)
+            else:
+                np.fill_diagonal(linked, False)
+            found[one] = linked.sum(1)
+        return pa.table({"cls": pa.array(cls, pa.int64()), "links": pa.array(found, pa.int64())})
+
+    counts = units.groupBy("unit", "lo", "hi").applyInArrow(count, "cls long, links long").groupBy("cls").agg(F.sum("links").alias("class_links"))
+    out = materialise(counts, "counts")
+    release(blocks, named)
+    return out
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, stars: int = 2, count_links: bool = True) -> DataFrame:
+    """A row per document: doc_id, n_shingles, class_id, class_links (how many other classes its class links with; null if count_links is False), component_id (smallest doc_id of its component), text_hash (xxhash64 of the text)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     survey = materialise(_survey(docs, size), "survey")
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(survey))
@@ -264,14 +347,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if turn < stars:
             lists = materialise(_open_lists(lists, comps), "lists")
         release(closed)
+    count = _count_links(docs, classes, comps, size, percent) if count_links else None
     release(classes)
     members = survey.filter("block is null").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "cls")
-    count = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("class_links"))
     per_class = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = per_class.join(comps, per_class["cls"] == comps["node"], "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("least").alias("component"))
-    by_class = named.join(smallest, "comp").join(count, "cls", "left").select("cls", F.coalesce("class_links", F.lit(0).cast("long")).alias("class_links"), "component")
-    return members.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class_id"), F.coalesce("class_links", F.lit(0).cast("long")).alias("class_links"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "text_hash")
+    by_class = named.join(smallest, "comp").select("cls", "component")
+    if count_links:
+        by_class = by_class.join(count, "cls", "left")
+    every = F.coalesce("class_links", F.lit(0).cast("long")) if count_links else F.lit(None).cast("long")
+    return members.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class_id"), every.alias("class_links"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "text_hash")
 
 
 def keep_one_of_each(docs: DataFrame, broadcast_rows: int = 400_000, **options) -> DataFrame:
@@ -281,7 +367,7 @@ def keep_one_of_each(docs: DataFrame, broadcast_rows: int = 400_000, **options)
     its own; of rows equal in both one stays. A row without doc_id goes if its component has a row with one, and stays else.
     What is known of rows that go or repeat is broadcast if it has at most broadcast_rows rows, some 40 MB, and joined by a shuffle beyond that."""
     before = written()
-    found = materialise(jaccard_join(docs.select("doc_id", "text"), **options).select("doc_id", "text_hash", "component_id"), "components")
+    found = materialise(jaccard_join(docs.select("doc_id", "text"), count_links=False, **options).select("doc_id", "text_hash", "component_id"), "components")
     goes = F.when(F.col("doc_id").isNull(), F.col("component_id").isNotNull()).otherwise(F.col("component_id") < F.col("doc_id"))
     fate = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"), F.max(goes).alias("goes")).filter("goes or copies > 1")
     fate = materialise(fate.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash"), F.coalesce("goes", F.lit(False)).alias("__goes")), "fate")
