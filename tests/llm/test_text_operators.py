@@ -183,6 +183,20 @@ def test_jaccard_odd(spark):
     assert jaccard.jaccard_join(none(spark)).count() == 0
 
 
+def test_jaccard_keeps_one_without_ids(spark):
+    """Near copies that all have no doc_id, or all the same one, leave one row."""
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(100))
+    families = [[(i, f"{k} {text.replace('w', k)} end{n}") for n in range(4)] for k, i in (("a", None), ("b", 7), ("c", 7))]
+    rows = [x for family in families for x in family] + [families[0][0], (None, None), (7, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.text: r.h for r in table.select("text", F.xxhash64("text").alias("h")).collect()}
+    for limit in (400_000, 0):
+        kept = jaccard.keep_one_of_each(table, broadcast_rows=limit).collect()
+        assert Counter(map(tuple, kept)) == Counter([min(family, key=lambda x: hashes[x[1]]) for family in families] + [(None, None), (7, "")])
+
+
 def links_by_hand(rows):
     """How many other sets each text's set links with."""
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

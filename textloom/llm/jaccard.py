@@ -324,7 +324,7 @@ def _count_links(docs: DataFrame, classes: DataFrame, comps: DataFrame, size: in
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, stars: int = 2, count_links: bool = True) -> DataFrame:
-    """A row per document: doc_id, n_shingles, class_id, class_links (how many other classes its class links with; null if count_links is False), component_id (smallest doc_id of its component), text_hash (xxhash64 of the text)."""
+    """A row per document: doc_id, n_shingles, class_id, class_links (how many other classes its class links with; null if count_links is False), component_id (smallest doc_id of its component), text_hash (xxhash64 of the text), first_hash (text_hash of the first row of its component by doc_id, nulls last, then text_hash; null without words)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     survey = materialise(_survey(docs, size), "survey")
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(survey))
@@ -350,25 +350,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count = _count_links(docs, classes, comps, size, percent) if count_links else None
     release(classes)
     members = survey.filter("block is null").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "cls")
-    per_class = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    per_class = members.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least"))
     named = per_class.join(comps, per_class["cls"] == comps["node"], "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
-    smallest = named.groupBy("comp").agg(F.min("least").alias("component"))
-    by_class = named.join(smallest, "comp").select("cls", "component")
+    smallest = named.groupBy("comp").agg(F.min("least").alias("first"))
+    by_class = named.join(smallest, "comp").select("cls", F.col("first.doc_id").alias("component"), F.col("first.text_hash").alias("first_hash"))
     if count_links:
         by_class = by_class.join(count, "cls", "left")
     every = F.coalesce("class_links", F.lit(0).cast("long")) if count_links else F.lit(None).cast("long")
-    return members.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class_id"), every.alias("class_links"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "text_hash")
+    return members.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class_id"), every.alias("class_links"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "text_hash", "first_hash")
 
 
 def keep_one_of_each(docs: DataFrame, broadcast_rows: int = 400_000, **options) -> DataFrame:
-    """docs with one row of each component, the one with the smallest doc_id; same columns.
+    """docs with one row of each component, the first by doc_id (nulls last), then by the hash of its text; same columns.
 
-    Rows are told by doc_id and text, so rows with an equal doc_id and other texts fare each by
-    its own; of rows equal in both one stays. A row without doc_id goes if its component has a row with one, and stays else.
+    Rows are told by doc_id and text; of rows equal in both one stays. A text without words is its own component.
     What is known of rows that go or repeat is broadcast if it has at most broadcast_rows rows, some 40 MB, and joined by a shuffle beyond that."""
     before = written()
-    found = materialise(jaccard_join(docs.select("doc_id", "text"), count_links=False, **options).select("doc_id", "text_hash", "component_id"), "components")
-    goes = F.when(F.col("doc_id").isNull(), F.col("component_id").isNotNull()).otherwise(F.col("component_id") < F.col("doc_id"))
+    found = materialise(jaccard_join(docs.select("doc_id", "text"), count_links=False, **options).select("doc_id", "text_hash", "component_id", "first_hash"), "components")
+    goes = F.col("first_hash").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
     fate = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"), F.max(goes).alias("goes")).filter("goes or copies > 1")
     fate = materialise(fate.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash"), F.coalesce("goes", F.lit(False)).alias("__goes")), "fate")
     drop_written(docs.sparkSession, written() - before - {fate._written_to})
