@@ -196,3 +196,18 @@ def test_a_crawl(spark):
     assert (a.discovered, a.scraped, a.accepted, a.rejected, a.failed) == (4, 4, 3, 1, 0)
     assert (y.discovered, y.scraped, y.accepted, y.rejected, y.failed, y.status) == (2, 2, 1, 0, 1, "completed")
     assert [r.url for r in done.errors.collect()] == ["https://y.org/malaria"]
+
+
+def test_sitemaps_nested_to_any_depth(spark):
+    """Pages that only nested sitemaps name are reached, also below 20 levels; the cap on a site's URLs is apart from that."""
+    from textloom.operators import sitemap
+
+    at = "https://cdc.gov/"
+    index = lambda *names: "<sitemapindex>" + "".join(f"<sitemap><loc>{at}{n}.xml</loc></sitemap>" for n in names) + "</sitemapindex>"
+    pages = lambda *names: "<urlset>" + "".join(f"<url><loc>{at}health/{n}</loc></url>" for n in names) + "</urlset>"
+    files = [("sitemap", index("a", "n0")), ("a", pages("one", "two")), *((f"n{i}", index(f"n{i + 1}", "sitemap")) for i in range(22)), ("n22", pages("three", "one"))]
+    table = spark.createDataFrame([(f"{at}{n}.xml", xml) for n, xml in files], "url string, xml string")
+    start = spark.createDataFrame([(f"{at}sitemap.xml", "cdc.gov", 0)], "url string, root_host string, nth int")
+    every = [("cdc.gov", f"{at}health/{n}", i) for i, n in enumerate(("one", "two", "three"), 1)]
+    for cap in (100, 2):
+        assert sorted(map(tuple, sitemap.expand_sitemaps(table, start, cap).collect()), key=lambda r: r[2]) == every[:cap]

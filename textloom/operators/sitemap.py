@@ -48,15 +48,15 @@ def parse_sitemap(xml: Column) -> Column:
     return F.struct(pick("urlset").alias("urls"), pick("sitemapindex").alias("nested"))
 
 
-def expand_sitemaps(files: DataFrame, start: DataFrame, max_urls: int, lexicon: Lexicon = DEFAULT, max_levels: int = 20) -> DataFrame:
+def expand_sitemaps(files: DataFrame, start: DataFrame, max_urls: int, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """URLs that sitemaps reach: root_host, url, seq. files: url, xml; start: url, root_host, nth.
 
     A sitemap's own URLs come before those of the ones it names, each sitemap once for a site, 201 sitemaps of a
-    site at most; URLs of the site only, pages only, relevant only; the first of each, max_urls of a site."""
+    site at most, so at most 201 levels, as a sitemap comes after all that lead to it; URLs of the site only, pages only, relevant only; the first of each, max_urls of a site."""
     parsed = files.withColumn("p", parse_sitemap(F.col("xml"))).select("url", "p.urls", "p.nested")
     level = start.select("root_host", "url", F.array(F.col("nth").cast("int")).alias("way"))
     seen = None
-    for _ in range(max_levels):
+    for _ in range(MAX_SITEMAPS):
         level = first_of_each(level, ["root_host", "url"], ["way"])
         level = materialise(level if seen is None else level.join(seen, ["root_host", "url"], "left_anti"), "sitemaps")
         if level.isEmpty():
