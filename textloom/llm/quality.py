@@ -1,7 +1,7 @@
 """Quality rules, line first (10).
 
 Each line of a document is judged by itself: too many symbols, navigation, boilerplate,
-or a longer line without any punctuation at its end. Lines that fail are removed. A document is rejected
+or more than 40 words without a `.`, `!` or `?` anywhere and without closing punctuation at the end. Lines that fail are removed. A document is rejected
 if its base figures fail, or if the removed lines held more than `max_lost` of its words.
 
 Words are runs of anything but space and \\x09-\\x0D. Defined results for odd input:
