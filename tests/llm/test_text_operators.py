@@ -471,3 +471,28 @@ def test_chat_layouts(spark):
     assert [(r.role, r.text) for r in chat.turns_of_table(typed).orderBy("turn").collect()] == got[4]
     typed = spark.createDataFrame([("i", "x", "o")], "instruction string, input string, output string")
     assert [(r.role, r.text) for r in chat.turns_of_table(typed).orderBy("turn").collect()] == got[2]
+
+
+def test_pieces_long_units():
+    """Units over the limit: alone, several, after others are known; with many ranks, with one, and with merges that depend on each other."""
+    import random
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    r = random.Random(2)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    coder = piece_bpe.PieceCoder(PIECE_BPE)
+    pieces = [p.strip("▁") for p in list(coder.known)[300:]]
+    for texts in (
+        [some("abc", 5_000)],
+        [some("abc", 5_000), some("abcdefgh", 9_000)],
+        ["hello there", some("abc", 5_000), "hello"],
+        [some("abcdefghijklmnopqrstuvwxyz", 1_000_000)],
+        [some("abc", 1_000_000)],
+        ["a" * 300_000, "=" * 70_000, "a b" + " " * 20_000 + "x" + " " * 700],
+        ["".join(r.choice(pieces) for _ in range(30_000)), "é" * 5_000 + "梦" * 5_000 + "the" * 5_000],
+    ):
+        ids, counts = coder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [sp.encode(t) for t in texts]
+        assert coder.decode(ids, counts) == [sp.decode(sp.encode(t)) for t in texts]

@@ -6,7 +6,8 @@ unit is merged once. Merging runs on flat arrays over all new units at once: fin
 unit's least pair rank, merge its leftmost pairs of that rank together, close the gaps, until no
 pair is left. Merging several pairs of a unit in one round is exact unless a pair that
 arises on the way ranks as low; a unit where one does merges its leftmost pair only.
-Units over `long_unit` characters take a priority queue instead, with the same result.
+Units over `long_unit` characters go through the same rounds with their places kept by rank, so that a round costs
+what it merges and not the length of the unit.
 
 Characters outside the vocabulary become byte pieces. Decoding gathers the pieces' bytes, with spaces
 for marks and without the first mark; bytes that are no UTF-8 give U+FFFD each.
@@ -33,7 +34,7 @@ _NEAR = 1024
 
 
 class PieceCoder:
-    def __init__(self, path: str, limit: int = 250_000, long_unit: int = 4096):
+    def __init__(self, path: str, limit: int = 250_000, long_unit: int = 512):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -67,12 +68,16 @@ class PieceCoder:
         self.pair_keys = np.array(sorted(table), np.int64)
         self.pair_ids = np.array([table[k] for k in self.pair_keys.tolist()], np.int32)
         self.pair_ranks = rank[self.pair_ids]
+        made = np.full(self.span, -1, np.int64)  # the rank of a symbol's own merge; none for a character
+        made[[i for p, i in self.known.items() if len(p) > 1]] = rank[[i for p, i in self.known.items() if len(p) > 1]]
+        #: Ranks of merges whose piece may at once be part of a merge that ranks no later, as in runs of spaces, whose pieces all rank alike.
+        self.dependent = {int(r) for part in (self.pair_keys // self.span, self.pair_keys % self.span) for r in np.unique(made[part][made[part] >= self.pair_ranks])}
+        self.ranks: dict[int, tuple[int, int]] = {}
         # Characters below _NEAR, and the mark in a place of its own, that stand side by side in a piece.
         self.place = np.full(0x110000, -1, np.int16)
         self.place[:_NEAR] = np.where(self.of_char[:_NEAR] >= 0, np.arange(_NEAR), -1)
         self.place[ord(MARK)] = _NEAR
         together = np.zeros((_NEAR + 2, _NEAR + 2), bool)
-        self.mark_last = True
         far = (_NEAR + 1) * np.ones(0x110000, np.int16)
         far[self.of_char < 0] = -1
         self.place = np.where(self.place >= 0, self.place, far).astype(np.int16)
@@ -164,32 +169,88 @@ class PieceCoder:
         back = np.argsort(order)
         return ragged(flat, begin[back], counts[back]), counts[back]
 
-    def merge_long(self, sym: list[int]) -> list[int]:
-        """The same for one long unit, by a priority queue of pairs: least rank, then leftmost."""
-        ranks = {int(k): (int(r), int(i)) for k, r, i in zip(self.pair_keys, self.pair_ranks, self.pair_ids, strict=True)}
+    def merge_ranked(self, sym: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same rounds for long units, each at the cost of what it merges.
+
+        Places wait by rank. A round takes the least rank of all, which is the least of every unit that has
+        it, and merges its leftmost pairs together; neighbours are kept as links, so the gaps are closed once, at the end.
+        Where a merge can give a pair that ranks no later, the round's merges depend on each other and are taken one by one.
+        What a round leaves ranks after it, so there are at most as many rounds as the vocabulary has ranks."""
         n = len(sym)
-        after, before, queue = [*range(1, n), -1], list(range(-1, n - 1)), []
+        sym = sym.astype(np.int64)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        last = np.cumsum(sizes) - 1
+        after[last], before[last - sizes + 1] = -1, -1
+        alive = np.ones(n, bool)
+        rank, into = np.full(n, _NONE, np.int32), np.zeros(n, np.int32)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
 
-        def offer(a: int) -> None:
-            b = after[a]
-            if b >= 0 and sym[a] >= 0 and sym[b] >= 0 and (found := ranks.get(sym[a] * self.span + sym[b])):
-                heapq.heappush(queue, (found[0], a, b, sym[a], sym[b], found[1]))
+        def offer(at: np.ndarray) -> None:
+            """Look up the pairs that begin at these places and let them wait by rank."""
+            right = after[at]
+            rank[at[right < 0]] = _NONE
+            at, right = at[right >= 0], right[right >= 0]
+            rank[at], into[at] = self._look_up(sym[at], sym[right])
+            at = at[rank[at] != _NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            for own in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1):
+                if len(own):
+                    r = int(rank[own[0]])
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(queue, r)
+                    waiting[r].append(own)
 
-        for a in range(n - 1):
-            offer(a)
-        alive = [True] * n
+        offer(np.arange(n))
         while queue:
-            _, a, b, x, y, to = heapq.heappop(queue)
-            if not (alive[a] and alive[b] and sym[a] == x and sym[b] == y and after[a] == b):
+            least = heapq.heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(least)))
+            at = at[alive[at] & (rank[at] == least)]
+            if not len(at):
+                continue
+            if least in self.dependent:
+                offer(self._one_by_one(at, least, sym, after, before, alive))
+                continue
+            run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
+            nth = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+            take = at[nth % 2 == 0]
+            gone = after[take]
+            sym[take], alive[gone] = into[take], False
+            follow = after[gone]
+            after[take] = follow
+            before[follow[follow >= 0]] = take[follow >= 0]
+            ahead = before[take]
+            offer(np.unique(np.r_[take, ahead[ahead >= 0]]))
+        return sym[alive].astype(np.int32), np.bincount(np.repeat(np.arange(len(sizes)), sizes)[alive], minlength=len(sizes))
+
+    def _one_by_one(self, at: np.ndarray, most: int, sym: np.ndarray, after: np.ndarray, before: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """Merge the pairs at these places and those that arise up to rank `most`, least rank first, then leftmost. Returns the places whose pair is a later one."""
+        if not self.ranks:
+            self.ranks = {int(k): (int(r), int(i)) for k, r, i in zip(self.pair_keys, self.pair_ranks, self.pair_ids, strict=True)}
+        later: set[int] = set()
+        heap = [(most, int(a)) for a in at]
+        while heap:
+            r, a = heapq.heappop(heap)
+            b = int(after[a])
+            found = self.ranks.get(int(sym[a]) * self.span + int(sym[b])) if alive[a] and b >= 0 else None
+            if found is None or found[0] != r:
                 continue
-            sym[a], alive[b] = to, False
-            after[a] = after[b]
-            if after[b] >= 0:
-                before[after[b]] = a
-            if before[a] >= 0:
-                offer(before[a])
-            offer(a)
-        return [s for s, here in zip(sym, alive, strict=True) if here]
+            sym[a], alive[b] = found[1], False
+            follow = int(after[b])
+            after[a] = follow
+            if follow >= 0:
+                before[follow] = a
+            for x in (int(before[a]), a):
+                if x >= 0 and after[x] >= 0 and sym[x] >= 0 and sym[after[x]] >= 0:
+                    near = self.ranks.get(int(sym[x]) * self.span + int(sym[after[x]]))
+                    if near and near[0] <= most:
+                        heapq.heappush(heap, (near[0], x))
+                        continue
+                if x >= 0:
+                    later.add(x)
+        places = np.array(sorted(later), np.int64)
+        return places[alive[places]]
 
     def _learn(self, new: list[str]) -> None:
         """Encode new units and keep their ids. Characters outside the vocabulary are units of their own."""
@@ -197,15 +258,15 @@ class PieceCoder:
         points = np.frombuffer(text.encode("utf-32-le"), "<u4")
         sizes = np.fromiter(map(len, new), np.int64, len(new))
         sym = self.of_char[points]
-        long = np.flatnonzero(sizes > self.long_unit)
-        ends = np.cumsum(sizes)
-        queue = {int(i): np.array(self.merge_long(sym[ends[i] - sizes[i] : ends[i]].tolist()), np.int32) for i in long}
-        short = np.flatnonzero(sizes <= self.long_unit)
-        flat, counts = self.merge_rounds(ragged(sym, (ends - sizes)[short], sizes[short]), sizes[short]) if len(short) else (sym[:0], sizes[:0])
-        if queue:
-            per = {int(i): x for i, x in zip(short, np.split(flat, np.cumsum(counts)[:-1]), strict=True)} | queue
-            parts = [per[i] for i in range(len(new))]
-            flat, counts = np.concatenate(parts), np.array([len(x) for x in parts])
+        starts = np.cumsum(sizes) - sizes
+        flat, counts = np.empty(0, np.int32), np.zeros(len(new), np.int64)
+        begin = np.zeros(len(new), np.int64)
+        for rows, merge in ((np.flatnonzero(sizes <= self.long_unit), self.merge_rounds), (np.flatnonzero(sizes > self.long_unit), self.merge_ranked)):
+            if len(rows):
+                own, counts[rows] = merge(ragged(sym, starts[rows], sizes[rows]), sizes[rows])
+                begin[rows] = len(flat) + np.cumsum(counts[rows]) - counts[rows]
+                flat = np.concatenate([flat, own])
+        flat = ragged(flat, begin, counts)
         # What is no piece becomes its bytes.
         wild = (flat < 0) | (flat >= len(self.shown_sizes))
         if wild.any():
@@ -234,7 +295,7 @@ class PieceCoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.used > 16 * self.limit:
             self._reset()
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         whole = "".join(marked)
