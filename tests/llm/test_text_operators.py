@@ -496,3 +496,44 @@ def test_pieces_long_units():
         ids, counts = coder.encode(texts)
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [sp.encode(t) for t in texts]
         assert coder.decode(ids, counts) == [sp.decode(sp.encode(t)) for t in texts]
+
+
+def test_jaccard_judges_a_pair_once(spark, monkeypatch):
+    """No pair is handed to the whole-set check twice, nor one within a component found before."""
+    import random
+
+    from .common import words
+
+    judged = []
+    check = jaccard._verified
+
+    def counted(docs_, classes, pairs, *rest):
+        judged.append([tuple(r) for r in pairs.collect()])
+        return check(docs_, classes, pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    r = random.Random(6)
+    base = words(r, 145).split()
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for k in r.sample(range(145), r.randint(0, 6)):
+            own[k] = f"w{i}x{k}"
+        rows.append((i, " ".join(own)))
+    jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    every = [p for turn in judged for p in turn]
+    assert len(judged) == 2 and all(judged)
+    assert len(every) == len(set(every)) and all(a < b for a, b in every)
+
+
+def test_jaccard_common_passage(spark):
+    """A passage in a third of the documents, which is most of some of them, is in many prefixes and links only what it must."""
+    import random
+
+    from .common import words
+
+    r = random.Random(9)
+    passage = words(r, 60)
+    rows = [(i, f"{passage} {words(r, r.choice([1, 3, 40]))}" if i % 3 == 0 else words(r, 70)) for i in range(240)]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(components_by_hand(rows))

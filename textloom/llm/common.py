@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from textloom.plans.storage import shared_dir
 
 CHUNK_BYTES = 4 << 20
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_HELD: list[DataFrame] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -28,15 +30,38 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it again."""
+def materialise(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Cut the lineage: write df to the shared folder, in that many files if given, and read it again."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
+def files_for(rows: int, each: int = 2_000_000) -> int:
+    """How many files to deal a narrow table to whose rows are at most in proportion to these."""
+    return max(1, -(-rows // each))
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, persisted on the executors' disks as it is first computed: for tables read more than once within an operator. What a lost executor held is computed again."""
+    _HELD.append(out := df.persist(StorageLevel.DISK_ONLY))
+    return out
+
+
+def held_now() -> list[DataFrame]:
+    return list(_HELD)
+
+
+def drop_held(but: list[DataFrame]) -> None:
+    """Let go of all held tables but these."""
+    for table in _HELD:
+        if not any(table is x for x in but):
+            table.unpersist()
+    _HELD[:] = [x for x in _HELD if any(x is y for y in but)]
+
+
 def release(*tables: DataFrame) -> None:
     """Remove materialised tables that nothing will read again."""
     for table in tables:

@@ -18,13 +18,17 @@ Jaccard similarity is at least `percent` / 100, compared in integers.
 4. Pairs pass the length filter, the positional filter (shared prefix shingles plus all
    that can follow them must reach the needed overlap), and the suffix filter (what
    follows, dealt into 16 hash classes, can share the smaller count of each class at most).
-   A pair that is left is checked once on the whole sets.
+   A pair that is left is checked once on the whole sets: pairs of a turn are kept, and later turns leave them out.
 5. Every link lies within a component, so the links of each class are counted there: its
    classes are dealt by hash into blocks of bounded count and size, and each two blocks of a component
    are held against each other on whole sets, each pair of classes once. What is returned is counts, not pairs.
 
-Every posting list is a Spark group that spills; a list is only paired with itself across
-components. Defined results: null or empty text, or text of white space, has an empty set,
+What a token is told of its list (members, hub, components) is aggregated before the shuffle and joined to
+the list again, so that a token in a third of all prefixes is a skewed join, which Spark splits, and no window.
+Large tables that are read twice are persisted on the executors' disks, where a lost one is computed
+again; what a later turn starts from is written to the shared folder, in few files.
+
+A list is only paired with itself across components. Defined results: null or empty text, or text of white space, has an empty set,
 links with nothing and is its own component; rows with equal doc_id are classed by their
 texts, each row is returned; null doc_id takes part and is returned, but never names a component unless it
 has no other member; an empty table gives an empty result.
@@ -38,13 +42,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_strings, chunks, drop_written, materialise, ragged, release, text_of, written
+from .common import CHUNK_BYTES, byte_strings, chunks, drop_held, drop_written, files_for, held, held_now, materialise, ragged, text_of, written
 from .components import connected_components
 from .words import LOWER, WordHashes, shingle_set
 
 SKETCH_BITS = 21
 BLOCK = 1 << 16
 SUFFIX_CLASSES = 16
+BROADCAST_ROWS = 500_000  # of two numbers at most: some 30 MB as a hash table
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -151,13 +156,25 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """rows of one or two numbers, broadcast if they are counted to be few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _whole_sets(docs: DataFrame, classes: DataFrame, of: DataFrame, size: int) -> DataFrame:
-    """cls, shingles of the classes in `of`, each once, made from the texts again; sets of all documents are never kept."""
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(classes.select("cls", "rep").join(of, "cls")))
+    """cls, shingles of the classes in `of`, each once, made from the texts again; sets of all documents are never kept.
+
+    Only texts of these classes' documents reach Python where the ids are few enough to broadcast; else a bit for each id's hash sorts out the rest."""
+    ids = held(classes.select("cls", "rep").join(of, "cls").select("rep"))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
+    few = ids.count() <= BROADCAST_ROWS
+    if few:
+        rows = rows.join(F.broadcast(ids.select(F.xxhash64("rep").alias("key")).distinct()), "key", "left_semi")
+    marks = None if few else docs.sparkSession.sparkContext.broadcast(_marks(ids))
 
     def fetch(batches):
-        bits, seen = marks.value, set()
-        wanted = (b.filter(pa.array(bits[b.column("slot").to_numpy(zero_copy_only=False)])) for b in batches)
+        seen = set()
+        wanted = batches if marks is None else (b.filter(pa.array(marks.value[b.column("slot").to_numpy(zero_copy_only=False)])) for b in batches)
         for _, sets in _sets(wanted, size):
             keep = []
             for s in sets:
@@ -168,29 +185,42 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, of: DataFrame, size: int) -
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keep], pa.int64()), pa.array([x[1] for x in keep], pa.binary())], ["cls", "shingles"])
 
-    found = docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(fetch, "cls long, shingles binary")
+    found = rows.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(fetch, "cls long, shingles binary")
     return found.join(of, "cls", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy(F.lit(0)))).filter("nth = 1").drop("nth")
 
 
+def _could_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs that pass the suffix filter."""
+    light = classes.select("cls", "n", "prefix", "last_rank", "last", "after", "whole")
+    of_class = lambda k: light.select(*(F.col(c).alias(f"{c}_{k}") for c in light.columns))
+    rows = of_class("a").join(_small(pairs), F.col("a") == F.col("cls_a")).join(of_class("b"), F.col("b") == F.col("cls_b"))
+    first = F.expr("struct(last_rank_a, last_a) <= struct(last_rank_b, last_b)")
+    can = lambda x, y: F.least(F.expr(f"n_{x} - size(prefix_{x})"), F.expr(f"aggregate(zip_with(after_{x}, whole_{y}, (u, v) -> least(u, v)), 0, (s, u) -> s + u)"))
+    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    return rows.filter(shared + F.when(first, can("a", "b")).otherwise(can("b", "a")) >= F.expr(_need("n_a", "n_b", percent))).select("a", "b")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b: classes) that link, judged on whole sets, each pair once."""
-    pairs = materialise(pairs.select("a", "b"), "pairs")
-    of = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = materialise(_whole_sets(docs, classes, of, size), "sets")
+    """Those of pairs (a, b: classes) that link: the suffix filter, then whole sets, each pair once."""
+    pairs = held(_could_link(pairs, classes, percent))
+    of = held(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    sets = held(_whole_sets(docs, classes, of, size))
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("other")), "b")
 
     def check(batches):
         for batch in batches:
             keep = []
             for x, y in zip(byte_strings(batch.column("one")), byte_strings(batch.column("other")), strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                shared = len(x) + len(y) - len(np.unique(np.r_[x, y]))
-                keep.append((100 + percent) * shared >= percent * (len(x) + len(y)))
+                keep.append(_links(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = materialise(both.select("a", "b", "one", "other").mapInArrow(check, "a long, b long"), "links")
-    release(pairs, sets)
-    return links
+    return both.select("a", "b", "one", "other").mapInArrow(check, "a long, b long")
+
+
+def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """The exact check of two whole sets."""
+    shared = len(x) + len(y) - len(np.unique(np.r_[x, y]))
+    return (100 + percent) * shared >= percent * (len(x) + len(y))
 
 
 def _sizes_fit(one: str, other: str, percent: int):
@@ -208,24 +238,32 @@ def _place_fits(percent: int):
     return F.expr(f"least(n - pos, hub_n - hub_pos) >= {_need('n', 'hub_n', percent)}")
 
 
-def _star(lists: DataFrame, hub, percent: int) -> DataFrame:
-    """For each class the hub it meets most often in the posting lists, other components only."""
-    by = Window.partitionBy("token")
-    rows = lists.withColumn("hub", F.min(hub).over(by)).selectExpr("*", "hub.cls as hub_cls", "hub.pos as hub_pos", "hub.n as hub_n", "hub.comp as hub_comp")
-    met = rows.filter("hub_comp <> comp").filter(_sizes_fit("n", "hub_n", percent)).filter(_place_fits(percent)).groupBy("cls", "hub_cls").agg(F.count("*").alias("met"))
+def _lists(classes: DataFrame) -> DataFrame:
+    """The posting lists of more than one member: token, cls, n, pos, and own, hub: numbers by which the member with the least place is told."""
+    posted = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
+    posted = posted.withColumn("own", F.shiftleft(F.least("pos", F.lit((1 << 20) - 1)).cast("long"), 43) + F.shiftrightunsigned(F.xxhash64("cls"), 21))
+    of_token = posted.groupBy("token").agg(F.count("*").alias("members"), F.min("own").alias("hub")).filter("members > 1").drop("members")
+    return posted.join(of_token.hint("shuffle_hash"), "token")
+
+
+def _star(lists: DataFrame, percent: int) -> DataFrame:
+    """For each class the hub it meets most often in the posting lists."""
+    hubs = lists.filter("own = hub").select("token", F.col("cls").alias("hub_cls"), F.col("pos").alias("hub_pos"), F.col("n").alias("hub_n"))
+    rows = lists.join(hubs.hint("shuffle_hash"), "token").filter("hub_cls <> cls").filter(_sizes_fit("n", "hub_n", percent)).filter(_place_fits(percent))
+    met = rows.groupBy("cls", "hub_cls").agg(F.count("*").alias("met"))
     best = met.groupBy("cls").agg(F.max(F.struct("met", "hub_cls")).alias("best"))
     return best.select(F.least("cls", "best.hub_cls").alias("a"), F.greatest("cls", "best.hub_cls").alias("b")).distinct()
 
 
 def _open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """The posting lists with more than one component in them, with each member's component."""
-    named = lists.drop("comp").join(comps, lists["cls"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node")
-    by = Window.partitionBy("token")
-    return named.withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).filter("lo <> hi").drop("lo", "hi")
+    named = lists.join(_small(comps), lists["cls"] == comps["node"], "left").select("token", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
+    several = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    return named.join(several.hint("shuffle_hash"), "token", "left_semi")
 
 
-def _across(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Every pair of classes of different components that shares a prefix shingle and passes the filters.
+def _across(lists: DataFrame, percent: int) -> DataFrame:
+    """Every pair of classes of different components that shares a prefix shingle and passes the length and place filters.
 
     Components are paired first, by the most that any of their members in the list could share, then the members."""
     of = lists.groupBy("token", "comp").agg(F.max(F.col("n") - F.col("pos")).alias("room"), F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -236,13 +274,7 @@ def _across(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     right = lists.select("token", F.col("comp").alias("y"), F.col("cls").alias("b"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
     fits = F.expr(f"least(n - pos, room_y) >= {_need('n', 'lo_y', percent)}")
     met = left.join(two, ["token", "x"]).filter(fits).select("token", "y", "a", "n", "pos").join(right, ["token", "y"]).filter(_sizes_fit("n", "hub_n", percent)).filter(_place_fits(percent))
-    light = classes.select("cls", "n", "prefix", "last_rank", "last", "after", "whole")
-    of_class = lambda k: light.select(*(F.col(c).alias(f"{c}_{k}") for c in light.columns))
-    rows = met.select("a", "b").distinct().join(of_class("a"), F.col("a") == F.col("cls_a")).join(of_class("b"), F.col("b") == F.col("cls_b"))
-    first = F.expr("struct(last_rank_a, last_a) <= struct(last_rank_b, last_b)")
-    can = lambda x, y: F.least(F.expr(f"n_{x} - size(prefix_{x})"), F.expr(f"aggregate(zip_with(after_{x}, whole_{y}, (u, v) -> least(u, v)), 0, (s, u) -> s + u)"))
-    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
-    return rows.filter(shared + F.when(first, can("a", "b")).otherwise(can("b", "a")) >= F.expr(_need("n_a", "n_b", percent))).select("a", "b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 LINK_BLOCK, LINK_BYTES = 1024, 4 << 20
@@ -285,13 +317,13 @@ def _count_links(docs: DataFrame, classes: DataFrame, comps: DataFrame, size: in
     and LINK_BYTES; each pair of its blocks is one unit of work, and small components share one by hash."""
     sizes = comps.join(classes.select(F.col("cls").alias("node"), "n"), "node").groupBy("comp").agg(F.count("*").alias("members"), F.sum(8 * F.col("n")).alias("bytes"))
     blocks = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("members") / LINK_BLOCK), F.ceil(F.col("bytes") / LINK_BYTES)).cast("int"))
-    blocks = materialise(blocks, "blocks")
+    blocks = held(blocks)
     total = blocks.filter("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
     shares = max(1, total // LINK_BYTES)
     named = comps.join(blocks.select("comp", "blocks"), "comp").select(F.col("node").alias("cls"), "comp", "blocks")
-    named = materialise(named.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "members")
-    held = _whole_sets(docs, classes, named.select("cls"), size).join(named, "cls")
-    dealt = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = held(named.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
+    whole = _whole_sets(docs, classes, named.select("cls"), size).join(named, "cls")
+    dealt = whole.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     share = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(shares))).otherwise(F.col("comp"))
     units = dealt.select(share.alias("unit"), F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "with")).alias("lo"), F.greatest("block", "with").alias("hi"), "comp", "block", "cls", "shingles")
 
@@ -317,45 +349,37 @@ def _count_links(docs: DataFrame, classes: DataFrame, comps: DataFrame, size: in
             found[one] = linked.sum(1)
         return pa.table({"cls": pa.array(cls, pa.int64()), "links": pa.array(found, pa.int64())})
 
-    counts = units.groupBy("unit", "lo", "hi").applyInArrow(count, "cls long, links long").groupBy("cls").agg(F.sum("links").alias("class_links"))
-    out = materialise(counts, "counts")
-    release(blocks, named)
-    return out
+    return units.groupBy("unit", "lo", "hi").applyInArrow(count, "cls long, links long").groupBy("cls").agg(F.sum("links").alias("class_links"))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, stars: int = 2, count_links: bool = True) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """A row per document: doc_id, n_shingles, class_id, class_links (how many other classes its class links with; null if count_links is False), component_id (smallest doc_id of its component), text_hash (xxhash64 of the text), first_hash (text_hash of the first row of its component by doc_id, nulls last, then text_hash; null without words)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    survey = materialise(_survey(docs, size), "survey")
+    before, held_before = written(), held_now()
+    survey = held(_survey(docs, size))
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(survey))
     first = Window.partitionBy("cls").orderBy("rep")
-    classes = materialise(_prefixes(docs, sketch, size, percent).withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth"), "classes")
-    posted = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = posted.withColumn("members", F.count("*").over(Window.partitionBy("token"))).filter("members > 1").drop("members")
-    lists = materialise(shared.withColumn("comp", F.col("cls")), "lists")
-    links, comps = None, None
-    for turn in range(stars + 1):
-        if turn < stars:
-            hub = F.struct("pos", "cls", "n", "comp") if turn % 2 == 0 else F.struct("cls", "pos", "n", "comp")
-            pairs = _star(lists, hub, percent)
-        else:
-            pairs = _across(lists, classes, percent)
-        found = _verified(docs, classes, pairs, size, percent)
-        links = found if links is None else materialise(links.union(found), "links")
-        comps = connected_components(links)
-        closed = lists
-        if turn < stars:
-            lists = materialise(_open_lists(lists, comps), "lists")
-        release(closed)
+    classes = held(_prefixes(docs, sketch, size, percent).withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth"))
+    lists = held(_lists(classes))
+    few = files_for(classes.count())
+    star = materialise(_star(lists, percent), "pairs", few)
+    edges, comps = connected_components(_verified(docs, classes, star, size, percent), few)
+    left = held(_open_lists(lists, comps))
+    across = materialise(_across(left, percent).join(star, ["a", "b"], "left_anti"), "pairs", few)
+    if not across.isEmpty():
+        _, comps = connected_components(_verified(docs, classes, across, size, percent), few, edges)
     count = _count_links(docs, classes, comps, size, percent) if count_links else None
-    release(classes)
     members = survey.filter("block is null").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "cls")
     per_class = members.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least"))
-    named = per_class.join(comps, per_class["cls"] == comps["node"], "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
-    smallest = named.groupBy("comp").agg(F.min("least").alias("first"))
-    by_class = named.join(smallest, "comp").select("cls", F.col("first.doc_id").alias("component"), F.col("first.text_hash").alias("first_hash"))
+    linked = held(per_class.join(_small(comps), per_class["cls"] == comps["node"]).select("cls", "comp", "least"))
+    firsts = materialise(linked.groupBy("comp").agg(F.min("least").alias("first")), "firsts", few)
+    of_linked = linked.join(firsts, "comp").select("cls", "first")
+    by_class = per_class.join(of_linked, "cls", "left").select("cls", F.coalesce("first", "least").alias("first")).select("cls", F.col("first.doc_id").alias("component"), F.col("first.text_hash").alias("first_hash"))
     if count_links:
         by_class = by_class.join(count, "cls", "left")
+    by_class = materialise(by_class, "named", few)
+    drop_written(docs.sparkSession, written() - before - {by_class._written_to})
+    drop_held([*held_before, survey])
     every = F.coalesce("class_links", F.lit(0).cast("long")) if count_links else F.lit(None).cast("long")
     return members.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class_id"), every.alias("class_links"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "text_hash", "first_hash")
 
@@ -365,12 +389,14 @@ def keep_one_of_each(docs: DataFrame, broadcast_rows: int = 400_000, **options)
 
     Rows are told by doc_id and text; of rows equal in both one stays. A text without words is its own component.
     What is known of rows that go or repeat is broadcast if it has at most broadcast_rows rows, some 40 MB, and joined by a shuffle beyond that."""
-    before = written()
-    found = materialise(jaccard_join(docs.select("doc_id", "text"), count_links=False, **options).select("doc_id", "text_hash", "component_id", "first_hash"), "components")
+    before, held_before = written(), held_now()
+    found = jaccard_join(docs.select("doc_id", "text"), count_links=False, **options).select("doc_id", "text_hash", "component_id", "first_hash")
     goes = F.col("first_hash").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
     fate = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"), F.max(goes).alias("goes")).filter("goes or copies > 1")
-    fate = materialise(fate.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash"), F.coalesce("goes", F.lit(False)).alias("__goes")), "fate")
+    fate = fate.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash"), F.coalesce("goes", F.lit(False)).alias("__goes"))
+    fate = materialise(fate, "fate", files_for(docs.count()))
     drop_written(docs.sparkSession, written() - before - {fate._written_to})
+    drop_held(held_before)
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
     sent = F.broadcast if fate.count() <= broadcast_rows else lambda rows: rows
     kept = docs.join(sent(fate), same, "left_anti")
