@@ -73,12 +73,33 @@ def test_exports(spark, tmp_path):
     assert read[0]["title"] == 'Malaria, "so"'
     assert json.loads(read[0]["severity_levels"]) == line["data"]["severity_levels"]
     assert json.loads(whole(f"{tmp_path}/json", "txt")) == [line["data"]]
+    with pytest.raises(ValueError):
+        sinks.export(rows, str(tmp_path / "json"), "json", mode="append")
     sinks.export(rows, str(tmp_path / "jsonl"), "jsonl", mode="append")
     assert len(whole(f"{tmp_path}/jsonl", "txt").splitlines()) == 2
     with pytest.raises(ValueError):
         sinks.export(rows, str(tmp_path / "x"), "xml")
 
 
+def test_a_json_array_in_record_order(spark, tmp_path):
+    """In the given order over many parts, rows that repeat as often as they do; also of nothing."""
+    some = [("who.int", f"https://who.int/malaria/{i}") for i in range(40)]
+    table = spark.createDataFrame([(i, t, u, [FULL]) for i, (t, u) in enumerate(reversed(some))] + [(5, *some[34], [FULL])] * 2, "place int, title string, source_url string, blocks array<string>")
+    rows = records.build_records(table.repartition(7)).filter("reject_reason is null")
+    folder = str(tmp_path / "json")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sinks.export(rows, folder, "json", order=["place"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(f"{folder}/part-*")) > 1
+    sinks.one_file(spark, folder, str(tmp_path / "all.json"))
+    got = json.loads((tmp_path / "all.json").read_text())
+    places = sorted([r.place for r in rows.collect()])
+    assert len(got) == len(places) == 42
+    assert [x["source_url"] for x in got] == [some[39 - p][1] for p in places]
+    sinks.export(rows.filter("false"), folder, "json", order=["place"])
+    assert json.loads(whole(folder, "txt")) == []
+
+
 class Site(http.server.BaseHTTPRequestHandler):
     tries: dict = {}
 
@@ -143,3 +164,58 @@ def test_manifests(spark, tmp_path):
     assert view["a"].download_json_url is None
     over = {r.job_id: r for r in jobs.finished(jobs.read_manifests(spark, str(tmp_path))).collect()}
     assert (over["own"].queue_items, len(over["a"].in_progress_urls)) == ([], 1)
+
+
+def test_a_cancelled_stream_starts_anew(spark, tmp_path):
+    where = str(tmp_path)
+    spark.createDataFrame([(1, "https://who.int/malaria", f"<title>Malaria</title><p>{FULL}</p>")], incremental.PAGES).write.parquet(f"{where}/in")
+    for n in (1, 2):
+        q = incremental.start_export(incremental.read_pages(spark, f"{where}/in"), f"{where}/out{n}", f"{where}/state")
+        q.awaitTermination()
+        incremental.cancel(q, spark, f"{where}/state")
+        assert not glob.glob(f"{where}/state/*")
+        assert spark.read.text(f"{where}/out{n}").count() == 1
+
+
+def test_a_stream_reads_pages_as_a_crawl_does(spark, tmp_path):
+    """Roots, removed classes and hidden parts count in a stream as in a crawl, and a page that is no page ends neither."""
+    from textloom.operators import crawl
+
+    body = f"<title>Malaria</title><div class='menu'><p>Menu {FULL}</p></div><main><li>{FULL} One.</li></main><p aria-hidden='true'>{FULL} Two.</p><p>{FULL} Three.</p>"
+    table = spark.createDataFrame([(1, "https://who.int/malaria", body), (2, "https://who.int/malaria/b", "<![foo[ x ]]>")], incremental.PAGES)
+    table.write.parquet(f"{tmp_path}/in")
+    incremental.start_export(incremental.read_pages(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    streamed = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out").collect()]
+    assert [r["raw_blocks"] for r in streamed] == [[f"{FULL} One."]]
+    done = crawl.run_crawl(spark, table.select("url", "html"), crawl.CrawlConfig(("https://who.int/malaria",), max_depth=0))
+    assert done.records.select(sinks.json_line().alias("v")).first().v == json.dumps(streamed[0], ensure_ascii=False, separators=(",", ":"))
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    from textloom.plans import storage
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        @property
+        def _jsc(self):
+            return self
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return False
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session())

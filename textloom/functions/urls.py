@@ -62,7 +62,8 @@ def relevant(url: Column, lexicon: Lexicon = DEFAULT) -> Column:
     both = F.concat(where, F.lit(" "), asked)
     segments = F.array(*(F.lit(s) for s in lexicon.url_segments))
     plain = F.replace(asked, F.lit("+"), F.lit(" "))
-    tokens = F.transform(F.split(plain, "[&=]", -1), lambda x: F.coalesce(F.try_url_decode(x), x))
+    pairs = F.transform(F.split(plain, "&", -1), lambda x: F.split(x, "=", 2))
+    tokens = F.transform(F.flatten(pairs), lambda x: F.coalesce(F.try_url_decode(x), x))
     out = F.arrays_overlap(F.split(where, "/", -1), segments) | F.arrays_overlap(tokens, segments) | any_of(both, lexicon.url_substrings)
     return (F.btrim(both, F.lit(" /")) == "") | ~out
 

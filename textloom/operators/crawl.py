@@ -39,6 +39,13 @@ class CrawlConfig:
         if not 1 <= self.max_pages <= 25_000 or not 0 <= self.max_depth <= 8 or self.concurrency < 1:
             raise ValueError("max_pages is 1 to 25000, max_depth 0 to 8, concurrency 1 or more")
 
+    @classmethod
+    def requested(cls, start_urls: tuple[str, ...], concurrency: int = 2, **more) -> CrawlConfig:
+        """A configuration as a caller may ask for it: 1 to 6 workers."""
+        if not 1 <= concurrency <= 6:
+            raise ValueError("concurrency is 1 to 6")
+        return cls(start_urls, concurrency=concurrency, **more)
+
     @property
     def total_pages(self) -> int:
         return self.max_pages * len(self.start_urls)
@@ -107,7 +114,7 @@ class Crawl:
 
 
 def run_crawl(spark: SparkSession, pages: DataFrame, config: CrawlConfig, sitemap_urls: DataFrame | None = None) -> Crawl:
-    """Crawl a table of pages (url, html). Pages are parsed once; a URL without a page is a failed fetch.
+    """Crawl a table of pages (url, html). Pages are parsed once; a URL without a page, or with one that the parser rejects, is a failed fetch.
 
     sitemap_urls: url, root_host, seq, entering at depth 0 after the seeds."""
     known = first_of_each(pages.withColumn("url", urls.normalize(F.col("url"))).filter("url is not null"), ["url"], ["html"])
@@ -120,8 +127,8 @@ def run_crawl(spark: SparkSession, pages: DataFrame, config: CrawlConfig, sitema
         start = start.unionByName(more)
     visited = frontier(spark, links, start, config)
     fetched = visited.join(parsed.drop("hrefs"), "url", "left").withColumn("source_url", F.col("url"))
-    failed = fetched.filter("blocks is null").select("url", "platform_id", F.concat("url", F.lit(": no page")).alias("error"))
-    records = materialise(build_records(fetched.filter("blocks is not null"), config.lexicon), "records")
+    failed = fetched.filter("blocks is null").select("url", "platform_id", F.concat("url", F.lit(": "), F.coalesce("error", F.lit("no page"))).alias("error"))
+    records = materialise(build_records(fetched.filter("blocks is not null").drop("error"), config.lexicon), "records")
     return Crawl(visited, records, progress(visited, records, failed), failed)
 
 

@@ -2,7 +2,7 @@
 
 Two forms. `parse_pages` builds on the standard library's parser, on Arrow batches, and honours nesting,
 removed tags and classes, and content roots; a new p or li ends an open one, and void or unclosed
-tags do no harm. The `*_native` columns do the plain cases by regular expressions without
+tags do no harm. It serves crawls and streams alike; a page that it rejects is a row with an error. The `*_native` columns do the plain cases by regular expressions without
 Python, and are what the SQL checks are held against.
 """
 
@@ -27,21 +27,31 @@ def spaced(text: str) -> str:
     return " ".join(text.replace("​", "").split())
 
 
+_CLOSES_NONE = ("ul", "ol", "article", "main", "section", "div", "body", "table")
+
+
 class PageParser(HTMLParser):
-    """Collects title, heading, blocks inside content roots and outside, and links."""
+    """Collects title, heading, blocks in document order, inside content roots and outside, and links.
+
+    What is open is counted by tag, so a page costs time in proportion to its length however many tags it leaves open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool]] = []  # tag, starts a removed part, starts a root
+        self.places: dict[str, list[int]] = {}  # where each tag stands in the stack
         self.removed = self.roots = 0
         self.title: list[str] = []
         self.headings: list[list[str]] = []
-        self.open_blocks: list[tuple[str, bool, list[str]]] = []
-        self.inside: list[str] = []
-        self.anywhere: list[str] = []
+        self.said: list[str] = []  # all text that is not removed; a block is a stretch of it
+        self.open_blocks: list[int] = []
+        self.blocks: list[tuple[bool, int, int]] = []  # inside a root, stretch
         self.links: list[str] = []
         self.rooted = False
 
+    def parse_marked_section(self, i, report=1):
+        """A section of unknown kind is a comment, as browsers take it."""
+        return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         given = {k: v or "" for k, v in attrs}
         if tag == "a" and "href" in given:
@@ -53,6 +63,7 @@ class PageParser(HTMLParser):
         root = not gone and not self.removed and (tag in ("article", "main") or given.get("role") == "main" or any(c in _ROOT_CLASSES for c in classes))
         if tag in ("p", "li"):
             self._close(tag)
+        self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, gone, root))
         self.removed += gone
         self.roots += root
@@ -62,52 +73,52 @@ class PageParser(HTMLParser):
         if tag == "h1":
             self.headings.append([])
         if tag in ("p", "li"):
-            self.open_blocks.append((tag, self.roots > 0, []))
+            self.open_blocks.append(len(self.blocks))
+            self.blocks.append((self.roots > 0, len(self.said), -1))
+
+    def _last(self, tag):
+        return self.places[tag][-1] if self.places.get(tag) else -1
 
     def _close(self, tag):
         """End an open p (or li) before a sibling of its kind; a list inside an item keeps the item open."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
-            if name == tag:
-                self._pop(i)
-                return
-            if name in ("ul", "ol", "article", "main", "section", "div", "body", "table"):
-                return
+        at = self._last(tag)
+        if at > max(map(self._last, _CLOSES_NONE)):
+            self._pop(at)
 
     def _pop(self, at):
         for tag, gone, root in reversed(self.stack[at:]):
+            self.places[tag].pop()
             if tag in ("p", "li") and not self.removed and self.open_blocks:
-                _, inside, parts = self.open_blocks.pop()
-                text = spaced(" ".join(parts))
-                if len(text) >= MIN_BLOCK:
-                    self.anywhere.append(text)
-                    if inside:
-                        self.inside.append(text)
+                k = self.open_blocks.pop()
+                inside, start, _ = self.blocks[k]
+                self.blocks[k] = (inside, start, len(self.said))
             self.removed -= gone
             self.roots -= root
         del self.stack[at:]
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop(i)
-                return
+        if (at := self._last(tag)) >= 0:
+            self._pop(at)
 
     def handle_data(self, data):
         if self.removed or not self.stack and not data.strip():
             return
-        tags = [t for t, _, _ in self.stack]
-        if "title" in tags:
+        if self.places.get("title"):
             self.title.append(data)
-        if "h1" in tags and self.headings:
+        if self.places.get("h1") and self.headings:
             self.headings[-1].append(data.strip())
-        for _, _, parts in self.open_blocks:
-            parts.append(data.strip())
+        if self.open_blocks:
+            self.said.append(data.strip())
 
     def close(self):
         super().close()
         self._pop(0)
 
+    def texts(self):
+        """The blocks of the content roots, of the whole page where it has none, in the order in which they begin."""
+        every = (spaced(" ".join(self.said[a:b])) for inside, a, b in self.blocks if inside or not self.rooted)
+        return [x for x in every if len(x) >= MIN_BLOCK]
+
 
 def parse_page(html: str | None) -> tuple[str, list[str], list[str]]:
     """Title, blocks and hrefs. A heading names the page even if empty of text: then the default."""
@@ -115,20 +126,40 @@ def parse_page(html: str | None) -> tuple[str, list[str], list[str]]:
     parser.feed(html or "")
     parser.close()
     name = spaced(" ".join(parser.headings[0])) if parser.headings else spaced("".join(parser.title))
-    return name or UNTITLED_PAGE, parser.inside if parser.rooted else parser.anywhere, parser.links
+    return name or UNTITLED_PAGE, parser.texts(), parser.links
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, title, blocks, hrefs of each page."""
+def parsed_or_error(html: str | None) -> tuple[str | None, list[str] | None, list[str] | None, str | None]:
+    """parse_page, and why there is no result: one page that the parser rejects must not end a job."""
+    try:
+        return *parse_page(html), None
+    except Exception as e:  # whatever the parser raises is this page's error
+        return None, None, None, f"{type(e).__name__}: {e}"[:200]
+
+
+PARSED = "title string, blocks array<string>, hrefs array<string>, error string"
+
+
+def with_parsed(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with title, blocks, hrefs and error in place of the HTML; works on streams as well. A null page is empty."""
+    kept = [f for f in pages.schema.fields if f.name != html]
+    names = [*(f.name for f in kept), "title", "blocks", "hrefs", "error"]
+    at = pages.columns.index(html)
 
     def run(batches):
+        kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
         for batch in batches:
-            found = [parse_page(x) for x in batch.column(1).to_pylist()]
-            kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))], [key, "title", "blocks", "hrefs"])
+            found = [parsed_or_error(x) for x in batch.column(at).to_pylist()]
+            own = [c for i, c in enumerate(batch.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))], names)
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, title string, blocks array<string>, hrefs array<string>")
+    given = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return pages.mapInArrow(run, given + PARSED)
+
+
+def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, title, blocks, hrefs, error of each page."""
+    return with_parsed(pages.select(key, html), html)
 
 
 def _bare(html: Column) -> Column:

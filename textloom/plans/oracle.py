@@ -91,7 +91,8 @@ def relevant(u: str) -> str:
     where, asked = fold(path(u)), fold(f"substring({part(u, 4)}, 2)")
     both = f"({where} || ' ' || {asked})"
     segments = "[" + ", ".join(map(quoted, LEX.url_segments)) + "]"
-    tokens = f"list_transform(regexp_split_to_array(replace({asked}, '+', ' '), '[&=]'), lambda x: url_decode(x))"
+    pairs = f"string_split(replace({asked}, '+', ' '), '&')"
+    tokens = f"flatten(list_transform({pairs}, lambda x: list_transform(CASE WHEN contains(x, '=') THEN [x[:instr(x, '=') - 1], x[instr(x, '=') + 1:]] ELSE [x] END, lambda y: url_decode(y))))"
     return f"(trim({both}, ' /') = '' OR NOT (list_has_any(string_split({where}, '/'), {segments}) OR list_has_any({tokens}, {segments}) OR {any_of(both, LEX.url_substrings)}))"
 
 

@@ -2,26 +2,72 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests on one machine)."""
+    """spark.checkpoint.dir. Where that is unset, a temporary folder if all runs on this machine in one process, else an error:
+    what an executor wrote to its own disk no other would find."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named:
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not given:
         there = context._jsc.sc().getCheckpointDir()
-        named = there.get() if there.isDefined() else None
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
+        given = there.get() if there.isDefined() else None
+    if not given:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        given = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        context.setCheckpointDir(given)
+    return given.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder, removed when the process ends if not before."""
+    path = f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def materialise(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Cut the lineage: write df to the shared folder, in that many files if given, and read it again."""
+    path = new_path(df.sparkSession, label)
+    (df.repartition(files) if files else df).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing will read again."""
+    for table in tables:
+        drop_written(table.sparkSession, {table._written_to})
+
+
+def written() -> set[str]:
+    return {path for _, path in _WRITTEN}
+
+
+def drop_written(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths:
+        remove(spark, path)
+    _WRITTEN[:] = [x for x in _WRITTEN if x[1] not in paths]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/textloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@atexit.register
+def _remove_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            remove(spark, path)
+        except Exception:  # the session has ended; the cluster clears its checkpoint folder
+            return

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.plans import lexicon as lx
@@ -26,15 +28,49 @@ def csv_rows(records: DataFrame) -> DataFrame:
     return records.select(*(value(f).alias(f) for f in lx.EXPORT_FIELDS), "language", F.col("score").alias("quality_score"), F.array_join("accepted", "\n\n").alias("raw_text"))
 
 
-def export(records: DataFrame, path: str, kind: str, mode: str = "overwrite") -> None:
-    """jsonl and csv are written in parts by all tasks; json is one array in one file, for sets that fit a task."""
+def json_parts(records: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """The pieces of one JSON array of the records' data, indented, in the order of these columns, ties by the data itself.
+
+    Sorted by ranges, so no task holds more than its share; the parts in order of their names are the array. A comma begins the line of each record but the first."""
+    given = [F.col(c) for c in order]
+    keys = [f"k{i}" for i in range(len(given))]
+    rows = records.select(*(c.alias(k) for c, k in zip(given, keys, strict=True)), F.to_json("data", {"ignoreNullFields": "false", "pretty": "true"}).alias("line"))
+    rows = rows.groupBy(*keys, "line").agg(F.count("*").alias("n"))
+    first = rows.agg(F.min(F.struct(*keys, "line")).alias("first"))
+    body = F.concat(F.when(F.struct(*keys, "line") == F.col("first"), "").otherwise(","), F.array_join(F.array_repeat("line", F.col("n").cast("int")), "\n,"))
+    pieces = rows.crossJoin(F.broadcast(first)).select(F.lit(1).alias("part"), *keys, "line", body.alias("value"))
+    edge = lambda part, text: first.select(F.lit(part).alias("part"), *(F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys), F.lit("").alias("line"), F.lit(text).alias("value"))
+    return edge(0, "[").unionByName(pieces).unionByName(edge(2, "]")).orderBy("part", *keys, "line").select("value")
+
+
+def one_file(spark: SparkSession, folder: str, path: str) -> None:
+    """The parts of a folder one after the other as one file, as a stream: for a download, not for data that tasks read."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    source, target = hadoop.Path(folder), hadoop.Path(path)
+    files = source.getFileSystem(conf)
+    parts = sorted(x.getPath().toString() for x in files.listStatus(source) if x.getPath().getName().startswith("part-"))
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        for part in parts:
+            read = files.open(hadoop.Path(part))
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, 1 << 16, False)
+            finally:
+                read.close()
+    finally:
+        out.close()
+
+
+def export(records: DataFrame, path: str, kind: str, mode: str = "overwrite", order: Sequence[str] = ()) -> None:
+    """Written in parts by all tasks. The parts of json are one array, in the order of the given columns; see one_file."""
     if kind == "jsonl":
         records.select(json_line().alias("value")).write.mode(mode).text(path)
     elif kind == "csv":
         csv_rows(records).write.mode(mode).options(**CSV_OPTIONS).csv(path)
     elif kind == "json":
-        lines = records.select(F.to_json("data", {"ignoreNullFields": "false"}).alias("line"))
-        lines.agg(F.concat(F.lit("[\n"), F.array_join(F.array_sort(F.collect_list("line")), ",\n"), F.lit("\n]")).alias("value")).coalesce(1).write.mode(mode).text(path)
+        if mode == "append":
+            raise ValueError("an array cannot be appended to; export jsonl")
+        json_parts(records, order).write.mode(mode).text(path)
     else:
         raise ValueError(f"no export of kind {kind}; there are json, jsonl and csv")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.functions import urls
-from textloom.operators.html import blocks_native, title_native
+from textloom.operators.html import with_parsed
 from textloom.operators.records import build_records
 from textloom.plans.lexicon import DEFAULT, Lexicon
 from textloom.sources.sinks import json_line
@@ -20,9 +20,9 @@ PAGES = "page_id long, url string, html string"
 
 
 def page_records(pages: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Stateless, so it is the same on a stream and on a table."""
-    rows = pages.select("page_id", urls.normalize(F.col("url")).alias("source_url"), title_native(F.col("html")).alias("title"), blocks_native(F.col("html")).alias("blocks"))
-    return build_records(rows, lexicon)
+    """Stateless, and by the crawl's own parser, so it is the same on a stream, on a table and in a crawl. Pages that the parser rejects have no record."""
+    rows = with_parsed(pages.select("page_id", urls.normalize(F.col("url")).alias("source_url"), "html"))
+    return build_records(rows.filter("error is null").drop("hrefs", "error"), lexicon)
 
 
 def read_pages(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -45,6 +45,13 @@ def pause(query: StreamingQuery) -> None:
     query.stop()
 
 
+def cancel(query: StreamingQuery, spark: SparkSession, checkpoint: str) -> None:
+    """Stop, and discard the state: a stream begun again with this checkpoint starts anew. What was exported stays."""
+    query.stop()
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def progress(query: StreamingQuery) -> dict:
     last = query.lastProgress
     return {"active": query.isActive, "rows": last.numInputRows if last else 0, "batch": last.batchId if last else -1}
