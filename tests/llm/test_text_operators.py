@@ -127,14 +127,40 @@ def test_line_dedup_small_hosts(spark):
 
 
 def test_line_dedup_odd(spark):
-    cut = linededup.site_line_dedup(odd(spark), max_ratio=0.3, min_pages=2, min_line_pages=2)
-    assert cut.count() == len(odd_rows())
-    assert cut.columns[:-2] == odd(spark).columns
+    """Nulls, repeated rows and empty texts by value: null hosts are one host, null texts stay null, repeated rows count each."""
+    for limit in (1 << 24, 0):
+        cut = linededup.site_line_dedup(odd(spark), max_ratio=0.3, min_pages=2, min_line_pages=2, broadcast_bytes=limit)
+        assert cut.columns[:-2] == odd(spark).columns
+        hosts = {None: "none", "a": "a", "http://Host.example:80/x": "host.example"}
+        expected = boilerplate_by_hand([(hosts[r[3]], r[1]) for r in odd_rows()], 0.3, 2, 2)
+        before = [0 if r[1] is None else r[1].count("\n") + 1 for r in odd_rows()]
+        after = [0 if t is None else t.count("\n") + 1 for t in expected]
+        got = Counter((r.doc_id, r.text, r.lines_total) for r in cut.collect())
+        assert got == Counter((r[0], t, n) for r, t, n in zip(odd_rows(), expected, before, strict=True))
+        assert sum(r.lines_dropped for r in cut.collect()) >= sum(before) - sum(after)
     assert linededup.cut_documents(odd(spark)).schema == odd(spark).schema
     assert linededup.cut_documents(none(spark)).count() == 0
     table = odd(spark)
-    hosts = table.select(linededup.host_of(table["source"]).alias("h")).distinct().collect()
-    assert {r.h for r in hosts} == {linededup.NO_HOST, "a", "host.example"}
+    found = table.select(linededup.host_of(table["source"]).alias("h")).distinct().collect()
+    assert {r.h for r in found} == {linededup.NO_HOST, "a", "host.example"}
+
+
+def test_clashing_names(spark):
+    """Columns named like those that operators use or add."""
+    from pyspark.sql import functions as F
+
+    names = ["lines_total", "lines_dropped", "__key", "__lines", "__host", "__of", "__cut", "__salt", "__text", "__doc_id", "__hash", "__goes", "comp", "token", "grp", "odd `name.x"]
+    table = odd(spark).withColumns({n: F.lit(str(i)) for i, n in enumerate(names)})
+    for limit in (1 << 24, 0):
+        cut = linededup.site_line_dedup(table, broadcast_bytes=limit)
+        assert cut.columns == [c for c in table.columns if c not in ("lines_total", "lines_dropped")] + ["lines_total", "lines_dropped"]
+        assert cut.count() == len(odd_rows())
+        assert Counter(r.doc_id for r in jaccard.keep_one_of_each(table, broadcast_rows=limit).collect()) == Counter(r.doc_id for r in jaccard.keep_one_of_each(odd(spark)).collect())
+    kept = linededup.cut_documents(table)
+    assert kept.schema == table.schema
+    assert {tuple(r)[-len(names) :] for r in kept.collect()} == {tuple(map(str, range(len(names))))}
+    for stage in (quality.clean_documents, pii.redact, jaccard.keep_one_of_each):
+        assert stage(table).schema == table.schema
 
 
 def components_by_hand(rows):
@@ -517,7 +543,7 @@ def test_jaccard_judges_a_pair_once(spark, monkeypatch):
     rows = []
     for i in range(150):
         own = list(base)
-        for k in r.sample(range(145), r.randint(0, 6)):
+        for k in r.sample(range(145), r.randint(0, 14)):
             own[k] = f"w{i}x{k}"
         rows.append((i, " ".join(own)))
     jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).count()

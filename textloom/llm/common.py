@@ -6,39 +6,23 @@ memory follows the chunk and not the partition.
 
 from __future__ import annotations
 
-import atexit
-import uuid
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.plans.storage import shared_dir
+from textloom.plans.storage import drop_written, materialise, new_path, release, remove, written  # noqa: F401
 
 CHUNK_BYTES = 4 << 20
-_WRITTEN: list[tuple[SparkSession, str]] = []
 _HELD: list[DataFrame] = []
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
-    """Cut the lineage: write df to the shared folder, in that many files if given, and read it again."""
-    path = new_path(df.sparkSession, label)
-    (df.repartition(files) if files else df).write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
 def files_for(rows: int, each: int = 2_000_000) -> int:
     """How many files to deal a narrow table to whose rows are at most in proportion to these."""
     return max(1, -(-rows // each))
@@ -62,34 +46,20 @@ def drop_held(but: list[DataFrame]) -> None:
     _HELD[:] = [x for x in _HELD if any(x is y for y in but)]
 
 
-def release(*tables: DataFrame) -> None:
-    """Remove materialised tables that nothing will read again."""
-    for table in tables:
-        drop_written(table.sparkSession, {table._written_to})
-
+def named(column: str) -> Column:
+    """The column of this very name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
-def written() -> set[str]:
-    return {path for _, path in _WRITTEN}
 
-
-def drop_written(spark: SparkSession, paths: set[str]) -> None:
-    for path in paths:
-        remove(spark, path)
-    _WRITTEN[:] = [x for x in _WRITTEN if x[1] not in paths]
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended; the cluster clears its checkpoint folder
-            return
+def private(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores before it as it takes to be none of df's (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def text_of(name: str = "text") -> Column:
@@ -116,7 +86,12 @@ def map_chunks(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Recor
             for part in chunks(batch, column, limit):
                 yield work(part)
 
-    return df.mapInArrow(run, schema)
+    if isinstance(schema, str):
+        return df.mapInArrow(run, schema)
+    # columns that are kept may have names that mapInArrow does not take
+    plain = [c if re.fullmatch(r"\w+", c) else f"column {i}" for i, c in enumerate(df.columns)]
+    fields = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in zip(plain, schema.fields, strict=True)])
+    return df.toDF(*plain).mapInArrow(run, fields).toDF(*df.columns)
 
 
 def with_text(batch: pa.RecordBatch, text: pa.Array) -> pa.RecordBatch:

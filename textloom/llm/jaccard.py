@@ -25,8 +25,8 @@ Jaccard similarity is at least `percent` / 100, compared in integers.
 
 What a token is told of its list (members, hub, components) is aggregated before the shuffle and joined to
 the list again, so that a token in a third of all prefixes is a skewed join, which Spark splits, and no window.
-Large tables that are read twice are persisted on the executors' disks, where a lost one is computed
-again; what a later turn starts from is written to the shared folder, in few files.
+What a later turn starts from is written to the shared folder, small tables in few files; a table that only the same turn
+reads twice is persisted on the executors' disks, where a lost part is computed again.
 
 A list is only paired with itself across components. Defined results: null or empty text, or text of white space, has an empty set,
 links with nothing and is its own component; rows with equal doc_id are classed by their
@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_strings, chunks, drop_held, drop_written, files_for, held, held_now, materialise, ragged, text_of, written
+from .common import CHUNK_BYTES, byte_strings, chunks, drop_held, drop_written, files_for, held, held_now, materialise, named, private, ragged, release, text_of, written
 from .components import connected_components
 from .words import LOWER, WordHashes, shingle_set
 
@@ -88,7 +88,7 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
         for block in range(len(counts) // BLOCK):
             own = counts[block * BLOCK : (block + 1) * BLOCK]
             if own.any():
-                small = np.minimum(own, 65535).astype("<u2")
+                small = np.minimum(own, 65535).astype("<u1" if own.max() < 256 else "<u2")
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, None, None, block, small.tobytes()], kinds, strict=True)], names)
 
     return docs.mapInArrow(run, "doc_id long, text_hash long, n long, cls long, block int, counts binary")
@@ -101,7 +101,7 @@ def _sketch(survey: DataFrame) -> np.ndarray:
         total = np.zeros(BLOCK, np.uint64)
         for chunk in table["counts"].chunks:
             for x in chunk:
-                total += np.frombuffer(x.as_buffer(), "<u2")
+                total += np.frombuffer(x.as_buffer(), "<u1" if len(x.as_buffer()) == BLOCK else "<u2")
         step = np.rint(64 * np.log2(1.0 + total)).astype("<u2")
         return pa.table({"block": table["block"][:1], "steps": pa.array([step.tobytes()], pa.binary())})
 
@@ -204,7 +204,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     """Those of pairs (a, b: classes) that link: the suffix filter, then whole sets, each pair once."""
     pairs = held(_could_link(pairs, classes, percent))
     of = held(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    sets = held(_whole_sets(docs, classes, of, size))
+    total = classes.join(of, "cls").agg(F.sum("n")).first()[0] or 0
+    sets = materialise(_whole_sets(docs, classes, of, size), "sets", files_for(total, 8_000_000))
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("other")), "b")
 
     def check(batches):
@@ -241,9 +242,9 @@ def _place_fits(percent: int):
 def _lists(classes: DataFrame) -> DataFrame:
     """The posting lists of more than one member: token, cls, n, pos, and own, hub: numbers by which the member with the least place is told."""
     posted = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    posted = posted.withColumn("own", F.shiftleft(F.least("pos", F.lit((1 << 20) - 1)).cast("long"), 43) + F.shiftrightunsigned(F.xxhash64("cls"), 21))
-    of_token = posted.groupBy("token").agg(F.count("*").alias("members"), F.min("own").alias("hub")).filter("members > 1").drop("members")
-    return posted.join(of_token.hint("shuffle_hash"), "token")
+    own = F.shiftleft(F.least("pos", F.lit((1 << 20) - 1)).cast("long"), 43) + F.shiftrightunsigned(F.xxhash64("cls"), 21)
+    of_token = posted.groupBy("token").agg(F.count("*").alias("members"), F.min(own).alias("hub")).filter("members > 1").drop("members")
+    return posted.join(of_token.hint("shuffle_hash"), "token").withColumn("own", own)
 
 
 def _star(lists: DataFrame, percent: int) -> DataFrame:
@@ -359,13 +360,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     survey = held(_survey(docs, size))
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(survey))
     first = Window.partitionBy("cls").orderBy("rep")
-    classes = held(_prefixes(docs, sketch, size, percent).withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth"))
-    lists = held(_lists(classes))
+    classes = materialise(_prefixes(docs, sketch, size, percent).withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth"), "classes")
+    lists = materialise(_lists(classes), "lists")
     few = files_for(classes.count())
     star = materialise(_star(lists, percent), "pairs", few)
     edges, comps = connected_components(_verified(docs, classes, star, size, percent), few)
+    drop_held([*held_before, survey])
     left = held(_open_lists(lists, comps))
     across = materialise(_across(left, percent).join(star, ["a", "b"], "left_anti"), "pairs", few)
+    drop_held([*held_before, survey])
+    release(lists)
     if not across.isEmpty():
         _, comps = connected_components(_verified(docs, classes, across, size, percent), few, edges)
     count = _count_links(docs, classes, comps, size, percent) if count_links else None
@@ -390,17 +394,18 @@ def keep_one_of_each(docs: DataFrame, broadcast_rows: int = 400_000, **options)
     Rows are told by doc_id and text; of rows equal in both one stays. A text without words is its own component.
     What is known of rows that go or repeat is broadcast if it has at most broadcast_rows rows, some 40 MB, and joined by a shuffle beyond that."""
     before, held_before = written(), held_now()
+    own_id, own_hash, gone = private(docs, "__doc_id", "__hash", "__goes")
     found = jaccard_join(docs.select("doc_id", "text"), count_links=False, **options).select("doc_id", "text_hash", "component_id", "first_hash")
     goes = F.col("first_hash").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
     fate = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"), F.max(goes).alias("goes")).filter("goes or copies > 1")
-    fate = fate.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash"), F.coalesce("goes", F.lit(False)).alias("__goes"))
+    fate = fate.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.coalesce("goes", F.lit(False)).alias(gone))
     fate = materialise(fate, "fate", files_for(docs.count()))
     drop_written(docs.sparkSession, written() - before - {fate._written_to})
     drop_held(held_before)
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(own_hash))
     sent = F.broadcast if fate.count() <= broadcast_rows else lambda rows: rows
     kept = docs.join(sent(fate), same, "left_anti")
-    again = fate.filter("not __goes")
+    again = fate.filter(~F.col(gone))
     if again.isEmpty():
         return kept
-    return kept.unionByName(docs.join(sent(again), same, "inner").dropDuplicates(["__doc_id", "__hash"]).select(*docs.columns))
+    return kept.unionByName(docs.join(sent(again), same, "inner").dropDuplicates([own_id, own_hash]).select(*map(named, docs.columns)))

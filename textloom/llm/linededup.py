@@ -15,7 +15,8 @@ if its measured size is under `broadcast_bytes`; else it is joined with salted h
 
 Defined results for odd input: null text is kept as null with no lines dropped; null
 host is a host of its own; lines without a word never count; documents that repeat count
-each; an empty table gives an empty result; columns other than those named are kept.
+each; an empty table gives an empty result; columns other than those named are kept, whatever their names,
+but for lines_total and lines_dropped, which `site_line_dedup` replaces and `cut_documents` keeps.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, named, private
 
 #: White space around a line that does not count.
 EDGE = " \t\x0b\x0c\r"
@@ -46,7 +47,7 @@ def _key(line: Column) -> Column:
 
 def boilerplate_lines(docs: DataFrame, host: str, text: str, max_ratio: float, min_pages: int, min_line_pages: int) -> DataFrame:
     """host, lines: array of the keys of lines over the ratio."""
-    pages = docs.select(host_of(F.col(host)).alias("host"), F.col(text).alias("text"))
+    pages = docs.select(host_of(named(host)).alias("host"), named(text).alias("text"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(EDGE)) != ""), _key))
     counts = pages.filter(F.col("text").isNotNull()).select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_line_pages)
@@ -55,28 +56,32 @@ def boilerplate_lines(docs: DataFrame, host: str, text: str, max_ratio: float, m
 
 
 def site_line_dedup(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 1, min_line_pages: int = 2, broadcast_bytes: int = 16 << 20) -> DataFrame:
-    """docs with `text` cut, and lines_total, lines_dropped (long) added."""
+    """docs with `text` cut, and lines_total, lines_dropped (long) added, in place of columns of those names."""
     found = materialise(boilerplate_lines(docs, host, text, max_ratio, min_pages, min_line_pages), "boilerplate")
     size = found.agg(F.sum(16 + 8 * F.size("lines"))).first()[0] or 0
-    side = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    rows = docs.withColumn("__key", host_of(F.col(host)))
+    key, of, lines_key, salt, at = private(docs, "__key", "__host", "__lines", "__salt", "__of")
+    side = found.select(F.col("host").alias(of), F.col("lines").alias(lines_key))
+    rows = docs.withColumn(key, host_of(named(host)))
     if size <= broadcast_bytes:
-        joined = rows.join(F.broadcast(side), F.col("__key") == F.col("__host"), "left")
+        joined = rows.join(F.broadcast(side), F.col(key) == F.col(of), "left")
     else:
         salts = 64
-        salted = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.withColumn("__of", F.pmod(F.xxhash64(text), F.lit(salts)).cast("int"))
-        joined = rows.join(salted, (F.col("__key") == F.col("__host")) & (F.col("__of") == F.col("__salt")), "left")
-    lines = _lines(F.col(text))
-    stay = F.filter(lines, lambda x: ~F.array_contains(F.col("__lines"), _key(x)))
-    cut = F.when(F.col("__lines").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))
-    total = F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long"))
-    count = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(total)
-    out = joined.select(*(F.col(f"`{c}`") for c in docs.columns if c != text), cut.alias("__cut"), count.alias("lines_total"), F.when(F.col("__lines").isNull() | F.col(text).isNull(), F.lit(0).cast("long")).otherwise(total - F.size(stay)).alias("lines_dropped"))
-    return out.select(*(F.col("__cut").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns), "lines_total", "lines_dropped")
+        salted = side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.withColumn(at, F.pmod(F.xxhash64(named(text)), F.lit(salts)).cast("int"))
+        joined = rows.join(salted, (F.col(key) == F.col(of)) & (F.col(at) == F.col(salt)), "left")
+    lines, none = _lines(named(text)), F.lit(0).cast("long")
+    stay = F.filter(lines, lambda x: ~F.array_contains(F.col(lines_key), _key(x)))
+    whole = F.col(lines_key).isNull() | named(text).isNull()
+    cut = F.when(whole, named(text)).otherwise(F.array_join(stay, "\n"))
+    total = F.when(named(text).isNull(), none).otherwise(F.size(lines).cast("long"))
+    dropped = F.when(whole, none).otherwise(total - F.size(stay))
+    kept = [cut.alias(c) if c == text else named(c) for c in docs.columns if c.lower() not in ("lines_total", "lines_dropped")]
+    return joined.select(*kept, total.alias("lines_total"), dropped.alias("lines_dropped"))
 
 
 def cut_documents(docs: DataFrame, **options) -> DataFrame:
     """docs without their hosts' boilerplate lines; same columns, n_chars counted anew."""
-    cut = site_line_dedup(docs, **options)
-    return cut.select(*(F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    mine = private(docs, "__text")[0]  # beside the columns, so that those that site_line_dedup names stay
+    aside = {c: n for c, n in zip(docs.columns, private(docs, *(f"__own_{c}" for c in docs.columns)), strict=True) if c.lower() in ("lines_total", "lines_dropped")}
+    cut = site_line_dedup(docs.withColumnsRenamed(aside), **options).withColumn(mine, F.col(options.get("text", "text")))
+    return cut.select(*(F.length(mine).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else named(aside.get(c, c)).alias(c) for c in docs.columns))

@@ -39,15 +39,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "lines_total", "lines_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-OP4_SQL = """
-WITH d AS (SELECT doc_id, source, text FROM documents),
-lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
-seen AS (SELECT DISTINCT doc_id, source, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM lines WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
-n AS (SELECT source, line, count(*) AS n FROM seen GROUP BY ALL),
-t AS (SELECT source, count(*) AS pages FROM d GROUP BY ALL),
-bad AS (SELECT source, list(line) AS bad FROM n JOIN t USING (source) WHERE pages >= 20 AND n >= 5 AND n > 0.1 * pages GROUP BY source),
-cut AS (SELECT doc_id, string_split(text, chr(10)) AS a, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS k FROM d LEFT JOIN bad USING (source))
-SELECT doc_id, len(a)::BIGINT AS lines_total, (len(a) - len(k))::BIGINT AS lines_dropped, sha256(array_to_string(k, chr(10))) AS text_sha256 FROM cut
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(nullif(regexp_extract(lower(source), '^[a-z][a-z0-9+.-]*://([^/?#@]*@)?([^/?#:]*)', 2), ''), source, chr(1) || 'none') AS host, text FROM documents),
+lines AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
+seen AS (SELECT DISTINCT doc_id, host, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM lines WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+n AS (SELECT host, line, count(*) AS n FROM seen GROUP BY ALL),
+t AS (SELECT host, count(*) AS pages FROM d GROUP BY ALL),
+bad AS (SELECT host, list(line) AS bad FROM n JOIN t USING (host) WHERE n >= 2 AND n > 0.1 * pages GROUP BY host),
+cut AS (SELECT doc_id, string_split(text, chr(10)) AS a, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS k FROM d LEFT JOIN bad USING (host))
+SELECT doc_id, coalesce(len(a), 0)::BIGINT AS lines_total, coalesce(len(a) - len(k), 0)::BIGINT AS lines_dropped, sha256(coalesce(array_to_string(k, chr(10)), '')) AS text_sha256 FROM cut
 """
 
 
