@@ -412,14 +412,29 @@ def test_quality(spark):
 
 def test_quality_lines(spark):
     rules = quality.LineRules()
-    verdicts = {"A fine line, as they go.": "", "": "", "Home": "navigation", "All rights reserved.": "boilerplate", "a | b | c | d": "symbols", "a " * 60: "punctuation", "The end of ### it": "symbols"}
-    assert {x: quality.line_verdict(x, rules) for x in verdicts} == verdicts
+    verdicts = {"A fine line, as they go.": "", "": "", "Home": "navigation", "Weiterlesen »": "navigation", "Haut de page": "navigation", "leer más": "navigation", "Home | News | About us |": "navigation", "a | b": "navigation", "one of two | three of four and more": "", "All rights reserved.": "boilerplate", "Alle Rechte vorbehalten.": "boilerplate", "Tous droits réservés": "boilerplate", "Todos los derechos reservados": "boilerplate", "a " * 60: "punctuation", "A heading of some words": "", "The end of ### it": "punctuation", "word$$$ more***": "punctuation", "version 1.2 in a line of more than twelve words that has no mark at its end": "punctuation"}
+    assert {x: quality.line_verdict(x, rules, "Next.") for x in verdicts} == verdicts
+    long = "a line of more than twelve words that has no mark at its own end but goes"
+    assert quality.line_verdict(long, rules, "on in the next line.") == quality.line_verdict(long, rules, None) == ""
+    assert [w for _, w in quality.line_verdicts(f"{long}\n\n  on there.\nSame.\n Same.\nSame.\t\nSame.\n{long}\n \n", rules)] == ["", "", "", "", "", "boilerplate", "boilerplate", "", "", ""]
     kept = quality.clean_documents(odd(spark))
     assert kept.schema == odd(spark).schema
     assert {r.doc_id for r in kept.collect()} >= {18}
     assert quality.clean_documents(none(spark)).count() == 0
 
 
+def test_quality_rules_act(spark):
+    """Each of the dealt rules removes lines of the driver's documents, and documents labelled good are kept."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    why = Counter(w for r in big for _, w in quality.line_verdicts(r.text or "", quality.LineRules()) if w)
+    assert all(why[w] >= 50 for w in ("navigation", "boilerplate", "punctuation")), why
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = quality.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    good = [r for r in rows if labels.get(r.doc_id) == 1 and not r.base_failed]
+    assert good and all(r.kept for r in good)
+    assert sum(not r.base_failed and not r.kept for r in rows) >= 30
+
+
 def test_language(spark):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(big)

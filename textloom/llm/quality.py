@@ -1,7 +1,16 @@
 """Quality rules, line first (10).
 
-Each line of a document is judged by itself: too many symbols, navigation, boilerplate,
-or more than 40 words without a `.`, `!` or `?` anywhere and without closing punctuation at the end. Lines that fail are removed. A document is rejected
+Each line of a document is judged by itself and by where it stands:
+
+- navigation: a short line that is one of a language's phrases ("Home", "Weiter lesen"), or items between
+  separators (`a | b | c`): separators are words of their own, one in four words or more;
+- punctuation: marks of `#*$%&|<>` for more than max_symbols of its characters, or more than `heading_words` words
+  without closing punctuation at the end, unless the next line with words begins in lower case, so that the sentence
+  goes on there, or there is none, as texts are cut off at their end;
+- boilerplate: one of a language's phrases ("all rights reserved", "alle Rechte vorbehalten") in a line of moderate length,
+  or the third and later copies of a line in the document.
+
+Lines that fail are removed. A document is rejected
 if its base figures fail, or if the removed lines held more than `max_lost` of its words.
 
 Words are runs of anything but space and \\x09-\\x0D. Defined results for odd input:
@@ -13,6 +22,8 @@ and kept as they are by `clean_documents`.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,57 +38,85 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 
 
+# Phrases by language, lower-cased.
+BOILERPLATE = {
+    "en": ("all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "subscribe to our newsletter", "sign up for our newsletter", "click here", "enable javascript", "copyright ©", "copyright (c)"),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "cookies akzeptieren", "newsletter abonnieren", "hier klicken", "javascript aktivieren", "lizenziert unter"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "accepter les cookies", "abonnez-vous à notre", "cliquez ici", "activer javascript", "sous licence"),
+    "es": ("todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "aceptar cookies", "suscríbete a nuestro", "haga clic aquí", "activar javascript", "bajo licencia"),
+}
+NAVIGATION = {
+    "en": ("home", "menu", "login", "log in", "sign in", "sign up", "search", "share", "next", "previous", "back to top", "read more", "contact", "about", "skip to content"),
+    "de": ("startseite", "menü", "anmelden", "suche", "suchen", "teilen", "weiter", "zurück", "nach oben", "weiterlesen", "weiter lesen", "mehr lesen", "kontakt", "impressum", "über uns", "zum inhalt springen"),
+    "fr": ("accueil", "menu", "connexion", "se connecter", "rechercher", "partager", "suivant", "précédent", "haut de page", "lire la suite", "contact", "à propos", "aller au contenu"),
+    "es": ("inicio", "menú", "iniciar sesión", "acceder", "buscar", "compartir", "siguiente", "anterior", "volver arriba", "leer más", "contacto", "acerca de", "ir al contenido"),
+}
+
+
+def _all(phrases: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(p for own in phrases.values() for p in own))
+
+
 @dataclass(frozen=True)
 class LineRules:
-    """max_symbols: share of a line's characters other than white space; max_lost: share of a document's words in removed lines."""
+    """max_symbols: share of a line's characters other than white space; separator_words: words a separator at most;
+    copies: of a line that stay; max_lost: share of a document's words in removed lines."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbols: float = 0.08
     max_lost: float = 0.5
     navigation_words: int = 6
-    unpunctuated_words: int = 40
+    separator_words: int = 4
+    heading_words: int = 12
     boilerplate_words: int = 30
-    boilerplate: tuple[str, ...] = (
-        "all rights reserved",
-        "licensed under",
-        "terms of use",
-        "terms of service",
-        "privacy policy",
-        "cookie policy",
-        "accept cookies",
-        "subscribe to our newsletter",
-        "sign up for our newsletter",
-        "click here",
-        "enable javascript",
-        "copyright ©",
-        "copyright (c)",
-    )
-    navigation: tuple[str, ...] = ("home", "menu", "login", "log in", "sign in", "search", "share", "next", "previous", "back to top", "read more", "contact", "about", "skip to content")
+    copies: int = 2
+    boilerplate: tuple[str, ...] = _all(BOILERPLATE)
+    navigation: tuple[str, ...] = _all(NAVIGATION)
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ENDS = tuple(".!?…:;,\"'”’»)]}。！？")
+_SEPARATORS = ("|", "»", "›", "•", "·", ">", "::")
 
 
-def line_verdict(line: str, rules: LineRules) -> str:
-    """Why a line goes, or '' if it stays. A line without words stays and counts for nothing."""
+def _goes_on(following: str | None) -> bool:
+    return following is None or unicodedata.category(following.lstrip(SPACE)[0]) == "Ll"
+
+
+def line_verdict(line: str, rules: LineRules, following: str | None = None, before: int = 0) -> str:
+    """Why a line goes, or '' if it stays. following: the next line with words, None for the last; before: how many equal lines stood before it.
+    A line without words stays and counts for nothing."""
     words = _WORD.findall(line)
     if not words:
         return ""
-    chars = sum(map(len, words))
-    if sum(map(line.count, SYMBOLS)) > rules.max_symbols * chars:
-        return "symbols"
-    low = line.strip(SPACE).lower()
+    bare = line.strip(SPACE)
+    low = bare.lower()
     if len(words) <= rules.navigation_words and low.strip(" .:>»|-").replace("»", "").strip() in rules.navigation:
         return "navigation"
-    if len(words) <= rules.boilerplate_words and any(x in low for x in rules.boilerplate):
+    if rules.separator_words * sum(map(words.count, _SEPARATORS)) >= len(words):
+        return "navigation"
+    if sum(map(line.count, SYMBOLS)) > rules.max_symbols * sum(map(len, words)):
+        return "punctuation"
+    if before >= rules.copies or len(words) <= rules.boilerplate_words and any(x in low for x in rules.boilerplate):
         return "boilerplate"
-    if len(words) > rules.unpunctuated_words and not low.endswith(_ENDS) and not any(c in low for c in ".!?"):
+    if len(words) > rules.heading_words and not bare.endswith(_ENDS) and not _goes_on(following):
         return "punctuation"
     return ""
 
 
+def line_verdicts(text: str, rules: LineRules) -> list[tuple[str, str]]:
+    """Each line with its verdict. Lines are equal if they are but for white space at their ends."""
+    lines, seen = text.split("\n"), Counter()
+    out = [(line, "") for line in lines]
+    full = [i for i, line in enumerate(lines) if line.strip(SPACE)]
+    for i, after in zip(full, [*full[1:], None]):
+        bare = lines[i].strip(SPACE)
+        out[i] = (lines[i], line_verdict(lines[i], rules, None if after is None else lines[after], seen[bare]))
+        seen[bare] += 1
+    return out
+
+
 def base_figures(text: str, hashes: WordHashes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -96,12 +135,11 @@ def base_figures(text: str, hashes: WordHashes) -> tuple[int, int, int, int, int
 
 def clean(text: str, rules: LineRules) -> tuple[str, int, int]:
     """The text without the lines that fail, how many lines went, and how many words."""
-    lines = text.split("\n")
-    gone = [bool(line_verdict(x, rules)) for x in lines]
-    if not any(gone):
+    judged = line_verdicts(text, rules)
+    gone = [line for line, why in judged if why]
+    if not gone:
         return text, 0, 0
-    lost = sum(len(_WORD.findall(x)) for x, out in zip(lines, gone, strict=True) if out)
-    return "\n".join(x for x, out in zip(lines, gone, strict=True) if not out), sum(gone), lost
+    return "\n".join(line for line, why in judged if not why), len(gone), sum(len(_WORD.findall(x)) for x in gone)
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lines_removed long, words_removed long, cleaned string"

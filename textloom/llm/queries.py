@@ -98,7 +98,7 @@ def _list(values: tuple[str, ...]) -> str:
 
 
 def _any(column: str, phrases: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains({column}, '{p}')" for p in phrases) + ")"
+    return "(" + " OR ".join(f"contains({column}, '{p.replace(chr(39), chr(39) * 2)}')" for p in phrases) + ")"
 
 
 OP10_SQL = rf"""
@@ -108,13 +108,16 @@ w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM a),
 g AS (SELECT doc_id, i, w || chr(1) || lead(w, 1) OVER p || chr(1) || lead(w, 2) OVER p AS g FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 r AS (SELECT doc_id, g FROM g WHERE g IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g JOIN r USING (doc_id, g), range(0, 3) t(k) GROUP BY doc_id),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-m AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS nc, len(regexp_extract_all(line, '[#*$%&|<>]')) AS ns, lower(trim(line, {_SQL_SPACE})) AS low FROM l),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+o AS (SELECT doc_id, line, i, lead(line) OVER (PARTITION BY doc_id, regexp_matches(line, '[^\x20\x09-\x0D]') ORDER BY i) AS following, row_number() OVER (PARTITION BY doc_id, trim(line, {_SQL_SPACE}) ORDER BY i) AS copy FROM l),
+m AS (SELECT doc_id, line, following, copy, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own, trim(line, {_SQL_SPACE}) AS bare, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS nc, len(regexp_extract_all(line, '[#*$%&|<>]')) AS ns, lower(trim(line, {_SQL_SPACE})) AS low FROM o),
 v AS (SELECT doc_id, line, nw, nw > 0 AND (
     ns > {_RULES.max_symbols}::DOUBLE * nc
     OR nw <= {_RULES.navigation_words} AND list_contains({_list(_RULES.navigation)}, trim(replace(trim(low, ' .:>»|-'), '»', '')))
     OR nw <= {_RULES.boilerplate_words} AND {_any("low", _RULES.boilerplate)}
-    OR nw > {_RULES.unpunctuated_words} AND NOT regexp_matches(low, '[.!?]') AND NOT list_contains({_list(quality._ENDS)}, right(low, 1))) AS gone FROM m),
+    OR {_RULES.separator_words} * len(list_filter(own, lambda x: list_contains({_list(quality._SEPARATORS)}, x))) >= nw
+    OR copy > {_RULES.copies}
+    OR nw > {_RULES.heading_words} AND NOT list_contains({_list(quality._ENDS)}, right(bare, 1)) AND NOT coalesce(regexp_matches(following, '^[\x20\x09-\x0D]*\p{{Ll}}'), true)) AS gone FROM m),
 f AS (SELECT doc_id, count(*) FILTER (nw > 0) - count(DISTINCT line) FILTER (nw > 0) AS dup, count(*) FILTER (gone) AS lines_removed, coalesce(sum(nw) FILTER (gone), 0)::BIGINT AS words_removed FROM v GROUP BY doc_id),
 b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, dup AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, lines_removed, words_removed FROM a JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)),
 e AS (SELECT *, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words AS base_failed FROM b)
