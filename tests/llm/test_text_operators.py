@@ -414,6 +414,7 @@ def test_quality_lines(spark):
     rules = quality.LineRules()
     verdicts = {"A fine line, as they go.": "", "": "", "Home": "navigation", "Weiterlesen »": "navigation", "Haut de page": "navigation", "leer más": "navigation", "Home | News | About us |": "navigation", "a | b": "navigation", "one of two | three of four and more": "", "All rights reserved.": "boilerplate", "Alle Rechte vorbehalten.": "boilerplate", "Tous droits réservés": "boilerplate", "Todos los derechos reservados": "boilerplate", "a " * 60: "punctuation", "A heading of some words": "", "The end of ### it": "punctuation", "word$$$ more***": "punctuation", "version 1.2 in a line of more than twelve words that has no mark at its end": "punctuation"}
     assert {x: quality.line_verdict(x, rules, "Next.") for x in verdicts} == verdicts
+    assert quality.line_verdict("One sentence in a line of more than twelve words has ended here. The", rules, "Next.") == ""
     long = "a line of more than twelve words that has no mark at its own end but goes"
     assert quality.line_verdict(long, rules, "on in the next line.") == quality.line_verdict(long, rules, None) == ""
     assert [w for _, w in quality.line_verdicts(f"{long}\n\n  on there.\nSame.\n Same.\nSame.\t\nSame.\n{long}\n \n", rules)] == ["", "", "", "", "", "boilerplate", "boilerplate", "", "", ""]

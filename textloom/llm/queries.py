@@ -117,7 +117,7 @@ v AS (SELECT doc_id, line, nw, nw > 0 AND (
     OR nw <= {_RULES.boilerplate_words} AND {_any("low", _RULES.boilerplate)}
     OR {_RULES.separator_words} * len(list_filter(own, lambda x: list_contains({_list(quality._SEPARATORS)}, x))) >= nw
     OR copy > {_RULES.copies}
-    OR nw > {_RULES.heading_words} AND NOT list_contains({_list(quality._ENDS)}, right(bare, 1)) AND NOT coalesce(regexp_matches(following, '^[\x20\x09-\x0D]*\p{{Ll}}'), true)) AS gone FROM m),
+    OR coalesce(list_position(list_transform(list_reverse(own), lambda x: list_contains({_list(quality._ENDS)}, right(x, 1))), true) - 1, nw) > {_RULES.heading_words} AND NOT coalesce(regexp_matches(following, '^[\x20\x09-\x0D]*\p{{Ll}}'), true)) AS gone FROM m),
 f AS (SELECT doc_id, count(*) FILTER (nw > 0) - count(DISTINCT line) FILTER (nw > 0) AS dup, count(*) FILTER (gone) AS lines_removed, coalesce(sum(nw) FILTER (gone), 0)::BIGINT AS words_removed FROM v GROUP BY doc_id),
 b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, dup AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, lines_removed, words_removed FROM a JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)),
 e AS (SELECT *, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words AS base_failed FROM b)
