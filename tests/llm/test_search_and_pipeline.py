@@ -40,6 +40,30 @@ def test_top_k_odd(spark):
     assert topk.exact_top_k(none(spark, table.schema), none(spark, table.schema)).count() == 0
 
 
+def test_top_k_computes_survivors_only():
+    """What the levels turn away, own rows and what is multiplied are all pairs; the first threshold only saves work."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(20, 64))
+    rows = np.floor(256 * (centres[r.integers(0, 20, 6000)] + 0.2 * r.normal(size=(6000, 64)))).astype(np.int64)
+    ids = np.arange(6000)
+    asked = ids % 50 == 0
+    found = []
+    for sampled in (False, True):
+        block, best, work = topk.Block(ids[asked], rows[asked]), topk.Best(int(asked.sum()), 5), topk.Work()
+        if sampled:
+            some = r.permutation(6000)[:1500]
+            block.start_from(ids[some], rows[some], 5)
+        for at in range(0, 6000, 1000):
+            topk.search_block(block, ids[at : at + 1000], rows[at : at + 1000], best, work)
+        assert work.pairs == work.exact + work.own + sum(work.pruned) == 120 * 6000
+        assert work.exact < 0.2 * work.pairs
+        found.append((best.ids.tolist(), best.scores.tolist()))
+    scores = rows[asked] @ rows.T
+    scores[np.arange(120), ids[asked]] = np.iinfo(np.int64).min
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :5]
+    assert found[0] == found[1] == (order.tolist(), np.take_along_axis(scores, order, 1).tolist())
+
+
 def test_field_inference():
     r = np.random.default_rng(0)
     lengths = np.array([1, 200, 64, 65, 7, 300])
