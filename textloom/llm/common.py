@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,14 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Spark sends to Python at once by CHUNK_BYTES, for this session: its default of 64 MB a batch is held
+    by the JVM and by the worker, in each task. A lower bound stays as it is; a row is never cut."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= CHUNK_BYTES:
+        spark.conf.set(key, str(CHUNK_BYTES))
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of the named text column, one row at least."""
     if not batch.num_rows:
@@ -86,6 +94,7 @@ def map_chunks(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Recor
             for part in chunks(batch, column, limit):
                 yield work(part)
 
+    small_batches(df.sparkSession)
     if isinstance(schema, str):
         return df.mapInArrow(run, schema)
     # columns that are kept may have names that mapInArrow does not take

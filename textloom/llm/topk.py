@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_held, files_for, held, held_now, materialise
+from .common import drop_held, files_for, held, held_now, materialise, small_batches
 
 LEVELS = (1, 4, 16, 32, 48)
 SAMPLE_ROWS = 4096
@@ -201,6 +201,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     """query_id, rank, vec_id, score: the k greatest integer inner products of each query with the other rows.
 
     Queries are read in blocks of about half of block_rows by their hash, one block at a time, so the driver holds one; each makes one pass over the vectors."""
+    small_batches(vectors.sparkSession)
     before = held_now()
     asked, rows = held(_usable(queries, id_col, vector, scale).distinct()), _usable(vectors, id_col, vector, scale)
     spark, parts = vectors.sparkSession, []

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_strings, chunks, materialise, new_path, text_of
+from .common import byte_strings, chunks, materialise, new_path, small_batches, text_of
 from .tokens import WordTokens
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -107,12 +107,14 @@ def token_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int) -
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, SEQUENCES)
 
 
+SHARDS_A_TASK = 8  # of 17 MB each with the default record and shard
 INDEX = "slot long, shard long, n int, doc_id array<long>, start array<long>, length array<int>"
 
 
 def write_training_order(docs: DataFrame, tokenizer: str, path: str, key: int = 20_240_601, end_id: int = 1, pad_id: int = 0, length: int = 2048, shard_records: int = 4096) -> DataFrame:
     """Write shards under path; returns the index: slot, shard, ids in use, and the documents' stretches."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = materialise(token_sequences(docs, tokenizer, end_id, length), "sequences")
     counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
     begins, total = {}, 0
@@ -157,7 +159,10 @@ def write_training_order(docs: DataFrame, tokenizer: str, path: str, key: int =
         close()
 
     shards = max(1, -(-total // shard_records))
-    ranged = rows.mapInArrow(number, f"{INDEX}, blob binary").repartitionByRange(shards, "shard").sortWithinPartitions("slot")
+    # which range of shards a task writes is known, so none is found by sampling
+    each = min(SHARDS_A_TASK, max(1, shards // 1000))
+    tasks = -(-shards // each)
+    ranged = rows.mapInArrow(number, f"{INDEX}, blob binary").repartitionById(tasks, F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("slot")
     return materialise(ranged.mapInArrow(write, INDEX), "index")
 
 
