@@ -70,7 +70,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bound what Spark sends to Python at once by CHUNK_BYTES, for this session: its default of 64 MB a batch is held
     by the JVM and by the worker, in each task. A lower bound stays as it is; a row is never cut."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= CHUNK_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > CHUNK_BYTES:
         spark.conf.set(key, str(CHUNK_BYTES))
 
 
