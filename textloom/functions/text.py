@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -72,17 +73,18 @@ def unique_items(items: Column, limit: int, length: int = 280) -> Column:
 
 def hits(folded: Column, terms: Sequence[str]) -> Column:
     """How many of the terms are in the text; each counts once."""
-    out = F.lit(0)
-    for term in terms:
-        out = out + F.contains(folded, F.lit(term)).cast("int")
-    return out
+    return _balanced([F.contains(folded, F.lit(term)).cast("int") for term in terms], operator.add, F.lit(0))
 
 
 def any_of(folded: Column, terms: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for term in terms:
-        out = out | F.contains(folded, F.lit(term))
-    return out
+    return _balanced([F.contains(folded, F.lit(term)) for term in terms], operator.or_, F.lit(False))
+
+
+def _balanced(parts: list[Column], join, none: Column) -> Column:
+    """All parts joined as a tree of little depth, which the code generator takes where it gives up on a long chain."""
+    while len(parts) > 1:
+        parts = [join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0] if parts else none
 
 
 def detect_language(text: Column) -> Column:

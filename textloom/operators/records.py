@@ -23,12 +23,15 @@ def strings(*values: str) -> Column:
 def clean_blocks(df: DataFrame, blocks: str, out: str, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Normalised blocks of min_block characters at least, the first of each folded form, in order.
 
-    Sorted by folded form and place, a block that differs from the one before it is the first of its form."""
+    Sorted by folded form and place, a block that differs from the one before it is the first of its form. The neighbour
+    comes from the same array moved by one: within its own lambda the array would be sorted again for each element.
+    The sorted array and the result are settled, so a filter or an explode above computes neither of them twice."""
     long = F.filter(F.transform(blocks, tx.ws_normalize), lambda x: F.length(x) >= lexicon.min_block)
-    df = df.withColumn("__long", long).withColumn("__sorted", F.array_sort(F.transform("__long", lambda x, i: F.struct(tx.fold(x).alias("fold"), i.alias("i"), x.alias("b")))))
-    first = F.filter("__sorted", lambda x, i: (i == 0) | (F.try_element_at("__sorted", F.greatest(i, F.lit(1)))["fold"] != x["fold"]))
-    placed = F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["b"].alias("b"))))
-    return df.withColumn(out, F.transform(placed, lambda x: x["b"])).drop("__long", "__sorted")
+    df = settled(df, "__sorted", F.array_sort(F.transform(long, lambda x, i: F.struct(tx.fold(x).alias("fold"), i.alias("i"), x.alias("b")))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform("__sorted", lambda x: x["fold"]))
+    marked = F.zip_with(F.slice(before, 1, F.size("__sorted")), "__sorted", lambda was, x: F.when(~was.eqNullSafe(x["fold"]), F.struct(x["i"].alias("i"), x["b"].alias("b"))))
+    placed = F.array_sort(F.filter(marked, lambda x: x.isNotNull()))
+    return settled(df, out, F.transform(placed, lambda x: x["b"])).drop("__sorted")
 
 
 def evidence(folded: Column, lexicon: Lexicon = DEFAULT) -> tuple[Column, Column, Column, Column]:
@@ -90,10 +93,13 @@ def matching(said: str, terms, without=(), limit: int = 8, length: int = 280) ->
     return tx.unique_items(F.transform(kept, lambda x: x["s"]), limit, length)
 
 
-def match_lists(df: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Adds symptoms, prevention, warning_signs, home_care and lifestyle_tips from said."""
+def match_lists(df: DataFrame, lexicon: Lexicon = DEFAULT, whole: str | None = None) -> DataFrame:
+    """Adds symptoms, prevention, warning_signs, home_care and lifestyle_tips from said.
+
+    whole: folded text that holds all sentences; where it lacks a class's terms, no sentence of it is looked at."""
     for name, (terms, without) in lexicon.sentence_classes().items():
-        df = df.withColumn(name, matching("said", terms, without, lexicon.sentence_limit, lexicon.item_length))
+        found = matching("said", terms, without, lexicon.sentence_limit, lexicon.item_length)
+        df = df.withColumn(name, F.when(tx.any_of(F.col(whole), terms), found).otherwise(F.array().cast(STRINGS)) if whole else found)
     return df
 
 
@@ -107,10 +113,13 @@ def title(given: Column, blocks: str, lexicon: Lexicon = DEFAULT) -> Column:
     return F.when(F.coalesce(given, F.lit("")) != "", tx.truncate(given, lexicon.title_length)).when(F.size(blocks) == 0, lx.UNTITLED_ENTRY).otherwise(tx.truncate(own, lexicon.title_length))
 
 
-def seek_doctor(blocks: str, warnings: str) -> Column:
-    """The first sentence of the joined blocks that says to seek a doctor, medical help or care; else the first warning."""
-    asks = lambda x: F.contains(tx.fold(x), F.lit("seek")) & tx.any_of(tx.fold(x), ("doctor", "medical", "care"))
-    found = F.try_element_at(F.filter(tx.sentences(F.array_join(blocks, " ")), asks), F.lit(1))
+def seek_doctor(blocks: str, warnings: str, whole: str | None = None) -> Column:
+    """The first sentence of the joined blocks that says to seek a doctor, medical help or care; else the first warning. whole: their folded text, if it is there."""
+    said = F.transform(tx.sentences(F.array_join(blocks, " ")), lambda x: F.struct(x.alias("s"), tx.fold(x).alias("f")))
+    asks = F.filter(said, lambda x: F.contains(x["f"], F.lit("seek")) & tx.any_of(x["f"], ("doctor", "medical", "care")))
+    found = F.try_element_at(asks, F.lit(1))["s"]
+    if whole:
+        found = F.when(F.contains(F.col(whole), F.lit("seek")), found)
     return F.coalesce(tx.truncate(found, 280), F.try_element_at(F.col(warnings), F.lit(1)), F.lit(""))
 
 
@@ -124,9 +133,9 @@ def severity(warnings: str, home_care: str) -> Column:
     )
 
 
-def structure(df: DataFrame, blocks: str, given_title: Column, source_name: Column, source_url: Column, verified: Column, given_from: Column, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Adds data: the record of 20 fields."""
-    df = match_lists(with_sentences(df, blocks), lexicon)
+def structure(df: DataFrame, blocks: str, given_title: Column, source_name: Column, source_url: Column, verified: Column, given_from: Column, lexicon: Lexicon = DEFAULT, whole: str | None = None) -> DataFrame:
+    """Adds data: the record of 20 fields. whole: the blocks' folded text, if it is there."""
+    df = match_lists(with_sentences(df, blocks), lexicon, whole)
     values = {
         "title": title(given_title, blocks, lexicon),
         "category": F.lit(lx.CATEGORY),
@@ -135,7 +144,7 @@ def structure(df: DataFrame, blocks: str, given_title: Column, source_name: Colu
         "description": description(blocks, lexicon),
         "differential_questions": strings(*lx.QUESTIONS),
         "severity_levels": severity("warning_signs", "home_care"),
-        "when_to_seek_doctor": seek_doctor(blocks, "warning_signs"),
+        "when_to_seek_doctor": seek_doctor(blocks, "warning_signs", whole),
         "risk_groups": strings(*lx.RISK_GROUPS),
         "possible_confusions": strings(*lx.CONFUSIONS),
         "confidence_rules": F.struct(F.lit(2).alias("min_symptoms_match"), F.lit(0.7).alias("high_confidence_threshold")),
@@ -171,7 +180,7 @@ def build_records(pages: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     df = accept_blocks(clean_blocks(pages, "blocks", "cleaned", lexicon), "cleaned", lexicon)
     df = df.withColumn("__source", urls.source(F.col("source_url")))
     df = df.withColumn("language", tx.detect_language(F.array_join("accepted", " ")))
-    df = structure(df, "accepted", F.col("title"), F.col("__source.source_name"), F.col("source_url"), F.col("__source.verified"), F.col("__source.verified_from"), lexicon)
+    df = structure(df, "accepted", F.col("title"), F.col("__source.source_name"), F.col("source_url"), F.col("__source.verified"), F.col("__source.verified_from"), lexicon, "joined")
     reason = (
         F.when(~urls.relevant(F.col("source_url"), lexicon), "url")
         .when(F.size("accepted") == 0, "no accepted block")
@@ -185,6 +194,6 @@ def extract_documents(docs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """The single-source form, of rows with title, source_name, source_url, verified, verified_from and blocks: no gate on URL or page; failures are told in `error`."""
     df = accept_blocks(clean_blocks(docs, "blocks", "cleaned", lexicon), "cleaned", lexicon)
     df = df.withColumn("language", tx.detect_language(F.array_join("accepted", " ")))
-    df = structure(df, "accepted", F.col("title"), F.col("source_name"), F.col("source_url"), F.col("verified"), F.col("verified_from"), lexicon)
+    df = structure(df, "accepted", F.col("title"), F.col("source_name"), F.col("source_url"), F.col("verified"), F.col("verified_from"), lexicon, "joined")
     error = F.when(F.size("accepted") == 0, "rejected: no block with required terms").when(~complete(), "incomplete: a required field is empty")
     return settled(df, "error", error).drop("joined")

@@ -49,7 +49,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.match_lists(records.with_sentences(_accepted(spark, sf_dir), "accepted"))
+    return records.match_lists(records.with_sentences(_accepted(spark, sf_dir), "accepted"), whole="joined")
 
 
 # Text.
@@ -136,7 +136,7 @@ def excluded_content(spark, sf_dir):
 
 @query
 def strong_block(spark, sf_dir):
-    rows = _blocks(spark, sf_dir).select("doc_id", F.posexplode(records.strong_blocks("cleaned")).alias("pos", "block"))
+    rows = records.settled(_blocks(spark, sf_dir), "judged", records.strong_blocks("cleaned")).select("doc_id", F.posexplode("judged").alias("pos", "block"))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("block.ok").alias("strong"))
 
 
@@ -296,9 +296,11 @@ def extract_documents(spark, sf_dir):
 def _copies(spark, sf_dir):
     """Complete records with a re-cased copy of every third."""
     rows = records.settled(_records(spark, sf_dir), "whole", records.complete()).filter("whole").select("doc_id", "data")
-    again = rows.filter("doc_id % 3 = 0").withColumn("data", F.col("data").withField("title", F.upper("data.title")).withField("description", F.concat(F.lit("  "), F.upper("data.description"))))
+    again = F.col("data").withField("title", F.upper("data.title")).withField("description", F.concat(F.lit("  "), F.upper("data.description")))
+    one = lambda doc_id, data: F.struct(doc_id.alias("doc_id"), data.alias("data"))
+    both = F.array(one(F.col("doc_id"), F.col("data")), F.when(F.col("doc_id") % 3 == 0, one(F.col("doc_id") + 1_000_000_000, again)))
+    rows = rows.select(F.explode(F.filter(both, lambda x: x.isNotNull())).alias("r")).select("r.doc_id", "r.data")
     # Descriptions hold the driver's text and so tell all records apart; half of them get the same one.
-    rows = rows.unionByName(again.withColumn("doc_id", F.col("doc_id") + 1_000_000_000))
     return rows.withColumn("data", F.when(F.col("doc_id") % 2 == 0, F.col("data").withField("description", F.lit("same"))).otherwise(F.col("data")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.text import text_blocks
+from textloom.operators.records import settled
 from textloom.plans import lexicon as lx
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -133,7 +134,7 @@ def json_records(files: DataFrame, name: str = "filename", content: str = "conte
     rows = files.select(F.col(name).alias("filename"), text.alias("text")).withColumn("v", strict_json(F.col("text")))
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.records", "array<variant>"))
     error = F.when(~F.endswith(F.lower("filename"), F.lit(".json")), "not a .json file").when(F.col("v").isNull(), "not valid JSON").when(items.isNull(), "neither an array nor an object with records")
-    rows = rows.withColumn("error", error).withColumn("items", F.when(F.col("error").isNull(), items))
+    rows = settled(rows.withColumn("error", error), "items", F.when(F.col("error").isNull(), items))
     bad = rows.filter("error is not null").select("filename", F.lit(None).cast("int").alias("pos"), F.lit(None).cast(RECORD).alias("data"), "error")
     one = rows.filter("error is null").select("filename", F.posexplode("items").alias("pos", "item"))
     one = one.filter(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
