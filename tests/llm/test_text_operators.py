@@ -579,3 +579,76 @@ def test_jaccard_common_passage(spark):
     rows = [(i, f"{passage} {words(r, r.choice([1, 3, 40]))}" if i % 3 == 0 else words(r, 70)) for i in range(240)]
     got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(components_by_hand(rows))
+
+
+def language_by_hand(text, model):
+    """lang_pred, score, n_words, n_switches by the plain recursion, a word at a time."""
+    words = langid.words_of(text) if text and any(map(str.isalpha, text)) else []
+    if not words:
+        return "und", 0.0, 0, 0
+    total = lambda a: np.log(np.exp(a - a.max(0)).sum(0)) + a.max(0)
+    x = [model.weights[langid.word_features(w, model.lexicon)].sum(0, dtype=np.float64) for w in words]
+    left, right = [x[0]], [np.zeros(len(x[0]))]
+    for row in x[1:]:
+        left.append(total(left[-1][:, None] + model.trans) + row)
+    for row in x[:0:-1]:
+        right.append(total((model.trans + (row + right[-1])[None, :]).T))
+    both = np.array(left) + np.array(right[::-1])
+    post = np.exp(both - total(both.T)[:, None])
+    mean, best = post.mean(0), post.argmax(1)
+    return model.languages[int(mean.argmax())], float(mean.max()), len(words), int((best[1:] != best[:-1]).sum())
+
+
+def test_language_query_by_hand(spark, monkeypatch):
+    """The whole query over a whole table: what it learns from, and every row's result."""
+    from textloom.llm import queries as registered
+
+    learned = []
+    fit = langid.fit
+
+    def fitted(rows):
+        learned.append((rows, fit(rows)))
+        return learned[-1][1]
+
+    monkeypatch.setattr(langid, "fit", fitted)
+    got = {r.doc_id: r for r in registered.op5_language_id(spark, "/root/testdata/sf0.001").collect()}
+    table = docs(spark).collect()
+    out = {r.doc_id for r in table if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
+    (rows, model), allowed = learned[0], Counter((r.text, r.lang) for r in table if r.lang is not None and r.text is not None and r.doc_id not in out)
+    assert rows and not Counter(rows) - allowed
+    assert set(got) == {r.doc_id for r in table}
+    for r in table:
+        own = got[r.doc_id]
+        name, score, n_words, switches = language_by_hand(r.text, model)
+        assert (own.held_out, own.lang_pred, own.n_words) == (r.doc_id in out, name, n_words)
+        assert abs(own.score - score) < 1e-4 and abs(own.n_switches - switches) <= 1
+
+
+def test_language_of_mixed_texts(spark):
+    """Words of texts that switch language every few words, made of documents that were not learned from."""
+    import random
+
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learn(big)
+    scorer = langid.Scorer(model)
+    r = random.Random(4)
+    pool = defaultdict(list)
+    for row in big.collect():
+        if row.lang and row.text and zlib.crc32(str(row.doc_id).encode()) % 3 == 1:
+            pool[row.lang].append(langid.words_of(row.text))
+    for run, least in ((20, 0.95), (5, 0.9)):
+        texts, truth = [], []
+        for _ in range(60):
+            words, labels = [], []
+            for _ in range(8):
+                lang = r.choice(sorted(pool))
+                own = r.choice([x for x in pool[lang] if len(x) >= run])
+                at = r.randrange(len(own) - run + 1)
+                words += own[at : at + run]
+                labels += [lang] * run
+            texts.append(" ".join(words))
+            truth.append(labels)
+        found, posts = langid.label_words(texts, scorer)
+        assert [len(x) for x in found] == [len(x) for x in truth]
+        right = sum(model.languages[k] == t for p, own in zip(posts, truth, strict=True) for k, t in zip(p.argmax(1), own, strict=True))
+        assert right >= least * sum(map(len, truth))
