@@ -331,7 +331,7 @@ def test_personal_data_field():
         for w, k in line:
             if k:
                 total += 1
-                hits += any(s[0] == pii.LABELS[k] and s[1] <= at < s[2] for s in found)
+                hits += any(s[0] == pii.LABELS[k] and s[1] < at + len(w) and at < s[2] for s in found)
             at += len(w) + 1
     assert hits > 0.9 * total
 
@@ -652,3 +652,59 @@ def test_language_of_mixed_texts(spark):
         assert [len(x) for x in found] == [len(x) for x in truth]
         right = sum(model.languages[k] == t for p, own in zip(posts, truth, strict=True) for k, t in zip(p.argmax(1), own, strict=True))
         assert right >= least * sum(map(len, truth))
+
+
+def disguised_by_other_rules(n):
+    """Sentences of the driver's documents, each with an item in a form that the training table does not write, or with numbers that are none:
+    text, kind or None, start and end of the item itself."""
+    import random
+
+    import duckdb
+
+    r = random.Random(77)
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    said = [s.strip() for t in texts for s in re.split(r"(?<=[.!?])\s+|\n", t) if 4 <= len(s.split()) <= 25 and not re.search(r"[0-9@#*$%&|<>]", s)]
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    names, hosts = "maria juan pierre claudia heinz olga".split(), "postfach correo webhost mailbox uni-bonn laposte".split()
+
+    def email():
+        name, host, top = r.choice(names) + r.choice(["", f".{r.choice(names)}", f"_{digits(2)}"]), r.choice(hosts), r.choice(["com", "fr", "es", "eu"])
+        return r.choice([f"{name}<at>{host}<dot>{top}", f"{name} -at- {host} -dot- {top}", f"{name} AT {host} DOT {top}", f"{name}[@]{host}[.]{top}", f"{name} | at | {host} dot {top}".replace(" | ", " ")])
+
+    def card():
+        body = r.choice("3456") + digits(14)
+        x = next(body + c for c in "0123456789" if pii.luhn(body + c))
+        return r.choice("_/").join(x[i : i + 4] for i in range(0, 16, 4))
+
+    phone = lambda: r.choice([f"({digits(3)}){digits(3)}-{digits(4)}", f"0{digits(3)} {digits(7)}", f"0049 {digits(3)} {digits(7)}", f"{digits(3)} {digits(3)} {digits(4)}"])
+    ip = lambda: r.choice([f"fe80::{r.randint(4096, 65535):x}:{r.randint(4096, 65535):x}", "[.]".join(str(r.randint(0, 255)) for _ in range(4))])
+    items = {"email": email, "card": card, "phone": phone, "ip": ip}
+    others = [lambda: f"in {r.randint(1900, 2030)}", lambda: f"{digits(2)}.{digits(2)}.{r.randint(1950, 2030)}", lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"ISBN 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"page {digits(3)}", lambda: f"{digits(3)} {digits(3)} people", lambda: f"serial {digits(12)}", lambda: f"lat {digits(2)}.{digits(6)}", lambda: "look at this dot on the map"]
+    out = []
+    for _ in range(n):
+        words, kind = r.choice(said).split(), r.choice([*items, None, None])
+        at = r.randint(1, len(words))
+        before, item = " ".join(words[:at]) + " ", items[kind]() if kind else r.choice(others)()
+        out.append((before + item + " " + " ".join(words[at:]), kind, len(before), len(before) + len(item)))
+    return out
+
+
+def test_personal_data_of_other_forms(monkeypatch):
+    """Recall of each kind and precision on forms and sentences that the field was not trained on. The check of spans hardly matters: the field decides."""
+    rows = disguised_by_other_rules(1500)
+
+    def measured():
+        found = pii.find_spans([t for t, *_ in rows], *pii.model())[1]
+        hits, seen, right, every = Counter(), Counter(), 0, 0
+        for (_, kind, a, b), spans in zip(rows, found, strict=True):
+            own = [s for s in spans if kind and s[1] < b and a < s[2]]
+            right, every = right + len(own), every + len(spans)
+            seen[kind] += 1
+            hits[kind] += any(s[0] == kind for s in own)
+        return {k: hits[k] / seen[k] for k in pii.KINDS}, right / every
+
+    recall, precision = measured()
+    assert min(recall.values()) >= 0.8 and precision >= 0.9, (recall, precision)
+    monkeypatch.setattr(pii, "_sane", lambda kind, text: True)
+    free, precision = measured()
+    assert all(free[k] <= recall[k] + 0.15 for k in free) and precision >= 0.9, (free, precision)

@@ -2,9 +2,11 @@
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers; their spans always
 stay. The field labels the words of every line that can hold a span: one with a digit, an @,
-a spelled-out `dot`, a bracketed `at`, or an `at` between spaces before a name with a dot.
-The exact check of a span accepts nothing without one of these, so no other line is
-decoded. The features are of word shape and of the words around. It is
+an `at` or `dot` between marks, a `dot` between spaces, or an `at` between spaces before a name with a dot.
+The check of a span accepts nothing without one of these, so no other line is
+decoded; it asks for what a span of the kind cannot lack (the parts of an address, a card's Luhn sum, a phone's
+count of digits), whatever marks stand between, and the field decides the rest. The features are of word shape, also with all marks alike, of
+the run of numbers that a word is in, and of the words around. It is
 trained on the driver from a small labelled table, made here by rule, and decoded by
 Viterbi in numpy batches. Neighbours of one label are one span if it passes the check, else they are
 split into pieces that pass and cover the most words. Spans are added where they touch no pattern's span.
@@ -83,10 +85,19 @@ def base_spans(text: str) -> list[Span]:
 
 LABELS = ("", *KINDS)
 BUCKETS = 1 << 14
+#: An @ or a dot as it may be written: itself or spelled out, between any marks; a bare word stands between spaces.
+_MARK = r"[^A-Za-z0-9\x20\x09-\x0D]"
+_AT = rf"(?:\x20?{_MARK}?@{_MARK}?\x20?|\x20?{_MARK}at{_MARK}\x20?|\x20at\x20)"
+_DOT = rf"(?:\x20?{_MARK}?\.{_MARK}?\x20?|\x20?{_MARK}dot{_MARK}\x20?|\x20dot\x20)"
+_NAME, _LABEL = r"[a-z0-9](?:[a-z0-9._%+-]{0,62}[a-z0-9])?", r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+_ADDRESS = re.compile(rf"{_NAME}{_AT}{_LABEL}(?:{_DOT}{_LABEL})+")
+_HEX = re.compile(r"[0-9a-f]{1,4}(?::[0-9a-f]{0,4}){2,7}")
+_QUAD = re.compile(rf"([0-9]{{1,3}}){_DOT}([0-9]{{1,3}}){_DOT}([0-9]{{1,3}}){_DOT}([0-9]{{1,3}})")
 #: What every span that _sane accepts holds.
-_EVIDENCE = re.compile(r"[0-9@]|[\[({ ]dot[\])} ]|[\[({]at[\])}]|\x20at\x20\x20?[a-z0-9-]++\x20?\.\x20?[a-z0-9-]", re.IGNORECASE)
+_EVIDENCE = re.compile(rf"[0-9@]|\x20dot\x20|{_MARK}(?:dot|at){_MARK}|\x20at\x20[a-z0-9-]++\x20?{_MARK}?\.{_MARK}?\x20?[a-z0-9]", re.IGNORECASE)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SPELLED = re.compile(r"[\[({](at|dot)[\])}]")
+_SPELLED = re.compile(rf"{_MARK}(at|dot|@|\.){_MARK}")
+_LEAD = re.compile(r"[A-Za-z]+[.:=#]+(?=[0-9(+])")
 _CUES = frozenset("at dot (at) [at] {at} (dot) [dot] {dot} phone tel telephone mobile cell fax call contact email e-mail mail card visa credit debit ip host server address number no. ref order invoice version isbn total page year chapter since until eur usd id".split())
 
 
@@ -106,32 +117,64 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+def general(word: str) -> str:
+    """The shape with every mark alike, so that a number between marks never seen is like one between others."""
+    return "".join(c if c.isalnum() else "_" for c in shape(word))
+
+
+def _numeric(word: str) -> bool:
+    return any("0" <= c <= "9" for c in word) and not any(c.isalpha() for c in word)
+
+
+def _runs(words: list[str]) -> list[list[str]]:
+    """Features of the run of numbers that a word is in: its groups, digits, and whether they pass Luhn's check."""
+    out: list[list[str]] = [[] for _ in words]
+    i = 0
+    while i < len(words):
+        j = i
+        while j < len(words) and j - i < 12 and (_numeric(words[j]) or j > i and j + 1 < len(words) and len(words[j]) == 1 and not words[j].isalnum() and _numeric(words[j + 1])):
+            j += 1
+        if j > i:
+            groups = [_digits(w[:64]) for w in words[i:j]]
+            digits = "".join(groups)
+            said = [f"rd:{min(len(digits), 24)}", "rg:" + "-".join(str(min(len(g), 8)) for g in groups[:8] if g)]
+            if 13 <= len(digits) <= 19:
+                said.append(f"rl:{luhn(digits)}")
+            out[i:j] = [said] * (j - i)
+        i = max(j, i + 1)
+    return out
+
+
 def _own(word: str) -> list[str]:
     digits, low = _digits(word[:64]), word[:64].lower()
     bare = low.strip(".,;:!?")
-    out = [f"s:{shape(word)}", f"d:{min(len(digits), 20)}", f"l:{min(len(word), 20) // 2}", f"@:{'@' in word}", f"dots:{min(word.count('.'), 4)}", f"colons:{min(word.count(':'), 4)}"]
+    out = [f"s:{shape(word)}", f"g:{general(word)}", f"d:{min(len(digits), 20)}", f"l:{min(len(word), 20) // 2}", f"@:{'@' in word}", f"dots:{min(word.count('.'), 4)}", f"colons:{min(word.count(':'), 4)}"]
     if 13 <= len(digits) <= 19:
         out.append(f"luhn:{luhn(digits)}")
     if bare in _CUES:
         out.append(f"w:{bare}")
     if len(low) > 5 and (spelled := _SPELLED.findall(low)):
         out += [f"in:{x}" for x in spelled[:4]]
+    if (only := low.strip("()[]{}<>*-_|/#~=\"'")) in ("at", "dot", "@", "."):
+        out.append(f"is:{only}:{only != low}")
     return out
 
 
 def _features(words: list[str]) -> list[np.ndarray]:
     """Hashed features of each word of a line: its own, the shapes of the two words on either side, and cues among them."""
     own = [_own(w) for w in words]
-    brief = [x[0] + "".join(y for y in x if y[:2] == "w:") for x in own]
+    brief = [x[1] + "".join(y for y in x if y[:2] in ("w:", "is")) for x in own]
+    runs = _runs(words)
     out = []
     for i, parts in enumerate(own):
+        parts = parts + runs[i]
         near = [f"{k}:{brief[i + k] if 0 <= i + k < len(words) else '-'}" for k in (-2, -1, 1, 2)]
         both = [f"{parts[0]}|{near[1]}", f"{parts[0]}|{near[2]}"]
         out.append(np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in (*parts, *near, *both)]))
     return out
 
 
-def training_table(n: int = 1400, seed: int = 11) -> list[list[tuple[str, int]]]:
+def training_table(n: int = 2400, seed: int = 11) -> list[list[tuple[str, int]]]:
     """Labelled lines: personal data as written and as disguised, and numbers that are none."""
     r = random.Random(seed)
     syllables = "an er the tion ou la qu ch ei ver sch ado ción el mi ra den ti".split()
@@ -155,24 +198,32 @@ def training_table(n: int = 1400, seed: int = 11) -> list[list[tuple[str, int]]]
         kind = r.choice([1, 1, 2, 3, 4, 4, 4])
         host = r.choice(syllables) + r.choice(syllables)
         if kind == 1:
-            a, d = r.choice([("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."), (" @ ", ".")])
+            a, d = r.choice([("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."), (" @ ", "."), ("(@)", "(.)"), ("*at*", "*dot*")])
             if r.random() < 0.7:
-                a = r.choice([" at ", " at ", " (at) ", " [at] ", " {at} ", "(at)", "[at]", "{at}"])
-                d = r.choice([".", ".", " dot ", " dot ", "(dot)", "[dot]", "{dot}", " (dot) ", " {dot} "])
-                a = a.upper() if r.random() < 0.15 else a
+                a = r.choice([" at ", " at ", " (at) ", " [at] ", " {at} ", "(at)", "[at]", "{at}", " *at* ", "(@)"])
+                d = r.choice([".", ".", " dot ", " dot ", "(dot)", "[dot]", "{dot}", " (dot) ", " {dot} ", "*dot*", "(.)", " . "])
+                if r.random() < 0.25:
+                    a, d = a.upper(), d.upper()
             return f"{name()}{a}{host}{d}{r.choice(['com', 'org', 'net', 'de', 'example'])}", 1
         if kind == 2:
             six = ":".join("".join(r.choice("0123456789abcdef") for _ in range(4)) for _ in range(8))
-            return r.choice([".".join(str(r.randint(0, 255)) for _ in range(4)), six]), 2
+            four = r.choice([".", ".", "(.)", " dot "]).join(str(r.randint(0, 255)) for _ in range(4))
+            short = "::".join(":".join(f"{r.randint(1, 65535):x}" for _ in range(r.randint(1, 3))) for _ in range(2))
+            return r.choice([four, six, short]), 2
         if kind == 3:
-            return fours(card(), r.choice(["", " ", "-", "."])), 3
+            return fours(card(), r.choice(["", " ", "-", ".", ":", " . "])), 3
         a, b, c = digits(3), digits(3), digits(4)
+        if r.random() < 0.5:
+            by = r.choice([" ", "-", ".", "/", ""])
+            front = r.choice(["", "", "0", f"+{digits(2)} ", f"00{digits(2)} ", f"+{digits(1)}-", f"({a}) ", f"({a})"])
+            rest = r.choice([f"{a}{by or '-'}{b}{r.choice(['-', ' ', ''])}{c}", f"{digits(4)}{by or ' '}{digits(6)}", f"{digits(2)}{by or ' '}{digits(3)}{by or ' '}{digits(4)}", f"{b}{by or '-'}{c}" if front[:1] == "(" else f"{a}{by or ' '}{digits(7)}"])
+            return f"{r.choice(['', '', '', 'tel:', 'fax:'])}{front}{rest}", 4
         return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(2)} {digits(3)} {digits(7)}", f"00{digits(2)} {a} {b} {c}"]), 4
 
     def number() -> str:
         wrong = card()
         wrong = wrong[:-1] + str((int(wrong[-1]) + 3) % 10)
-        return r.choice([str(r.randint(1, 2100)), f"{digits(2)}.{digits(2)}.{r.randint(1900, 2030)}", f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}", f"${digits(3)}.{digits(2)}", f"{digits(3)},{digits(3)}", wrong, fours(wrong, " "), digits(r.randint(5, 13)), f"AKIA{digits(4)}XQ{digits(6)}", f"password={''.join(r.choice('0123456789abcdef') for _ in range(16))}", "978-" + digits(1) + "-" + digits(4) + "-" + digits(4) + "-" + digits(1), f"{filler()} at {filler()}", f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)} {digits(4)}", f"dot {filler()}", f"{digits(3)}-{digits(3)}"])
+        return r.choice([str(r.randint(1, 2100)), f"{digits(2)}.{digits(2)}.{r.randint(1900, 2030)}", f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}", f"${digits(3)}.{digits(2)}", f"{digits(3)},{digits(3)}", wrong, fours(wrong, " "), digits(r.randint(5, 13)), f"AKIA{digits(4)}XQ{digits(6)}", f"password={''.join(r.choice('0123456789abcdef') for _ in range(16))}", "978-" + digits(1) + "-" + digits(4) + "-" + digits(4) + "-" + digits(1), f"{filler()} at {filler()}", f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)} {digits(4)}", f"dot {filler()}", f"{digits(3)}-{digits(3)}", f"{filler()} at {filler()} dot {filler()}" if r.random() < 0.3 else f"a dot {filler()}", f"{filler()} at {filler()} . {filler()}", f"{digits(3)} {digits(3)}", f"{digits(2)}.{digits(6)}", f"{digits(2)}.{digits(5)}, {digits(1)}.{digits(5)}", f"{digits(4)}/{digits(2)}/{digits(2)}", f"{digits(1)},{digits(3)},{digits(3)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(4)}-{digits(4)}-{digits(4)}", f"{digits(2)} {digits(2)} {digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}.{digits(1)}{r.choice(['a', 'rc', 'b'])}{digits(1)}", "".join(r.choice("0123456789abcdef") for _ in range(40)), f"#{digits(9)}", f"{r.choice(['id', 'no', 'ref'])}:{digits(8)}"])
 
     lines = []
     for _ in range(n):
@@ -200,24 +251,25 @@ def _sane(kind: str, text: str) -> bool:
     """An exact check of a labelled span."""
     d, low = _digits(text), text.lower()
     if kind == "email":
-        return bool(re.fullmatch(r"[a-z0-9._%+-]+ ?(?:@|[\[({]at[\])}]| at ) ?[a-z0-9-]+(?: ?(?:\.|[\[({]dot[\])}]| dot ) ?[a-z0-9-]+)+", low))
+        return bool(_ADDRESS.fullmatch(low))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9a-f]{1,4}(?::[0-9a-f]{0,4}){2,7}", low)) and len(d) >= 2 and ("::" in low or low.count(":") == 7)
+        if four := _QUAD.fullmatch(low):
+            return all(int(x) <= 255 for x in four.groups())
+        return bool(_HEX.fullmatch(low)) and len(d) >= 2 and ("::" in low or low.count(":") == 7)
     if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d) and not re.search(r"[^0-9 .-]", text)
-    return 9 <= len(d) <= 15 and not re.search(r"[^0-9 ().+/-]", text) and bool(re.search(r"[ ().-]", text))
+        return 13 <= len(d) <= 19 and luhn(d) and not any(c.isalpha() for c in text) and len(text) <= 3 * len(d)
+    return 9 <= len(d) <= 15 and not re.search(r"[^0-9 ().+/-]", text) and bool(re.search(r"[ ().+/-]", text))
 
 
 #: What a span of more words may still become; once this fails, more words do not help.
-_EMAIL_SO_FAR = re.compile(r"[a-z0-9._%+-]+(?: ?(?:@|[\[({]at[\])}]| at)(?: ?[a-z0-9-]+(?: ?(?:\.|[\[({]dot[\])}]| dot ) ?[a-z0-9-]+)*(?: ?(?:\.|[\[({]dot[\])}]| dot))?)?)?")
-_PARTS = {"card": re.compile(r"[0-9 .-]*"), "phone": re.compile(r"\(*\+?[0-9 ()./-]*")}
+_PARTS = {"card": re.compile(r"[^A-Za-z]*"), "phone": re.compile(r"\(*\+?[0-9 ()./-]*"), "ip": re.compile(r"[0-9A-Fa-f.:\[\](){}*<> dotDOT-]*")}
 _MOST_DIGITS = {"card": 19, "phone": 15}
 
 
 def _open(kind: str, text: str) -> bool:
     if kind == "email":
-        return bool(_EMAIL_SO_FAR.fullmatch(text.lower()))
-    return kind in _PARTS and len(_digits(text)) <= _MOST_DIGITS[kind] and bool(_PARTS[kind].fullmatch(text))
+        return len(text) <= 200 and len(re.findall(rf"{_AT}", text.lower() + " ")) <= 1
+    return kind in _PARTS and len(_digits(text)) <= _MOST_DIGITS.get(kind, 32) and bool(_PARTS[kind].fullmatch(text))
 
 
 def _pieces(kind: str, text: str, words: list[re.Match]) -> list[tuple[int, int]]:
@@ -226,6 +278,8 @@ def _pieces(kind: str, text: str, words: list[re.Match]) -> list[tuple[int, int]
 
     def ends(i: int, j: int) -> tuple[int, int]:
         start, end = words[i].start(), words[j - 1].end()
+        if kind != "email" and (lead := _LEAD.match(text, start, end)):
+            start = lead.end()
         while end > start and text[end - 1] in ".,;:!?":
             end -= 1
         return start, end
@@ -240,7 +294,7 @@ def _pieces(kind: str, text: str, words: list[re.Match]) -> list[tuple[int, int]
         covered, pieces, uneven = best[i]
         if best[i] > best[i + 1]:
             best[i + 1], came[i + 1] = best[i], -1
-        if kind in _PARTS and not _digits(words[i][0]):
+        if kind in _PARTS and kind != "ip" and not _digits(words[i][0]):
             continue
         for j in range(i + 1, n + 1):
             start, end = ends(i, j)
@@ -282,7 +336,14 @@ def method_spans(texts: list[str], weights: np.ndarray, trans: np.ndarray, batch
                     j += 1
                 if own[i]:
                     kind = LABELS[own[i]]
-                    out[which] += [(kind, a, b) for a, b in _pieces(kind, texts[which], words[i:j])]
+                    found = _pieces(kind, texts[which], words[i:j])
+                    # the field may miss the first or the last word of an item
+                    more = ((i, j + 1), (i - 1, j), (i - 1, j + 1))
+                    while not found and more:
+                        (a, b), more = more[0], more[1:]
+                        if a >= 0 and b <= len(own):
+                            found = [s for s in _pieces(kind, texts[which], words[a:b]) if s[0] <= words[i].start() or s[1] > words[j - 1].start()]
+                    out[which] += [(kind, a, b) for a, b in found]
                 i = j
         lines.clear()
 
