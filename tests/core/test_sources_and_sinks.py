@@ -102,10 +102,13 @@ def test_a_json_array_in_record_order(spark, tmp_path):
 
 class Site(http.server.BaseHTTPRequestHandler):
     tries: dict = {}
+    more: dict = {}
 
     def do_GET(self):
         n = Site.tries[self.path] = Site.tries.get(self.path, 0) + 1
         code, kind, body = {"/ok": (200, "text/html", b"<p>ok"), "/busy": (503 if n < 2 else 200, "text/html", b"late"), "/pdf": (200, "application/pdf", b"x"), "/slow": (429, "text/html", b""), "/robots.txt": (200, "text/plain", b"User-agent: *\nDisallow: /secret\n")}.get(self.path, (404, "text/html", b""))
+        if self.path in Site.more:
+            code, kind, body = 200, Site.more[self.path][0], Site.more[self.path][1].encode()
         self.send_response(code)
         self.send_header("content-type", kind)
         if self.path == "/slow":
@@ -132,6 +135,49 @@ def test_live_pages(spark):
     assert "robots" in rows["/secret"].error
 
 
+def test_a_manifest_is_written_and_read(spark, tmp_path):
+    from textloom.operators import crawl
+    from textloom.sources import jobs
+
+    table = spark.createDataFrame([("https://who.int/malaria", f"<title>Malaria</title><p>{FULL}</p><a href='/lost'>x</a>")], "url string, html string")
+    config = crawl.CrawlConfig(("https://who.int/malaria", "https://cdc.gov/none"), max_pages=5, max_depth=1)
+    row = jobs.snapshot(crawl.run_crawl(spark, table, config), config, "j1")
+    for _ in range(2):
+        jobs.write_manifests(row, str(tmp_path))
+    assert sorted(p.name for p in (tmp_path / "j1").iterdir() if not p.name.startswith(".")) == ["job.json"]
+    got = jobs.read_manifests(spark, str(tmp_path)).first()
+    assert (got.job_id, got.status, got.discovered_pages, got.accepted_pages, got.failed_pages, got.max_pages) == ("j1", "completed", 3, 1, 2, 10)
+    assert [(p.label, p.accepted_pages) for p in sorted(got.platform_states, key=lambda p: p.root_host)] == [("Centers for Disease Control and Prevention", 0), ("World Health Organization", 1)]
+    assert len(got.errors) == 2 and got.queue_items == []
+
+
+def test_urls_as_sources(spark):
+    """Pages, robots.txt and nested sitemaps of a server of our own."""
+    from textloom.operators import crawl
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    at = lambda name: f"<loc>{base}/{name}</loc>"
+    Site.more = {
+        "/sitemap.xml": ("text/xml", f"<sitemapindex><sitemap>{at('a.xml')}</sitemap></sitemapindex>"),
+        "/a.xml": ("text/xml", f"<urlset><url>{at('health/one')}</url><url>{at('x.pdf')}</url></urlset>"),
+        "/health/one": ("text/html", f"<title>Malaria</title><p>{FULL}</p>"),
+    }
+    try:
+        rows = {r.source_url.removeprefix(base): r for r in web.read_urls(spark, [f"{base}/health/one", f"{base}/ok", f"{base}/lost"]).collect()}
+        found = web.discover(spark, [base], 10)
+        assert [(r.url.removeprefix(base), r.seq) for r in found.collect()] == [("/health/one", 1)]
+        done = crawl.run_crawl(spark, spark.createDataFrame([(f"{base}/health/one", Site.more["/health/one"][1])], "url string, html string"), crawl.CrawlConfig((base,), max_depth=0), found)
+        assert {r.url.removeprefix(base): r.depth for r in done.visited.collect()} == {"/": 0, "/health/one": 0}
+    finally:
+        Site.more = {}
+        server.shutdown()
+    assert (rows["/health/one"].title, rows["/health/one"].blocks, rows["/health/one"].error) == ("Malaria", [FULL], None)
+    assert "paragraph" in rows["/ok"].error and "404" in rows["/lost"].error
+    assert web.fetch_text("http://127.0.0.1:9/robots.txt") is None
+
+
 def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     where = str(tmp_path)
     rows = [(i, f"https://who.int/malaria/{i % 3}", f"<title>Malaria</title><p>{FULL}</p>") for i in range(6)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +50,13 @@ def parse_sitemap(xml: Column) -> Column:
     return F.struct(pick("urlset").alias("urls"), pick("sitemapindex").alias("nested"))
 
 
-def expand_sitemaps(files: DataFrame, start: DataFrame, max_urls: int, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """URLs that sitemaps reach: root_host, url, seq. files: url, xml; start: url, root_host, nth.
+def expand_sitemaps(files: DataFrame | Callable[[DataFrame], DataFrame], start: DataFrame, max_urls: int, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """URLs that sitemaps reach: root_host, url, seq. files: url, xml, or what adds xml to a table with url; start: url, root_host, nth.
 
     A sitemap's own URLs come before those of the ones it names, each sitemap once for a site, 201 sitemaps of a
     site at most, so at most 201 levels, as a sitemap comes after all that lead to it; URLs of the site only, pages only, relevant only; the first of each, max_urls of a site."""
-    parsed = files.withColumn("p", parse_sitemap(F.col("xml"))).select("url", "p.urls", "p.nested")
+    split = lambda rows: rows.withColumn("p", parse_sitemap(F.col("xml"))).select("url", "p.urls", "p.nested")
+    parsed = split(files) if isinstance(files, DataFrame) else None
     level = start.select("root_host", "url", F.array(F.col("nth").cast("int")).alias("way"))
     seen = None
     for _ in range(MAX_SITEMAPS):
@@ -62,6 +65,10 @@ def expand_sitemaps(files: DataFrame, start: DataFrame, max_urls: int, lexicon:
         if level.isEmpty():
             break
         seen = level if seen is None else seen.unionByName(level)
+        if not isinstance(files, DataFrame):
+            new = level.select("url").distinct()
+            new = materialise(split(files(new if parsed is None else new.join(parsed, "url", "left_anti"))), "fetched")
+            parsed = new if parsed is None else parsed.unionByName(new)
         level = level.join(parsed, "url").select("root_host", "way", F.posexplode("nested").alias("pos", "url")).select("root_host", "url", F.concat("way", F.array(F.col("pos") + 1)).alias("way"))
     from pyspark.sql import Window
 

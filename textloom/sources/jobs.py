@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import urls
+from textloom.operators.crawl import Crawl, CrawlConfig, completion_message, error_tail
 
 QUEUE_ITEM = "struct<url:string,depth:int,platform_id:string,root_host:string,source_name:string,verified:boolean,verified_from:string,tags:array<string>>"
 PLATFORM = "struct<platform_id:string,label:string,start_url:string,root_host:string,max_pages:int,discovered_pages:int,scraped_pages:int,accepted_pages:int,rejected_pages:int,status:string,status_message:string>"
@@ -79,6 +80,38 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     return with_defaults(rows.withColumn("job_id", F.coalesce("job_id", "__folder")).withColumn("broken", F.col("_corrupt_record").isNotNull()).drop("__folder", "_corrupt_record"))
 
 
+def snapshot(crawl: Crawl, config: CrawlConfig, job_id: str) -> DataFrame:
+    """The manifest of a crawl that is over, as one row of MANIFEST: its settings, counters, platforms and last errors; queues and URL sets are empty."""
+    spark = crawl.progress.sparkSession
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("int").alias(f"{c}_pages")
+    whole = crawl.progress.agg(*map(count, ("discovered", "scraped", "accepted", "rejected", "failed")))
+    state = [F.col("platform_id"), urls.source(F.col("platform_id"))["source_name"].alias("label"), F.col("platform_id").alias("start_url"), urls.root_host(F.col("platform_id")).alias("root_host"), F.lit(config.max_pages).alias("max_pages"), *(F.col(c).cast("int").alias(f"{c}_pages") for c in ("discovered", "scraped", "accepted", "rejected")), "status", F.col("message").alias("status_message")]
+    platforms = crawl.progress.select(F.struct(*state).alias("p")).agg(F.sort_array(F.collect_list("p")).cast(f"array<{PLATFORM}>").alias("platform_states"))
+    errors = error_tail(crawl.errors, "url").agg(F.sort_array(F.collect_list("error")).alias("errors"))
+    none = lambda name: F.array().cast(f"array<{QUEUE_ITEM}>" if name.endswith("items") else "array<string>").alias(name)
+    given = {"job_id": job_id, "start_url": config.start_urls[0], "platform_max_pages": config.max_pages, "max_pages": config.total_pages, "max_depth": config.max_depth, "include_sitemap": config.include_sitemap, "concurrency": config.concurrency, "pause_requested": False, "cancel_requested": False}
+    row = whole.crossJoin(platforms).crossJoin(errors)
+    row = row.withColumn("status", F.when(F.col("accepted_pages") > 0, "completed").otherwise("failed"))
+    message = completion_message(F.col("accepted_pages"), F.col("failed_pages"), F.lit(False))
+    row = row.select("*", F.coalesce(message, F.lit("Completed.")).alias("status_message"), F.array(*map(F.lit, config.start_urls)).alias("start_urls"), *(F.lit(v).alias(k) for k, v in given.items()), *map(none, ("messages", "queue_items", "in_progress_items", "queued_urls", "in_progress_urls", "processed_urls")))
+    return row.select(*(f.name for f in spark.createDataFrame([], MANIFEST).schema.fields))
+
+
+def write_manifests(jobs: DataFrame, root: str) -> None:
+    """root/<job_id>/job.json of each job, each replaced as a whole; jobs are few, and a manifest is one row."""
+    spark = jobs.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    names = [f.name for f in spark.createDataFrame([], MANIFEST).schema.fields]
+    for row in jobs.select("job_id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("body")).toLocalIterator():
+        path, new = hadoop.Path(f"{root}/{row.job_id}/job.json"), hadoop.Path(f"{root}/{row.job_id}/job.json.new")
+        files = path.getFileSystem(conf)
+        out = files.create(new, True)
+        out.write(bytearray(row.body.encode()))
+        out.close()
+        files.delete(path, False)
+        files.rename(new, path)
+
+
 def pending(jobs: DataFrame) -> DataFrame:
     """Jobs that are queued or running with something in the queue or in progress."""
     return jobs.filter(F.col("status").isin(*PENDING) & ((F.size("queue_items") > 0) | (F.size("in_progress_urls") > 0)))

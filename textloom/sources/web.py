@@ -12,9 +12,17 @@ import urllib.request
 import urllib.robotparser
 from urllib.parse import urlsplit
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from textloom.functions import urls
+from textloom.operators.html import with_parsed
+from textloom.operators.sitemap import discovery_order, expand_sitemaps
+from textloom.plans.storage import materialise
+
 AGENT = "textloom/1.0"
 RETRIED = frozenset((429, 500, 502, 503, 504))
 
@@ -43,6 +51,45 @@ def fetch(url: str, timeout: float = 20.0, attempts: int = 3, sleep=time.sleep)
     return None, "no attempt"
 
 
+def fetch_text(url: str, timeout: float = 8.0) -> str | None:
+    """A plain text at once or not at all: robots.txt and sitemaps. The timeout is 3 seconds at least."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": AGENT}), timeout=max(3.0, timeout)) as got:
+            return got.read().decode(got.headers.get_content_charset() or "utf-8", "replace")
+    except (OSError, ValueError):
+        return None
+
+
+def with_texts(rows: DataFrame, url: str = "url", text: str = "text", timeout: float = 8.0) -> DataFrame:
+    """rows with the text at each URL, null where there is none; fetched by the tasks."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(url)
+            found = pa.array([x and fetch_text(x, timeout) for x in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, text])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
+
+
+def discover(spark: SparkSession, start_urls: list[str], max_urls: int, timeout: float = 8.0) -> DataFrame:
+    """root_host, url, seq of the pages that the sites' sitemaps name, fetched live: /sitemap.xml, then those of robots.txt, nested ones as they are found."""
+    sites = spark.createDataFrame([(u,) for u in start_urls], "given string").select(urls.normalize(F.col("given")).alias("url")).filter("url is not null").distinct()
+    robots = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.netloc(F.col("url")), F.lit("/robots.txt"))
+    start = materialise(discovery_order(with_texts(sites.withColumn("robots", robots), "robots", timeout=timeout)), "robots")
+    return expand_sitemaps(lambda level: with_texts(level, text="xml", timeout=timeout), start, max_urls)
+
+
+def read_urls(spark: SparkSession, given: list[str], partitions: int = 8) -> DataFrame:
+    """A row per URL as a source of its own: source_url, title, blocks, source_name, verified, verified_from, tags and error; a page without blocks is an error."""
+    register(spark)
+    wanted = spark.createDataFrame([(u,) for u in given], "given string").select(urls.normalize(F.col("given")).alias("url")).filter("url is not null").distinct().collect()
+    pages = spark.read.format("web_pages").option("urls", " ".join(r.url for r in wanted)).option("partitions", partitions).load()
+    rows = with_parsed(pages.withColumnRenamed("error", "failed").withColumnRenamed("url", "source_url")).withColumn("source", urls.source(F.col("source_url")))
+    error = F.coalesce("failed", "error", F.when(F.size("blocks") == 0, "no paragraph-level content was found on the page"))
+    return rows.select("source_url", "title", "blocks", "source.source_name", "source.verified", "source.verified_from", "source.tags", error.alias("error"))
+
+
 class _Part(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls
