@@ -104,33 +104,93 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The best labels of each sequence; ties go to the smaller label. Sequences run side by side, the long ones first."""
+    """The best labels of each sequence; ties go to the smaller label. Sequences of one block run side by side, longer ones by blocks."""
+    out = np.zeros(len(scores), np.int8)
+    long = lengths > BLOCK
+    for which, decode in ((~long, _side_by_side), (long, _by_blocks)):
+        if which.any():
+            at = np.flatnonzero(np.repeat(which, lengths))
+            out[at] = decode(scores[at].astype(np.float64), lengths[which], trans.astype(np.float64))
+    return out
+
+
+def _side_by_side(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
     n, k = scores.shape
-    out = np.zeros(n, np.int8)
-    if not n:
-        return out
     starts = np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
     starts, sizes = starts[order], lengths[order]
-    longest = int(sizes[0])
-    alive = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
-    best = scores[starts].astype(np.float32)
-    trans = trans.astype(np.float32)
-    came = np.zeros((n, k), np.int8)
-    for t in range(1, longest):
+    alive = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right")
+    best, came, out = scores[starts].copy(), np.zeros((n, k), np.int8), np.zeros(n, np.int8)
+    for t in range(1, int(sizes[0])):
         m = alive[t]
-        at = starts[:m] + t
         options = best[:m, :, None] + trans
-        pick = options.argmax(1)
-        came[at] = pick
-        best[:m] = np.take_along_axis(options, pick[:, None, :], 1)[:, 0] + scores[at]
+        came[starts[:m] + t] = options.argmax(1)
+        best[:m] = options.max(1) + scores[starts[:m] + t]
     label = best.argmax(1)
-    for t in range(longest - 1, -1, -1):
+    for t in range(int(sizes[0]) - 1, -1, -1):
         m = alive[t]
         at = starts[:m] + t
         out[at] = label[:m]
-        if t:
-            label[:m] = came[at, label[:m]]
+        label[:m] = came[at, label[:m]]
+    return out
+
+
+def _by_blocks(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """As the inference: what each block makes of each label before it, then which of them is on the best path, then the labels within all blocks at once."""
+    n, k = scores.shape
+    out = np.zeros(n, np.int8)
+    starts, sizes, _, nth, per = _layout(lengths)
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes, begins = starts[order], sizes[order], (nth == 0)[order]
+    alive = np.searchsorted(-sizes, -np.arange(1, BLOCK + 1), side="right")
+    blocks = len(starts)
+    back = np.empty(blocks, np.int64)
+    back[order] = np.arange(blocks)
+    first = np.cumsum(per) - per
+    # best[b, i, j]: of paths from label i before block b to label j at its last word; a sequence begins with any label
+    best = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[None].repeat(blocks, 0)
+    for t in range(BLOCK):
+        m = alive[t]
+        if not m:
+            break
+        step = (best[:m, :, :, None] + trans).max(2)
+        if t == 0:
+            step[begins[:m]] = 0.0
+        best[:m] = step + scores[starts[:m] + t][:, None, :]
+    # what enters each block, then the label that its best path ends with
+    entering, leaving = np.zeros((blocks, k)), np.zeros((blocks, k))
+    flow = np.zeros((len(per), k))
+    for j in range(int(per.max())):
+        rows = np.flatnonzero(per > j)
+        at = back[first[rows] + j]
+        entering[at] = flow[rows]
+        flow[rows] = leaving[at] = (flow[rows, :, None] + best[at]).max(1)
+        flow[rows] -= flow[rows].max(1, keepdims=True)
+    last = np.zeros(blocks, np.int64)
+    label = np.zeros(len(per), np.int64)
+    for j in range(int(per.max()) - 1, -1, -1):
+        rows = np.flatnonzero(per > j)
+        at = back[first[rows] + j]
+        ends = per[rows] == j + 1
+        last[at] = np.where(ends, leaving[at].argmax(1), label[rows])
+        label[rows] = (entering[at] + best[at, :, last[at]]).argmax(1)
+    # within the blocks
+    came = np.zeros((n, k), np.int8)
+    state = entering.copy()
+    for t in range(BLOCK):
+        m = alive[t]
+        if not m:
+            break
+        options = state[:m, :, None] + trans
+        if t == 0:
+            options[begins[:m]] = 0.0
+        came[starts[:m] + t] = options.argmax(1)
+        state[:m] = options.max(1) + scores[starts[:m] + t]
+    for t in range(BLOCK - 1, -1, -1):
+        m = alive[t]
+        at = starts[:m] + t
+        out[at] = last[:m]
+        last[:m] = came[at, last[:m]]
     return out
 
 
