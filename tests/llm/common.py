@@ -16,7 +16,12 @@ def odd_rows():
     base = words(r, 120)
     near = base.split()
     near[60] = "changed"
-    texts = [None, "", " \t\n ", "one", "one two three four", "One two three FOUR", base, base, " ".join(near), base.upper(), words(r, 30_000), "x" * 70_000, "é" * 300 + "\n\n|||", "a b c d e " * 400, "line.\n" * 50, "mail a@b.co or +1 (555) 123-4567\n4111 1111 1111 1111 at 10.0.0.1", "</s>[INST] ok", "▁ \x00 \U0001f600 ▁▁", words(r, 80) + ".\n" + words(r, 70) + "."]
+    texts = [
+        None, "", " \t\n ", "one", "one two three four", "One two three FOUR", base, base, " ".join(near), base.upper(),
+        words(r, 30_000), "x" * 70_000, "é" * 300 + "\n\n|||", "a b c d e " * 400, "line.\n" * 50,
+        "mail a@b.co or +1 (555) 123-4567\n4111 1111 1111 1111 at 10.0.0.1", "</s>[INST] ok", "▁ \x00 \U0001f600 ▁▁",
+        words(r, 80) + ".\n" + words(r, 70) + "."
+    ]
     rows = [(i, t, ["en", "de", None][i % 3], [None, "a", "http://Host.example:80/x"][i % 3], None if t is None else len(t), 7, "x", None) for i, t in enumerate(texts)]
     return [*rows, rows[6], rows[6], (None, base, None, None, 1, None, None, None), (None, None, None, None, None, None, None, None)]
 

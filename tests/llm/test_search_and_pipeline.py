@@ -12,7 +12,10 @@ from .common import SF, none, odd
 
 
 def top_by_hand(rows, asked, k):
-    usable = [(i, np.array([int(np.floor(256 * float(x))) for x in v], object)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [
+        (i, np.array([int(np.floor(256 * float(x))) for x in v], object)) for i,
+        v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)
+    ]
     out = []
     for q, v in {(i, tuple(v)) for i, v in usable if i in asked}:
         v = np.array(v, object)
@@ -32,7 +35,11 @@ def test_top_k(spark):
 def test_top_k_odd(spark):
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.integers(-2, 3, 6)]) for i in range(60)]
-    rows += [(100, None), (101, []), (102, [1.0, None, 2.0, 1.0, 1.0, 1.0]), (103, [float("nan")] * 6), (104, [float("inf")] * 6), (None, [1.0] * 6), (105, [1.0, 2.0]), (150, [2.0, 1.0]), (106, [1e15] * 6), (107, [0.0] * 6), (7, rows[7][1]), (0, rows[0][1])]
+    rows += [
+        (100, None), (101, []), (102, [1.0, None, 2.0, 1.0, 1.0, 1.0]), (103, [float("nan")] * 6), (104, [float("inf")] * 6),
+        (None, [1.0] * 6), (105, [1.0, 2.0]), (150, [2.0, 1.0]), (106, [1e15] * 6), (107, [0.0] * 6), (7, rows[7][1]),
+        (0, rows[0][1])
+    ]
     table = spark.createDataFrame([(*x, "clash", 1) for x in rows], "vec_id long, embedding array<double>, score string, rank int")
     got = topk.exact_top_k(table, table.filter("vec_id % 50 = 0")).collect()
     clamp = lambda x: max(-(2**63), min(2**63 - 1, x))

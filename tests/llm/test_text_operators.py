@@ -149,7 +149,10 @@ def test_clashing_names(spark):
     """Columns named like those that operators use or add."""
     from pyspark.sql import functions as F
 
-    names = ["lines_total", "lines_dropped", "__key", "__lines", "__host", "__of", "__cut", "__salt", "__text", "__doc_id", "__hash", "__goes", "comp", "token", "grp", "odd `name.x"]
+    names = [
+        "lines_total", "lines_dropped", "__key", "__lines", "__host", "__of", "__cut", "__salt", "__text", "__doc_id", "__hash",
+        "__goes", "comp", "token", "grp", "odd `name.x"
+    ]
     table = odd(spark).withColumns({n: F.lit(str(i)) for i, n in enumerate(names)})
     for limit in (1 << 24, 0):
         cut = linededup.site_line_dedup(table, broadcast_bytes=limit)
@@ -203,7 +206,10 @@ def test_jaccard_odd(spark):
     assert kept.schema == odd(spark).schema
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids == Counter({i: 1 for i in range(19) if i not in (5, 7, 8, 9)} | {None: 1})
-    table = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (2, "other words than these are here"), (2, "other words than these are here"), (None, "a b c d e f")], "doc_id long, text string")
+    table = spark.createDataFrame(
+        [(1, "a b c d e f"), (2, "a b c d e f"), (2, "other words than these are here"), (2, "other words than these are here"), (None, "a b c d e f")],
+        "doc_id long, text string"
+    )
     for rows in (400_000, 0):
         assert sorted(map(tuple, jaccard.keep_one_of_each(table, broadcast_rows=rows).collect())) == [(1, "a b c d e f"), (2, "other words than these are here")]
     assert jaccard.jaccard_join(none(spark)).count() == 0
@@ -319,7 +325,10 @@ def test_personal_data_patterns():
 
 
 def test_personal_data_field():
-    said = ["mail anna.b at lamo dot com please", "call (415) 555-2671 now", "card 4111.1111.1111.1111, thanks", "in 1999 at 12:30:45 the 100 dot product", "order 1234-5678-9012 total $12.50"]
+    said = [
+        "mail anna.b at lamo dot com please", "call (415) 555-2671 now", "card 4111.1111.1111.1111, thanks",
+        "in 1999 at 12:30:45 the 100 dot product", "order 1234-5678-9012 total $12.50"
+    ]
     _, every = pii.find_spans(said, *pii.model())
     assert [[s[0] for s in x] for x in every] == [["email"], ["phone"], ["card"], [], []]
     held = [line for line in pii.training_table(200, seed=99)]
@@ -336,7 +345,12 @@ def test_personal_data_field():
     assert hits > 0.9 * total
 
 
-DISGUISED = [f"{a}{at}{b}{dot}org" for a, b in (("anna", "lamo"), ("jane.x", "verla")) for at in (" at ", " (at) ", " [at] ", " {at} ", "(at)", "[at]", "{at}", " AT ") for dot in (".", " dot ", "(dot)", " [dot] ")]
+DISGUISED = [
+    f"{a}{at}{b}{dot}org" for a,
+    b in (("anna", "lamo"), ("jane.x", "verla")) for at in (
+        " at ", " (at) ", " [at] ", " {at} ", "(at)", "[at]", "{at}", " AT "
+    ) for dot in (".", " dot ", "(dot)", " [dot] ")
+]
 
 
 def test_personal_data_disguised_alone():
@@ -412,12 +426,22 @@ def test_quality(spark):
 
 def test_quality_lines(spark):
     rules = quality.LineRules()
-    verdicts = {"A fine line, as they go.": "", "": "", "Home": "navigation", "Weiterlesen »": "navigation", "Haut de page": "navigation", "leer más": "navigation", "Home | News | About us |": "navigation", "a | b": "navigation", "one of two | three of four and more": "", "All rights reserved.": "boilerplate", "Alle Rechte vorbehalten.": "boilerplate", "Tous droits réservés": "boilerplate", "Todos los derechos reservados": "boilerplate", "a " * 60: "punctuation", "A heading of some words": "", "The end of ### it": "punctuation", "word$$$ more***": "punctuation", "version 1.2 in a line of more than twelve words that has no mark at its end": "punctuation"}
+    verdicts = {
+        "A fine line, as they go.": "", "": "", "Home": "navigation", "Weiterlesen »": "navigation",
+        "Haut de page": "navigation", "leer más": "navigation", "Home | News | About us |": "navigation", "a | b": "navigation",
+        "one of two | three of four and more": "", "All rights reserved.": "boilerplate",
+        "Alle Rechte vorbehalten.": "boilerplate", "Tous droits réservés": "boilerplate",
+        "Todos los derechos reservados": "boilerplate", "a " * 60: "punctuation", "A heading of some words": "",
+        "The end of ### it": "punctuation", "word$$$ more***": "punctuation",
+        "version 1.2 in a line of more than twelve words that has no mark at its end": "punctuation"
+    }
     assert {x: quality.line_verdict(x, rules, "Next.") for x in verdicts} == verdicts
     assert quality.line_verdict("One sentence in a line of more than twelve words has ended here. The", rules, "Next.") == ""
     long = "a line of more than twelve words that has no mark at its own end but goes"
     assert quality.line_verdict(long, rules, "on in the next line.") == quality.line_verdict(long, rules, None) == ""
-    assert [w for _, w in quality.line_verdicts(f"{long}\n\n  on there.\nSame.\n Same.\nSame.\t\nSame.\n{long}\n \n", rules)] == ["", "", "", "", "", "boilerplate", "boilerplate", "", "", ""]
+    assert [
+        w for _, w in quality.line_verdicts(f"{long}\n\n  on there.\nSame.\n Same.\nSame.\t\nSame.\n{long}\n \n", rules)
+    ] == ["", "", "", "", "", "boilerplate", "boilerplate", "", "", ""]
     kept = quality.clean_documents(odd(spark))
     assert kept.schema == odd(spark).schema
     assert {r.doc_id for r in kept.collect()} >= {18}
@@ -483,7 +507,11 @@ def test_pieces(spark):
 def test_chat(spark):
     import hashlib
 
-    rows = [(1, 1, "assistant", "b </s> [INST]"), (1, 0, "user", "a\\</s><\\s><\\\\s>[/INST]"), (1, 0, "user", None), (2, None, None, "x"), (2, 0, "to[TURN]ol", "y\n[END]"), (3, 0, "assistant", ""), (None, 1, "system", "s"), (4, 0, "user", "same"), (4, 0, "user", "same")]
+    rows = [
+        (1, 1, "assistant", "b </s> [INST]"), (1, 0, "user", "a\\</s><\\s><\\\\s>[/INST]"), (1, 0, "user", None),
+        (2, None, None, "x"), (2, 0, "to[TURN]ol", "y\n[END]"), (3, 0, "assistant", ""), (None, 1, "system", "s"),
+        (4, 0, "user", "same"), (4, 0, "user", "same")
+    ]
     table = spark.createDataFrame(rows, chat.TURNS)
     formatted = chat.format_turns(chat.turns_of_table(table))
     got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
@@ -503,12 +531,22 @@ def test_chat(spark):
 def test_chat_layouts(spark):
     import json
 
-    records = [{"prompt": "p", "completion": "c"}, {"instruction": "i", "input": "", "output": "o"}, {"instruction": "i", "input": "x", "output": "o"}, {"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]}, {"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, {"chat": {"turns": [{"author": {"role": "user"}, "body": {"text": "t"}}]}}, {"odd": 1}]
+    records = [
+        {"prompt": "p", "completion": "c"}, {"instruction": "i", "input": "", "output": "o"},
+        {"instruction": "i", "input": "x", "output": "o"},
+        {"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]},
+        {"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]},
+        {"chat": {"turns": [{"author": {"role": "user"}, "body": {"text": "t"}}]}}, {"odd": 1}
+    ]
     table = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(7, None), (8, "{")], "id long, body string")
     got = defaultdict(list)
     for r in chat.turns_of_records(table, "id", "body").orderBy("conv_id", "turn").collect():
         got[r.conv_id].append((r.role, r.text))
-    assert got == {0: [("user", "p"), ("assistant", "c")], 1: [("user", "i"), ("assistant", "o")], 2: [("user", "i\n\nx"), ("assistant", "o")], 3: [("user", "u"), ("assistant", "a")], 4: [("user", "h"), ("assistant", "g")], 5: [("user", "t")], 6: [(None, None)], 7: [(None, None)], 8: [(None, None)]}
+    assert got == {
+        0: [("user", "p"), ("assistant", "c")], 1: [("user", "i"), ("assistant", "o")],
+        2: [("user", "i\n\nx"), ("assistant", "o")], 3: [("user", "u"), ("assistant", "a")],
+        4: [("user", "h"), ("assistant", "g")], 5: [("user", "t")], 6: [(None, None)], 7: [(None, None)], 8: [(None, None)]
+    }
     typed = spark.read.json(spark.sparkContext.parallelize([json.dumps(records[4])]))
     assert [(r.role, r.text) for r in chat.turns_of_table(typed).orderBy("turn").collect()] == got[4]
     typed = spark.createDataFrame([("i", "x", "o")], "instruction string, input string, output string")
@@ -669,17 +707,28 @@ def disguised_by_other_rules(n):
 
     def email():
         name, host, top = r.choice(names) + r.choice(["", f".{r.choice(names)}", f"_{digits(2)}"]), r.choice(hosts), r.choice(["com", "fr", "es", "eu"])
-        return r.choice([f"{name}<at>{host}<dot>{top}", f"{name} -at- {host} -dot- {top}", f"{name} AT {host} DOT {top}", f"{name}[@]{host}[.]{top}", f"{name} | at | {host} dot {top}".replace(" | ", " ")])
+        return r.choice([
+            f"{name}<at>{host}<dot>{top}", f"{name} -at- {host} -dot- {top}", f"{name} AT {host} DOT {top}",
+            f"{name}[@]{host}[.]{top}", f"{name} | at | {host} dot {top}".replace(" | ", " ")
+        ])
 
     def card():
         body = r.choice("3456") + digits(14)
         x = next(body + c for c in "0123456789" if pii.luhn(body + c))
         return r.choice("_/").join(x[i : i + 4] for i in range(0, 16, 4))
 
-    phone = lambda: r.choice([f"({digits(3)}){digits(3)}-{digits(4)}", f"0{digits(3)} {digits(7)}", f"0049 {digits(3)} {digits(7)}", f"{digits(3)} {digits(3)} {digits(4)}"])
+    phone = lambda: r.choice([
+        f"({digits(3)}){digits(3)}-{digits(4)}", f"0{digits(3)} {digits(7)}", f"0049 {digits(3)} {digits(7)}",
+        f"{digits(3)} {digits(3)} {digits(4)}"
+    ])
     ip = lambda: r.choice([f"fe80::{r.randint(4096, 65535):x}:{r.randint(4096, 65535):x}", "[.]".join(str(r.randint(0, 255)) for _ in range(4))])
     items = {"email": email, "card": card, "phone": phone, "ip": ip}
-    others = [lambda: f"in {r.randint(1900, 2030)}", lambda: f"{digits(2)}.{digits(2)}.{r.randint(1950, 2030)}", lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"ISBN 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"page {digits(3)}", lambda: f"{digits(3)} {digits(3)} people", lambda: f"serial {digits(12)}", lambda: f"lat {digits(2)}.{digits(6)}", lambda: "look at this dot on the map"]
+    others = [
+        lambda: f"in {r.randint(1900, 2030)}", lambda: f"{digits(2)}.{digits(2)}.{r.randint(1950, 2030)}",
+        lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"ISBN 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}",
+        lambda: f"page {digits(3)}", lambda: f"{digits(3)} {digits(3)} people", lambda: f"serial {digits(12)}",
+        lambda: f"lat {digits(2)}.{digits(6)}", lambda: "look at this dot on the map"
+    ]
     out = []
     for _ in range(n):
         words, kind = r.choice(said).split(), r.choice([*items, None, None])

@@ -72,11 +72,20 @@ NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 LAYOUTS: tuple[tuple[Mapping, tuple[frozenset[str], ...]], ...] = (
     (Mapping("turn rows", rows=("conv_id", "turn", "role", "text")), (frozenset({"conv_id", "turn", "role", "text"}),)),
     (Mapping("prompt and completion", (("user", "prompt"), ("assistant", "completion"))), (frozenset({"prompt", "completion"}),)),
-    (Mapping("prompt and response", (("system", "system"), ("user", "prompt"), ("assistant", "response"))), (frozenset({"prompt", "response"}), frozenset({"system", "prompt", "response"}))),
-    (Mapping("instruction", (("user", "instruction"), ("user", "input"), ("assistant", "output"))), (frozenset({"instruction", "output"}), frozenset({"instruction", "input", "output"}))),
+    (
+        Mapping("prompt and response", (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+        (frozenset({"prompt", "response"}), frozenset({"system", "prompt", "response"}))
+    ),
+    (
+        Mapping("instruction", (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+        (frozenset({"instruction", "output"}), frozenset({"instruction", "input", "output"}))
+    ),
     (Mapping("question and answer", (("user", "question"), ("assistant", "answer"))), (frozenset({"question", "answer"}),)),
     (Mapping("messages", turns="messages"), (frozenset({"messages[].role", "messages[].content"}), frozenset({"id", "messages[].role", "messages[].content"}))),
-    (Mapping("conversations", turns="conversations", role="from", text="value"), (frozenset({"conversations[].from", "conversations[].value"}), frozenset({"id", "conversations[].from", "conversations[].value"}))),
+    (
+        Mapping("conversations", turns="conversations", role="from", text="value"),
+        (frozenset({"conversations[].from", "conversations[].value"}), frozenset({"id", "conversations[].from", "conversations[].value"}))
+    ),
     (Mapping("nested chat", turns="chat.turns", role="author.role", text="body.text"), (frozenset({"chat.turns[].author.role", "chat.turns[].body.text"}),)),
 )
 
@@ -152,7 +161,9 @@ def turns_of_table(table: DataFrame, id_col: str | None = None) -> DataFrame:
     for r, p in present:
         merged.setdefault(r, []).append(p)
     turns = F.array(*(F.struct(F.lit(r).alias("role"), F.concat_ws("\n\n", *(F.when(F.col(p) != "", F.col(p)) for p in ps)).alias("text")) for r, ps in merged.items()))
-    return table.select(key.alias("conv_id"), F.posexplode(F.filter(turns, lambda x: x["text"] != "")).alias("turn", "t")).select("conv_id", F.col("turn").cast("long"), "t.role", "t.text")
+    return table.select(
+        key.alias("conv_id"), F.posexplode(F.filter(turns, lambda x: x["text"] != "")).alias("turn", "t")
+    ).select("conv_id", F.col("turn").cast("long"), "t.role", "t.text")
 
 
 # The template.
@@ -185,7 +196,10 @@ def format_turns(turns: DataFrame) -> DataFrame:
     rows = rows.withColumn("segment", F.concat("open", "said", "close")).withColumn("turn_no", F.row_number().over(order).cast("long"))
     start = F.coalesce(F.sum(F.length("segment").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("open")
     mask = lambda x: F.when(F.col("role") == "assistant", x)
-    return rows.withColumn("start", start).select("conv_id", "turn_no", "segment", mask(F.col("start")).alias("mask_start"), mask(F.col("start") + F.length("said")).alias("mask_end"))
+    return rows.withColumn("start", start).select(
+        "conv_id", "turn_no", "segment", mask(F.col("start")).alias("mask_start"),
+        mask(F.col("start") + F.length("said")).alias("mask_end")
+    )
 
 
 def read_segment(segment: str) -> list[tuple[str, str]]:

@@ -194,7 +194,10 @@ def _by_blocks(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np
     return out
 
 
-def train(features: list[np.ndarray], labels: np.ndarray, lengths: np.ndarray, n_features: int, n_labels: int, epochs: int = 6, rate: float = 0.3, l2: float = 1e-6, stickiness: float = 0.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def train(
+    features: list[np.ndarray], labels: np.ndarray, lengths: np.ndarray, n_features: int, n_labels: int, epochs: int = 6,
+    rate: float = 0.3, l2: float = 1e-6, stickiness: float = 0.0, seed: int = 7
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features x labels) and transitions by adaptive gradient steps on the conditional log-likelihood.
 
     features: the feature ids of each word. The gradient of a batch of sequences is what was seen less what forward-backward expects."""

@@ -83,7 +83,10 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
         for part, sets in _sets(batches, size):
             for s in sets:
                 counts[_buckets(s)] += 1 if len(s) else 0
-            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
+            own = [
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()),
+                pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
+            ]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *own], names)
         for block in range(len(counts) // BLOCK):
             own = counts[block * BLOCK : (block + 1) * BLOCK]
@@ -134,7 +137,10 @@ def _prefixes(docs: DataFrame, sketch, size: int, percent: int) -> DataFrame:
                 rows.append((i, c, len(s), s[order[:p]], int(rank[last]), int(s[last]), after, whole))
             if rows:
                 kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["rep", "cls", "n", "prefix", "last_rank", "last", "after", "whole"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    ["rep", "cls", "n", "prefix", "last_rank", "last", "after", "whole"]
+                )
 
     return docs.mapInArrow(run, "rep long, cls long, n long, prefix array<long>, last_rank int, last long, after array<int>, whole array<int>")
 
@@ -195,7 +201,10 @@ def _could_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     of_class = lambda k: light.select(*(F.col(c).alias(f"{c}_{k}") for c in light.columns))
     rows = of_class("a").join(_small(pairs), F.col("a") == F.col("cls_a")).join(of_class("b"), F.col("b") == F.col("cls_b"))
     first = F.expr("struct(last_rank_a, last_a) <= struct(last_rank_b, last_b)")
-    can = lambda x, y: F.least(F.expr(f"n_{x} - size(prefix_{x})"), F.expr(f"aggregate(zip_with(after_{x}, whole_{y}, (u, v) -> least(u, v)), 0, (s, u) -> s + u)"))
+    can = lambda x, y: F.least(
+        F.expr(f"n_{x} - size(prefix_{x})"),
+        F.expr(f"aggregate(zip_with(after_{x}, whole_{y}, (u, v) -> least(u, v)), 0, (s, u) -> s + u)")
+    )
     shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
     return rows.filter(shared + F.when(first, can("a", "b")).otherwise(can("b", "a")) >= F.expr(_need("n_a", "n_b", percent))).select("a", "b")
 
@@ -206,7 +215,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     of = held(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     total = classes.join(of, "cls").agg(F.sum("n")).first()[0] or 0
     sets = materialise(_whole_sets(docs, classes, of, size), "sets", files_for(total, 8_000_000))
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("other")), "b")
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("one")), "a").join(
+        sets.select(F.col("cls").alias("b"), F.col("shingles").alias("other")), "b"
+    )
 
     def check(batches):
         for batch in batches:
@@ -326,7 +337,10 @@ def _count_links(docs: DataFrame, classes: DataFrame, comps: DataFrame, size: in
     whole = _whole_sets(docs, classes, named.select("cls"), size).join(named, "cls")
     dealt = whole.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     share = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(shares))).otherwise(F.col("comp"))
-    units = dealt.select(share.alias("unit"), F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "with")).alias("lo"), F.greatest("block", "with").alias("hi"), "comp", "block", "cls", "shingles")
+    units = dealt.select(
+        share.alias("unit"), F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "with")).alias("lo"),
+        F.greatest("block", "with").alias("hi"), "comp", "block", "cls", "shingles"
+    )
 
     def count(table: pa.Table) -> pa.Table:
         order = np.lexsort((table["block"].to_numpy(), table["comp"].to_numpy()))
@@ -379,14 +393,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = held(per_class.join(_small(comps), per_class["cls"] == comps["node"]).select("cls", "comp", "least"))
     firsts = materialise(linked.groupBy("comp").agg(F.min("least").alias("first")), "firsts", few)
     of_linked = linked.join(firsts, "comp").select("cls", "first")
-    by_class = per_class.join(of_linked, "cls", "left").select("cls", F.coalesce("first", "least").alias("first")).select("cls", F.col("first.doc_id").alias("component"), F.col("first.text_hash").alias("first_hash"))
+    by_class = per_class.join(of_linked, "cls", "left").select("cls", F.coalesce("first", "least").alias("first")).select(
+        "cls", F.col("first.doc_id").alias("component"), F.col("first.text_hash").alias("first_hash")
+    )
     if count_links:
         by_class = by_class.join(count, "cls", "left")
     by_class = materialise(by_class, "named", few)
     drop_written(docs.sparkSession, written() - before - {by_class._written_to})
     drop_held([*held_before, survey])
     every = F.coalesce("class_links", F.lit(0).cast("long")) if count_links else F.lit(None).cast("long")
-    return members.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class_id"), every.alias("class_links"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "text_hash", "first_hash")
+    return members.join(by_class, "cls", "left").select(
+        "doc_id", "n_shingles", F.col("cls").alias("class_id"), every.alias("class_links"),
+        F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "text_hash",
+        "first_hash"
+    )
 
 
 def keep_one_of_each(docs: DataFrame, broadcast_rows: int = 400_000, **options) -> DataFrame:

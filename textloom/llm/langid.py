@@ -139,7 +139,10 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """A row per document; n_switches: how often the most likely language changes from a word to the next."""
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), text_of().alias("text"))
     if model is None:
-        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_switches"))
+        return rows.select(
+            "doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
+            F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_switches")
+        )
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -159,7 +162,13 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 names.append(scorer.model.languages[top])
                 scores.append(min(1.0, max(0.0, float(mean[top]))))
                 switches.append(int((best[1:] != best[:-1]).sum()))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([len(w) for w in words], pa.int64()), pa.array(switches, pa.int64())], [x.split()[0] for x in SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
+                    pa.array([len(w) for w in words], pa.int64()), pa.array(switches, pa.int64())
+                ],
+                [x.split()[0] for x in SCHEMA.split(", ")]
+            )
 
         return work
 

@@ -55,7 +55,10 @@ def boilerplate_lines(docs: DataFrame, host: str, text: str, max_ratio: float, m
     return over.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def site_line_dedup(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 1, min_line_pages: int = 2, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def site_line_dedup(
+    docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 1,
+    min_line_pages: int = 2, broadcast_bytes: int = 16 << 20
+) -> DataFrame:
     """docs with `text` cut, and lines_total, lines_dropped (long) added, in place of columns of those names."""
     found = materialise(boilerplate_lines(docs, host, text, max_ratio, min_pages, min_line_pages), "boilerplate")
     size = found.agg(F.sum(16 + 8 * F.size("lines"))).first()[0] or 0

@@ -88,7 +88,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
             doc, start, size = cut(ids, counts, length)
             ends = np.r_[0, np.cumsum(size)] * ids.dtype.itemsize
             blob = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(size), pa.array(counts[doc]), blob], [x.split()[0] for x in PIECES.split(", ")])
+            return pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(size), pa.array(counts[doc]), blob],
+                [x.split()[0] for x in PIECES.split(", ")]
+            )
 
         return work
 
@@ -103,7 +106,10 @@ def _pack_group(table: pa.Table, length: int) -> pa.Table:
     for size, x in zip(sizes.tolist(), table["ids"].to_pylist(), strict=True):
         ids.append(x if len(x) == 4 * size else np.frombuffer(x, "<u2").astype("<u4").tobytes())
     group = table["grp"][0].as_py()
-    columns = [table["doc_id"], table["start"], table["length"], table["doc_tokens"], pa.array((group << _GROUP_BITS) + bins), pa.array(offsets), pa.array(ids, pa.binary())]
+    columns = [
+        table["doc_id"], table["start"], table["length"], table["doc_tokens"], pa.array((group << _GROUP_BITS) + bins),
+        pa.array(offsets), pa.array(ids, pa.binary())
+    ]
     return pa.Table.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 

@@ -148,7 +148,10 @@ def _runs(words: list[str]) -> list[list[str]]:
 def _own(word: str) -> list[str]:
     digits, low = _digits(word[:64]), word[:64].lower()
     bare = low.strip(".,;:!?")
-    out = [f"s:{shape(word)}", f"g:{general(word)}", f"d:{min(len(digits), 20)}", f"l:{min(len(word), 20) // 2}", f"@:{'@' in word}", f"dots:{min(word.count('.'), 4)}", f"colons:{min(word.count(':'), 4)}"]
+    out = [
+        f"s:{shape(word)}", f"g:{general(word)}", f"d:{min(len(digits), 20)}", f"l:{min(len(word), 20) // 2}",
+        f"@:{'@' in word}", f"dots:{min(word.count('.'), 4)}", f"colons:{min(word.count(':'), 4)}"
+    ]
     if 13 <= len(digits) <= 19:
         out.append(f"luhn:{luhn(digits)}")
     if bare in _CUES:
@@ -198,7 +201,10 @@ def training_table(n: int = 2400, seed: int = 11) -> list[list[tuple[str, int]]]
         kind = r.choice([1, 1, 2, 3, 4, 4, 4])
         host = r.choice(syllables) + r.choice(syllables)
         if kind == 1:
-            a, d = r.choice([("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."), (" @ ", "."), ("(@)", "(.)"), ("*at*", "*dot*")])
+            a, d = r.choice([
+                ("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."), (" @ ", "."),
+                ("(@)", "(.)"), ("*at*", "*dot*")
+            ])
             if r.random() < 0.7:
                 a = r.choice([" at ", " at ", " (at) ", " [at] ", " {at} ", "(at)", "[at]", "{at}", " *at* ", "(@)"])
                 d = r.choice([".", ".", " dot ", " dot ", "(dot)", "[dot]", "{dot}", " (dot) ", " {dot} ", "*dot*", "(.)", " . "])
@@ -216,14 +222,33 @@ def training_table(n: int = 2400, seed: int = 11) -> list[list[tuple[str, int]]]
         if r.random() < 0.5:
             by = r.choice([" ", "-", ".", "/", ""])
             front = r.choice(["", "", "0", f"+{digits(2)} ", f"00{digits(2)} ", f"+{digits(1)}-", f"({a}) ", f"({a})"])
-            rest = r.choice([f"{a}{by or '-'}{b}{r.choice(['-', ' ', ''])}{c}", f"{digits(4)}{by or ' '}{digits(6)}", f"{digits(2)}{by or ' '}{digits(3)}{by or ' '}{digits(4)}", f"{b}{by or '-'}{c}" if front[:1] == "(" else f"{a}{by or ' '}{digits(7)}"])
+            rest = r.choice([
+                f"{a}{by or '-'}{b}{r.choice(['-', ' ', ''])}{c}", f"{digits(4)}{by or ' '}{digits(6)}",
+                f"{digits(2)}{by or ' '}{digits(3)}{by or ' '}{digits(4)}",
+                f"{b}{by or '-'}{c}" if front[:1] == "(" else f"{a}{by or ' '}{digits(7)}"
+            ])
             return f"{r.choice(['', '', '', 'tel:', 'fax:'])}{front}{rest}", 4
         return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(2)} {digits(3)} {digits(7)}", f"00{digits(2)} {a} {b} {c}"]), 4
 
     def number() -> str:
         wrong = card()
         wrong = wrong[:-1] + str((int(wrong[-1]) + 3) % 10)
-        return r.choice([str(r.randint(1, 2100)), f"{digits(2)}.{digits(2)}.{r.randint(1900, 2030)}", f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}", f"${digits(3)}.{digits(2)}", f"{digits(3)},{digits(3)}", wrong, fours(wrong, " "), digits(r.randint(5, 13)), f"AKIA{digits(4)}XQ{digits(6)}", f"password={''.join(r.choice('0123456789abcdef') for _ in range(16))}", "978-" + digits(1) + "-" + digits(4) + "-" + digits(4) + "-" + digits(1), f"{filler()} at {filler()}", f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)} {digits(4)}", f"dot {filler()}", f"{digits(3)}-{digits(3)}", f"{filler()} at {filler()} dot {filler()}" if r.random() < 0.3 else f"a dot {filler()}", f"{filler()} at {filler()} . {filler()}", f"{digits(3)} {digits(3)}", f"{digits(2)}.{digits(6)}", f"{digits(2)}.{digits(5)}, {digits(1)}.{digits(5)}", f"{digits(4)}/{digits(2)}/{digits(2)}", f"{digits(1)},{digits(3)},{digits(3)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(4)}-{digits(4)}-{digits(4)}", f"{digits(2)} {digits(2)} {digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}.{digits(1)}{r.choice(['a', 'rc', 'b'])}{digits(1)}", "".join(r.choice("0123456789abcdef") for _ in range(40)), f"#{digits(9)}", f"{r.choice(['id', 'no', 'ref'])}:{digits(8)}"])
+        return r.choice([
+            str(r.randint(1, 2100)), f"{digits(2)}.{digits(2)}.{r.randint(1900, 2030)}",
+            f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}",
+            f"${digits(3)}.{digits(2)}", f"{digits(3)},{digits(3)}", wrong, fours(wrong, " "), digits(r.randint(5, 13)),
+            f"AKIA{digits(4)}XQ{digits(6)}", f"password={''.join(r.choice('0123456789abcdef') for _ in range(16))}",
+            "978-" + digits(1) + "-" + digits(4) + "-" + digits(4) + "-" + digits(1), f"{filler()} at {filler()}",
+            f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)} {digits(4)}", f"dot {filler()}", f"{digits(3)}-{digits(3)}",
+            f"{filler()} at {filler()} dot {filler()}" if r.random() < 0.3 else f"a dot {filler()}",
+            f"{filler()} at {filler()} . {filler()}", f"{digits(3)} {digits(3)}", f"{digits(2)}.{digits(6)}",
+            f"{digits(2)}.{digits(5)}, {digits(1)}.{digits(5)}", f"{digits(4)}/{digits(2)}/{digits(2)}",
+            f"{digits(1)},{digits(3)},{digits(3)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(4)}-{digits(4)}-{digits(4)}",
+            f"{digits(2)} {digits(2)} {digits(2)}",
+            f"{digits(1)}.{digits(1)}.{digits(2)}.{digits(1)}{r.choice(['a', 'rc', 'b'])}{digits(1)}",
+            "".join(r.choice("0123456789abcdef") for _ in range(40)), f"#{digits(9)}",
+            f"{r.choice(['id', 'no', 'ref'])}:{digits(8)}"
+        ])
 
     lines = []
     for _ in range(n):
@@ -391,7 +416,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             base, every = find_spans(strings(batch.column("text")), *sent.value)
             counts = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in KINDS]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(map(written, base), pa.string()), pa.array(map(written, every), pa.string())], [x.split()[0] for x in SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *counts, pa.array(map(written, base), pa.string()), pa.array(map(written, every), pa.string())],
+                [x.split()[0] for x in SCHEMA.split(", ")]
+            )
 
         return work
 

@@ -40,16 +40,41 @@ SYMBOLS = "#*$%&|<>"
 
 # Phrases by language, lower-cased.
 BOILERPLATE = {
-    "en": ("all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "subscribe to our newsletter", "sign up for our newsletter", "click here", "enable javascript", "copyright ©", "copyright (c)"),
-    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "cookies akzeptieren", "newsletter abonnieren", "hier klicken", "javascript aktivieren", "lizenziert unter"),
-    "fr": ("tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "accepter les cookies", "abonnez-vous à notre", "cliquez ici", "activer javascript", "sous licence"),
-    "es": ("todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "aceptar cookies", "suscríbete a nuestro", "haga clic aquí", "activar javascript", "bajo licencia"),
+    "en": (
+        "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy",
+        "cookie policy", "accept cookies", "subscribe to our newsletter", "sign up for our newsletter", "click here",
+        "enable javascript", "copyright ©", "copyright (c)"
+    ),
+    "de": (
+        "alle rechte vorbehalten", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "cookies akzeptieren",
+        "newsletter abonnieren", "hier klicken", "javascript aktivieren", "lizenziert unter"
+    ),
+    "fr": (
+        "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales",
+        "accepter les cookies", "abonnez-vous à notre", "cliquez ici", "activer javascript", "sous licence"
+    ),
+    "es": (
+        "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "aceptar cookies",
+        "suscríbete a nuestro", "haga clic aquí", "activar javascript", "bajo licencia"
+    ),
 }
 NAVIGATION = {
-    "en": ("home", "menu", "login", "log in", "sign in", "sign up", "search", "share", "next", "previous", "back to top", "read more", "contact", "about", "skip to content"),
-    "de": ("startseite", "menü", "anmelden", "suche", "suchen", "teilen", "weiter", "zurück", "nach oben", "weiterlesen", "weiter lesen", "mehr lesen", "kontakt", "impressum", "über uns", "zum inhalt springen"),
-    "fr": ("accueil", "menu", "connexion", "se connecter", "rechercher", "partager", "suivant", "précédent", "haut de page", "lire la suite", "contact", "à propos", "aller au contenu"),
-    "es": ("inicio", "menú", "iniciar sesión", "acceder", "buscar", "compartir", "siguiente", "anterior", "volver arriba", "leer más", "contacto", "acerca de", "ir al contenido"),
+    "en": (
+        "home", "menu", "login", "log in", "sign in", "sign up", "search", "share", "next", "previous", "back to top",
+        "read more", "contact", "about", "skip to content"
+    ),
+    "de": (
+        "startseite", "menü", "anmelden", "suche", "suchen", "teilen", "weiter", "zurück", "nach oben", "weiterlesen",
+        "weiter lesen", "mehr lesen", "kontakt", "impressum", "über uns", "zum inhalt springen"
+    ),
+    "fr": (
+        "accueil", "menu", "connexion", "se connecter", "rechercher", "partager", "suivant", "précédent", "haut de page",
+        "lire la suite", "contact", "à propos", "aller au contenu"
+    ),
+    "es": (
+        "inicio", "menú", "iniciar sesión", "acceder", "buscar", "compartir", "siguiente", "anterior", "volver arriba",
+        "leer más", "contacto", "acerca de", "ir al contenido"
+    ),
 }
 
 
@@ -160,7 +185,10 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
                 failed = n < rules.min_words or 100 * rep > rules.max_repeat_percent * n
                 rows.append((n, chars, symbols, dup, rep, failed, not failed and lost <= rules.max_lost * n, lines, lost, cleaned))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.string()]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))],
+                [x.split()[0] for x in SCHEMA.split(", ")]
+            )
 
         return work
 

@@ -184,7 +184,10 @@ def _usable(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     limit = float(1 << 62)
-    whole = F.transform(v, lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), F.floor(F.least(F.greatest(x * scale, F.lit(-limit)), F.lit(limit))).cast("double"))).cast("long"))
+    whole = F.transform(
+        v,
+        lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), F.floor(F.least(F.greatest(x * scale, F.lit(-limit)), F.lit(limit))).cast("double"))).cast("long")
+    )
     rows = df.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).filter(F.size(vector) > 0).filter(~bad)
     return rows.select(F.col(id_col).cast("long").alias("id"), F.size(vector).alias("len"), whole.alias("row"))
 
@@ -197,7 +200,10 @@ def _by_length(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256, block_rows: int = 16_384) -> DataFrame:
+def exact_top_k(
+    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256,
+    block_rows: int = 16_384
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest integer inner products of each query with the other rows.
 
     Queries are read in blocks of about half of block_rows by their hash, one block at a time, so the driver holds one; each makes one pass over the vectors."""

@@ -111,7 +111,10 @@ SHARDS_A_TASK = 8  # of 17 MB each with the default record and shard
 INDEX = "slot long, shard long, n int, doc_id array<long>, start array<long>, length array<int>"
 
 
-def write_training_order(docs: DataFrame, tokenizer: str, path: str, key: int = 20_240_601, end_id: int = 1, pad_id: int = 0, length: int = 2048, shard_records: int = 4096) -> DataFrame:
+def write_training_order(
+    docs: DataFrame, tokenizer: str, path: str, key: int = 20_240_601, end_id: int = 1, pad_id: int = 0, length: int = 2048,
+    shard_records: int = 4096
+) -> DataFrame:
     """Write shards under path; returns the index: slot, shard, ids in use, and the documents' stretches."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -128,7 +131,10 @@ def write_training_order(docs: DataFrame, tokenizer: str, path: str, key: int =
         for batch in batches:
             index = np.array([sent.value[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("nth").to_numpy()
             slot = feistel_slots(index, total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_records), *(batch.column(x) for x in ("n", "doc_id", "start", "length", "blob"))], ["slot", "shard", "n", "doc_id", "start", "length", "blob"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot), pa.array(slot // shard_records), *(batch.column(x) for x in ("n", "doc_id", "start", "length", "blob"))],
+                ["slot", "shard", "n", "doc_id", "start", "length", "blob"]
+            )
 
     def write(batches):
         files, folder = pa.fs.FileSystem.from_uri(path)
