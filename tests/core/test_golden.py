@@ -15,7 +15,10 @@ def value(spark, column, **given):
 
 @pytest.mark.parametrize(
     ("text", "hits"),
-    [("symptoms", (2, 0, 0)), ("prevention", (2, 0, 0)), ("because", (1, 0, 0)), ("healthcare", (0, 2, 0)), ("fever fever fever", (0, 1, 0)), ("covid infection", (0, 1, 2)), ("", (0, 0, 0))],
+    [
+        ("symptoms", (2, 0, 0)), ("prevention", (2, 0, 0)), ("because", (1, 0, 0)), ("healthcare", (0, 2, 0)),
+        ("fever fever fever", (0, 1, 0)), ("covid infection", (0, 1, 2)), ("", (0, 0, 0))
+    ],
 )
 def test_hits_are_distinct_substrings(spark, text, hits):
     for terms, n in zip((DEFAULT.required, DEFAULT.context, DEFAULT.condition), hits, strict=True):
@@ -24,7 +27,13 @@ def test_hits_are_distinct_substrings(spark, text, hits):
 
 @pytest.mark.parametrize(
     ("url", "fine"),
-    [("https://x.org/", True), ("https://x.org", True), ("https://x.org/malaria", True), ("https://x.org/prevention", False), ("https://x.org/depression", False), ("https://x.org/contact-dermatitis", False), ("https://x.org/news/a", False), ("https://x.org/newsy/a", True), ("https://x.org/a?topic=legal", False), ("https://x.org/a?x=%6Cegal", False), ("https://x.org/?a=b", True), ("https://x.org/?x=y=legal", True), ("https://x.org/?legal=y=z", False), ("https://x.org/?x=legal&y", False)],
+    [
+        ("https://x.org/", True), ("https://x.org", True), ("https://x.org/malaria", True), ("https://x.org/prevention", False),
+        ("https://x.org/depression", False), ("https://x.org/contact-dermatitis", False), ("https://x.org/news/a", False),
+        ("https://x.org/newsy/a", True), ("https://x.org/a?topic=legal", False), ("https://x.org/a?x=%6Cegal", False),
+        ("https://x.org/?a=b", True), ("https://x.org/?x=y=legal", True), ("https://x.org/?legal=y=z", False),
+        ("https://x.org/?x=legal&y", False)
+    ],
 )
 def test_url_relevance(spark, url, fine):
     assert value(spark, urls.relevant(F.col("u")), u=url) is fine
@@ -32,7 +41,11 @@ def test_url_relevance(spark, url, fine):
 
 @pytest.mark.parametrize(
     ("given", "expected"),
-    [(" HTTPS://X.org/A/ ", "https://HTTPS://X.org/A"), ("X.org", "https://x.org/"), ("http://X.org/a//?q=B#f", "http://x.org/a?q=B"), ("https://x.org/a;v=1/b;p=2?q", "https://x.org/a;v=1/b?q"), ("", None), ("https:///a", None)],
+    [
+        (" HTTPS://X.org/A/ ", "https://HTTPS://X.org/A"), ("X.org", "https://x.org/"),
+        ("http://X.org/a//?q=B#f", "http://x.org/a?q=B"), ("https://x.org/a;v=1/b;p=2?q", "https://x.org/a;v=1/b?q"),
+        ("", None), ("https:///a", None)
+    ],
 )
 def test_normalize(spark, given, expected):
     got = value(spark, urls.normalize(F.col("u")), u=given)
@@ -41,7 +54,12 @@ def test_normalize(spark, given, expected):
 
 @pytest.mark.parametrize(
     ("href", "expected"),
-    [("/b/c", "https://x.org/b/c"), ("c", "https://x.org/a/c"), ("../c", "https://x.org/c"), ("../../c", "https://x.org/c"), ("?q=1", "https://x.org/a/b?q=1"), ("//Y.org/z/", "https://y.org/z"), ("HTTP://Y.org", "http://y.org/"), ("./c/./d", "https://x.org/a/c/d"), ("#top", "https://x.org/a/b"), ("http://[x", None), ("ftp://x.org/a", None), ("c d|e", "https://x.org/a/c d|e")],
+    [
+        ("/b/c", "https://x.org/b/c"), ("c", "https://x.org/a/c"), ("../c", "https://x.org/c"), ("../../c", "https://x.org/c"),
+        ("?q=1", "https://x.org/a/b?q=1"), ("//Y.org/z/", "https://y.org/z"), ("HTTP://Y.org", "http://y.org/"),
+        ("./c/./d", "https://x.org/a/c/d"), ("#top", "https://x.org/a/b"), ("http://[x", None), ("ftp://x.org/a", None),
+        ("c d|e", "https://x.org/a/c d|e")
+    ],
 )
 def test_resolve(spark, href, expected):
     assert value(spark, urls.resolve(F.lit("https://x.org/a/b"), F.col("h")), h=href) == expected
@@ -49,7 +67,13 @@ def test_resolve(spark, href, expected):
 
 @pytest.mark.parametrize(
     ("url", "name", "label"),
-    [("https://www.who.int/x", "World Health Organization", "WHO"), ("https://notwho.int/x", "World Health Organization", "WHO"), ("https://who.int:80/x", "who.int:80", ""), ("https://a.gov/", "Government health source", "Government health source"), ("https://a.gov.uk/", "Government health source", "Government health source"), ("https://x.gov.in/", "Government of India", "Government of India"), ("https://example.com/", "example.com", "")],
+    [
+        ("https://www.who.int/x", "World Health Organization", "WHO"),
+        ("https://notwho.int/x", "World Health Organization", "WHO"), ("https://who.int:80/x", "who.int:80", ""),
+        ("https://a.gov/", "Government health source", "Government health source"),
+        ("https://a.gov.uk/", "Government health source", "Government health source"),
+        ("https://x.gov.in/", "Government of India", "Government of India"), ("https://example.com/", "example.com", "")
+    ],
 )
 def test_source(spark, url, name, label):
     got = value(spark, urls.source(F.col("u")), u=url)
@@ -134,7 +158,11 @@ def pages(spark, rows):
 
 
 def test_record_gates(spark):
-    rows = [("Malaria", "https://who.int/malaria", [FULL]), ("Malaria", "https://who.int/news/malaria", [FULL]), ("Malaria", "https://who.int/malaria", ["short"]), ("What is malaria", "https://who.int/malaria", [FULL]), ("Malaria", "https://who.int/malaria", [FULL.replace("prevent", "stop").replace("wash", "clean")])]
+    rows = [
+        ("Malaria", "https://who.int/malaria", [FULL]), ("Malaria", "https://who.int/news/malaria", [FULL]),
+        ("Malaria", "https://who.int/malaria", ["short"]), ("What is malaria", "https://who.int/malaria", [FULL]),
+        ("Malaria", "https://who.int/malaria", [FULL.replace("prevent", "stop").replace("wash", "clean")])
+    ]
     got = records.build_records(pages(spark, rows)).collect()
     assert [r.reject_reason for r in got] == [None, "url", "no accepted block", "not a reference page", "incomplete"]
     data = got[0].data
@@ -155,7 +183,10 @@ def test_score_is_in_hundredths(spark):
 def test_fingerprint(spark):
     base = records.build_records(pages(spark, [("Malaria", "https://who.int/malaria", [FULL])])).select("data")
     one = base.select(dedup.fingerprint()).first()[0]
-    same = base.withColumn("data", F.col("data").withField("symptoms", F.reverse("data.symptoms")).withField("title", F.lit(" MALARIA ")).withField("source", F.lit("other")))
+    same = base.withColumn(
+        "data",
+        F.col("data").withField("symptoms", F.reverse("data.symptoms")).withField("title", F.lit(" MALARIA ")).withField("source", F.lit("other"))
+    )
     assert same.select(dedup.fingerprint()).first()[0] == one
     twice = base.withColumn("data", F.col("data").withField("symptoms", F.concat("data.symptoms", "data.symptoms")))
     assert twice.select(dedup.fingerprint()).first()[0] != one
@@ -179,7 +210,10 @@ LONG = "a paragraph that is longer than forty characters in all"
         (f"<header><h1>H</h1></header><title>T</title><p>{LONG}", "T", [LONG]),
         (f"<h1></h1><title>T</title><p>{LONG}", html.UNTITLED_PAGE, [LONG]),
         (f"<script>var t='</p>';</script><nav><li>{LONG}</nav><article><p>{LONG}1<p>{LONG}2</article><p>{LONG}3", html.UNTITLED_PAGE, [LONG + "1", LONG + "2"]),
-        (f"<div class='x menu'><p>{LONG}</p></div><p aria-hidden='true'>{LONG}</p><p>short</p><main><li>{LONG} <b>b</b> &amp; c</li></main>", html.UNTITLED_PAGE, [LONG + " b & c"]),
+        (
+            f"<div class='x menu'><p>{LONG}</p></div><p aria-hidden='true'>{LONG}</p><p>short</p><main><li>{LONG} <b>b</b> &amp; c</li></main>",
+            html.UNTITLED_PAGE, [LONG + " b & c"]
+        ),
         (f"<h1>T</h1><ul><li>{LONG} outer <p>{LONG} inner</p> tail</li></ul>", "T", [f"{LONG} outer {LONG} inner tail", f"{LONG} inner"]),
         (f"<![foo[ x ]]><p>{LONG}</p><![ x", html.UNTITLED_PAGE, [LONG]),
         ("", html.UNTITLED_PAGE, []),
@@ -220,11 +254,17 @@ def test_a_crawl_starts_from_sitemaps(spark):
 
     body = f"<title>Malaria</title><p>{FULL}</p>"
     names = [f"malaria/{i}" for i in range(5)]
-    table = spark.createDataFrame([("https://a.org/", body + '<a href="/deep">x</a>'), ("https://a.org/deep", body), *((f"https://a.org/{n}", body) for n in names)], "url string, html string")
+    table = spark.createDataFrame(
+        [("https://a.org/", body + '<a href="/deep">x</a>'), ("https://a.org/deep", body), *((f"https://a.org/{n}", body) for n in names)],
+        "url string, html string"
+    )
     xml = "<urlset>" + "".join(f"<url><loc>https://a.org/{n}</loc></url>" for n in [*names, "news/x", "f.pdf"]) + "<url><loc>https://z.org/q</loc></url></urlset>"
     files = spark.createDataFrame([("https://a.org/sitemap.xml", xml)], "url string, xml string")
     robots = spark.createDataFrame([("https://a.org/", None)], "url string, text string")
-    for budget, found in ((10, {("https://a.org/", 0), ("https://a.org/deep", 1)} | {(f"https://a.org/{n}", 0) for n in names}), (4, {("https://a.org/", 0)} | {(f"https://a.org/{n}", 0) for n in names[:3]})):
+    for budget, found in (
+        (10, {("https://a.org/", 0), ("https://a.org/deep", 1)} | {(f"https://a.org/{n}", 0) for n in names}),
+        (4, {("https://a.org/", 0)} | {(f"https://a.org/{n}", 0) for n in names[:3]})
+    ):
         reached = sitemap.expand_sitemaps(files, sitemap.discovery_order(robots), budget)
         done = crawl.run_crawl(spark, table, crawl.CrawlConfig(("a.org",), max_pages=budget, max_depth=1), reached)
         assert {(r.url, r.depth) for r in done.visited.collect()} == found
@@ -237,10 +277,16 @@ def test_a_crawl_starts_from_sitemaps(spark):
 def test_a_crawl(spark):
     """Two sites; a cycle, a lost page, a foreign link, a page that the budget leaves out."""
     page = lambda *links: "<title>Malaria</title><p>" + FULL + "</p>" + "".join(f'<a href="{x}">x</a>' for x in links)
-    table = [("https://a.org/", page("/b", "/c", "https://z.org/", "mailto:x", "http://[x")), ("https://a.org/b", page("/", "d")), ("https://a.org/c", page("/e", "/news/x", "/f.pdf")), ("https://a.org/d", "<p>x"), ("https://y.org/", page("/malaria"))]
+    table = [
+        ("https://a.org/", page("/b", "/c", "https://z.org/", "mailto:x", "http://[x")), ("https://a.org/b", page("/", "d")),
+        ("https://a.org/c", page("/e", "/news/x", "/f.pdf")), ("https://a.org/d", "<p>x"), ("https://y.org/", page("/malaria"))
+    ]
     config = crawl.CrawlConfig(("a.org", "https://y.org/#x", "https://A.org"), max_pages=4, max_depth=3)
     done = crawl.run_crawl(spark, spark.createDataFrame(table, "url string, html string"), config)
-    assert {(r.url, r.depth) for r in done.visited.collect()} == {("https://a.org/", 0), ("https://y.org/", 0), ("https://a.org/b", 1), ("https://a.org/c", 1), ("https://y.org/malaria", 1), ("https://a.org/d", 2)}
+    assert {(r.url, r.depth) for r in done.visited.collect()} == {
+        ("https://a.org/", 0), ("https://y.org/", 0), ("https://a.org/b", 1), ("https://a.org/c", 1),
+        ("https://y.org/malaria", 1), ("https://a.org/d", 2)
+    }
     rows = {r.platform_id: r for r in done.progress.collect()}
     a, y = rows["https://a.org/"], rows["https://y.org/"]
     assert (a.discovered, a.scraped, a.accepted, a.rejected, a.failed) == (4, 4, 3, 1, 0)

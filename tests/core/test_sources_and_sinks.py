@@ -29,7 +29,10 @@ def docx(body):
 def test_files(spark):
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
     doc = docx(p("One") + p("") + f"<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('')}</w:tc><w:tc>{p('b')}</w:tc></w:tr></w:tbl>" + p("Two"))
-    rows = [("d/x.TXT", "ä\n\nb".encode()), ("u.txt", "ä".encode("utf-16")), ("l.txt", b"\xe4b\xff"), ("w.docx", doc), ("bad.docx", b"x"), ("n.md", b"x"), ("", b"x"), ("e.txt", b" \n"), ("p.pdf", b"%PDF")]
+    rows = [
+        ("d/x.TXT", "ä\n\nb".encode()), ("u.txt", "ä".encode("utf-16")), ("l.txt", b"\xe4b\xff"), ("w.docx", doc),
+        ("bad.docx", b"x"), ("n.md", b"x"), ("", b"x"), ("e.txt", b" \n"), ("p.pdf", b"%PDF")
+    ]
     got = {r.path: r for r in files.file_blocks(spark.createDataFrame(rows, "path string, content binary")).collect()}
     assert (got["d/x.TXT"].title, got["d/x.TXT"].blocks) == ("x", ["ä", "b"])
     assert got["u.txt"].blocks == ["ä"]
@@ -46,7 +49,12 @@ def test_uploads(spark):
 
 @pytest.mark.parametrize(
     ("name", "body", "titles"),
-    [("a.json", '[{"title": "t"}, 5, null]', ["t"]), ("A.JSON", '{"records": [{"title": "t", "symptoms": ["a"]}, {}]}', ["t", ""]), ("a.txt", "[]", None), ("a.json", "[1", None), ("a.json", '{"x": 1}', None), ("a.json", "[{}] x", None), ("a.json", '[{"title": 5}]', None), ("a.json", '[{"symptoms": "a"}]', None), ("a.json", "[]", [])],
+    [
+        ("a.json", '[{"title": "t"}, 5, null]', ["t"]),
+        ("A.JSON", '{"records": [{"title": "t", "symptoms": ["a"]}, {}]}', ["t", ""]), ("a.txt", "[]", None),
+        ("a.json", "[1", None), ("a.json", '{"x": 1}', None), ("a.json", "[{}] x", None), ("a.json", '[{"title": 5}]', None),
+        ("a.json", '[{"symptoms": "a"}]', None), ("a.json", "[]", [])
+    ],
 )
 def test_json_records(spark, name, body, titles):
     rows = files.json_records(spark.createDataFrame([(name, body.encode())], "filename string, content binary")).orderBy("pos").collect()
@@ -84,7 +92,10 @@ def test_exports(spark, tmp_path):
 def test_a_json_array_in_record_order(spark, tmp_path):
     """In the given order over many parts, rows that repeat as often as they do; also of nothing."""
     some = [("who.int", f"https://who.int/malaria/{i}") for i in range(40)]
-    table = spark.createDataFrame([(i, t, u, [FULL]) for i, (t, u) in enumerate(reversed(some))] + [(5, *some[34], [FULL])] * 2, "place int, title string, source_url string, blocks array<string>")
+    table = spark.createDataFrame(
+        [(i, t, u, [FULL]) for i, (t, u) in enumerate(reversed(some))] + [(5, *some[34], [FULL])] * 2,
+        "place int, title string, source_url string, blocks array<string>"
+    )
     rows = records.build_records(table.repartition(7)).filter("reject_reason is null")
     folder = str(tmp_path / "json")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -106,7 +117,11 @@ class Site(http.server.BaseHTTPRequestHandler):
 
     def do_GET(self):
         n = Site.tries[self.path] = Site.tries.get(self.path, 0) + 1
-        code, kind, body = {"/ok": (200, "text/html", b"<p>ok"), "/busy": (503 if n < 2 else 200, "text/html", b"late"), "/pdf": (200, "application/pdf", b"x"), "/slow": (429, "text/html", b""), "/robots.txt": (200, "text/plain", b"User-agent: *\nDisallow: /secret\n")}.get(self.path, (404, "text/html", b""))
+        code, kind, body = {
+            "/ok": (200, "text/html", b"<p>ok"), "/busy": (503 if n < 2 else 200, "text/html", b"late"),
+            "/pdf": (200, "application/pdf", b"x"), "/slow": (429, "text/html", b""),
+            "/robots.txt": (200, "text/plain", b"User-agent: *\nDisallow: /secret\n")
+        }.get(self.path, (404, "text/html", b""))
         if self.path in Site.more:
             code, kind, body = 200, Site.more[self.path][0], Site.more[self.path][1].encode()
         self.send_response(code)
@@ -147,7 +162,9 @@ def test_a_manifest_is_written_and_read(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "j1").iterdir() if not p.name.startswith(".")) == ["job.json"]
     got = jobs.read_manifests(spark, str(tmp_path)).first()
     assert (got.job_id, got.status, got.discovered_pages, got.accepted_pages, got.failed_pages, got.max_pages) == ("j1", "completed", 3, 1, 2, 10)
-    assert [(p.label, p.accepted_pages) for p in sorted(got.platform_states, key=lambda p: p.root_host)] == [("Centers for Disease Control and Prevention", 0), ("World Health Organization", 1)]
+    assert [(p.label, p.accepted_pages) for p in sorted(got.platform_states, key=lambda p: p.root_host)] == [
+        ("Centers for Disease Control and Prevention", 0), ("World Health Organization", 1)
+    ]
     assert len(got.errors) == 2 and got.queue_items == []
 
 
@@ -168,7 +185,10 @@ def test_urls_as_sources(spark):
         rows = {r.source_url.removeprefix(base): r for r in web.read_urls(spark, [f"{base}/health/one", f"{base}/ok", f"{base}/lost"]).collect()}
         found = web.discover(spark, [base], 10)
         assert [(r.url.removeprefix(base), r.seq) for r in found.collect()] == [("/health/one", 1)]
-        done = crawl.run_crawl(spark, spark.createDataFrame([(f"{base}/health/one", Site.more["/health/one"][1])], "url string, html string"), crawl.CrawlConfig((base,), max_depth=0), found)
+        done = crawl.run_crawl(
+            spark, spark.createDataFrame([(f"{base}/health/one", Site.more["/health/one"][1])], "url string, html string"),
+            crawl.CrawlConfig((base,), max_depth=0), found
+        )
         assert {r.url.removeprefix(base): r.depth for r in done.visited.collect()} == {"/": 0, "/health/one": 0}
     finally:
         Site.more = {}
@@ -195,7 +215,11 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
 def test_manifests(spark, tmp_path):
     from textloom.sources import jobs
 
-    for name, body in (("a", {"status": "running", "in_progress_urls": ["u"], "start_urls": ["https://who.int/", "https://who.int/"], "platform_max_pages": 7}), ("b", {"job_id": "own", "status": "completed", "queue_items": [{"url": "u"}], "errors": list(map(str, range(30)))}), ("c", None)):
+    for name, body in (
+        ("a", {"status": "running", "in_progress_urls": ["u"], "start_urls": ["https://who.int/", "https://who.int/"], "platform_max_pages": 7}),
+        ("b", {"job_id": "own", "status": "completed", "queue_items": [{"url": "u"}], "errors": list(map(str, range(30)))}),
+        ("c", None)
+    ):
         (tmp_path / name).mkdir()
         (tmp_path / name / "job.json").write_text("{" if body is None else json.dumps(body, indent=2))
     rows = {r.job_id: r for r in jobs.read_manifests(spark, str(tmp_path)).collect()}

@@ -89,7 +89,9 @@ def source(url: Column) -> Column:
 
 def verified_from(source_name: Column, given: Column) -> Column:
     low = fold(source_name)
-    return F.when(given != "", given).when(F.contains(low, F.lit("who")), "WHO").when(any_of(low, ("world health organization",)), "WHO").when(any_of(low, ("government", "cdc", "nih", "nhs")), "Government health source").otherwise("")
+    return F.when(given != "", given).when(F.contains(low, F.lit("who")), "WHO").when(any_of(low, ("world health organization",)), "WHO").when(
+        any_of(low, ("government", "cdc", "nih", "nhs")), "Government health source"
+    ).otherwise("")
 
 
 def skip_href(href: Column) -> Column:

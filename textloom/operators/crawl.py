@@ -96,7 +96,10 @@ def frontier(spark: SparkSession, links: DataFrame, start: DataFrame, config: Cr
     for depth in range(1, config.max_depth + 1):
         parents = level.select(F.col("url").alias("src"), "platform_id", "root_host", F.col("nth").alias("parent"))
         reached = links.join(parents, "src").withColumn("seq", F.struct("parent", "pos"))
-        level = materialise(admit(reached.select("url", "platform_id", "root_host", "seq"), every, depth, config.max_pages, config.lexicon).withColumn("seq", F.col("nth").cast("long")), "frontier")
+        level = materialise(
+            admit(reached.select("url", "platform_id", "root_host", "seq"), every, depth, config.max_pages, config.lexicon).withColumn("seq", F.col("nth").cast("long")),
+            "frontier"
+        )
         every = every.unionByName(level)
         if level.isEmpty():
             break
@@ -123,7 +126,10 @@ def run_crawl(spark: SparkSession, pages: DataFrame, config: CrawlConfig, sitema
     links = links.select("src", "pos", "url")
     start = seeds(spark, config)
     if config.include_sitemap and sitemap_urls is not None:
-        more = sitemap_urls.join(start.select("platform_id", "root_host"), "root_host").select(urls.canonical(F.col("url")).alias("url"), "platform_id", "root_host", (F.col("seq") + len(config.start_urls)).alias("seq"))
+        more = sitemap_urls.join(start.select("platform_id", "root_host"), "root_host").select(
+            urls.canonical(F.col("url")).alias("url"), "platform_id", "root_host",
+            (F.col("seq") + len(config.start_urls)).alias("seq")
+        )
         start = start.unionByName(more)
     visited = frontier(spark, links, start, config)
     fetched = visited.join(parsed.drop("hrefs"), "url", "left").withColumn("source_url", F.col("url"))
@@ -134,10 +140,18 @@ def run_crawl(spark: SparkSession, pages: DataFrame, config: CrawlConfig, sitema
 
 def progress(visited: DataFrame, records: DataFrame, failed: DataFrame) -> DataFrame:
     """Counters and status of each platform. A failed page counts as scraped, neither accepted nor rejected."""
-    marks = visited.select("platform_id", F.lit("discovered").alias("what")).union(records.select("platform_id", F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected"))).union(failed.select("platform_id", F.lit("failed")))
+    marks = visited.select("platform_id", F.lit("discovered").alias("what")).union(records.select(
+        "platform_id", F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
+    )).union(failed.select("platform_id", F.lit("failed")))
     count = lambda what: F.count_if(F.col("what") == what)
-    out = marks.groupBy("platform_id").agg(count("discovered").alias("discovered"), (count("accepted") + count("rejected") + count("failed")).alias("scraped"), count("accepted").alias("accepted"), count("rejected").alias("rejected"), count("failed").alias("failed"))
-    return out.withColumn("status", F.when(F.col("accepted") == 0, "empty").otherwise("completed")).withColumn("message", F.when(F.col("accepted") > 0, "Completed.").when(F.col("discovered") == 0, "No pages found.").otherwise("No accepted medical pages."))
+    out = marks.groupBy("platform_id").agg(
+        count("discovered").alias("discovered"), (count("accepted") + count("rejected") + count("failed")).alias("scraped"),
+        count("accepted").alias("accepted"), count("rejected").alias("rejected"), count("failed").alias("failed")
+    )
+    return out.withColumn("status", F.when(F.col("accepted") == 0, "empty").otherwise("completed")).withColumn(
+        "message",
+        F.when(F.col("accepted") > 0, "Completed.").when(F.col("discovered") == 0, "No pages found.").otherwise("No accepted medical pages.")
+    )
 
 
 def completion_message(accepted: Column, failed: Column, rate_limited: Column) -> Column:

@@ -33,8 +33,13 @@ def merge_records(*sets: DataFrame, order: str, data: str = "data") -> tuple[Dat
     rows = functools.reduce(DataFrame.unionByName, (s.withColumn("file_idx", F.lit(i)) for i, s in enumerate(sets)))
     unique = deduplicate(rows, ["file_idx", order], data)
     marked = rows.select(fingerprint(data).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
-    counts = marked.agg(F.count("*").alias("merged_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_count")).withColumn("source_file_count", F.lit(len(sets)).cast("long"))
-    said = F.format_string("Merged %d records from %d files into %d unique records.", F.col("merged_count") + F.col("duplicate_count"), "source_file_count", "merged_count")
+    counts = marked.agg(
+        F.count("*").alias("merged_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_count")
+    ).withColumn("source_file_count", F.lit(len(sets)).cast("long"))
+    said = F.format_string(
+        "Merged %d records from %d files into %d unique records.", F.col("merged_count") + F.col("duplicate_count"),
+        "source_file_count", "merged_count"
+    )
     return unique, counts.withColumn("message", said)
 
 

@@ -29,7 +29,10 @@ def clean_blocks(df: DataFrame, blocks: str, out: str, lexicon: Lexicon = DEFAUL
     long = F.filter(F.transform(blocks, tx.ws_normalize), lambda x: F.length(x) >= lexicon.min_block)
     df = settled(df, "__sorted", F.array_sort(F.transform(long, lambda x, i: F.struct(tx.fold(x).alias("fold"), i.alias("i"), x.alias("b")))))
     before = F.concat(F.array(F.lit(None).cast("string")), F.transform("__sorted", lambda x: x["fold"]))
-    marked = F.zip_with(F.slice(before, 1, F.size("__sorted")), "__sorted", lambda was, x: F.when(~was.eqNullSafe(x["fold"]), F.struct(x["i"].alias("i"), x["b"].alias("b"))))
+    marked = F.zip_with(
+        F.slice(before, 1, F.size("__sorted")), "__sorted", lambda was,
+        x: F.when(~was.eqNullSafe(x["fold"]), F.struct(x["i"].alias("i"), x["b"].alias("b")))
+    )
     placed = F.array_sort(F.filter(marked, lambda x: x.isNotNull()))
     return settled(df, out, F.transform(placed, lambda x: x["b"])).drop("__sorted")
 
@@ -110,7 +113,9 @@ def description(blocks: str, lexicon: Lexicon = DEFAULT) -> Column:
 def title(given: Column, blocks: str, lexicon: Lexicon = DEFAULT) -> Column:
     first = F.try_element_at(F.col(blocks), F.lit(1))
     own = F.coalesce(F.try_element_at(tx.sentences(first), F.lit(1)), first)
-    return F.when(F.coalesce(given, F.lit("")) != "", tx.truncate(given, lexicon.title_length)).when(F.size(blocks) == 0, lx.UNTITLED_ENTRY).otherwise(tx.truncate(own, lexicon.title_length))
+    return F.when(
+        F.coalesce(given, F.lit("")) != "", tx.truncate(given, lexicon.title_length)
+    ).when(F.size(blocks) == 0, lx.UNTITLED_ENTRY).otherwise(tx.truncate(own, lexicon.title_length))
 
 
 def seek_doctor(blocks: str, warnings: str, whole: str | None = None) -> Column:
@@ -133,7 +138,10 @@ def severity(warnings: str, home_care: str) -> Column:
     )
 
 
-def structure(df: DataFrame, blocks: str, given_title: Column, source_name: Column, source_url: Column, verified: Column, given_from: Column, lexicon: Lexicon = DEFAULT, whole: str | None = None) -> DataFrame:
+def structure(
+    df: DataFrame, blocks: str, given_title: Column, source_name: Column, source_url: Column, verified: Column,
+    given_from: Column, lexicon: Lexicon = DEFAULT, whole: str | None = None
+) -> DataFrame:
     """Adds data: the record of 20 fields. whole: the blocks' folded text, if it is there."""
     df = match_lists(with_sentences(df, blocks), lexicon, whole)
     values = {
@@ -180,7 +188,10 @@ def build_records(pages: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     df = accept_blocks(clean_blocks(pages, "blocks", "cleaned", lexicon), "cleaned", lexicon)
     df = df.withColumn("__source", urls.source(F.col("source_url")))
     df = df.withColumn("language", tx.detect_language(F.array_join("accepted", " ")))
-    df = structure(df, "accepted", F.col("title"), F.col("__source.source_name"), F.col("source_url"), F.col("__source.verified"), F.col("__source.verified_from"), lexicon, "joined")
+    df = structure(
+        df, "accepted", F.col("title"), F.col("__source.source_name"), F.col("source_url"), F.col("__source.verified"),
+        F.col("__source.verified_from"), lexicon, "joined"
+    )
     reason = (
         F.when(~urls.relevant(F.col("source_url"), lexicon), "url")
         .when(F.size("accepted") == 0, "no accepted block")

@@ -69,7 +69,9 @@ def expand_sitemaps(files: DataFrame | Callable[[DataFrame], DataFrame], start:
             new = level.select("url").distinct()
             new = materialise(split(files(new if parsed is None else new.join(parsed, "url", "left_anti"))), "fetched")
             parsed = new if parsed is None else parsed.unionByName(new)
-        level = level.join(parsed, "url").select("root_host", "way", F.posexplode("nested").alias("pos", "url")).select("root_host", "url", F.concat("way", F.array(F.col("pos") + 1)).alias("way"))
+        level = level.join(parsed, "url").select("root_host", "way", F.posexplode("nested").alias("pos", "url")).select(
+            "root_host", "url", F.concat("way", F.array(F.col("pos") + 1)).alias("way")
+        )
     from pyspark.sql import Window
 
     nth = F.row_number().over(Window.partitionBy("root_host").orderBy("way"))

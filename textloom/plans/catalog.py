@@ -69,7 +69,10 @@ def fold_text(spark, sf_dir):
 @query
 def text_block_split(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("doc_id", tx.text_blocks(F.col("text")).alias("a"), tx.text_blocks(F.col("raw")).alias("b"))
-    return rows.select("doc_id", F.size("a").cast("long").alias("n_text"), _joined("a").alias("text_md5"), F.size("b").cast("long").alias("n_raw"), _joined("b").alias("raw_md5"))
+    return rows.select(
+        "doc_id", F.size("a").cast("long").alias("n_text"), _joined("a").alias("text_md5"),
+        F.size("b").cast("long").alias("n_raw"), _joined("b").alias("raw_md5")
+    )
 
 
 @query
@@ -97,7 +100,10 @@ def unique_items(spark, sf_dir):
 
 @query
 def detect_language(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tx.detect_language(F.element_at(F.split("text", "\n\n", -1), -1)).alias("of_snippet"), tx.detect_language(F.col("raw")).alias("of_raw"))
+    return _docs(spark, sf_dir).select(
+        "doc_id", tx.detect_language(F.element_at(F.split("text", "\n\n", -1), -1)).alias("of_snippet"),
+        tx.detect_language(F.col("raw")).alias("of_raw")
+    )
 
 
 @query
@@ -109,7 +115,9 @@ def retry_after_parse(spark, sf_dir):
 @query
 def seed_list_parse(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("host", F.regexp_extract("url", "://([^/]+)", 1))
-    per = rows.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("", F.lit('"'), "url", F.lit('"; '), F.upper("url"), F.lit(",,\n")))), "\t").alias("given"))
+    per = rows.groupBy("host").agg(F.array_join(
+        F.array_sort(F.collect_list(F.concat_ws("", F.lit('"'), "url", F.lit('"; '), F.upper("url"), F.lit(",,\n")))), "\t"
+    ).alias("given"))
     return per.select("host", F.array_join(F.transform(tx.seed_list(F.col("given")), lambda x: F.lower(x)), "|").alias("seeds"))
 
 
@@ -119,7 +127,10 @@ def seed_list_parse(spark, sf_dir):
 @query
 def keyword_hits(spark, sf_dir):
     low = F.col("low")
-    return _folded(spark, sf_dir).select("doc_id", tx.hits(low, LEX.required).alias("required"), tx.hits(low, LEX.context).alias("context"), tx.hits(low, LEX.condition).alias("condition"))
+    return _folded(spark, sf_dir).select(
+        "doc_id", tx.hits(low, LEX.required).alias("required"), tx.hits(low, LEX.context).alias("context"),
+        tx.hits(low, LEX.condition).alias("condition")
+    )
 
 
 @query
@@ -153,7 +164,10 @@ def block_filter_counts(spark, sf_dir):
 
 @query
 def source_filter_report(spark, sf_dir):
-    return _accepted(spark, sf_dir).groupBy("src").agg(F.count("*").alias("documents"), F.sum(F.size("accepted").cast("long")).alias("accepted"), F.sum(F.size("rejected").cast("long")).alias("rejected"), F.round(F.max("score"), 2).alias("best_score"))
+    return _accepted(spark, sf_dir).groupBy("src").agg(
+        F.count("*").alias("documents"), F.sum(F.size("accepted").cast("long")).alias("accepted"),
+        F.sum(F.size("rejected").cast("long")).alias("rejected"), F.round(F.max("score"), 2).alias("best_score")
+    )
 
 
 @query
@@ -197,7 +211,9 @@ def url_is_html(spark, sf_dir):
 
 @query
 def url_relevant(spark, sf_dir):
-    return _urls(spark, sf_dir).select("page_id", urls.relevant(F.col("u")).alias("relevant")).unionByName(_docs(spark, sf_dir).select((-1 - F.col("doc_id")).alias("page_id"), urls.relevant(F.col("source_url")).alias("relevant")))
+    return _urls(spark, sf_dir).select("page_id", urls.relevant(F.col("u")).alias("relevant")).unionByName(_docs(spark, sf_dir).select(
+        (-1 - F.col("doc_id")).alias("page_id"), urls.relevant(F.col("source_url")).alias("relevant")
+    ))
 
 
 @query
@@ -223,7 +239,10 @@ def _match(name):
     return run
 
 
-for _key, _name in (("match_symptoms", "symptoms"), ("match_prevention", "prevention"), ("match_warning", "warning_signs"), ("match_home_care", "home_care"), ("match_lifestyle", "lifestyle_tips")):
+for _key, _name in (
+    ("match_symptoms", "symptoms"), ("match_prevention", "prevention"), ("match_warning", "warning_signs"),
+    ("match_home_care", "home_care"), ("match_lifestyle", "lifestyle_tips")
+):
     QUERIES[_key] = _match(_name)
 
 
@@ -285,7 +304,10 @@ def reject_reasons(spark, sf_dir):
 @query
 def extract_documents(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("blocks", tx.text_blocks(F.col("text")))
-    docs = docs.select("doc_id", "title", "blocks", F.lit("upload").alias("source_name"), F.lit("").alias("source_url"), F.lit(False).alias("verified"), F.lit("").alias("verified_from"))
+    docs = docs.select(
+        "doc_id", "title", "blocks", F.lit("upload").alias("source_name"), F.lit("").alias("source_url"),
+        F.lit(False).alias("verified"), F.lit("").alias("verified_from")
+    )
     rows = records.extract_documents(docs)
     return rows.select("doc_id", "language", "score", "error", F.col("data.title").alias("title"), F.size("accepted").cast("long").alias("accepted"))
 
@@ -365,14 +387,19 @@ def html_parsed_pages(spark, sf_dir):
 
 
 def _robots(spark, sf_dir):
-    lines = F.concat(F.lit("User-agent: *\nDisallow: /x\nSITEMAP:  https://"), "host", F.lit("/a.xml \nSitemap:https://"), "host", F.lit("/b.xml\n sitemap: no\nsitemap:\n"))
+    lines = F.concat(
+        F.lit("User-agent: *\nDisallow: /x\nSITEMAP:  https://"), "host", F.lit("/a.xml \nSitemap:https://"), "host",
+        F.lit("/b.xml\n sitemap: no\nsitemap:\n")
+    )
     hosts = _pages(spark, sf_dir).select(F.lower(F.regexp_extract("url", "://([^/]+)", 1)).alias("host")).distinct()
     return hosts.withColumn("text", lines).withColumn("url", F.concat(F.lit("https://"), "host", F.lit("/")))
 
 
 @query
 def robots_sitemaps(spark, sf_dir):
-    return _robots(spark, sf_dir).select("host", F.posexplode(sitemap.robots_sitemaps(F.col("text"))).alias("pos", "sitemap")).withColumn("pos", F.col("pos").cast("long"))
+    return _robots(spark, sf_dir).select(
+        "host", F.posexplode(sitemap.robots_sitemaps(F.col("text"))).alias("pos", "sitemap")
+    ).withColumn("pos", F.col("pos").cast("long"))
 
 
 def _sitemap_files(spark, sf_dir):
@@ -381,8 +408,14 @@ def _sitemap_files(spark, sf_dir):
     at = lambda name: F.concat(F.lit("https://"), "host", F.lit(f"/{name}.xml"))
     loc = lambda url: F.concat(F.lit("<sitemap><loc> "), url, F.lit(" </loc></sitemap>"))
     page = lambda path: F.concat(F.lit("<url><loc>https://"), "host", F.lit(f"{path}</loc></url>"))
-    index = F.concat(F.lit('<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), loc(at("a")), loc(at("b")), loc(at("sitemap")), F.lit("</sitemapindex>"))
-    urlset = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), page("/one"), page("/two?a=1&amp;b=2"), page("/x.pdf"), page("/news/a"), page("/one"), F.lit("<url><loc>https://other.org/z</loc></url></urlset>"))
+    index = F.concat(
+        F.lit('<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), loc(at("a")),
+        loc(at("b")), loc(at("sitemap")), F.lit("</sitemapindex>")
+    )
+    urlset = F.concat(
+        F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), page("/one"), page("/two?a=1&amp;b=2"),
+        page("/x.pdf"), page("/news/a"), page("/one"), F.lit("<url><loc>https://other.org/z</loc></url></urlset>")
+    )
     broken = F.concat(F.lit("<urlset>"), page("/lost"), F.lit("<url>"))
     more = F.concat(F.lit("<urlset>"), page("/three"), page("/one"), F.lit("</urlset>"))
     nested = F.concat(F.lit("<sitemapindex>"), loc(at("c")), loc(at("d")), F.lit("</sitemapindex>"))
@@ -409,7 +442,10 @@ def sitemap_recursive(spark, sf_dir):
 def worker_quota(spark, sf_dir):
     hosts = _pages(spark, sf_dir).select(F.lower(F.regexp_extract("url", "://([^/]+)", 1)).alias("platform_id")).distinct()
     every = hosts.agg(F.count("*").alias("n")).first()["n"]
-    return functools.reduce(DataFrame.union, (crawl.worker_quota(hosts, "platform_id", "platform_id", t).withColumn("total", F.lit(t)) for t in (1, every + 3, 3 * every, 10 * every)))
+    return functools.reduce(
+        DataFrame.union,
+        (crawl.worker_quota(hosts, "platform_id", "platform_id", t).withColumn("total", F.lit(t)) for t in (1, every + 3, 3 * every, 10 * every))
+    )
 
 
 def _graph(spark, sf_dir):
@@ -417,9 +453,15 @@ def _graph(spark, sf_dir):
     n = _pages(spark, sf_dir).agg(F.count("*").alias("n"))
     at = lambda i: F.concat(F.lit("https://site.example/p/"), i.cast("string"))
     ids = _pages(spark, sf_dir).select("page_id").crossJoin(F.broadcast(n))
-    to = ids.select("page_id", F.posexplode(F.array((F.col("page_id") * 2 + 1) % F.col("n"), (F.col("page_id") * 2 + 2) % F.col("n"), F.col("page_id"))).alias("pos", "to"))
+    to = ids.select(
+        "page_id",
+        F.posexplode(F.array((F.col("page_id") * 2 + 1) % F.col("n"), (F.col("page_id") * 2 + 2) % F.col("n"), F.col("page_id"))).alias("pos", "to")
+    )
     links = to.select(at(F.col("page_id")).alias("src"), "pos", at(F.col("to")).alias("url"))
-    start = spark.createDataFrame([(f"https://site.example/p/{i}", f"https://site.example/p/{i}", "site.example", i) for i in (0, 1)], "url string, platform_id string, root_host string, seq long")
+    start = spark.createDataFrame(
+        [(f"https://site.example/p/{i}", f"https://site.example/p/{i}", "site.example", i) for i in (0, 1)],
+        "url string, platform_id string, root_host string, seq long"
+    )
     return links, start
 
 
@@ -441,7 +483,11 @@ def _crawl_pages(spark, sf_dir):
     """Pages of hosts with the driver's HTML, a snippet in each, and links to the pages 2i+1 and 2i+2."""
     n = _pages(spark, sf_dir).agg(F.count("*").alias("n"))
     link = lambda k: F.concat(F.lit('<a href="/p/'), ((F.col("page_id") * 2 + k) % F.col("n")).cast("string"), F.lit('">next</a>'))
-    body = F.concat(F.lit("<html><head><title>Malaria and the like</title></head><body><article><p>"), F.regexp_replace(overlay.pick("page_id", overlay.SNIPPETS), "\n\n", "</p><p>"), F.lit("</p>"), link(1), link(2), F.lit("</article></body></html>"))
+    body = F.concat(
+        F.lit("<html><head><title>Malaria and the like</title></head><body><article><p>"),
+        F.regexp_replace(overlay.pick("page_id", overlay.SNIPPETS), "\n\n", "</p><p>"), F.lit("</p>"), link(1), link(2),
+        F.lit("</article></body></html>")
+    )
     rows = _pages(spark, sf_dir).crossJoin(F.broadcast(n)).filter("page_id % 7 <> 5")
     return rows.select(F.concat(F.lit("https://site.example/p/"), F.col("page_id").cast("string")).alias("url"), body.alias("html"))
 
@@ -485,10 +531,17 @@ def json_source(spark, sf_dir):
     """Two records a file, and items that are none; every third file wraps them, every fifth has another ending or is broken."""
     item = F.to_json(F.struct("title", F.col("source_url").alias("source_url"), F.array("src", F.lit("x")).alias("symptoms"), F.lit(1).alias("extra")))
     items = F.concat(F.lit("["), item, F.lit(", 5, null, \"s\", {\"title\": \"only\"}]"))
-    body = F.when(F.col("doc_id") % 5 == 1, F.concat(items, F.lit("]"))).when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"records": '), items, F.lit("}"))).otherwise(items)
+    body = F.when(F.col("doc_id") % 5 == 1, F.concat(items, F.lit("]"))).when(
+        F.col("doc_id") % 3 == 0, F.concat(F.lit('{"records": '), items, F.lit("}"))
+    ).otherwise(items)
     name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 2, ".txt").otherwise(".JSON"))
     rows = files.json_records(_docs(spark, sf_dir).select(name.alias("filename"), body.alias("content")))
-    return rows.select("filename", F.coalesce(F.col("pos").cast("long"), F.lit(-1)).alias("pos"), F.coalesce("error", F.lit("")).alias("error"), F.coalesce("data.title", F.lit("")).alias("title"), F.coalesce(F.array_join("data.symptoms", "|"), F.lit("")).alias("symptoms"), F.coalesce("data.category", F.lit("")).alias("category"))
+    return rows.select(
+        "filename", F.coalesce(F.col("pos").cast("long"), F.lit(-1)).alias("pos"),
+        F.coalesce("error", F.lit("")).alias("error"), F.coalesce("data.title", F.lit("")).alias("title"),
+        F.coalesce(F.array_join("data.symptoms", "|"), F.lit("")).alias("symptoms"),
+        F.coalesce("data.category", F.lit("")).alias("category")
+    )
 
 
 @query
@@ -499,8 +552,17 @@ def export_csv_rows(spark, sf_dir):
 
 @query
 def export_jsonl_rows(spark, sf_dir):
-    rows = _records(spark, sf_dir).filter("reject_reason is null").select("doc_id", F.from_json(sinks.json_line(), "data struct<title:string,symptoms:array<string>,verified:boolean>, raw_blocks array<string>, language string, quality_score double, tags array<string>").alias("j"))
-    return rows.select("doc_id", "j.data.title", F.array_join("j.data.symptoms", "|").alias("symptoms"), "j.data.verified", _joined("j.raw_blocks").alias("blocks_md5"), "j.language", "j.quality_score", F.array_join("j.tags", "|").alias("tags"))
+    rows = _records(spark, sf_dir).filter("reject_reason is null").select(
+        "doc_id",
+        F.from_json(
+            sinks.json_line(),
+            "data struct<title:string,symptoms:array<string>,verified:boolean>, raw_blocks array<string>, language string, quality_score double, tags array<string>"
+        ).alias("j")
+    )
+    return rows.select(
+        "doc_id", "j.data.title", F.array_join("j.data.symptoms", "|").alias("symptoms"), "j.data.verified",
+        _joined("j.raw_blocks").alias("blocks_md5"), "j.language", "j.quality_score", F.array_join("j.tags", "|").alias("tags")
+    )
 
 
 @query
@@ -515,7 +577,10 @@ def _manifests(spark, sf_dir):
     i = F.col("doc_id")
     one = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
     state = F.when(i % 7 == 6, F.lit(None)).otherwise(overlay.pick("doc_id", ("queued", "running", "paused", "completed", "failed")))
-    item = F.struct(F.col("source_url").alias("url"), F.when(i % 4 == 0, F.col("src")).alias("platform_id"), F.when(i % 3 == 0, F.lit("host.org")).alias("root_host"), one("a", "").alias("tags"))
+    item = F.struct(
+        F.col("source_url").alias("url"), F.when(i % 4 == 0, F.col("src")).alias("platform_id"),
+        F.when(i % 3 == 0, F.lit("host.org")).alias("root_host"), one("a", "").alias("tags")
+    )
     platform = F.struct(F.col("src").alias("platform_id"), F.lit(9).alias("max_pages"))
     body = F.struct(
         i.cast("string").alias("job_id"),
@@ -535,7 +600,12 @@ def manifest_defaults(spark, sf_dir):
     rows = _manifests(spark, sf_dir)
     platform = F.try_element_at("platform_states", F.lit(1))
     item = F.try_element_at("queue_items", F.lit(1))
-    return rows.select("job_id", "status", "max_pages", "concurrency", F.array_join("start_urls", "|").alias("start_urls"), F.size("platform_states").cast("long").alias("platforms"), platform["label"].alias("label"), platform["max_pages"].alias("platform_pages"), item["platform_id"].alias("item_platform"), F.array_join(item["tags"], "|").alias("item_tags"))
+    return rows.select(
+        "job_id", "status", "max_pages", "concurrency", F.array_join("start_urls", "|").alias("start_urls"),
+        F.size("platform_states").cast("long").alias("platforms"), platform["label"].alias("label"),
+        platform["max_pages"].alias("platform_pages"), item["platform_id"].alias("item_platform"),
+        F.array_join(item["tags"], "|").alias("item_tags")
+    )
 
 
 @query
@@ -545,7 +615,10 @@ def pending_jobs(spark, sf_dir):
 
 @query
 def job_responses(spark, sf_dir):
-    return jobs.job_view(_manifests(spark, sf_dir)).select("job_id", F.array_join("errors", "|").alias("errors"), "download_csv_url", F.size("platform_progress").cast("long").alias("platforms"))
+    return jobs.job_view(_manifests(spark, sf_dir)).select(
+        "job_id", F.array_join("errors", "|").alias("errors"), "download_csv_url",
+        F.size("platform_progress").cast("long").alias("platforms")
+    )
 
 
 @query
@@ -563,7 +636,10 @@ def stream_equals_batch(spark, sf_dir):
     from textloom.streaming import incremental
 
     base = f"{shared_dir(spark)}/textloom/stream-{next(tempfile._get_candidate_names())}"
-    pages = _pages(spark, sf_dir).select("page_id", F.concat(F.lit("https://site.example/malaria/"), F.col("page_id").cast("string")).alias("url"), F.concat(F.lit("<title>Malaria</title><p>"), F.regexp_replace(overlay.pick("page_id", overlay.SNIPPETS), "\n\n", "</p><p>"), F.lit("</p>")).alias("html"))
+    pages = _pages(spark, sf_dir).select(
+        "page_id", F.concat(F.lit("https://site.example/malaria/"), F.col("page_id").cast("string")).alias("url"),
+        F.concat(F.lit("<title>Malaria</title><p>"), F.regexp_replace(overlay.pick("page_id", overlay.SNIPPETS), "\n\n", "</p><p>"), F.lit("</p>")).alias("html")
+    )
     pages.filter("page_id % 2 = 0").write.parquet(f"{base}/in")
     for _ in range(2):
         incremental.start_export(incremental.read_pages(spark, f"{base}/in"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
@@ -578,7 +654,10 @@ def stream_equals_batch(spark, sf_dir):
 @query
 def platform_counters(spark, sf_dir):
     rows = _records(spark, sf_dir).withColumn("platform_id", urls.root_host(F.col("source_url")))
-    return rows.groupBy("platform_id").agg(F.count("*").alias("scraped"), F.count_if(F.col("reject_reason").isNull()).alias("accepted"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"))
+    return rows.groupBy("platform_id").agg(
+        F.count("*").alias("scraped"), F.count_if(F.col("reject_reason").isNull()).alias("accepted"),
+        F.count_if(F.col("reject_reason").isNotNull()).alias("rejected")
+    )
 
 
 @query
@@ -593,7 +672,10 @@ def ordered_block_text(spark, sf_dir):
 def head_limits(spark, sf_dir):
     """Head limits within a document: its first three and last two blocks."""
     rows = _blocks(spark, sf_dir)
-    return rows.select("doc_id", _joined(F.slice("cleaned", 1, 3)).alias("first_md5"), _joined(F.slice("cleaned", F.greatest(F.size("cleaned") - 1, F.lit(1)), F.lit(2))).alias("last_md5"))
+    return rows.select(
+        "doc_id", _joined(F.slice("cleaned", 1, 3)).alias("first_md5"),
+        _joined(F.slice("cleaned", F.greatest(F.size("cleaned") - 1, F.lit(1)), F.lit(2))).alias("last_md5")
+    )
 
 
 @query

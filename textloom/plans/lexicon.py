@@ -7,10 +7,26 @@ from dataclasses import dataclass
 # The default domain's terms, matched as substrings of folded text.
 REQUIRED = ("symptom", "symptoms", "treatment", "diagnosis", "management", "prevention", "prevent", "cause", "causes")
 CONDITION = ("disease", "disorder", "syndrome", "infection", "covid", "influenza", "diabetes", "cancer", "tuberculosis", "malaria", "hypertension", "asthma")
-CONTEXT = ("disease", "infection", "health", "medical", "doctor", "patient", "diagnosis", "fever", "cough", "pain", "vaccine", "medicine", "clinic", "hospital", "care", "virus", "bacteria", "chronic", "acute", "therapy", "guideline", "public health")
-EXCLUDED = ("campaign", "fundraising", "donate", "donation", "sponsor", "petition", "election", "merchandise", "shop now", "subscribe now", "all rights reserved", "newsletter", "media contact", "press release", "about us", "careers", "job openings", "section 508", "disclaimer", "trademark", "terms of use", "accessibility statement")
-URL_SUBSTRINGS = ("campaign", "campaigns", "donate", "donation", "fundraising", "event", "events", "press", "newsroom", "media", "careers", "jobs", "privacy", "cookie", "terms", "contact", "about", "partner", "sponsor", "shop")
-URL_SEGMENTS = ("campaign", "campaigns", "donate", "donation", "fundraising", "event", "events", "press", "news", "newsroom", "news-room", "media", "media-centre", "multimedia", "podcast", "video", "videos", "careers", "jobs", "privacy", "cookie", "cookies", "terms", "contact", "about", "shop", "store", "other", "accessibility", "agencymaterials", "agency-materials", "legal", "disclaimer")
+CONTEXT = (
+    "disease", "infection", "health", "medical", "doctor", "patient", "diagnosis", "fever", "cough", "pain", "vaccine",
+    "medicine", "clinic", "hospital", "care", "virus", "bacteria", "chronic", "acute", "therapy", "guideline",
+    "public health"
+)
+EXCLUDED = (
+    "campaign", "fundraising", "donate", "donation", "sponsor", "petition", "election", "merchandise", "shop now",
+    "subscribe now", "all rights reserved", "newsletter", "media contact", "press release", "about us", "careers",
+    "job openings", "section 508", "disclaimer", "trademark", "terms of use", "accessibility statement"
+)
+URL_SUBSTRINGS = (
+    "campaign", "campaigns", "donate", "donation", "fundraising", "event", "events", "press", "newsroom", "media",
+    "careers", "jobs", "privacy", "cookie", "terms", "contact", "about", "partner", "sponsor", "shop"
+)
+URL_SEGMENTS = (
+    "campaign", "campaigns", "donate", "donation", "fundraising", "event", "events", "press", "news", "newsroom",
+    "news-room", "media", "media-centre", "multimedia", "podcast", "video", "videos", "careers", "jobs", "privacy",
+    "cookie", "cookies", "terms", "contact", "about", "shop", "store", "other", "accessibility", "agencymaterials",
+    "agency-materials", "legal", "disclaimer"
+)
 GENERIC_TITLES = ("what is", "what are", "how ", "can we", "can you", "world's", "worlds", "article", "explained", "works", "method", "study", "report")
 SYMPTOMS = ("symptom", "fever", "cough", "pain", "rash", "fatigue", "nausea", "vomiting", "diarrhea", "breath", "headache", "sore throat", "weakness")
 PREVENTION = ("prevent", "prevention", "avoid", "vaccin", "wash", "hygiene", "mask", "screening", "protect", "sanitation")
@@ -31,7 +47,10 @@ SEVERE_ADVICE = ("Seek immediate medical care", "Visit the nearest emergency fac
 # Markup that holds no text of the page, and paths that hold no page.
 REMOVED_TAGS = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "button", "iframe", "svg", "canvas", "figure", "figcaption")
 REMOVED_CLASSES = ("advertisement", "ads", "cookie", "breadcrumb", "social", "share", "menu")
-NON_PAGE_EXTENSIONS = ("7z", "avi", "css", "csv", "doc", "docx", "gif", "gz", "jpeg", "jpg", "js", "json", "mov", "mp3", "mp4", "pdf", "png", "ppt", "pptx", "rar", "svg", "tar", "webp", "xls", "xlsx", "xml", "zip")
+NON_PAGE_EXTENSIONS = (
+    "7z", "avi", "css", "csv", "doc", "docx", "gif", "gz", "jpeg", "jpg", "js", "json", "mov", "mp3", "mp4", "pdf", "png",
+    "ppt", "pptx", "rar", "svg", "tar", "webp", "xls", "xlsx", "xml", "zip"
+)
 
 # Host endings in order of precedence, with label, source name and tag.
 SOURCES = (
@@ -48,8 +67,15 @@ SOURCES = (
 UNTITLED_PAGE = "Untitled medical page"
 UNTITLED_ENTRY = "Untitled medical dataset entry"
 CATEGORY = "disease"
-EXPORT_FIELDS = ("title", "category", "symptoms", "common_symptoms", "rare_symptoms", "description", "differential_questions", "severity_levels", "home_care", "lifestyle_tips", "warning_signs", "when_to_seek_doctor", "prevention", "risk_groups", "possible_confusions", "confidence_rules", "source", "verified", "verified_from", "source_url")
-LIST_FIELDS = ("symptoms", "common_symptoms", "rare_symptoms", "differential_questions", "home_care", "lifestyle_tips", "warning_signs", "prevention", "risk_groups", "possible_confusions")
+EXPORT_FIELDS = (
+    "title", "category", "symptoms", "common_symptoms", "rare_symptoms", "description", "differential_questions",
+    "severity_levels", "home_care", "lifestyle_tips", "warning_signs", "when_to_seek_doctor", "prevention", "risk_groups",
+    "possible_confusions", "confidence_rules", "source", "verified", "verified_from", "source_url"
+)
+LIST_FIELDS = (
+    "symptoms", "common_symptoms", "rare_symptoms", "differential_questions", "home_care", "lifestyle_tips",
+    "warning_signs", "prevention", "risk_groups", "possible_confusions"
+)
 FINGERPRINT_TEXTS = ("title", "source_url", "description")
 FINGERPRINT_LISTS = ("symptoms", "common_symptoms", "rare_symptoms", "warning_signs", "prevention", "home_care", "lifestyle_tips", "risk_groups")
 WORKERS_PER_PLATFORM = 3
@@ -85,7 +111,10 @@ class Lexicon:
 
     def sentence_classes(self) -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
         """Of each list in a record: terms, and terms that exclude a sentence from it."""
-        return {"symptoms": (self.symptoms, self.warning_context), "prevention": (self.prevention, ()), "warning_signs": (self.warning, ()), "home_care": (self.home_care, ()), "lifestyle_tips": (self.lifestyle, ())}
+        return {
+            "symptoms": (self.symptoms, self.warning_context), "prevention": (self.prevention, ()),
+            "warning_signs": (self.warning, ()), "home_care": (self.home_care, ()), "lifestyle_tips": (self.lifestyle, ())
+        }
 
 
 DEFAULT = Lexicon()

@@ -140,7 +140,10 @@ RELATIONS = {
     "t": f"t AS (SELECT doc_id, i, generate_subscripts(z, 1) AS k, unnest(z) AS said FROM (SELECT doc_id, i, {sentences('block')} AS z FROM (SELECT doc_id, unnest(accepted) AS block, generate_subscripts(accepted, 1) AS i FROM a)))",
 }
 _CLASSES = LEX.sentence_classes()
-_CLASS_SQL = " UNION ALL ".join(f"SELECT doc_id, {quoted(n)} AS class, i, k, said FROM t WHERE {any_of(fold('said'), terms)}" + (f" AND NOT {any_of(fold('said'), without)}" if without else "") for n, (terms, without) in _CLASSES.items())
+_CLASS_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, {quoted(n)} AS class, i, k, said FROM t WHERE {any_of(fold('said'), terms)}" + (f" AND NOT {any_of(fold('said'), without)}" if without else "") for n,
+    (terms, without) in _CLASSES.items()
+)
 RELATIONS["m"] = (
     f"m AS (SELECT doc_id, class, list(item ORDER BY i, k) AS items FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, class ORDER BY i, k) AS r FROM (SELECT doc_id, class, i, k, {truncate('item', 280)} AS item FROM "
     f"(SELECT *, row_number() OVER (PARTITION BY doc_id, class, {fold('item')} ORDER BY i, k) AS nth FROM (SELECT *, trim({ws('said')}, {EDGE}) AS item FROM ({_CLASS_SQL})) WHERE item <> '') WHERE nth = 1)) WHERE r <= {LEX.sentence_limit} GROUP BY ALL)"
@@ -175,7 +178,10 @@ RELATIONS["r"] = (
     f"(SELECT *, {_title('title')} AS d_title, {_DESCRIPTION} AS description, coalesce({truncate('found', 280)}, warning_signs[1], '') AS seek, {relevant('source_url')} AS relevant, {REFERENCE} AS reference, {_NAME} AS source_name, {_LABEL} AS label, {_TAG} AS tag, {language(joined('accepted', ' '))} AS language FROM "
     f"(SELECT *, {_SEEK} AS found FROM q JOIN (SELECT o.doc_id, {_LISTS} FROM o LEFT JOIN m USING (doc_id) GROUP BY ALL) USING (doc_id)))))"
 )
-_NEEDS = {"u": "", "n": "u", "b": "o", "w": "ob", "c": "obw", "s": "obwc", "a": "obwcs", "j": "obwcsa", "q": "obwcsaj", "t": "obwcsa", "m": "obwcsat", "r": "obwcsajqtm", "o": ""}
+_NEEDS = {
+    "u": "", "n": "u", "b": "o", "w": "ob", "c": "obw", "s": "obwc", "a": "obwcs", "j": "obwcsa", "q": "obwcsaj",
+    "t": "obwcsa", "m": "obwcsat", "r": "obwcsajqtm", "o": ""
+}
 
 
 def using(names: str, select: str, *more: str) -> str:
@@ -192,7 +198,12 @@ _VERIFIED = f"CASE WHEN label <> '' THEN {verified_from('source_name', 'label')}
 def _record(by: str = "|") -> str:
     """The record's columns but the two nested ones, lists joined."""
     flat = lambda name, values: f"{joined(values, by)} AS {name}"
-    lists = ", ".join([_list("symptoms", by), flat("common_symptoms", "symptoms[1:4]"), flat("rare_symptoms", "symptoms[5:8]"), flat("differential_questions", array(lx.QUESTIONS)), *(_list(n, by) for n in ("home_care", "lifestyle_tips", "warning_signs", "prevention")), flat("risk_groups", array(lx.RISK_GROUPS)), flat("possible_confusions", array(lx.CONFUSIONS))])
+    lists = ", ".join([
+        _list("symptoms", by), flat("common_symptoms", "symptoms[1:4]"), flat("rare_symptoms", "symptoms[5:8]"),
+        flat("differential_questions", array(lx.QUESTIONS)),
+        *(_list(n, by) for n in ("home_care", "lifestyle_tips", "warning_signs", "prevention")),
+        flat("risk_groups", array(lx.RISK_GROUPS)), flat("possible_confusions", array(lx.CONFUSIONS))
+    ])
     return f"d_title AS title, 'disease' AS category, {lists}, description, seek AS when_to_seek_doctor, source_name AS source, label <> '' AS verified, {_VERIFIED}, source_url"
 
 
@@ -202,8 +213,14 @@ def _some(name: str, default) -> str:
 
 def _fingerprint(title: str, description: str) -> str:
     norm = lambda x: fold(ws_plain(x))
-    lists = {"symptoms": "symptoms", "common_symptoms": "symptoms[1:4]", "rare_symptoms": "symptoms[5:8]", "warning_signs": "warning_signs", "prevention": "prevention", "home_care": "home_care", "lifestyle_tips": "lifestyle_tips", "risk_groups": array(lx.RISK_GROUPS)}
-    parts = {f: f"list_sort(list_filter(list_transform({v}, lambda x: {norm('x')}), lambda x: x <> ''))" for f, v in lists.items()} | {"title": norm(title), "description": norm(description), "source_url": norm("source_url")}
+    lists = {
+        "symptoms": "symptoms", "common_symptoms": "symptoms[1:4]", "rare_symptoms": "symptoms[5:8]",
+        "warning_signs": "warning_signs", "prevention": "prevention", "home_care": "home_care",
+        "lifestyle_tips": "lifestyle_tips", "risk_groups": array(lx.RISK_GROUPS)
+    }
+    parts = {
+        f: f"list_sort(list_filter(list_transform({v}, lambda x: {norm('x')}), lambda x: x <> ''))" for f, v in lists.items()
+    } | {"title": norm(title), "description": norm(description), "source_url": norm("source_url")}
     return "sha256(to_json(struct_pack(" + ", ".join(f"{k} := {parts[k]}" for k in sorted(parts)) + "))::VARCHAR)"
 
 
@@ -221,10 +238,16 @@ _COPIES = (
 ORACLE = {
     "ws_normalize": using("o", f"SELECT doc_id, md5({ws('text')}) AS text_md5, length({ws('text')})::BIGINT AS chars FROM o"),
     "fold_text": using("o", f"SELECT doc_id, md5({fold('text')}) AS text_md5 FROM o"),
-    "text_block_split": using("o", f"SELECT doc_id, len(a)::BIGINT AS n_text, md5({joined('a')}) AS text_md5, len(b)::BIGINT AS n_raw, md5({joined('b')}) AS raw_md5 FROM (SELECT doc_id, {split_blocks('text')} AS a, {split_blocks('raw')} AS b FROM o)"),
+    "text_block_split": using(
+        "o",
+        f"SELECT doc_id, len(a)::BIGINT AS n_text, md5({joined('a')}) AS text_md5, len(b)::BIGINT AS n_raw, md5({joined('b')}) AS raw_md5 FROM (SELECT doc_id, {split_blocks('text')} AS a, {split_blocks('raw')} AS b FROM o)"
+    ),
     "clean_blocks": using("c", "SELECT doc_id, pos, md5(block) AS block_md5, length(block)::BIGINT AS chars FROM c"),
     "sentence_split": using("o", f"SELECT doc_id, len(z)::BIGINT AS n, md5({joined('z')}) AS sentences_md5 FROM (SELECT doc_id, {sentences('text')} AS z FROM o)"),
-    "truncate_text": using("o", "SELECT doc_id, " + ", ".join(f"{truncate('x', n)} AS cut_{n}" for n in (140, 280, 1200)) + f" FROM (SELECT doc_id, {ws('text')} AS x FROM o)"),
+    "truncate_text": using(
+        "o",
+        "SELECT doc_id, " + ", ".join(f"{truncate('x', n)} AS cut_{n}" for n in (140, 280, 1200)) + f" FROM (SELECT doc_id, {ws('text')} AS x FROM o)"
+    ),
     "unique_items": using(
         "o",
         f"SELECT o.doc_id, coalesce(items, '') AS items FROM o LEFT JOIN (SELECT doc_id, string_agg(item, '|' ORDER BY k) AS items FROM (SELECT doc_id, k, {truncate('item', 280)} AS item, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS r FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {fold('item')} ORDER BY k) AS nth FROM (SELECT doc_id, k, trim({ws('said')}, {EDGE}) AS item FROM (SELECT doc_id, unnest(z) AS said, generate_subscripts(z, 1) AS k FROM (SELECT doc_id, {sentences('text')} AS z FROM o))) WHERE item <> '') WHERE nth = 1) WHERE r <= 10 GROUP BY doc_id) USING (doc_id)",
@@ -232,47 +255,99 @@ ORACLE = {
     "detect_language": using("o", f"SELECT doc_id, {language('string_split(text, chr(10) || chr(10))[-1]')} AS of_snippet, {language('raw')} AS of_raw FROM o"),
     "retry_after_parse": f"SELECT doc_id, CASE WHEN x < 0 THEN 0 ELSE x END AS seconds FROM (SELECT doc_id, TRY_CAST(regexp_extract({strip('h')}, '^([+-]?[0-9]{{1,9}})$', 1) AS INTEGER) AS x FROM (SELECT doc_id, {pick_sql('doc_id', ('5', ' 12 ', '-3', 'soon', '', '1.5', '+7', 'Wed, 21 Oct'))} AS h FROM documents))",
     "seed_list_parse": "SELECT host, string_agg(lower(url), '|' ORDER BY url) AS seeds FROM (SELECT DISTINCT ON (host, lower(url)) url, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages ORDER BY url) GROUP BY host",
-    "keyword_hits": using("o", f"SELECT doc_id, {hits('f', LEX.required)} AS required, {hits('f', LEX.context)} AS context, {hits('f', LEX.condition)} AS condition FROM (SELECT doc_id, {fold('text')} AS f FROM o)"),
-    "required_and_context": using("o", f"SELECT doc_id, {any_of('f', LEX.required)} AS has_required, {hits('f', LEX.context)} >= 2 AS has_context FROM (SELECT doc_id, {fold('text')} AS f FROM o)"),
-    "excluded_content": using("o", f"SELECT doc_id, {any_of('f', LEX.excluded)} AS excluded, {any_of('g', LEX.excluded)} AS raw_excluded FROM (SELECT doc_id, {fold('text')} AS f, {fold('raw')} AS g FROM o)"),
+    "keyword_hits": using(
+        "o",
+        f"SELECT doc_id, {hits('f', LEX.required)} AS required, {hits('f', LEX.context)} AS context, {hits('f', LEX.condition)} AS condition FROM (SELECT doc_id, {fold('text')} AS f FROM o)"
+    ),
+    "required_and_context": using(
+        "o",
+        f"SELECT doc_id, {any_of('f', LEX.required)} AS has_required, {hits('f', LEX.context)} >= 2 AS has_context FROM (SELECT doc_id, {fold('text')} AS f FROM o)"
+    ),
+    "excluded_content": using(
+        "o",
+        f"SELECT doc_id, {any_of('f', LEX.excluded)} AS excluded, {any_of('g', LEX.excluded)} AS raw_excluded FROM (SELECT doc_id, {fold('text')} AS f, {fold('raw')} AS g FROM o)"
+    ),
     "strong_block": using("s", "SELECT doc_id, pos, strong FROM s"),
     "quality_score": using("q", f"SELECT q.doc_id, score, {score_of('f')} AS score_of_text FROM q JOIN (SELECT doc_id, {fold('text')} AS f FROM o) USING (doc_id)"),
     "block_filter_counts": using("q", "SELECT doc_id, n_accepted AS accepted, n_rejected AS rejected, score FROM q"),
-    "source_filter_report": using("q", "SELECT src, count(*) AS documents, sum(n_accepted)::BIGINT AS accepted, sum(n_rejected)::BIGINT AS rejected, round(max(score), 2) AS best_score FROM q GROUP BY src"),
+    "source_filter_report": using(
+        "q",
+        "SELECT src, count(*) AS documents, sum(n_accepted)::BIGINT AS accepted, sum(n_rejected)::BIGINT AS rejected, round(max(score), 2) AS best_score FROM q GROUP BY src"
+    ),
     "reference_page": using("j", f"SELECT doc_id, {REFERENCE} AS reference FROM j"),
     "url_normalize": using("n", "SELECT page_id, given, u AS normalized FROM n"),
     "url_canonical": f"SELECT page_id, {canonical('url')} AS canonical FROM pages",
     "url_root_host": using("n", f"SELECT page_id, {root_host('u')} AS host FROM n"),
-    "url_same_site": using("n", rf"SELECT page_id, {same_site('u', 'base')} AS same_site FROM (SELECT *, CASE page_id % 3 WHEN 0 THEN {root_host('u')} WHEN 1 THEN regexp_replace({root_host('u')}, '^[^.]*\.', '') ELSE 'elsewhere.org' END AS base FROM n)"),
+    "url_same_site": using(
+        "n",
+        rf"SELECT page_id, {same_site('u', 'base')} AS same_site FROM (SELECT *, CASE page_id % 3 WHEN 0 THEN {root_host('u')} WHEN 1 THEN regexp_replace({root_host('u')}, '^[^.]*\.', '') ELSE 'elsewhere.org' END AS base FROM n)"
+    ),
     "url_is_html": using("n", f"SELECT page_id, {is_page('u')} AS is_page FROM n"),
     "url_relevant": using("no", f"SELECT page_id, {relevant('u')} AS relevant FROM n UNION ALL SELECT -1 - doc_id, {relevant('source_url')} FROM o"),
     "source_classify": using("o", f"SELECT doc_id, {_NAME} AS source_name, {_LABEL} <> '' AS verified, {_LABEL} AS verified_from, {_TAG} AS tags FROM o"),
     "verified_from_infer": f"SELECT doc_id, {verified_from('name', 'given')} AS verified_from FROM (SELECT doc_id, {pick_sql('doc_id', ('World Health Organization', 'Who knows', 'A government site', 'CDC', 'Nobody', 'the NHS'))} AS name, {pick_sql('doc_id', ('', '', '', '', '', '', 'given'))} AS given FROM documents)",
-    **{k: using("m", f"SELECT o.doc_id, {joined('items')} AS {n} FROM o LEFT JOIN (SELECT * FROM m WHERE class = {quoted(n)}) USING (doc_id)") for k, n in (("match_symptoms", "symptoms"), ("match_prevention", "prevention"), ("match_warning", "warning_signs"), ("match_home_care", "home_care"), ("match_lifestyle", "lifestyle_tips"))},
+    **{
+        k: using("m", f"SELECT o.doc_id, {joined('items')} AS {n} FROM o LEFT JOIN (SELECT * FROM m WHERE class = {quoted(n)}) USING (doc_id)") for k,
+        n in (
+            ("match_symptoms", "symptoms"), ("match_prevention", "prevention"), ("match_warning", "warning_signs"),
+            ("match_home_care", "home_care"), ("match_lifestyle", "lifestyle_tips")
+        )
+    },
     "symptom_buckets": using("r", f"SELECT doc_id, {joined('symptoms[1:4]')} AS common, {joined('symptoms[5:8]')} AS rare FROM r"),
     "description": using("a", f"SELECT doc_id, {_DESCRIPTION} AS description FROM a"),
     "infer_title": using("a", f"SELECT doc_id, {_title('title')} AS title, {_title(quoted(''))} AS own_title FROM a"),
     "seek_doctor": using("r", "SELECT doc_id, seek AS when_to_seek_doctor FROM r"),
-    "severity_levels": using("r", f"SELECT doc_id, {joined(array(lx.MILD_CONDITIONS))} AS mild_conditions, {_some('home_care', lx.MILD_ADVICE)} AS mild_advice, {joined(array(lx.MODERATE_CONDITIONS))} AS moderate_conditions, {joined(array(lx.MODERATE_ADVICE))} AS moderate_advice, {_some('warning_signs', lx.SEVERE_CONDITIONS)} AS severe_conditions, {joined(array(lx.SEVERE_ADVICE))} AS severe_advice FROM r"),
+    "severity_levels": using(
+        "r",
+        f"SELECT doc_id, {joined(array(lx.MILD_CONDITIONS))} AS mild_conditions, {_some('home_care', lx.MILD_ADVICE)} AS mild_advice, {joined(array(lx.MODERATE_CONDITIONS))} AS moderate_conditions, {joined(array(lx.MODERATE_ADVICE))} AS moderate_advice, {_some('warning_signs', lx.SEVERE_CONDITIONS)} AS severe_conditions, {joined(array(lx.SEVERE_ADVICE))} AS severe_advice FROM r"
+    ),
     "structured_record": using("r", f"SELECT doc_id, {_record()}, 2 AS min_symptoms_match, 0.7::DOUBLE AS high_confidence_threshold FROM r"),
     "complete_fields": using("r", "SELECT doc_id, complete FROM r"),
     "record_gate": using("r", f"SELECT doc_id, language, score, tag AS tags, md5({joined('accepted')}) AS blocks_md5 FROM r WHERE reject_reason IS NULL"),
     "reject_reasons": using("r", "SELECT coalesce(reject_reason, 'accepted') AS outcome, count(*) AS n FROM r GROUP BY ALL"),
-    "extract_documents": using("r", "SELECT doc_id, language, score, CASE WHEN len(accepted) = 0 THEN 'rejected: no block with required terms' WHEN NOT complete THEN 'incomplete: a required field is empty' END AS error, d_title AS title, len(accepted)::BIGINT AS accepted FROM r"),
+    "extract_documents": using(
+        "r",
+        "SELECT doc_id, language, score, CASE WHEN len(accepted) = 0 THEN 'rejected: no block with required terms' WHEN NOT complete THEN 'incomplete: a required field is empty' END AS error, d_title AS title, len(accepted)::BIGINT AS accepted FROM r"
+    ),
     "record_fingerprint": using("r", "SELECT doc_id, fingerprint FROM x", _COPIES),
     "dedup_records": using("r", "SELECT min(doc_id) AS doc_id, fingerprint FROM x GROUP BY fingerprint", _COPIES),
-    "merge_datasets": using("r", "SELECT count(DISTINCT fingerprint) AS merged_count, (count(*) - count(DISTINCT fingerprint))::BIGINT AS duplicate_count, 2::BIGINT AS source_file_count, 'Merged ' || count(*) || ' records from 2 files into ' || count(DISTINCT fingerprint) || ' unique records.' AS message FROM x", _COPIES),
-    "ordered_tag_set": using("o", f"SELECT doc_id, {joined('list_sort(list_distinct(list_filter([' + _TAG + ', src, ' + quoted('b') + ', src], lambda x: x <> ' + quoted('') + ')))')} AS tags FROM o"),
-    "bag_union": using("o", f"SELECT doc_id, count(*) AS blocks, count(DISTINCT x) AS distinct_blocks FROM (SELECT doc_id, unnest({split_blocks('raw')}) AS x FROM o UNION ALL SELECT doc_id, unnest({split_blocks('text')}) FROM o) GROUP BY doc_id"),
+    "merge_datasets": using(
+        "r",
+        "SELECT count(DISTINCT fingerprint) AS merged_count, (count(*) - count(DISTINCT fingerprint))::BIGINT AS duplicate_count, 2::BIGINT AS source_file_count, 'Merged ' || count(*) || ' records from 2 files into ' || count(DISTINCT fingerprint) || ' unique records.' AS message FROM x",
+        _COPIES
+    ),
+    "ordered_tag_set": using(
+        "o",
+        f"SELECT doc_id, {joined('list_sort(list_distinct(list_filter([' + _TAG + ', src, ' + quoted('b') + ', src], lambda x: x <> ' + quoted('') + ')))')} AS tags FROM o"
+    ),
+    "bag_union": using(
+        "o",
+        f"SELECT doc_id, count(*) AS blocks, count(DISTINCT x) AS distinct_blocks FROM (SELECT doc_id, unnest({split_blocks('raw')}) AS x FROM o UNION ALL SELECT doc_id, unnest({split_blocks('text')}) FROM o) GROUP BY doc_id"
+    ),
     "error_tail": using("o", "SELECT * FROM (SELECT doc_id, source_url || ': no page' AS error FROM o ORDER BY doc_id DESC LIMIT 20) ORDER BY doc_id"),
     "completion_message": f"SELECT doc_id, CASE WHEN doc_id % 2 > 0 THEN '' WHEN doc_id % 5 = 0 THEN {quoted(lx.RATE_LIMITED)} WHEN doc_id % 3 > 0 THEN {quoted(lx.NOT_FETCHED)} ELSE {quoted(lx.NONE_PASSED)} END AS message FROM documents",
     "progress_percent": "SELECT doc_id, least(100, round(greatest(doc_id % 97, doc_id % 31, doc_id % 53) * 100.0 / (doc_id % 80 + 1)))::BIGINT AS percent FROM documents",
     "ordered_block_text": "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn, text)) AS text_md5, count(*) AS blocks FROM conversations GROUP BY conv_id",
-    "head_limits": using("c", f"SELECT doc_id, md5({joined('z[1:3]')}) AS first_md5, md5({joined('z[greatest(len(z) - 1, 1):len(z)]')}) AS last_md5 FROM (SELECT o.doc_id, coalesce(list(block ORDER BY pos) FILTER (block IS NOT NULL), []) AS z FROM o LEFT JOIN c USING (doc_id) GROUP BY o.doc_id)"),
-    "visited_anti_join": using("n", "SELECT min(page_id) AS page_id, u AS url FROM n WHERE page_id % 2 = 0 AND u IS NOT NULL AND u NOT IN (SELECT u FROM n WHERE page_id % 2 = 1 AND u IS NOT NULL) GROUP BY u"),
-    "platform_counters": using("r", f"SELECT {root_host('source_url')} AS platform_id, count(*) AS scraped, count(*) FILTER (reject_reason IS NULL) AS accepted, count(*) FILTER (reject_reason IS NOT NULL) AS rejected FROM r GROUP BY ALL"),
-    "export_csv_rows": using("r", f"SELECT {_record(' | ')}, language, score AS quality_score, {joined('accepted', chr(10) * 2)} AS raw_text FROM r WHERE reject_reason IS NULL"),
-    "export_jsonl_rows": using("r", f"SELECT doc_id, d_title AS title, {_list('symptoms')}, label <> '' AS verified, md5({joined('accepted')}) AS blocks_md5, language, score AS quality_score, tag AS tags FROM r WHERE reject_reason IS NULL"),
+    "head_limits": using(
+        "c",
+        f"SELECT doc_id, md5({joined('z[1:3]')}) AS first_md5, md5({joined('z[greatest(len(z) - 1, 1):len(z)]')}) AS last_md5 FROM (SELECT o.doc_id, coalesce(list(block ORDER BY pos) FILTER (block IS NOT NULL), []) AS z FROM o LEFT JOIN c USING (doc_id) GROUP BY o.doc_id)"
+    ),
+    "visited_anti_join": using(
+        "n",
+        "SELECT min(page_id) AS page_id, u AS url FROM n WHERE page_id % 2 = 0 AND u IS NOT NULL AND u NOT IN (SELECT u FROM n WHERE page_id % 2 = 1 AND u IS NOT NULL) GROUP BY u"
+    ),
+    "platform_counters": using(
+        "r",
+        f"SELECT {root_host('source_url')} AS platform_id, count(*) AS scraped, count(*) FILTER (reject_reason IS NULL) AS accepted, count(*) FILTER (reject_reason IS NOT NULL) AS rejected FROM r GROUP BY ALL"
+    ),
+    "export_csv_rows": using(
+        "r",
+        f"SELECT {_record(' | ')}, language, score AS quality_score, {joined('accepted', chr(10) * 2)} AS raw_text FROM r WHERE reject_reason IS NULL"
+    ),
+    "export_jsonl_rows": using(
+        "r",
+        f"SELECT doc_id, d_title AS title, {_list('symptoms')}, label <> '' AS verified, md5({joined('accepted')}) AS blocks_md5, language, score AS quality_score, tag AS tags FROM r WHERE reject_reason IS NULL"
+    ),
     "job_views": using("r", "SELECT doc_id, d_title AS title, score AS quality_score FROM r WHERE reject_reason IS NULL ORDER BY doc_id LIMIT 10"),
 }
 
@@ -327,7 +402,10 @@ _STATE = "CASE WHEN doc_id % 7 = 6 THEN 'queued' ELSE " + pick_sql("doc_id", ("q
 _PAGES = "CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 ELSE 1000 END"
 _PENDING = f"{_STATE} IN ('queued', 'running') AND (doc_id % 3 <> 1 OR doc_id % 5 = 0)"
 ORACLE |= {
-    "manifest_defaults": using("o", f"SELECT doc_id::VARCHAR AS job_id, {_STATE} AS status, ({_PAGES})::INTEGER AS max_pages, 4 AS concurrency, source_url || '|https://cdc.gov/a' AS start_urls, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 2 END::BIGINT AS platforms, CASE WHEN doc_id % 2 = 1 THEN '' ELSE {_NAME} END AS label, CASE WHEN doc_id % 2 = 1 THEN 9 ELSE doc_id % 50 END::INTEGER AS platform_pages, CASE WHEN doc_id % 3 <> 1 THEN CASE WHEN doc_id % 4 = 0 THEN src WHEN doc_id % 3 = 0 THEN 'host.org' ELSE source_url END END AS item_platform, CASE WHEN doc_id % 3 <> 1 THEN 'a' END AS item_tags FROM o"),
+    "manifest_defaults": using(
+        "o",
+        f"SELECT doc_id::VARCHAR AS job_id, {_STATE} AS status, ({_PAGES})::INTEGER AS max_pages, 4 AS concurrency, source_url || '|https://cdc.gov/a' AS start_urls, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 2 END::BIGINT AS platforms, CASE WHEN doc_id % 2 = 1 THEN '' ELSE {_NAME} END AS label, CASE WHEN doc_id % 2 = 1 THEN 9 ELSE doc_id % 50 END::INTEGER AS platform_pages, CASE WHEN doc_id % 3 <> 1 THEN CASE WHEN doc_id % 4 = 0 THEN src WHEN doc_id % 3 = 0 THEN 'host.org' ELSE source_url END END AS item_platform, CASE WHEN doc_id % 3 <> 1 THEN 'a' END AS item_tags FROM o"
+    ),
     "pending_jobs": f"SELECT doc_id::VARCHAR AS job_id, {_STATE} AS status FROM documents WHERE {_PENDING}",
     "job_responses": f"SELECT doc_id::VARCHAR AS job_id, array_to_string(list_transform(range(greatest(1, doc_id % 40 - 18), doc_id % 40 + 2), lambda x: 'e' || x), '|') AS errors, CASE WHEN {_STATE} = 'completed' THEN '/api/crawl/' || doc_id || '/download/csv' END AS download_csv_url, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 2 END::BIGINT AS platforms FROM documents",
     "job_id_union": f"SELECT count(*) AS jobs FROM documents WHERE {_PAGES} < 30 OR ({_PENDING})",

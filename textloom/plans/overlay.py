@@ -27,12 +27,26 @@ SNIPPETS = (
     "Influenza symptoms start all of a sudden and the list of what people report is long because fever, cough, pain in the limbs, headache, sore throat, weakness and fatigue may come together or one after the other over several days, and because the infection is felt in the whole body by children and the elderly alike, so that treatment begins with rest. To prevent influenza, wash hands. Seek care if breath is short. Avoid crowds, and protect others with a mask.",
     "Diabetes is a disorder of blood sugar and its symptoms include weakness and thirst; prevention starts with diet and exercise\n\nSeek the advice of those who know the disease well, since treatment of diabetes needs care every day of the week and a doctor who can look at the causes",
     "Tuberculosis is an infection of the lungs. The symptoms are cough​ and fever for weeks. The treatment takes months of medicine.  Prevention is by vaccine and by screening. Danger signs need a doctor, so seek care early in the disease.",
-    "Covid symptoms vary. " + " ".join(f"Symptom number {w} is a cough or pain of another kind." for w in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")) + " Wash hands to prevent the disease. See a doctor if it is severe, and rest. The cause is a virus.",
+    "Covid symptoms vary. " + " ".join(f"Symptom number {w} is a cough or pain of another kind." for w in (
+        "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"
+    )) + " Wash hands to prevent the disease. See a doctor if it is severe, and rest. The cause is a virus.",
     "Hypertension has few symptoms. Severe headache and chest pain are a warning, and an emergency with confusion is a danger. Prevent it with exercise and less stress. Take medicine as the doctor says. Causes of the disease are many and treatment is for life. Warning: seek medical help for severe pain.",
     "",
 )
-TITLES = ("Malaria", "What is asthma?", "Donate", "Plans that work: how networks help", "Malaria - मलेरिया", "MALARIA  ", "Influenza in winter", "", "Tuberculosis: a very long title that goes on and on until it passes the limit of one hundred and forty characters, and then some more words follow it", "Health notes", "Hypertension explained", "Lungs and airways", "Notes")
-URLS = ("https://www.who.int/malaria/overview", "https://medlineplus.gov/asthma.html", "https://example.org/donate", "https://notwho.int/plans", "https://www.nhs.uk/conditions/malaria", "https://cdc.gov/malaria/prevention", "https://health.state.gov.uk/influenza", "https://www.nih.gov/diabetes?x=1", "https://mohfw.gov.in/tb", "https://example.com/covid-19", "https://pages.example.net/hypertension/about", "https://example.com:8080/lungs", "https://example.com/", "https://health.gov/asthma/news/today", "https://example.com/tuberculosis?topic=shop", "https://cdc.gov/covid/blood-pressure")
+TITLES = (
+    "Malaria", "What is asthma?", "Donate", "Plans that work: how networks help", "Malaria - मलेरिया", "MALARIA  ",
+    "Influenza in winter", "",
+    "Tuberculosis: a very long title that goes on and on until it passes the limit of one hundred and forty characters, and then some more words follow it",
+    "Health notes", "Hypertension explained", "Lungs and airways", "Notes"
+)
+URLS = (
+    "https://www.who.int/malaria/overview", "https://medlineplus.gov/asthma.html", "https://example.org/donate",
+    "https://notwho.int/plans", "https://www.nhs.uk/conditions/malaria", "https://cdc.gov/malaria/prevention",
+    "https://health.state.gov.uk/influenza", "https://www.nih.gov/diabetes?x=1", "https://mohfw.gov.in/tb",
+    "https://example.com/covid-19", "https://pages.example.net/hypertension/about", "https://example.com:8080/lungs",
+    "https://example.com/", "https://health.gov/asthma/news/today", "https://example.com/tuberculosis?topic=shop",
+    "https://cdc.gov/covid/blood-pressure"
+)
 
 
 def quoted(text: str) -> str:
@@ -54,7 +68,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, src (the driver's source), raw (the driver's text), text, title, source_url."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.concat("text", F.lit("\n\n"), pick("doc_id", SNIPPETS))
-    return docs.select("doc_id", F.col("source").alias("src"), F.col("text").alias("raw"), text.alias("text"), pick("doc_id", TITLES).alias("title"), pick("doc_id", URLS).alias("source_url"))
+    return docs.select(
+        "doc_id", F.col("source").alias("src"), F.col("text").alias("raw"), text.alias("text"),
+        pick("doc_id", TITLES).alias("title"), pick("doc_id", URLS).alias("source_url")
+    )
 
 
 DOCUMENTS_SQL = f"o AS (SELECT doc_id, source AS src, text AS raw, text || chr(10) || chr(10) || {pick_sql('doc_id', SNIPPETS)} AS text, {pick_sql('doc_id', TITLES)} AS title, {pick_sql('doc_id', URLS)} AS source_url FROM documents)"
@@ -67,7 +84,14 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, given: the URL as somebody might write it."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     u = F.col("url")
-    forms = [u, F.concat(F.lit("  "), F.upper(u), F.lit("#Top ")), F.concat(F.regexp_replace(u, r"\?.*", ""), F.lit("//")), F.concat(F.regexp_replace(u, r"\?.*", ""), F.lit(";v=1?q=a+b")), F.regexp_replace(u, "^https?://", ""), F.concat(F.regexp_replace(u, r"\?.*", ""), F.lit("/events/prevention")), F.concat(F.regexp_replace(u, r"\?.*", ""), F.lit("/Report.PDF")), F.lit(""), F.regexp_replace(u, "://", "://www."), F.concat(F.regexp_replace(u, r"\?.*", ""), F.lit("?topic=news&x=%6Aobs")), F.regexp_replace(u, r"^([a-z]+://[^/]*).*", "$1"), F.concat(F.regexp_replace(u, r"\?.*", ""), F.lit("/a|b c"))]
+    forms = [
+        u, F.concat(F.lit("  "), F.upper(u), F.lit("#Top ")), F.concat(F.regexp_replace(u, r"\?.*", ""), F.lit("//")),
+        F.concat(F.regexp_replace(u, r"\?.*", ""), F.lit(";v=1?q=a+b")), F.regexp_replace(u, "^https?://", ""),
+        F.concat(F.regexp_replace(u, r"\?.*", ""), F.lit("/events/prevention")),
+        F.concat(F.regexp_replace(u, r"\?.*", ""), F.lit("/Report.PDF")), F.lit(""), F.regexp_replace(u, "://", "://www."),
+        F.concat(F.regexp_replace(u, r"\?.*", ""), F.lit("?topic=news&x=%6Aobs")),
+        F.regexp_replace(u, r"^([a-z]+://[^/]*).*", "$1"), F.concat(F.regexp_replace(u, r"\?.*", ""), F.lit("/a|b c"))
+    ]
     out = forms[-1]
     for i in range(KINDS - 2, -1, -1):
         out = F.when(F.col("page_id") % KINDS == i, forms[i]).otherwise(out)
@@ -75,5 +99,10 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BARE = r"regexp_replace(url, '\?.*', '')"
-_FORMS = ("url", "'  ' || upper(url) || '#Top '", f"{_BARE} || '//'", f"{_BARE} || ';v=1?q=a+b'", "regexp_replace(url, '^https?://', '')", f"{_BARE} || '/events/prevention'", f"{_BARE} || '/Report.PDF'", "''", "regexp_replace(url, '://', '://www.')", f"{_BARE} || '?topic=news&x=%6Aobs'", r"regexp_replace(url, '^([a-z]+://[^/]*).*', '\1')", f"{_BARE} || '/a|b c'")
+_FORMS = (
+    "url", "'  ' || upper(url) || '#Top '", f"{_BARE} || '//'", f"{_BARE} || ';v=1?q=a+b'",
+    "regexp_replace(url, '^https?://', '')", f"{_BARE} || '/events/prevention'", f"{_BARE} || '/Report.PDF'", "''",
+    "regexp_replace(url, '://', '://www.')", f"{_BARE} || '?topic=news&x=%6Aobs'",
+    r"regexp_replace(url, '^([a-z]+://[^/]*).*', '\1')", f"{_BARE} || '/a|b c'"
+)
 PAGE_URLS_SQL = f"u AS (SELECT page_id, url, CASE page_id % {KINDS} " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FORMS)) + " END AS given FROM pages)"

@@ -114,7 +114,10 @@ def with_defaults(data: Column) -> Column:
     given = {f: none for f in lx.LIST_FIELDS} | {"verified": F.lit(False), "category": F.lit(lx.CATEGORY)}
     special = {
         "severity_levels": F.struct(*(band(x) for x in ("mild", "moderate", "severe"))),
-        "confidence_rules": F.struct(F.coalesce(data["confidence_rules"]["min_symptoms_match"], F.lit(2)).alias("min_symptoms_match"), F.coalesce(data["confidence_rules"]["high_confidence_threshold"], F.lit(0.7)).alias("high_confidence_threshold")),
+        "confidence_rules": F.struct(
+            F.coalesce(data["confidence_rules"]["min_symptoms_match"], F.lit(2)).alias("min_symptoms_match"),
+            F.coalesce(data["confidence_rules"]["high_confidence_threshold"], F.lit(0.7)).alias("high_confidence_threshold")
+        ),
     }
     return F.struct(*(special.get(f, F.coalesce(data[f], given.get(f, F.lit("")))).alias(f) for f in lx.EXPORT_FIELDS))
 
@@ -133,7 +136,9 @@ def json_records(files: DataFrame, name: str = "filename", content: str = "conte
     text = F.try_validate_utf8(F.col(content).cast("string")) if files.schema[content].dataType == T.BinaryType() else F.col(content)
     rows = files.select(F.col(name).alias("filename"), text.alias("text")).withColumn("v", strict_json(F.col("text")))
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.records", "array<variant>"))
-    error = F.when(~F.endswith(F.lower("filename"), F.lit(".json")), "not a .json file").when(F.col("v").isNull(), "not valid JSON").when(items.isNull(), "neither an array nor an object with records")
+    error = F.when(
+        ~F.endswith(F.lower("filename"), F.lit(".json")), "not a .json file"
+    ).when(F.col("v").isNull(), "not valid JSON").when(items.isNull(), "neither an array nor an object with records")
     rows = settled(rows.withColumn("error", error), "items", F.when(F.col("error").isNull(), items))
     bad = rows.filter("error is not null").select("filename", F.lit(None).cast("int").alias("pos"), F.lit(None).cast(RECORD).alias("data"), "error")
     one = rows.filter("error is null").select("filename", F.posexplode("items").alias("pos", "item"))

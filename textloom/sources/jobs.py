@@ -21,7 +21,11 @@ MANIFEST = (
 )
 
 # What a missing field of a manifest stands for.
-DEFAULTS = {"status": "queued", "status_message": "Queued.", "start_url": "", "platform_max_pages": 0, "max_pages": 1000, "max_depth": 2, "include_sitemap": True, "concurrency": 4, "discovered_pages": 0, "scraped_pages": 0, "accepted_pages": 0, "rejected_pages": 0, "failed_pages": 0, "pause_requested": False, "cancel_requested": False}
+DEFAULTS = {
+    "status": "queued", "status_message": "Queued.", "start_url": "", "platform_max_pages": 0, "max_pages": 1000,
+    "max_depth": 2, "include_sitemap": True, "concurrency": 4, "discovered_pages": 0, "scraped_pages": 0,
+    "accepted_pages": 0, "rejected_pages": 0, "failed_pages": 0, "pause_requested": False, "cancel_requested": False
+}
 PENDING = ("queued", "running")
 
 
@@ -35,7 +39,12 @@ def queue_item(x: Column) -> Column:
     text = lambda f: F.coalesce(x[f], F.lit(""))
     platform = F.when(text("platform_id") != "", x["platform_id"]).when(text("root_host") != "", x["root_host"]).otherwise(text("url"))
     tags = F.coalesce(F.filter(x["tags"], lambda t: t != ""), F.array().cast("array<string>"))
-    return F.struct(text("url").alias("url"), F.coalesce(x["depth"], F.lit(0)).alias("depth"), platform.alias("platform_id"), text("root_host").alias("root_host"), text("source_name").alias("source_name"), F.coalesce(x["verified"], F.lit(False)).alias("verified"), text("verified_from").alias("verified_from"), tags.alias("tags"))
+    return F.struct(
+        text("url").alias("url"), F.coalesce(x["depth"], F.lit(0)).alias("depth"), platform.alias("platform_id"),
+        text("root_host").alias("root_host"), text("source_name").alias("source_name"),
+        F.coalesce(x["verified"], F.lit(False)).alias("verified"), text("verified_from").alias("verified_from"),
+        tags.alias("tags")
+    )
 
 
 def _items(name: str) -> Column:
@@ -59,17 +68,27 @@ def _from_seed(url: Column) -> Column:
     """The platform of a start URL, where a manifest has none."""
     limit = F.when(F.col("platform_max_pages") > 0, F.col("platform_max_pages")).otherwise(F.col("max_pages"))
     zero = F.lit(0)
-    return F.struct(url.alias("platform_id"), urls.source(url)["source_name"].alias("label"), url.alias("start_url"), urls.root_host(url).alias("root_host"), limit.alias("max_pages"), zero.alias("discovered_pages"), zero.alias("scraped_pages"), zero.alias("accepted_pages"), zero.alias("rejected_pages"), F.lit("queued").alias("status"), F.lit("Queued.").alias("status_message"))
+    return F.struct(
+        url.alias("platform_id"), urls.source(url)["source_name"].alias("label"), url.alias("start_url"),
+        urls.root_host(url).alias("root_host"), limit.alias("max_pages"), zero.alias("discovered_pages"),
+        zero.alias("scraped_pages"), zero.alias("accepted_pages"), zero.alias("rejected_pages"),
+        F.lit("queued").alias("status"), F.lit("Queued.").alias("status_message")
+    )
 
 
 def with_defaults(manifests: DataFrame) -> DataFrame:
     """Rows of MANIFEST with defaults, start URLs and platforms once each, platforms made from start URLs where there are none."""
     rows = manifests.withColumns({f: F.coalesce(f, F.lit(d)) for f, d in DEFAULTS.items()})
-    rows = rows.withColumns({f: _some(f) for f in ("queued_urls", "in_progress_urls", "processed_urls", "errors", "messages")} | {f: _items(f) for f in ("queue_items", "in_progress_items")})
+    rows = rows.withColumns({f: _some(f) for f in (
+        "queued_urls", "in_progress_urls", "processed_urls", "errors", "messages"
+    )} | {f: _items(f) for f in ("queue_items", "in_progress_items")})
     rows = rows.withColumn("start_urls", F.array_distinct(_some("start_urls")))
     given = F.transform(F.coalesce("platform_states", F.array().cast(f"array<{PLATFORM}>")), _platform)
     rows = rows.withColumn("__given", given)
-    return rows.withColumn("platform_states", F.when(F.size("__given") > 0, _first(F.col("__given"), lambda x: x["platform_id"])).otherwise(F.transform("start_urls", _from_seed))).drop("__given")
+    return rows.withColumn(
+        "platform_states",
+        F.when(F.size("__given") > 0, _first(F.col("__given"), lambda x: x["platform_id"])).otherwise(F.transform("start_urls", _from_seed))
+    ).drop("__given")
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -85,15 +104,29 @@ def snapshot(crawl: Crawl, config: CrawlConfig, job_id: str) -> DataFrame:
     spark = crawl.progress.sparkSession
     count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("int").alias(f"{c}_pages")
     whole = crawl.progress.agg(*map(count, ("discovered", "scraped", "accepted", "rejected", "failed")))
-    state = [F.col("platform_id"), urls.source(F.col("platform_id"))["source_name"].alias("label"), F.col("platform_id").alias("start_url"), urls.root_host(F.col("platform_id")).alias("root_host"), F.lit(config.max_pages).alias("max_pages"), *(F.col(c).cast("int").alias(f"{c}_pages") for c in ("discovered", "scraped", "accepted", "rejected")), "status", F.col("message").alias("status_message")]
+    state = [
+        F.col("platform_id"), urls.source(F.col("platform_id"))["source_name"].alias("label"),
+        F.col("platform_id").alias("start_url"), urls.root_host(F.col("platform_id")).alias("root_host"),
+        F.lit(config.max_pages).alias("max_pages"),
+        *(F.col(c).cast("int").alias(f"{c}_pages") for c in ("discovered", "scraped", "accepted", "rejected")), "status",
+        F.col("message").alias("status_message")
+    ]
     platforms = crawl.progress.select(F.struct(*state).alias("p")).agg(F.sort_array(F.collect_list("p")).cast(f"array<{PLATFORM}>").alias("platform_states"))
     errors = error_tail(crawl.errors, "url").agg(F.sort_array(F.collect_list("error")).alias("errors"))
     none = lambda name: F.array().cast(f"array<{QUEUE_ITEM}>" if name.endswith("items") else "array<string>").alias(name)
-    given = {"job_id": job_id, "start_url": config.start_urls[0], "platform_max_pages": config.max_pages, "max_pages": config.total_pages, "max_depth": config.max_depth, "include_sitemap": config.include_sitemap, "concurrency": config.concurrency, "pause_requested": False, "cancel_requested": False}
+    given = {
+        "job_id": job_id, "start_url": config.start_urls[0], "platform_max_pages": config.max_pages,
+        "max_pages": config.total_pages, "max_depth": config.max_depth, "include_sitemap": config.include_sitemap,
+        "concurrency": config.concurrency, "pause_requested": False, "cancel_requested": False
+    }
     row = whole.crossJoin(platforms).crossJoin(errors)
     row = row.withColumn("status", F.when(F.col("accepted_pages") > 0, "completed").otherwise("failed"))
     message = completion_message(F.col("accepted_pages"), F.col("failed_pages"), F.lit(False))
-    row = row.select("*", F.coalesce(message, F.lit("Completed.")).alias("status_message"), F.array(*map(F.lit, config.start_urls)).alias("start_urls"), *(F.lit(v).alias(k) for k, v in given.items()), *map(none, ("messages", "queue_items", "in_progress_items", "queued_urls", "in_progress_urls", "processed_urls")))
+    row = row.select(
+        "*", F.coalesce(message, F.lit("Completed.")).alias("status_message"),
+        F.array(*map(F.lit, config.start_urls)).alias("start_urls"), *(F.lit(v).alias(k) for k, v in given.items()),
+        *map(none, ("messages", "queue_items", "in_progress_items", "queued_urls", "in_progress_urls", "processed_urls"))
+    )
     return row.select(*(f.name for f in spark.createDataFrame([], MANIFEST).schema.fields))
 
 
@@ -131,9 +164,17 @@ def _tail(name: str, n: int) -> Column:
 
 def job_view(jobs: DataFrame) -> DataFrame:
     """What a caller sees of a job: counters, the last 20 errors and messages, download paths once it is completed."""
-    link = lambda kind: F.when(F.col("status") == "completed", F.concat(F.lit("/api/crawl/"), "job_id", F.lit(f"/download/{kind}"))).alias(f"download_{kind}_url")
-    same = ("job_id", "status", "status_message", "start_url", "start_urls", "max_pages", "max_depth", "include_sitemap", "concurrency", "discovered_pages", "scraped_pages", "accepted_pages", "rejected_pages", "failed_pages")
-    return jobs.select(*same, platform_view().alias("platform_progress"), _tail("errors", 20).alias("errors"), _tail("messages", 20).alias("messages"), *map(link, ("json", "jsonl", "csv")))
+    link = lambda kind: F.when(
+        F.col("status") == "completed", F.concat(F.lit("/api/crawl/"), "job_id", F.lit(f"/download/{kind}"))
+    ).alias(f"download_{kind}_url")
+    same = (
+        "job_id", "status", "status_message", "start_url", "start_urls", "max_pages", "max_depth", "include_sitemap",
+        "concurrency", "discovered_pages", "scraped_pages", "accepted_pages", "rejected_pages", "failed_pages"
+    )
+    return jobs.select(
+        *same, platform_view().alias("platform_progress"), _tail("errors", 20).alias("errors"),
+        _tail("messages", 20).alias("messages"), *map(link, ("json", "jsonl", "csv"))
+    )
 
 
 def platform_view() -> Column:
@@ -143,4 +184,6 @@ def platform_view() -> Column:
 def finished(jobs: DataFrame) -> DataFrame:
     """A snapshot of jobs that are over: their queues and URL sets are emptied."""
     over = F.col("status").isin("completed", "failed", "cancelled")
-    return jobs.withColumns({f: F.when(over, F.slice(f, 1, 0)).otherwise(F.col(f)) for f in ("queue_items", "in_progress_items", "queued_urls", "in_progress_urls", "processed_urls")})
+    return jobs.withColumns({f: F.when(over, F.slice(f, 1, 0)).otherwise(F.col(f)) for f in (
+        "queue_items", "in_progress_items", "queued_urls", "in_progress_urls", "processed_urls"
+    )})

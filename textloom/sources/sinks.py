@@ -25,7 +25,10 @@ def csv_rows(records: DataFrame) -> DataFrame:
         c = F.col(f"data.{name}")
         return F.array_join(c, " | ") if name in lx.LIST_FIELDS else F.to_json(c) if name in ("severity_levels", "confidence_rules") else c
 
-    return records.select(*(value(f).alias(f) for f in lx.EXPORT_FIELDS), "language", F.col("score").alias("quality_score"), F.array_join("accepted", "\n\n").alias("raw_text"))
+    return records.select(
+        *(value(f).alias(f) for f in lx.EXPORT_FIELDS), "language", F.col("score").alias("quality_score"),
+        F.array_join("accepted", "\n\n").alias("raw_text")
+    )
 
 
 def json_parts(records: DataFrame, order: Sequence[str] = ()) -> DataFrame:
@@ -39,7 +42,10 @@ def json_parts(records: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     first = rows.agg(F.min(F.struct(*keys, "line")).alias("first"))
     body = F.concat(F.when(F.struct(*keys, "line") == F.col("first"), "").otherwise(","), F.array_join(F.array_repeat("line", F.col("n").cast("int")), "\n,"))
     pieces = rows.crossJoin(F.broadcast(first)).select(F.lit(1).alias("part"), *keys, "line", body.alias("value"))
-    edge = lambda part, text: first.select(F.lit(part).alias("part"), *(F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys), F.lit("").alias("line"), F.lit(text).alias("value"))
+    edge = lambda part, text: first.select(
+        F.lit(part).alias("part"), *(F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys), F.lit("").alias("line"),
+        F.lit(text).alias("value")
+    )
     return edge(0, "[").unionByName(pieces).unionByName(edge(2, "]")).orderBy("part", *keys, "line").select("value")
 
 
