@@ -383,7 +383,10 @@ def html_links(spark, sf_dir):
 @query
 def html_parsed_pages(spark, sf_dir):
     rows = html.parse_pages(_pages(spark, sf_dir).select("page_id", "html"))
-    return rows.select("page_id", "title", F.size("blocks").cast("long").alias("blocks"), F.size("hrefs").cast("long").alias("links"))
+    return rows.select(
+        "page_id", "title", F.size("blocks").cast("long").alias("blocks"), _joined("blocks", "\n").alias("blocks_md5"),
+        F.size("hrefs").cast("long").alias("links"), F.coalesce("error", F.lit("")).alias("error"),
+    )
 
 
 def _robots(spark, sf_dir):
@@ -630,12 +633,10 @@ def job_id_union(spark, sf_dir):
 @query
 def stream_equals_batch(spark, sf_dir):
     """Records of the pages by a stream, stopped and started again, beside those of the batch: one row of counts."""
-    import tempfile
-
-    from textloom.plans.storage import shared_dir
+    from textloom.plans.storage import new_path
     from textloom.streaming import incremental
 
-    base = f"{shared_dir(spark)}/textloom/stream-{next(tempfile._get_candidate_names())}"
+    base = new_path(spark, "stream")
     pages = _pages(spark, sf_dir).select(
         "page_id", F.concat(F.lit("https://site.example/malaria/"), F.col("page_id").cast("string")).alias("url"),
         F.concat(F.lit("<title>Malaria</title><p>"), F.regexp_replace(overlay.pick("page_id", overlay.SNIPPETS), "\n\n", "</p><p>"), F.lit("</p>")).alias("html")

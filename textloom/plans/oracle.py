@@ -141,8 +141,8 @@ RELATIONS = {
 }
 _CLASSES = LEX.sentence_classes()
 _CLASS_SQL = " UNION ALL ".join(
-    f"SELECT doc_id, {quoted(n)} AS class, i, k, said FROM t WHERE {any_of(fold('said'), terms)}" + (f" AND NOT {any_of(fold('said'), without)}" if without else "") for n,
-    (terms, without) in _CLASSES.items()
+    f"SELECT doc_id, {quoted(n)} AS class, i, k, said FROM t WHERE {any_of(fold('said'), terms)}" + (f" AND NOT {any_of(fold('said'), without)}" if without else "")
+    for n, (terms, without) in _CLASSES.items()
 )
 RELATIONS["m"] = (
     f"m AS (SELECT doc_id, class, list(item ORDER BY i, k) AS items FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, class ORDER BY i, k) AS r FROM (SELECT doc_id, class, i, k, {truncate('item', 280)} AS item FROM "
@@ -287,8 +287,8 @@ ORACLE = {
     "source_classify": using("o", f"SELECT doc_id, {_NAME} AS source_name, {_LABEL} <> '' AS verified, {_LABEL} AS verified_from, {_TAG} AS tags FROM o"),
     "verified_from_infer": f"SELECT doc_id, {verified_from('name', 'given')} AS verified_from FROM (SELECT doc_id, {pick_sql('doc_id', ('World Health Organization', 'Who knows', 'A government site', 'CDC', 'Nobody', 'the NHS'))} AS name, {pick_sql('doc_id', ('', '', '', '', '', '', 'given'))} AS given FROM documents)",
     **{
-        k: using("m", f"SELECT o.doc_id, {joined('items')} AS {n} FROM o LEFT JOIN (SELECT * FROM m WHERE class = {quoted(n)}) USING (doc_id)") for k,
-        n in (
+        k: using("m", f"SELECT o.doc_id, {joined('items')} AS {n} FROM o LEFT JOIN (SELECT * FROM m WHERE class = {quoted(n)}) USING (doc_id)")
+        for k, n in (
             ("match_symptoms", "symptoms"), ("match_prevention", "prevention"), ("match_warning", "warning_signs"),
             ("match_home_care", "home_care"), ("match_lifestyle", "lifestyle_tips")
         )
@@ -377,6 +377,14 @@ _HOSTS = f"h AS (SELECT DISTINCT {_HOST} AS host FROM pages)"
 _ABSOLUTE = f"CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN lower({part('base', 1)}) || ':' || href WHEN starts_with(href, '/') THEN lower({part('base', 1)}) || '://' || {part('base', 2)} || href WHEN starts_with(href, '#') THEN base END"
 ORACLE |= {
     "html_title": f"SELECT page_id, CASE WHEN t = '' THEN {quoted(lx.UNTITLED_PAGE)} ELSE t END AS title FROM (SELECT page_id, {_TITLE_OF} AS t FROM (SELECT page_id, {bare('html')} AS x FROM pages))",
+    "html_parsed_pages": f"""
+WITH e AS (SELECT page_id, html, regexp_replace({bare('html')}, '&(amp|lt|gt|quot)([^;a-zA-Z0-9])', '&\\1;\\2', 'g') AS x FROM pages),
+b AS (SELECT page_id, html, regexp_replace(x, '&(amp|lt|gt|quot)([^;a-zA-Z0-9])', '&\\1;\\2', 'g') AS x FROM e),
+t AS (SELECT page_id, html, {_TITLE_OF} AS title, CASE WHEN regexp_matches(x, '(?i)<article\\b') THEN regexp_extract(x, '(?is)<article\\b[^>]*>(.*)</article>', 1) ELSE x END AS x FROM b),
+p AS (SELECT page_id, html, title, {_PARAGRAPHS} AS z FROM t)
+SELECT page_id, CASE WHEN title = '' THEN {quoted(lx.UNTITLED_PAGE)} ELSE title END AS title, len(z)::BIGINT AS blocks, md5(array_to_string(z, chr(10))) AS blocks_md5,
+    len(regexp_extract_all(html, '(?i)<a\\s[^>]*href="[^"]*"'))::BIGINT AS links, '' AS error FROM p
+""",
     "html_blocks": f"SELECT page_id, (generate_subscripts(z, 1) - 1)::BIGINT AS pos, md5(unnest(z)) AS block_md5 FROM (SELECT page_id, {_PARAGRAPHS} AS z FROM (SELECT page_id, {bare('html')} AS x FROM pages))",
     "html_links": rf"""WITH a AS (SELECT page_id, {normalize('url')} AS base, unnest(z) AS h, generate_subscripts(z, 1) - 1 AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS z FROM pages)), b AS (SELECT page_id, pos::BIGINT AS pos, base, trim(h) AS href FROM a), c AS (SELECT page_id, pos, {_ABSOLUTE} AS x FROM b WHERE href <> '' AND NOT regexp_matches(href, '^(mailto:|tel:|javascript:)')), d AS (SELECT page_id, pos, {canonical('x')} AS link FROM c WHERE regexp_matches(x, '^(?i)https?://[^/?#]')) SELECT * FROM d WHERE {is_page('link')}""",
     "robots_sitemaps": f"WITH {_HOSTS} SELECT host, k - 1 AS pos, 'https://' || host || CASE k WHEN 1 THEN '/a.xml' ELSE '/b.xml' END AS sitemap FROM h, range(1, 3) r(k)",
