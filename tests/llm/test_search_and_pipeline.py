@@ -13,8 +13,8 @@ from .common import SF, none, odd
 
 def top_by_hand(rows, asked, k):
     usable = [
-        (i, np.array([int(np.floor(256 * float(x))) for x in v], object)) for i,
-        v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)
+        (i, np.array([int(np.floor(256 * float(x))) for x in v], object))
+        for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)
     ]
     out = []
     for q, v in {(i, tuple(v)) for i, v in usable if i in asked}:

@@ -346,8 +346,8 @@ def test_personal_data_field():
 
 
 DISGUISED = [
-    f"{a}{at}{b}{dot}org" for a,
-    b in (("anna", "lamo"), ("jane.x", "verla")) for at in (
+    f"{a}{at}{b}{dot}org"
+    for a, b in (("anna", "lamo"), ("jane.x", "verla")) for at in (
         " at ", " (at) ", " [at] ", " {at} ", "(at)", "[at]", "{at}", " AT "
     ) for dot in (".", " dot ", "(dot)", " [dot] ")
 ]

@@ -88,8 +88,8 @@ class PieceCoder:
         self.together = together.ravel()
         # What a piece decodes to.
         shown = [
-            bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.decode([i]).encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode() for i,
-            p in enumerate(pieces)
+            bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.decode([i]).encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode()
+            for i, p in enumerate(pieces)
         ]
         self.shown_sizes = np.array([len(x) for x in shown], np.int64)
         self.shown_starts = np.cumsum(self.shown_sizes) - self.shown_sizes
