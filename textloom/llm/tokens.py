@@ -6,6 +6,9 @@ Latin letters, alone or before ASCII punctuation, give one pre-token for the let
 one for what follows. The letters go to the file's BPE model many words at a time, lower-cased and
 written in its byte alphabet; the last id of each is marked as a word's end. Other words go
 through the whole tokenizer.
+
+Defined results: no texts give no ids; an empty text, or one of white space, has no ids but end_id; repeated words and texts have the same ids each time.
+A word of any length is a single word; what is kept of words seen before is bounded by their number.
 """
 
 from __future__ import annotations
