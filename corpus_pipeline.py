@@ -4,6 +4,12 @@ Each stage works on all that the one before kept, and its output is written as P
 read again; all but the last return the columns of documents. No stage can be said whole in
 SQL (the join's components and the field's spans are iterative or learned), so ORACLE_SQL is None and the
 stages are tested against brute-force versions.
+
+Defined results for odd input: a null or empty text is rejected by the quality stage; should later stages meet one, it
+stays as it is (null stays null) and the packing stage takes it as empty, which is its end id alone. A null doc_id is kept; of rows equal in doc_id and text the
+near-duplicate stage keeps one, and of each group of near copies the first by doc_id (nulls last), then by a hash of its text. A null source is a host of its own.
+Very long texts are one chunk of work each. An empty table gives an empty result of the same columns. Columns beyond those of documents
+are kept by all stages but the last, whatever their names, and n_chars is counted anew where it is there.
 """
 
 from __future__ import annotations
