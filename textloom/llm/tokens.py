@@ -14,6 +14,7 @@ A word of any length is a single word; what is kept of words seen before is boun
 from __future__ import annotations
 
 import os
+from collections import defaultdict
 
 import numpy as np
 
@@ -86,31 +87,33 @@ class WordTokens:
     def _learn(self, new: list[bytes]) -> None:
         """Encode the words numbered last and keep their ids."""
         base = len(self.index) - len(new)
-        plain: dict[bytes, tuple[list[int], list[bytes]]] = {}  # by what follows the letters: numbers of words and their letters, lower-cased
-        letters = [i for i, w in enumerate(new, base) if w.isalpha()]
-        if letters:
-            plain[b""] = (letters, [w.lower() for w in new if w.isalpha()])
+        plain: dict[bytes, tuple[list[int], list[bytes]]] = defaultdict(lambda: ([], []))  # by what follows the letters: numbers of words and their letters, lower-cased
         odd: list[int] = []
         for i, word in enumerate(new, base):
             if word.isalpha():
-                continue
-            stem = word.rstrip(_MARKS)
-            if stem.isalpha():
-                low = stem.lower()
+                mark, low = b"", word.lower()
             else:
-                text = stem.decode("utf-8").lower()
-                if not text.isalpha() or max(text) >= "\u0300":
-                    odd.append(i)
-                    continue
-                low = text.encode()
-            own = plain.setdefault(word[len(stem) :], ([], []))
-            own[0].append(i)
-            own[1].append(low)
+                stem = word.rstrip(_MARKS)
+                mark = word[len(stem) :]
+                if stem.isalpha():
+                    low = stem.lower()
+                else:
+                    text = stem.decode("utf-8").lower()
+                    if not text.isalpha() or max(text) >= "\u0300":
+                        odd.append(i)
+                        continue
+                    low = text.encode()
+            numbers, lows = plain[mark]
+            numbers.append(i)
+            lows.append(low)
         every = dict.fromkeys(x for _, lows in plain.values() for x in lows)
-        at: dict[bytes, int] = {}
+        # letters that are a word known before have its ids
+        seen = [(x, i) for x, i in zip(every, map(self.index.get, every), strict=True) if i is not None and i < base]
+        at: dict[bytes, int] = {x: n for n, (x, _) in enumerate(seen)}
+        before = np.array([i for _, i in seen], np.int64)
         parts = []
         for ascii in (True, False):
-            stems = [x for x in every if x.isascii() == ascii]
+            stems = [x for x in every if x not in at and x.isascii() == ascii]
             if stems:
                 joined = b" ".join(stems).decode("latin-1")
                 ids = np.array(self.model.encode_batch_fast([joined if ascii else joined.translate(self.alphabet)], add_special_tokens=False)[0].ids, self.dtype)
@@ -119,9 +122,12 @@ class WordTokens:
                 at.update(zip(stems, range(len(at), len(at) + len(stems)), strict=True))
                 parts.append(ids)
         if at:
-            ids = np.concatenate(parts)
-            last = np.flatnonzero(self.ends[ids])
-            first = np.r_[0, last[:-1] + 1]
+            ids = np.concatenate([*parts, ragged(self.flat, self.starts[before], self.sizes[before])]) if parts or len(before) else np.empty(0, self.dtype)
+            fresh = np.concatenate(parts) if parts else ids[:0]
+            last = np.flatnonzero(self.ends[fresh])
+            first = np.r_[0, last[:-1] + 1][: len(last)]
+            tail_ends = len(fresh) + np.cumsum(self.sizes[before])
+            first, last = np.r_[tail_ends - self.sizes[before], first], np.r_[tail_ends - 1, last]
             for mark, (own, lows) in plain.items():
                 if mark not in self.marks:
                     if len(self.marks) > 10_000:
