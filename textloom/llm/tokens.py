@@ -69,14 +69,14 @@ class WordTokens:
     def _reset(self) -> None:
         self.index = _Index()
         self.index[_STOP] = 0
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.sizes, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.sizes[0] = 1
         self.flat, self.used = np.full(1 << 16, self.end_id, self.dtype), 1
 
     def _add(self, rows: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """The ids of the words with these numbers, one after the other."""
         while len(self.index) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.hits))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -150,13 +150,21 @@ class WordTokens:
             self._add(np.array(part), np.array([t for x in found for t in x], self.dtype), np.array([len(x) for x in found], np.int64))
 
     def _renew(self, words: list[bytes]) -> None:
-        """Forget all but those of words that are known."""
-        kept = [w for w in dict.fromkeys(words) if w in self.index and w != _STOP]
-        rows = np.fromiter(map(self.index.__getitem__, kept), np.int64, len(kept))
-        ids, sizes = ragged(self.flat, self.starts[rows], self.sizes[rows]), self.sizes[rows]
+        """Forget all but those of words that are known, and the words that the most calls have asked for, half of the limit at most."""
+        names = list(self.index)
+        hits = self.hits[: len(names)]
+        least = 2
+        while (hits >= least).sum() > self.limit // 2:
+            least *= 2
+        keep = hits >= least
+        keep[[i for i in map(self.index.get, dict.fromkeys(words)) if i is not None]] = True
+        keep[0] = False
+        rows = np.flatnonzero(keep)
+        ids, sizes, hits = ragged(self.flat, self.starts[rows], self.sizes[rows]), self.sizes[rows], hits[rows] // 2
         self._reset()
-        self.index.update(zip(kept, range(1, len(kept) + 1), strict=True))
-        self._add(np.arange(1, len(kept) + 1), ids, sizes)
+        self.index.update(zip([names[i] for i in rows.tolist()], range(1, len(rows) + 1), strict=True))
+        self._add(np.arange(1, len(rows) + 1), ids, sizes)
+        self.hits[1 : len(rows) + 1] = hits
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id, and how many each text has."""
@@ -173,6 +181,7 @@ class WordTokens:
         if self.index.new:
             new, self.index.new = self.index.new, []
             self._learn(new)
+        self.hits[rows] += 1
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
