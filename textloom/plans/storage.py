@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple[SparkSession, str, int]] = []  # with the thread that wrote it
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder, removed when the process ends if not before."""
     path = f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    _WRITTEN.append((spark, path, threading.get_ident()))
     return path
 
 
@@ -50,7 +51,8 @@ def release(*tables: DataFrame) -> None:
 
 
 def written() -> set[str]:
-    return {path for _, path in _WRITTEN}
+    """What this thread has written and not removed; other threads may be at work on theirs."""
+    return {path for _, path, thread in _WRITTEN if thread == threading.get_ident()}
 
 
 def drop_written(spark: SparkSession, paths: set[str]) -> None:
@@ -66,7 +68,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _WRITTEN:
+    for spark, path, _ in _WRITTEN:
         try:
             remove(spark, path)
         except Exception:  # the session has ended; the cluster clears its checkpoint folder
