@@ -7,6 +7,7 @@ memory follows the chunk and not the partition.
 from __future__ import annotations
 
 import re
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from textloom.plans.storage import drop_written, materialise, new_path, release, remove, written  # noqa: F401
 
 CHUNK_BYTES = 4 << 20
-_HELD: list[DataFrame] = []
+_HELD: list[tuple[DataFrame, int]] = []  # with the thread that holds it
 
 
 def files_for(rows: int, each: int = 2_000_000) -> int:
@@ -30,20 +31,22 @@ def files_for(rows: int, each: int = 2_000_000) -> int:
 
 def held(df: DataFrame) -> DataFrame:
     """df, persisted on the executors' disks as it is first computed: for tables read more than once within an operator. What a lost executor held is computed again."""
-    _HELD.append(out := df.persist(StorageLevel.DISK_ONLY))
+    out = df.persist(StorageLevel.DISK_ONLY)
+    _HELD.append((out, threading.get_ident()))
     return out
 
 
 def held_now() -> list[DataFrame]:
-    return list(_HELD)
+    """What this thread holds; other threads may be at work on theirs."""
+    return [table for table, thread in _HELD if thread == threading.get_ident()]
 
 
 def drop_held(but: list[DataFrame]) -> None:
-    """Let go of all held tables but these."""
-    for table in _HELD:
+    """Let go of all that this thread holds but these."""
+    for table in held_now():
         if not any(table is x for x in but):
             table.unpersist()
-    _HELD[:] = [x for x in _HELD if any(x is y for y in but)]
+            _HELD[:] = [x for x in _HELD if x[0] is not table]
 
 
 def named(column: str) -> Column:

@@ -368,7 +368,9 @@ def _count_links(docs: DataFrame, classes: DataFrame, comps: DataFrame, size: in
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
-    """A row per document: doc_id, n_shingles, class_id, class_links (how many other classes its class links with; null if count_links is False), component_id (smallest doc_id of its component), text_hash (xxhash64 of the text), first_hash (text_hash of the first row of its component by doc_id, nulls last, then text_hash; null without words)."""
+    """A row per document: doc_id, n_shingles, class_id, class_links (how many other classes its class links with; null if count_links is False), component_id (smallest doc_id of its component), text_hash (xxhash64 of the text), first_hash (text_hash of the first row of its component by doc_id, nulls last, then text_hash; null without words).
+
+    One table of sizes and classes stays persisted for the result; spark.catalog.clearCache() lets it go."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     small_batches(docs.sparkSession)
     before, held_before = written(), held_now()
