@@ -600,7 +600,14 @@ def test_jaccard_judges_a_pair_once(spark, monkeypatch):
         for k in r.sample(range(145), r.randint(0, 14)):
             own[k] = f"w{i}x{k}"
         rows.append((i, " ".join(own)))
-    jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    one, other = words(r, 240), words(r, 240)
+    for i in range(20):  # the first of three is the hub of the rare words that all three begin with, and links with neither of the two that link
+        rare = words(r, 60)
+        changed = one.split()
+        changed[120] = f"x{i}"
+        rows += [(1000 + 3 * i + k, f"{rare} {rest}") for k, rest in enumerate((other, one, " ".join(changed)))]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(components_by_hand(rows))
     every = [p for turn in judged for p in turn]
     assert len(judged) == 2 and all(judged)
     assert len(every) == len(set(every)) and all(a < b for a, b in every)
