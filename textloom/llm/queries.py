@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, langid, linededup, packing, pii, piece_bpe, quality, topk, training_order
+from . import chat, jaccard, langid, linededup, notices, packing, pii, piece_bpe, quality, topk, training_order
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -125,6 +125,10 @@ SELECT *, NOT base_failed AND words_removed <= {_RULES.max_lost}::DOUBLE * n_wor
 """
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.scan_notices(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -137,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pieces": op8_pieces,
         "op9_personal_data": op9_personal_data,
         "op10_quality_rules": op10_quality_rules,
+        "op11_license_scans": op11_license_scans,
     }
 
 
