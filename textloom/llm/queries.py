@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, langid, linededup, notices, packing, pii, piece_bpe, quality, topk, training_order
+from . import chat, jaccard, langid, linededup, notices, packing, pii, piece_bpe, quality, repair, topk, training_order
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -129,6 +129,63 @@ def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notices.scan_notices(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.summaries(repair.damage(_table(spark, sf_dir, "conversations")))
+
+
+def _cheapest(*ways: str) -> str:
+    return f"nullif(least({', '.join(f'coalesce({w}, chr(126))' for w in ways)}), chr(126))"
+
+
+def _way(state: str, cost: str, edit: str, row: str) -> str:
+    """A state is the cost in 8 digits, the audit, chr(1) and the repaired rows, each with a newline before it; strings in order are costs in order, then audits."""
+    mark = f"strpos({state}, chr(1))"
+    return f"(lpad((left({state}, 8)::INTEGER + {cost})::VARCHAR, 8, '0') || substr({state}, 9, {mark} - 9) || '{edit}' || substr({state}, {mark}) || {row})"
+
+
+def _filled(state: str, role: str) -> str:
+    return _way(state, "2", "I", f"chr(10) || '{role}:'")
+
+
+def _inserted(states: str) -> str:
+    """The states n(othing yet), s, u and a, with the rows that may be inserted after each."""
+    a = _cheapest("a", _filled("u", "assistant"), *(_filled(_filled(x, "user"), "assistant") for x in "ns"))
+    u = _cheapest("u", *(_filled(x, "user") for x in "nsa"))
+    return f"(SELECT * REPLACE ({u} AS u, {a} AS a) FROM {states})"
+
+
+def _row(state: str, edit: str, role: str = "") -> str:
+    """What the next row makes of a state by one edit."""
+    if edit == "D":
+        return _way(f"b.{state}", "3", "D", "''")
+    if edit == "K":
+        return f"CASE WHEN fault < 2 AND left(role, 1) = '{role[0]}' THEN {_way(f'b.{state}', 'late', 'K', "chr(10) || role || ':' || text")} END"
+    return f"CASE WHEN fault < 2 THEN {_way(f'b.{state}', '2 + late', 'R', f"chr(10) || '{role}:' || text")} END"
+
+
+_TO_S = _cheapest(_row("s", "D"), _row("n", "K", "system"))
+_TO_U = _cheapest(_row("u", "D"), *(_row(x, e, "user") for x in "nsa" for e in "KR"))
+_TO_A = _cheapest(_row("a", "D"), *(_row("u", e, "assistant") for e in "KR"))
+_FIRST = "(SELECT DISTINCT conv_id, 0::BIGINT AS i, '00000000' || chr(1) AS n, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM conversations)"
+_STEP = f"(SELECT b.conv_id, r.i, {_row('n', 'D')} AS n, {_TO_S} AS s, {_TO_U} AS u, {_TO_A} AS a FROM steps b JOIN judged r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1)"
+_BIT = "(CASE WHEN i % 8 = 0 THEN xor(c, ascii(k[i // 8 + 1])::BIGINT) ELSE c END)"
+OP12_SQL = rf"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+damaged AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], range(8 * length(k))), lambda c, i: xor({_BIT} // 2, ({_BIT} % 2) * 3988292384))) % 20 AS kind FROM keyed),
+here AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM damaged, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS t(copy)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, rtrim(text, {_SQL_SPACE}) AS bare FROM here),
+copies AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM placed),
+faults AS (SELECT *, CASE WHEN bare = '' THEN 2 WHEN nth > 1 THEN 3 WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM copies),
+judged AS (SELECT *, (fault = 1)::INTEGER AS late FROM faults),
+steps AS (SELECT conv_id, i, n, s, u, a FROM {_inserted(_FIRST)} UNION ALL SELECT conv_id, i, n, s, u, a FROM {_inserted(_STEP)}),
+ends AS (SELECT conv_id, {_cheapest('n', 'a')} AS best FROM steps QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+figures AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    left(best, 8)::BIGINT AS cost, substr(best, 9, strpos(best, chr(1)) - 9) AS audit, sha256(substr(best, strpos(best, chr(1)) + 2)) AS repaired_sha256
+FROM ends e LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -142,8 +199,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_personal_data": op9_personal_data,
         "op10_quality_rules": op10_quality_rules,
         "op11_license_scans": op11_license_scans,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op7_top_k": OP7_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op7_top_k": OP7_SQL, "op10_quality_rules": OP10_SQL, "op12_conversation_repair": OP12_SQL}
