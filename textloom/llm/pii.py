@@ -11,6 +11,9 @@ trained on the driver from a small labelled table, made here by rule, and decode
 Viterbi in numpy batches. Neighbours of one label are one span if it passes the check, else they are
 split into pieces that pass and cover the most words. Spans are added where they touch no pattern's span.
 
+Bounds of the field, which the patterns do not have: features are made of a word's first 64 characters, of runs of up to 12 numbers and their first 8
+groups, and of up to 4 spelled marks a word; an added span has at most `_LONGEST` characters, so that the work is linear in a line.
+
 Offsets are code points, ends exclusive. Defined results: null text is empty, an empty
 text has no spans; rows that repeat are each treated; an empty table gives an empty
 result; `redact` keeps all columns and only changes text and n_chars.
@@ -18,7 +21,9 @@ result; `redact` keeps all columns and only changes text and n_chars.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import random
 import re
 import zlib
@@ -90,6 +95,7 @@ _MARK = r"[^A-Za-z0-9\x20\x09-\x0D]"
 _AT = rf"(?:\x20?{_MARK}?@{_MARK}?\x20?|\x20?{_MARK}at{_MARK}\x20?|\x20at\x20)"
 _DOT = rf"(?:\x20?{_MARK}?\.{_MARK}?\x20?|\x20?{_MARK}dot{_MARK}\x20?|\x20dot\x20)"
 _NAME, _LABEL = r"[a-z0-9](?:[a-z0-9._%+-]{0,62}[a-z0-9])?", r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+_AT_WHOLE = re.compile(_AT)
 _ADDRESS = re.compile(rf"{_NAME}{_AT}{_LABEL}(?:{_DOT}{_LABEL})+")
 _HEX = re.compile(r"[0-9a-f]{1,4}(?::[0-9a-f]{0,4}){2,7}")
 _QUAD = re.compile(rf"([0-9]{{1,3}}){_DOT}([0-9]{{1,3}}){_DOT}([0-9]{{1,3}}){_DOT}([0-9]{{1,3}})")
@@ -278,23 +284,26 @@ def _sane(kind: str, text: str) -> bool:
     if kind == "email":
         return bool(_ADDRESS.fullmatch(low))
     if kind == "ip":
+        if low.count(".") + low.count("dot") != 3 and ":" not in low:
+            return False
         if four := _QUAD.fullmatch(low):
             return all(int(x) <= 255 for x in four.groups())
         return bool(_HEX.fullmatch(low)) and len(d) >= 2 and ("::" in low or low.count(":") == 7)
     if kind == "card":
         return 13 <= len(d) <= 19 and luhn(d) and not any(c.isalpha() for c in text) and len(text) <= 3 * len(d)
-    return 9 <= len(d) <= 15 and not re.search(r"[^0-9 ().+/-]", text) and bool(re.search(r"[ ().+/-]", text))
-
-
-#: What a span of more words may still become; once this fails, more words do not help.
-_PARTS = {"card": re.compile(r"[^A-Za-z]*"), "phone": re.compile(r"\(*\+?[0-9 ()./-]*"), "ip": re.compile(r"[0-9A-Fa-f.:\[\](){}*<> dotDOT-]*")}
-_MOST_DIGITS = {"card": 19, "phone": 15}
+    return 9 <= len(d) <= 15 and len(text) <= 4 * len(d) and not re.search(r"[^0-9 ().+/-]", text) and bool(re.search(r"[ ().+/-]", text))
 
 
-def _open(kind: str, text: str) -> bool:
-    if kind == "email":
-        return len(text) <= 200 and len(re.findall(rf"{_AT}", text.lower() + " ")) <= 1
-    return kind in _PARTS and len(_digits(text)) <= _MOST_DIGITS.get(kind, 32) and bool(_PARTS[kind].fullmatch(text))
+#: No span that passes is longer: an address of e-mail by choice, three digits four times and three dots of seven characters each or
+#: 32 hex digits and 7 colons, a mark on either side of each of 19 digits, and the like for 15.
+_LONGEST = {"email": 200, "ip": 48, "card": 57, "phone": 60}
+#: What the first word of a span, and what is added to it, may hold; once this fails, more words do not help.
+_BEGINS = {"email": re.compile(r"[^\n]*"), "card": re.compile(r"[^A-Za-z]*"), "phone": re.compile(r"\(*\+?[0-9 ()./-]*"), "ip": re.compile(r"[0-9A-Fa-f.:\[\](){}*<> dotDOT-]*")}
+_GOES_ON = _BEGINS | {"phone": re.compile(r"[0-9 ()./-]*")}
+#: Digits of a span that passes.
+_FEWEST, _MOST = {"email": 0, "card": 13, "phone": 9, "ip": 2}, {"email": 200, "card": 19, "phone": 15, "ip": 32}
+_EDGE = 1 + max(_LONGEST.values()) // 2
+_AT_ALL, _HEX_DIGITS = re.compile("@|at", re.IGNORECASE), frozenset("0123456789abcdefABCDEF")
 
 
 def _pieces(kind: str, text: str, words: list[re.Match]) -> list[tuple[int, int]]:
@@ -313,21 +322,35 @@ def _pieces(kind: str, text: str, words: list[re.Match]) -> list[tuple[int, int]
     if _sane(kind, text[start:end]):
         return [(start, end)]
     n = len(words)
+    digits = [0, *itertools.accumulate(len(_digits(w[0])) for w in words)]
+    # a span of e-mail has an @ or an "at" near its beginning
+    ats = [m.start() for m in _AT_ALL.finditer(text, words[0].start(), words[-1].end())] if kind == "email" else []
     best = [(0, 0, 0)] * (n + 1)
     came = [-1] * (n + 1)  # where the piece that ends here begins; -1: no piece ends here
     for i in range(n):
         covered, pieces, uneven = best[i]
         if best[i] > best[i + 1]:
             best[i + 1], came[i + 1] = best[i], -1
-        if kind in _PARTS and kind != "ip" and not _digits(words[i][0]):
+        first = ends(i, i + 1)[0]
+        if kind == "email":
+            near = bisect.bisect_left(ats, first)
+            if near == len(ats) or ats[near] > first + _LONGEST[kind]:
+                continue
+        elif kind == "ip" and text[first] not in _HEX_DIGITS or kind != "email" and digits[i + 1] == digits[i] and kind != "ip":
             continue
+        at, may = first, _BEGINS[kind]
         for j in range(i + 1, n + 1):
-            start, end = ends(i, j)
+            held = digits[j] - digits[i]
+            if held > _MOST[kind] or words[j - 1].start() > first + _LONGEST[kind]:
+                break
             score = (covered + j - i, pieces - 1, uneven - (j - i) ** 2)
-            if score > best[j] and not (kind == "phone" and "+" in text[start:end].lstrip("(")[1:]) and _sane(kind, text[start:end]):
-                best[j], came[j] = score, i
-            if not _open(kind, text[words[i].start() : words[j - 1].end()]):
+            if held >= _FEWEST[kind] and score > best[j]:
+                start, end = ends(i, j)
+                if not (kind == "phone" and "+" in text[start:end].lstrip("(")[1:]) and _sane(kind, text[start:end]):
+                    best[j], came[j] = score, i
+            if not may.fullmatch(text, at, words[j - 1].end()) or kind == "email" and len(_AT_WHOLE.findall(text[first : words[j - 1].end()].lower() + " ")) > 1:
                 break
+            at, may = words[j - 1].end(), _GOES_ON[kind]
     out = []
     while n:
         if came[n] >= 0:
@@ -336,7 +359,7 @@ def _pieces(kind: str, text: str, words: list[re.Match]) -> list[tuple[int, int]
     return out[::-1]
 
 
-def method_spans(texts: list[str], weights: np.ndarray, trans: np.ndarray, batch_words: int = 200_000) -> list[list[Span]]:
+def method_spans(texts: list[str], weights: np.ndarray, trans: np.ndarray, batch_words: int = 50_000) -> list[list[Span]]:
     """The field's spans of each text; lines of many texts are decoded together."""
     out: list[list[Span]] = [[] for _ in texts]
     lines: list[tuple[int, list[re.Match]]] = []
@@ -367,7 +390,9 @@ def method_spans(texts: list[str], weights: np.ndarray, trans: np.ndarray, batch
                     while not found and more:
                         (a, b), more = more[0], more[1:]
                         if a >= 0 and b <= len(own):
-                            found = [s for s in _pieces(kind, texts[which], words[a:b]) if s[0] <= words[i].start() or s[1] > words[j - 1].start()]
+                            # only spans at an end count, and no span is longer than so many words
+                            ends = [words[a:b]] if b - a <= 2 * _EDGE else [words[a : a + _EDGE], words[b - _EDGE : b]]
+                            found = [s for x in ends for s in _pieces(kind, texts[which], x) if s[0] <= words[i].start() or s[1] > words[j - 1].start()]
                     out[which] += [(kind, a, b) for a, b in found]
                 i = j
         lines.clear()
