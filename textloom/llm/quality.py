@@ -4,7 +4,8 @@ Each line of a document is judged by itself and by where it stands:
 
 - navigation: a short line that is one of a language's phrases ("Home", "Weiter lesen"), or items between
   separators (`a | b | c`): separators are words of their own, one in four words or more;
-- punctuation: marks of `#*$%&|<>` for more than max_symbols of its characters, or more than `heading_words` words
+- symbols: marks of `#*$%&|<>` for more than max_symbols of its characters;
+- punctuation: more than `heading_words` words
   at its end after the last that ends in punctuation, unless the next line with words begins in lower case, so that the sentence
   goes on there, or there is none, as texts are cut off at their end;
 - boilerplate: one of a language's phrases ("all rights reserved", "alle Rechte vorbehalten") in a line of moderate length,
@@ -122,7 +123,7 @@ def line_verdict(line: str, rules: LineRules, following: str | None = None, befo
     if rules.separator_words * sum(map(words.count, _SEPARATORS)) >= len(words):
         return "navigation"
     if sum(map(line.count, SYMBOLS)) > rules.max_symbols * sum(map(len, words)):
-        return "punctuation"
+        return "symbols"
     if before >= rules.copies or len(words) <= rules.boilerplate_words and any(x in low for x in rules.boilerplate):
         return "boilerplate"
     open_words = next((k for k, w in enumerate(reversed(words)) if w.endswith(_ENDS)), len(words))
