@@ -1,8 +1,9 @@
 """Packing (1): first-fit decreasing with a tournament tree, in randomised groups.
 
 Documents are tokenised and cut into pieces of `length` ids and a rest. Each piece goes
-to a group by a hash of doc_id and its place, so groups are alike, a hot source or one huge
-document is spread over all of them, and there are as many as the bytes of text ask for. A group is packed by
+to a group by a hash of its row's place in the input and its own place in the document, whatever the ids are, so groups are alike; a hot source, a huge
+document, rows without an id and rows of one id are spread over all of them, and there are as many as the bytes of text ask for.
+A task that is run again must meet its rows in the same order, as it does on files; cut the lineage of anything else first. A group is packed by
 itself: pieces from the longest to the shortest, each into the first sequence with room;
 a tree of the greatest room left under each node finds that sequence in logarithmic time.
 
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_strings, map_chunks, text_of
-from .tokens import WordTokens
+from .common import byte_strings, map_chunks, text_of
+from .tokens import shared_coder
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, place long"
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _GROUP_BITS = 24
 
@@ -78,10 +79,10 @@ def cut(tokens: np.ndarray, counts: np.ndarray, length: int):
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048) -> DataFrame:
-    """doc_id, start, length, doc_tokens and ids (two bytes an id, four where the vocabulary needs them), no shuffle."""
+    """doc_id, start, length, doc_tokens, ids (two bytes an id, four where the vocabulary needs them) and the row's place in the input, no shuffle."""
 
     def make():
-        coder = WordTokens(tokenizer, end_id)
+        coder = shared_coder(tokenizer, end_id)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, counts = coder.encode(byte_strings(batch.column("text")))
@@ -89,17 +90,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
             ends = np.r_[0, np.cumsum(size)] * ids.dtype.itemsize
             blob = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(size), pa.array(counts[doc]), blob],
+                [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(size), pa.array(counts[doc]), blob, batch.column("place").take(pa.array(doc))],
                 [x.split()[0] for x in PIECES.split(", ")]
             )
 
         return work
 
-    return map_chunks(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), "text", make, PIECES, CHUNK_BYTES // 2)
+    return map_chunks(docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.monotonically_increasing_id().alias("place")), "text", make, PIECES)
 
 
 def _pack_group(table: pa.Table, length: int) -> pa.Table:
-    table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+    table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("place", "ascending")])
     sizes = table["length"].to_numpy()
     bins, offsets = first_fit_decreasing(sizes, length)
     ids = []
@@ -118,7 +119,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int
     total = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     pieces = token_pieces(docs, tokenizer, end_id, length)
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("place", "start"), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(lambda table: _pack_group(table, length), SCHEMA)
 
 

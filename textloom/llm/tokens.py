@@ -13,6 +13,7 @@ A word of any length is a single word; what is kept of words seen before is boun
 
 from __future__ import annotations
 
+import functools
 import os
 from collections import defaultdict
 
@@ -20,6 +21,13 @@ import numpy as np
 
 from .common import ragged
 
+
+@functools.lru_cache(maxsize=1)
+def shared_coder(path: str, end_id: int) -> WordTokens:
+    """One coder for all tasks of a Python worker: words that an earlier task met are known to the next."""
+    return WordTokens(path, end_id)
+
+
 END_OF_WORD = "</w>"
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _STOP = b" "  # no word: stands for the id at a document's end
@@ -46,7 +54,7 @@ class _Index(dict):
 
 
 class WordTokens:
-    def __init__(self, path: str, end_id: int, limit: int = 450_000):
+    def __init__(self, path: str, end_id: int, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -113,8 +121,10 @@ class WordTokens:
         before = np.array([i for _, i in seen], np.int64)
         parts = []
         for ascii in (True, False):
-            stems = [x for x in every if x not in at and x.isascii() == ascii]
-            if stems:
+            every_stem = [x for x in every if x not in at and x.isascii() == ascii]
+            # in parts: the library holds some hundred bytes a token until a call is over
+            for k in range(0, len(every_stem), 1 << 15):
+                stems = every_stem[k : k + (1 << 15)]
                 joined = b" ".join(stems).decode("latin-1")
                 ids = np.array(self.model.encode_batch_fast([joined if ascii else joined.translate(self.alphabet)], add_special_tokens=False)[0].ids, self.dtype)
                 if int(self.ends[ids].sum()) != len(stems):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_strings, chunks, materialise, new_path, small_batches, text_of
-from .tokens import WordTokens
+from .tokens import WordTokens, shared_coder
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -66,7 +66,7 @@ def token_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int) -
         from pyspark import TaskContext
 
         part, nth = TaskContext.get().partitionId(), 0
-        coder = WordTokens(tokenizer, end_id, limit=600_000)
+        coder = shared_coder(tokenizer, end_id)
         pack = zstandard.ZstdCompressor(level=3)
         held, docs_held = np.empty(0, coder.dtype), []  # ids that fill no sequence yet; (doc, start, count)
 
