@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from textloom.plans.storage import drop_written, materialise, new_path, release, remove, written  # noqa: F401
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _HELD: list[tuple[DataFrame, int]] = []  # with the thread that holds it
 
 
