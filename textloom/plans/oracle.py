@@ -375,15 +375,19 @@ _HOSTS = f"h AS (SELECT DISTINCT {_HOST} AS host FROM pages)"
 
 # The driver's links are absolute addresses or paths from the root.
 _ABSOLUTE = f"CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN lower({part('base', 1)}) || ':' || href WHEN starts_with(href, '/') THEN lower({part('base', 1)}) || '://' || {part('base', 2)} || href WHEN starts_with(href, '#') THEN base END"
+#: Relations up to p: page_id, html, title and paragraphs (z) of each page.
+PARSED_PAGES = f"""
+e AS (SELECT page_id, html, regexp_replace({bare('html')}, '&(amp|lt|gt|quot)([^;a-zA-Z0-9])', '&\\1;\\2', 'g') AS x FROM pages),
+b AS (SELECT page_id, html, regexp_replace(x, '&(amp|lt|gt|quot)([^;a-zA-Z0-9])', '&\\1;\\2', 'g') AS x FROM e),
+t AS (SELECT page_id, html, {_TITLE_OF} AS title, CASE WHEN regexp_matches(x, '(?i)<article\\b') THEN regexp_extract(x, '(?is)<article\\b[^>]*>(.*)</article>', 1) ELSE x END AS x FROM b),
+p AS (SELECT page_id, html, title, {_PARAGRAPHS} AS z FROM t)"""
+LINKS = """len(regexp_extract_all(html, '(?i)<a\\s[^>]*href="[^"]*"'))::BIGINT"""
 ORACLE |= {
     "html_title": f"SELECT page_id, CASE WHEN t = '' THEN {quoted(lx.UNTITLED_PAGE)} ELSE t END AS title FROM (SELECT page_id, {_TITLE_OF} AS t FROM (SELECT page_id, {bare('html')} AS x FROM pages))",
     "html_parsed_pages": f"""
-WITH e AS (SELECT page_id, html, regexp_replace({bare('html')}, '&(amp|lt|gt|quot)([^;a-zA-Z0-9])', '&\\1;\\2', 'g') AS x FROM pages),
-b AS (SELECT page_id, html, regexp_replace(x, '&(amp|lt|gt|quot)([^;a-zA-Z0-9])', '&\\1;\\2', 'g') AS x FROM e),
-t AS (SELECT page_id, html, {_TITLE_OF} AS title, CASE WHEN regexp_matches(x, '(?i)<article\\b') THEN regexp_extract(x, '(?is)<article\\b[^>]*>(.*)</article>', 1) ELSE x END AS x FROM b),
-p AS (SELECT page_id, html, title, {_PARAGRAPHS} AS z FROM t)
+WITH {PARSED_PAGES}
 SELECT page_id, CASE WHEN title = '' THEN {quoted(lx.UNTITLED_PAGE)} ELSE title END AS title, len(z)::BIGINT AS blocks, md5(array_to_string(z, chr(10))) AS blocks_md5,
-    len(regexp_extract_all(html, '(?i)<a\\s[^>]*href="[^"]*"'))::BIGINT AS links, '' AS error FROM p
+    {LINKS} AS links, '' AS error FROM p
 """,
     "html_blocks": f"SELECT page_id, (generate_subscripts(z, 1) - 1)::BIGINT AS pos, md5(unnest(z)) AS block_md5 FROM (SELECT page_id, {_PARAGRAPHS} AS z FROM (SELECT page_id, {bare('html')} AS x FROM pages))",
     "html_links": rf"""WITH a AS (SELECT page_id, {normalize('url')} AS base, unnest(z) AS h, generate_subscripts(z, 1) - 1 AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS z FROM pages)), b AS (SELECT page_id, pos::BIGINT AS pos, base, trim(h) AS href FROM a), c AS (SELECT page_id, pos, {_ABSOLUTE} AS x FROM b WHERE href <> '' AND NOT regexp_matches(href, '^(mailto:|tel:|javascript:)')), d AS (SELECT page_id, pos, {canonical('x')} AS link FROM c WHERE regexp_matches(x, '^(?i)https?://[^/?#]')) SELECT * FROM d WHERE {is_page('link')}""",
