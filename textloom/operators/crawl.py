@@ -8,18 +8,22 @@ written to the shared folder before the next, so its plan stays small and a lost
 
 from __future__ import annotations
 
+import functools
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import urls
 from textloom.operators.dedup import first_of_each
-from textloom.operators.html import page_links, parse_pages
+from textloom.operators.html import page_links, with_parsed
 from textloom.operators.records import build_records
 from textloom.plans import lexicon as lx
 from textloom.plans.lexicon import DEFAULT, Lexicon
-from textloom.plans.storage import materialise
+from textloom.plans.storage import exists, materialise, new_path, release
+from textloom.plans.storage import remove as release_path
 
 
 @dataclass(frozen=True)
@@ -108,34 +112,145 @@ def frontier(spark: SparkSession, links: DataFrame, start: DataFrame, config: Cr
 
 @dataclass
 class Crawl:
-    """visited: url, platform_id, root_host, seq, nth, depth; records: accepted and rejected pages; progress: a row per platform; errors."""
+    """visited: url, platform_id, root_host, seq, nth, depth; records: accepted and rejected pages; progress: a row per platform; errors.
+
+    state: completed, paused or cancelled; of a cancelled crawl nothing is left."""
 
     visited: DataFrame
     records: DataFrame
     progress: DataFrame
     errors: DataFrame
+    state: str = "completed"
+
+
+#: Adds html and failed (why there is none) to the URLs of a level: url, platform_id, root_host, seq, nth, workers.
+PageSource = Callable[[DataFrame], DataFrame]
+LEVELS = "depth int, settings string, discovered long, failed long, accepted long, rejected long"
+
+
+class CrawlLog:
+    """What a crawl has done, in a folder of its own.
+
+    pages/depth=d is a level; levels/depth=d, one row written after it, says that it is whole, with its counts. A level without that
+    row is written anew. control is what the crawl has been asked to do, which it reads between levels."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def levels(self) -> list[dict]:
+        """The rows of the levels that are whole, in order."""
+        if not exists(self.spark, f"{self.path}/levels"):
+            return []
+        return [r.asDict() for r in self.spark.read.schema(LEVELS).json(f"{self.path}/levels").orderBy("depth").collect()]
+
+    def write(self, depth: int, rows: DataFrame, settings: str) -> dict:
+        """Write a level, counted as it is written, then say that it is whole."""
+        seen = Observation()
+        count = lambda what, name: F.count_if(what).alias(name)
+        failed, fine = F.col("error").isNotNull(), F.col("reject_reason").isNull()
+        rows.observe(
+            seen, F.count(F.lit(1)).alias("discovered"), count(failed, "failed"), count(~failed & fine, "accepted"), count(~failed & ~fine, "rejected")
+        ).write.mode("overwrite").parquet(f"{self.path}/pages/depth={depth}")
+        row = {"depth": depth, "settings": settings, **seen.get}
+        self.spark.createDataFrame([row], LEVELS).drop("depth").coalesce(1).write.mode("overwrite").json(f"{self.path}/levels/depth={depth}")
+        return row
+
+    def pages(self, most: int, least: int = 0) -> DataFrame:
+        """The rows of these levels, with depth."""
+        frames = [self.spark.read.parquet(f"{self.path}/pages/depth={d}").withColumn("depth", F.lit(d)) for d in range(least, most + 1)]
+        return functools.reduce(DataFrame.unionByName, frames)
 
+    def ask(self, what: str) -> None:
+        self.spark.createDataFrame([(what,)], "asked string").coalesce(1).write.mode("overwrite").json(f"{self.path}/control")
 
-def run_crawl(spark: SparkSession, pages: DataFrame, config: CrawlConfig, sitemap_urls: DataFrame | None = None) -> Crawl:
-    """Crawl a table of pages (url, html). Pages are parsed once; a URL without a page, or with one that the parser rejects, is a failed fetch.
+    def asked(self) -> str:
+        if not exists(self.spark, f"{self.path}/control"):
+            return "run"
+        row = self.spark.read.schema("asked string").json(f"{self.path}/control").first()
+        return row.asked if row else "run"
 
-    sitemap_urls: url, root_host, seq, entering at depth 0 after the seeds."""
-    known = first_of_each(pages.withColumn("url", urls.normalize(F.col("url"))).filter("url is not null"), ["url"], ["html"])
-    parsed = materialise(parse_pages(known, "url"), "pages")
-    links = page_links(parsed.select(F.col("url").alias("src"), "hrefs"), F.col("src"))
-    links = links.select("src", "pos", "url")
+
+def pause(spark: SparkSession, path: str) -> None:
+    """The crawl in that folder stops after the level at hand; run_crawl with the same folder goes on."""
+    CrawlLog(spark, path).ask("pause")
+
+
+def cancel(spark: SparkSession, path: str) -> None:
+    """The crawl in that folder stops after the level at hand, and its log is removed."""
+    CrawlLog(spark, path).ask("cancel")
+
+
+def stored_pages(pages: DataFrame) -> PageSource:
+    """A table of pages (url, html) as a crawl's source; of rows with one URL, by any spelling, the first by html counts."""
+    known = first_of_each(pages.withColumn("url", urls.normalize(F.col("url"))).filter("url is not null"), ["url"], ["html"]).select("url", "html")
+    return lambda level: level.join(known, "url", "left").withColumn("failed", F.when(F.col("html").isNull(), "no page"))
+
+
+def _start(spark: SparkSession, config: CrawlConfig, sitemap_urls: DataFrame | Callable[[], DataFrame] | None) -> DataFrame:
     start = seeds(spark, config)
     if config.include_sitemap and sitemap_urls is not None:
-        more = sitemap_urls.join(start.select("platform_id", "root_host"), "root_host").select(
-            urls.canonical(F.col("url")).alias("url"), "platform_id", "root_host",
-            (F.col("seq") + len(config.start_urls)).alias("seq")
+        found = sitemap_urls() if callable(sitemap_urls) else sitemap_urls
+        more = found.join(start.select("platform_id", "root_host"), "root_host").select(
+            urls.canonical(F.col("url")).alias("url"), "platform_id", "root_host", (F.col("seq") + len(config.start_urls)).alias("seq")
         )
         start = start.unionByName(more)
-    visited = frontier(spark, links, start, config)
-    fetched = visited.join(parsed.drop("hrefs"), "url", "left").withColumn("source_url", F.col("url"))
-    failed = fetched.filter("blocks is null").select("url", "platform_id", F.concat("url", F.lit(": "), F.coalesce("error", F.lit("no page"))).alias("error"))
-    records = materialise(build_records(fetched.filter("blocks is not null").drop("error"), config.lexicon), "records")
-    return Crawl(visited, records, progress(visited, records, failed), failed)
+    return start
+
+
+def run_crawl(
+    spark: SparkSession, pages: DataFrame | PageSource, config: CrawlConfig, sitemap_urls: DataFrame | Callable[[], DataFrame] | None = None,
+    path: str | None = None, told: Callable[[dict], None] | None = None
+) -> Crawl:
+    """Crawl by levels: the URLs that a level admits are fetched from `pages`, parsed, judged and written, and their links make the next level.
+
+    pages: a table (url, html), or what fetches a level, such as web.live_pages(). A URL without a page, or with one that the parser rejects, is a failed fetch.
+    sitemap_urls: url, root_host, seq, entering at depth 0 after the seeds; a function is called only if depth 0 is still to be done.
+    path: the crawl's log; run_crawl with the same path goes on after its last whole level, with the rows of a crawl that was not stopped. Without it a folder that goes when the process ends.
+    told: gets the counts of each level as it is done; they come from the write, not from another pass."""
+    log = CrawlLog(spark, path or new_path(spark, "crawl"))
+    source = stored_pages(pages) if isinstance(pages, DataFrame) else pages
+    settings = hashlib.sha256(repr(config).encode()).hexdigest()
+    if log.asked() == "pause":
+        log.ask("run")
+    done = log.levels()
+    if any(row["settings"] != settings for row in done):
+        raise ValueError("the crawl in this folder has other settings")
+    quota = worker_quota(seeds(spark, config), "platform_id", "seq", config.workers)
+    state = "completed"
+    for depth in range(len(done), config.max_depth + 1):
+        if done and not done[-1]["discovered"]:
+            break
+        if (asked := log.asked()) != "run":
+            state = {"pause": "paused", "cancel": "cancelled"}[asked]
+            break
+        if depth:
+            level = log.pages(depth - 1, depth - 1)
+            parents = level.select(F.col("url").alias("src"), "platform_id", "root_host", F.col("nth").alias("parent"), "hrefs")
+            reached = page_links(parents, F.col("src")).select("url", "platform_id", "root_host", F.struct("parent", "pos").alias("seq"))
+            new = admit(reached, log.pages(depth - 1).select("url", "platform_id"), depth, config.max_pages, config.lexicon).withColumn("seq", F.col("nth").cast("long"))
+        else:
+            new = admit(_start(spark, config, sitemap_urls), None, 0, config.max_pages, config.lexicon)
+        wanted = new.drop("depth").join(F.broadcast(quota), "platform_id", "left").select("url", "platform_id", "root_host", "seq", "nth", "workers")
+        # the admitted URLs are fixed before the first of them is fetched: a task that is run again fetches the same
+        wanted = materialise(wanted, "frontier")
+        parsed = with_parsed(source(wanted)).withColumn("error", F.coalesce("failed", "error")).withColumn("source_url", F.col("url")).drop("failed", "workers")
+        empty = F.array().cast("array<string>")
+        whole = parsed.withColumns({c: F.when(F.col("error").isNull(), F.col(c)).otherwise(empty) for c in ("blocks", "hrefs")})
+        done.append(log.write(depth, build_records(whole, config.lexicon), settings))
+        release(wanted)
+        if told:
+            told(done[-1])
+    if state == "cancelled":
+        release_path(spark, log.path)
+        nothing = spark.createDataFrame([], "url string, platform_id string, root_host string, seq long, nth int, depth int")
+        return Crawl(nothing, nothing, nothing, nothing, state)
+    if not done:
+        raise ValueError("the crawl was asked to stop before its first level")
+    every = log.pages(len(done) - 1)
+    visited = every.select("url", "platform_id", "root_host", "seq", "nth", "depth")
+    failed = every.filter("error is not null").select("url", "platform_id", F.concat("url", F.lit(": "), "error").alias("error"))
+    records = every.filter("error is null").drop("error", "hrefs")
+    return Crawl(visited, records, progress(visited, records, failed), failed, state)
 
 
 def progress(visited: DataFrame, records: DataFrame, failed: DataFrame) -> DataFrame:
