@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_strings, map_chunks, text_of
+from .common import map_chunks, text_of
 from .tokens import shared_coder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, place long"
@@ -85,7 +85,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
         coder = shared_coder(tokenizer, end_id)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, counts = coder.encode(byte_strings(batch.column("text")))
+            ids, counts = coder.encode(batch.column("text"))
             doc, start, size = cut(ids, counts, length)
             ends = np.r_[0, np.cumsum(size)] * ids.dtype.itemsize
             blob = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])

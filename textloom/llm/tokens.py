@@ -15,9 +15,12 @@ from __future__ import annotations
 
 import functools
 import os
-from collections import defaultdict
+from itertools import compress
+from operator import not_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import ragged
 
@@ -31,6 +34,7 @@ def shared_coder(path: str, end_id: int) -> WordTokens:
 END_OF_WORD = "</w>"
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _STOP = b" "  # no word: stands for the id at a document's end
+_NONE = b""  # what white space at a text's end leaves: no ids
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -76,7 +80,7 @@ class WordTokens:
 
     def _reset(self) -> None:
         self.index = _Index()
-        self.index[_STOP] = 0
+        self.index.update({_STOP: 0, _NONE: 1})
         self.starts, self.sizes, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.sizes[0] = 1
         self.flat, self.used = np.full(1 << 16, self.end_id, self.dtype), 1
@@ -92,68 +96,58 @@ class WordTokens:
         self.sizes[rows] = sizes
         self.used += len(ids)
 
+    def _tails(self, marks: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of each distinct run of marks, and which of them each word has."""
+        distinct = {mark: n for n, mark in enumerate(dict.fromkeys(marks))}
+        if len(self.marks) > 10_000:
+            self.marks.clear()
+        for mark in distinct:
+            if mark not in self.marks:
+                self.marks[mark] = self._encode(mark.decode())
+        return [self.marks[mark] for mark in distinct], np.fromiter(map(distinct.__getitem__, marks), np.int64, len(marks))
+
     def _learn(self, new: list[bytes]) -> None:
         """Encode the words numbered last and keep their ids."""
         base = len(self.index) - len(new)
-        plain: dict[bytes, tuple[list[int], list[bytes]]] = defaultdict(lambda: ([], []))  # by what follows the letters: numbers of words and their letters, lower-cased
         odd: list[int] = []
-        for i, word in enumerate(new, base):
-            if word.isalpha():
-                mark, low = b"", word.lower()
+        letters = [word.isalpha() for word in new]
+        numbers = list(compress(range(base, base + len(new)), letters))
+        lows = b" ".join(compress(new, letters)).lower().split()
+        marks: list[bytes] = [b""] * len(lows)  # what follows the letters
+        others = list(compress(zip(range(base, base + len(new)), new), map(not_, letters)))
+        stems = [word.rstrip(_MARKS) for _, word in others]
+        lowered = b"\n".join(stems).decode("utf-8").lower()  # words hold no line end, and one parts them for lower() as an end does
+        narrow = not lowered or max(lowered) < "\u0300"
+        for (i, word), stem, text in zip(others, stems, lowered.split("\n"), strict=False):
+            if text.isalpha() and (narrow or max(text) < "\u0300"):
+                numbers.append(i)
+                lows.append(text.encode())
+                marks.append(word[len(stem) :])
             else:
-                stem = word.rstrip(_MARKS)
-                mark = word[len(stem) :]
-                if stem.isalpha():
-                    low = stem.lower()
-                else:
-                    text = stem.decode("utf-8").lower()
-                    if not text.isalpha() or max(text) >= "\u0300":
-                        odd.append(i)
-                        continue
-                    low = text.encode()
-            numbers, lows = plain[mark]
-            numbers.append(i)
-            lows.append(low)
-        every = dict.fromkeys(x for _, lows in plain.values() for x in lows)
-        # letters that are a word known before have its ids
-        seen = [(x, i) for x, i in zip(every, map(self.index.get, every), strict=True) if i is not None and i < base]
-        at: dict[bytes, int] = {x: n for n, (x, _) in enumerate(seen)}
-        before = np.array([i for _, i in seen], np.int64)
-        parts = []
-        for ascii in (True, False):
-            every_stem = [x for x in every if x not in at and x.isascii() == ascii]
-            # in parts: the library holds some hundred bytes a token until a call is over
-            for k in range(0, len(every_stem), 1 << 15):
-                stems = every_stem[k : k + (1 << 15)]
-                joined = b" ".join(stems).decode("latin-1")
-                ids = np.array(self.model.encode_batch_fast([joined if ascii else joined.translate(self.alphabet)], add_special_tokens=False)[0].ids, self.dtype)
-                if int(self.ends[ids].sum()) != len(stems):
-                    raise ValueError("a word of letters gave other than one pre-token")
-                at.update(zip(stems, range(len(at), len(at) + len(stems)), strict=True))
-                parts.append(ids)
-        if at:
-            ids = np.concatenate([*parts, ragged(self.flat, self.starts[before], self.sizes[before])]) if parts or len(before) else np.empty(0, self.dtype)
-            fresh = np.concatenate(parts) if parts else ids[:0]
-            last = np.flatnonzero(self.ends[fresh])
-            first = np.r_[0, last[:-1] + 1][: len(last)]
-            tail_ends = len(fresh) + np.cumsum(self.sizes[before])
-            first, last = np.r_[tail_ends - self.sizes[before], first], np.r_[tail_ends - 1, last]
-            for mark, (own, lows) in plain.items():
-                if mark not in self.marks:
-                    if len(self.marks) > 10_000:
-                        self.marks.clear()
-                    self.marks[mark] = self._encode(mark.decode())
-                tail = self.marks[mark]
-                which = np.fromiter(map(at.__getitem__, lows), np.int64, len(lows))
-                body = (last + 1 - first)[which]
-                sizes = body + len(tail)
-                ends = np.cumsum(sizes)
-                out = np.empty(int(ends[-1]), self.dtype)
-                index = np.arange(int(body.sum())) - np.repeat(np.cumsum(body) - body, body)
-                out[np.repeat(ends - sizes, body) + index] = ids[np.repeat(first[which], body) + index]
-                for j, x in enumerate(tail):
-                    out[ends - len(tail) + j] = x
-                self._add(np.array(own), out, sizes)
+                odd.append(i)
+        if lows:
+            ascii = np.fromiter(map(bytes.isascii, lows), bool, len(lows))
+            order = np.r_[np.flatnonzero(ascii), np.flatnonzero(~ascii)]
+            parts = []
+            for own, low in ((ascii, list(compress(lows, ascii))), (~ascii, list(compress(lows, ~ascii)))):
+                # in parts: the library holds some hundred bytes a token until a call is over
+                for k in range(0, len(low), 1 << 15):
+                    joined = b" ".join(low[k : k + (1 << 15)]).decode("latin-1")
+                    coded = self.model.encode_batch_fast([joined if own is ascii else joined.translate(self.alphabet)], add_special_tokens=False)[0]
+                    parts.append(np.array(coded.ids, self.dtype))
+            ids = np.concatenate(parts)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(lows):
+                raise ValueError("a word of letters gave other than one pre-token")
+            body = np.diff(np.r_[-1, last])
+            tails, which = self._tails(list(compress(marks, ascii)) + list(compress(marks, ~ascii)))
+            extra = np.array([len(t) for t in tails])[which]
+            sizes = body + extra
+            ends = np.cumsum(sizes)
+            out = np.empty(int(ends[-1]), self.dtype)
+            out[np.arange(len(ids)) + np.repeat(np.cumsum(extra) - extra, body)] = ids
+            out[ragged(np.arange(len(out)), ends - extra, extra)] = ragged(np.concatenate(tails), np.cumsum([0, *map(len, tails[:-1])])[which], extra)
+            self._add(np.array(numbers)[order], out, sizes)
         for k in range(0, len(odd), 4096):
             part = odd[k : k + 4096]
             found = [x.ids for x in self.tokenizer.encode_batch_fast([new[i - base].decode("utf-8") for i in part], add_special_tokens=False)]
@@ -168,30 +162,36 @@ class WordTokens:
             least *= 2
         keep = hits >= least
         keep[[i for i in map(self.index.get, dict.fromkeys(words)) if i is not None]] = True
-        keep[0] = False
+        keep[:2] = False
         rows = np.flatnonzero(keep)
         ids, sizes, hits = ragged(self.flat, self.starts[rows], self.sizes[rows]), self.sizes[rows], hits[rows] // 2
         self._reset()
-        self.index.update(zip([names[i] for i in rows.tolist()], range(1, len(rows) + 1), strict=True))
-        self._add(np.arange(1, len(rows) + 1), ids, sizes)
-        self.hits[1 : len(rows) + 1] = hits
+        self.index.update(zip([names[i] for i in rows.tolist()], range(2, len(rows) + 2), strict=True))
+        self._add(np.arange(2, len(rows) + 2), ids, sizes)
+        self.hits[2 : len(rows) + 2] = hits
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id, and how many each text has."""
-        words: list[bytes] = []
-        counts = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = text.split()
-            own.append(_STOP)
-            counts[i] = len(own)
-            words += own
+        if not len(texts):
+            return self.flat[:0], np.empty(0, np.int64)
+        column = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()).cast(pa.string())
+        split = pc.ascii_split_whitespace(column)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.index) > self.limit:
             self._renew(words)
-        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        own = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.new:
             new, self.index.new = self.index.new, []
             self._learn(new)
-        self.hits[rows] += 1
+        self.hits[own] += 1
+        lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = lengths + 1
+        # a text's words, then the stop
+        rows = np.zeros(int(counts.sum()), np.int64)
+        inside = np.ones(len(rows), bool)
+        inside[np.cumsum(counts) - 1] = False
+        rows[inside] = own[coded.indices.to_numpy()]
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
