@@ -112,6 +112,21 @@ def test_training_order(spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_training_goes_on_from_any_slot(spark, tmp_path):
+    """Over shard borders, to the end, and past it; a shard that a lost task has left is replaced."""
+    path, options = f"file://{tmp_path}/shards", {"length": 64, "shard_records": 8}
+    (tmp_path / "shards").mkdir()
+    (tmp_path / "shards/shard-00000001.bin").write_bytes(b"left by a task that was lost")
+    index = {r.slot: r for r in training_order.write_training_order(docs(spark).limit(30), WORD_BPE, path, **options).collect()}
+    total = len(index)
+    assert total > 40 and not [p for p in (tmp_path / "shards").iterdir() if p.name.startswith("_")]
+    read = lambda first, count: {r.slot: r for r in training_order.read_from(spark, path, first, count, 64, 2, 8).collect()}
+    whole = read(0, total)
+    assert set(whole) == set(index) and all(whole[s].n == index[s].n and len(whole[s].ids) == 2 * whole[s].n for s in whole)
+    for first, count in ((0, 1), (7, 2), (13, 20), (total - 3, 100), (total + 50, 5)):
+        assert read(first, count) == {s: r for s, r in whole.items() if first <= s < first + count}
+
+
 def test_training_order_odd(spark):
     rows = training_order.training_order(odd(spark), WORD_BPE).collect()
     assert {r.doc_id for r in rows} == {r[0] for r in odd_rows()}

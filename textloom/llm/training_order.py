@@ -5,8 +5,8 @@ sequences of `length`; sequences are numbered without gaps from the partitions'
 keyed Feistel network over the next power of four, walked on until the slot is below the count,
 gives each its global slot. Slots go in ranges to shards; a shard is one
 file of fixed-stride records (count of ids, then `length` ids), so any slot is found by
-arithmetic and a reader can stop and go on anywhere. A shard is written under another name and moved,
-so a task that runs twice leaves one whole file.
+arithmetic and a reader can stop and go on anywhere (`read_from`). A shard is written under another name and moved onto its own, in place of what a task that
+was lost after its move has left there, so a task that runs twice leaves one whole file.
 
 Numbers are reproducible for the same input files and partitioning. The tokens are
 written once to the shared folder before numbering, packed with zstd.
@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_strings, chunks, materialise, new_path, small_batches, text_of
+from .common import chunks, materialise, new_path, release, small_batches, text_of
 from .tokens import WordTokens, shared_coder
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -81,7 +81,7 @@ def token_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int) -
 
         for batch in batches:
             for chunk in chunks(batch, "text"):
-                ids, counts = coder.encode(byte_strings(chunk.column("text")))
+                ids, counts = coder.encode(chunk.column("text"))
                 held = np.concatenate([held, ids])
                 docs_held += [[d, 0, int(c)] for d, c in zip(chunk.column("doc_id").to_pylist(), counts, strict=True)]
                 rows, at, d = [], 0, 0
@@ -107,6 +107,21 @@ def token_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int) -
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, SEQUENCES)
 
 
+def _files(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path and the path in it. Hadoop's names of object stores are theirs here too."""
+    for given, known in (("s3a://", "s3://"), ("s3n://", "s3://"), ("abfss://", "abfs://")):
+        if path.startswith(given):
+            path = known + path.removeprefix(given)
+    return pa.fs.FileSystem.from_uri(path)
+
+
+def _publish(files: pa.fs.FileSystem, written: str, name: str) -> None:
+    """Move a whole shard onto its name. A shard that is there already is of a task that was lost after its move, and holds the same records."""
+    if files.get_file_info(name).type != pa.fs.FileType.NotFound:
+        files.delete_file(name)
+    files.move(written, name)
+
+
 SHARDS_A_TASK = 8  # of 17 MB each with the default record and shard
 INDEX = "slot long, shard long, n int, doc_id array<long>, start array<long>, length array<int>"
 
@@ -137,14 +152,14 @@ def write_training_order(
             )
 
     def write(batches):
-        files, folder = pa.fs.FileSystem.from_uri(path)
+        files, folder = _files(path)
         unpack = zstandard.ZstdDecompressor()
         shard, stream, names, expected = None, None, None, 0
 
         def close():
             if stream is not None:
                 stream.close()
-                files.move(names[0], names[1])
+                _publish(files, *names)
 
         for batch in batches:
             slots, shards, n, blobs = (batch.column(x).to_pylist() for x in ("slot", "shard", "n", "blob"))
@@ -156,7 +171,8 @@ def write_training_order(
                     shard, names, expected = h, (f"{folder}/_{h:08d}-{TaskContext.get().taskAttemptId()}", f"{folder}/shard-{h:08d}.bin"), h * shard_records
                     files.create_dir(folder, recursive=True)
                     stream = files.open_output_stream(names[0])
-                assert s == expected, f"slot {s} where {expected} was due"
+                if s != expected:
+                    raise ValueError(f"slot {s} where {expected} was due")
                 expected += 1
                 ids = np.full(length, pad_id, "<u2" if size == 2 else "<u4")
                 ids[:k] = np.frombuffer(unpack.decompress(blob, max_output_size=length * size), ids.dtype)
@@ -169,7 +185,9 @@ def write_training_order(
     each = min(SHARDS_A_TASK, max(1, shards // 1000))
     tasks = -(-shards // each)
     ranged = rows.mapInArrow(number, f"{INDEX}, blob binary").repartitionById(tasks, F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("slot")
-    return materialise(ranged.mapInArrow(write, INDEX), "index")
+    index = materialise(ranged.mapInArrow(write, INDEX), "index")
+    release(rows)
+    return index
 
 
 PIECES = "doc_id long, start long, length long, slot long, shard long, offset long, ids_crc32 long"
@@ -180,24 +198,55 @@ def read_pieces(index: DataFrame, path: str, length: int = 2048, width: int = 2,
     stride = 4 + length * width
 
     def run(batches):
-        files, folder = pa.fs.FileSystem.from_uri(path)
+        files, folder = _files(path)
         shard, stream = None, None
         for batch in batches:
             rows = []
             for slot, h, n, docs, starts, sizes in zip(*(batch.column(x).to_pylist() for x in ("slot", "shard", "n", "doc_id", "start", "length")), strict=True):
                 if h != shard:
+                    if stream is not None:
+                        stream.close()
                     shard, stream = h, files.open_input_file(f"{folder}/shard-{h:08d}.bin")
                 record = stream.read_at(stride, (slot - h * shard_records) * stride)
-                assert int.from_bytes(record[:4], "little") == n, "a record does not hold what the index says"
+                if int.from_bytes(record[:4], "little") != n:
+                    raise ValueError(f"the record of slot {slot} does not hold what the index says")
                 ids, at = np.frombuffer(record, f"<u{width}", offset=4).astype("<u4"), 0
                 for d, s, k in zip(docs, starts, sizes, strict=True):
                     rows.append((d, s, k, slot, h, at, zlib.crc32(ids[at : at + k].tobytes())))
                     at += k
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(7)], [x.split()[0] for x in PIECES.split(", ")])
+        if stream is not None:
+            stream.close()
 
     return index.mapInArrow(run, PIECES)
 
 
+def read_from(spark: SparkSession, path: str, first: int, count: int, length: int = 2048, width: int = 2, shard_records: int = 4096) -> DataFrame:
+    """slot, n and ids (little-endian, without padding) of `count` sequences from slot `first` on, over shard borders: what a training run reads when it goes on.
+
+    A task reads its shard's records one after the other from the first that is wanted; slots after the last there is have no row."""
+    stride = 4 + length * width
+    shards = range(first // shard_records, (first + max(count, 1) - 1) // shard_records + 1)
+
+    def run(batches):
+        files, folder = _files(path)
+        for batch in batches:
+            for h in batch.column("id").to_pylist():
+                name, begin = f"{folder}/shard-{h:08d}.bin", max(first, h * shard_records)
+                if files.get_file_info(name).type == pa.fs.FileType.NotFound:
+                    continue
+                with files.open_input_file(name) as stream:
+                    stream.seek((begin - h * shard_records) * stride)
+                    for slot in range(begin, min(first + count, (h + 1) * shard_records), 64):
+                        held = stream.read(stride * min(64, min(first + count, (h + 1) * shard_records) - slot))
+                        sizes = [int.from_bytes(held[i : i + 4], "little") for i in range(0, len(held), stride)]
+                        if sizes:
+                            ids = [held[i * stride + 4 : i * stride + 4 + n * width] for i, n in enumerate(sizes)]
+                            yield pa.RecordBatch.from_arrays([pa.array(range(slot, slot + len(sizes)), pa.int64()), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary())], ["slot", "n", "ids"])
+
+    return spark.range(shards.start, shards.stop, 1, max(1, len(shards))).mapInArrow(run, "slot long, n int, ids binary")
+
+
 def training_order(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Write the documents in training order to the shared folder and read every stretch back."""
     path = new_path(docs.sparkSession, "shards")
