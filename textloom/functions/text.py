@@ -33,6 +33,11 @@ def fold(text: Column) -> Column:
     return out
 
 
+def fold_cheaply(text: Column) -> Column:
+    """fold of a column or a lambda's variable: the searches for what is beyond ASCII are left out where there is nothing beyond it."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(fold(text))
+
+
 def truncate(text: Column, limit: int) -> Column:
     """At most `limit` characters; what is cut ends at the last space before, then three dots."""
     cut = F.regexp_replace(F.substring(text, 1, limit - 3), r" [^ ]*\z", "")
@@ -60,15 +65,20 @@ def strip_edge(text: Column) -> Column:
 
 def unique_items(items: Column, limit: int, length: int = 280) -> Column:
     """The first `limit` items that differ in their folded, normalised form, truncated. One pass, whatever the number of items."""
+    plain = F.transform(F.transform(items, ws_normalize), strip_edge)
+    return first_distinct(F.transform(plain, lambda x: F.struct(fold_cheaply(x).alias("fold"), x.alias("item"))), limit, length)
+
+
+def first_distinct(prepared: Column, limit: int, length: int = 280) -> Column:
+    """The first `limit` items, truncated, of an array of (fold, item) that differ in fold; empty ones are none. Prepared before, as what is computed within the
+    pass is computed again for each comparison."""
     none = F.array().cast("array<struct<fold:string,item:string>>")
 
-    def add(found, raw):
-        item = strip_edge(ws_normalize(raw))
-        new = F.struct(fold(item).alias("fold"), item.alias("item"))
-        full = (F.size(found) >= limit) | (item == "") | F.exists(found, lambda y: y["fold"] == new["fold"])
+    def add(found, new):
+        full = (F.size(found) >= limit) | (new["item"] == "") | F.exists(found, lambda y: y["fold"] == new["fold"])
         return F.when(full, found).otherwise(F.array_append(found, new))
 
-    return F.transform(F.aggregate(items, none, add), lambda x: truncate(x["item"], length))
+    return F.transform(F.aggregate(prepared, none, add), lambda x: truncate(x["item"], length))
 
 
 def hits(folded: Column, terms: Sequence[str]) -> Column:

@@ -8,9 +8,11 @@ Python, and are what the SQL checks are held against.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +139,22 @@ def parsed_or_error(html: str | None) -> tuple[str | None, list[str] | None, lis
         return None, None, None, f"{type(e).__name__}: {e}"[:200]
 
 
+PARSE_BYTES = 4 << 20
+
+
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about PARSE_BYTES of HTML, one page at least, so that no more than that is held as Python text with all that is found in it."""
+    sizes = pc.binary_length(batch.column(at)).fill_null(0).to_pylist()
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > PARSE_BYTES:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
 PARSED = "title string, blocks array<string>, hrefs array<string>, error string"
 
 
@@ -148,7 +166,7 @@ def with_parsed(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def run(batches):
         kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
-        for batch in batches:
+        for batch in (x for given in batches for x in _slices(given, at)):
             found = [parsed_or_error(x) for x in batch.column(at).to_pylist()]
             own = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))], names)

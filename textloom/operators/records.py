@@ -27,7 +27,7 @@ def clean_blocks(df: DataFrame, blocks: str, out: str, lexicon: Lexicon = DEFAUL
     comes from the same array moved by one: within its own lambda the array would be sorted again for each element.
     The sorted array and the result are settled, so a filter or an explode above computes neither of them twice."""
     long = F.filter(F.transform(blocks, tx.ws_normalize), lambda x: F.length(x) >= lexicon.min_block)
-    df = settled(df, "__sorted", F.array_sort(F.transform(long, lambda x, i: F.struct(tx.fold(x).alias("fold"), i.alias("i"), x.alias("b")))))
+    df = settled(df, "__sorted", F.array_sort(F.transform(long, lambda x, i: F.struct(tx.fold_cheaply(x).alias("fold"), i.alias("i"), x.alias("b")))))
     before = F.concat(F.array(F.lit(None).cast("string")), F.transform("__sorted", lambda x: x["fold"]))
     marked = F.zip_with(
         F.slice(before, 1, F.size("__sorted")), "__sorted", lambda was,
@@ -42,15 +42,18 @@ def evidence(folded: Column, lexicon: Lexicon = DEFAULT) -> tuple[Column, Column
     return tx.hits(folded, lexicon.required), tx.hits(folded, lexicon.context), tx.hits(folded, lexicon.condition), tx.any_of(folded, lexicon.excluded)
 
 
-def strong_folded(folded: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    required, context, condition, excluded = evidence(folded, lexicon)
-    return (required > 0) & ~excluded & (required * 2 + context + condition * 2 >= 4) & ((context > 0) | (condition > 0))
+def strong_folded(folded: Column, required: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """Whether a block with so many required hits is strong: none excluded, some context or condition, and 2 * required + context + 2 * condition of 4 at least.
+    The last two are one bound on the same sum, so within a lambda each search is made once."""
+    _, context, condition, excluded = evidence(folded, lexicon)
+    return (required > 0) & ~excluded & (context + condition * 2 >= F.greatest(F.lit(1), 4 - required * 2))
 
 
 def strong_blocks(blocks: str, lexicon: Lexicon = DEFAULT) -> Column:
-    """array(struct(ok, b)): each block folded once, then judged."""
-    folded = F.transform(blocks, lambda x: F.struct(x.alias("b"), tx.fold(x).alias("f")))
-    return F.transform(folded, lambda y: F.struct(strong_folded(y["f"], lexicon).alias("ok"), y["b"].alias("b")))
+    """array(struct(ok, b)): each block folded once, its required terms counted once, then judged."""
+    folded = F.transform(blocks, lambda x: F.struct(x.alias("b"), tx.fold_cheaply(x).alias("f")))
+    counted = F.transform(folded, lambda x: F.struct(x["b"].alias("b"), x["f"].alias("f"), tx.hits(x["f"], lexicon.required).alias("required")))
+    return F.transform(counted, lambda y: F.struct(strong_folded(y["f"], y["required"], lexicon).alias("ok"), y["b"].alias("b")))
 
 
 def with_score(df: DataFrame, folded: str, out: str = "score", lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -88,12 +91,13 @@ def reference_page(title: Column, joined: Column, url: Column, lexicon: Lexicon
 def with_sentences(df: DataFrame, blocks: str) -> DataFrame:
     """Adds said: the sentences of each block in order, with their folded form."""
     flat = F.flatten(F.transform(blocks, tx.sentences))
-    return df.withColumn("said", F.transform(flat, lambda x: F.struct(x.alias("s"), tx.fold(x).alias("f"))))
+    return df.withColumn("said", F.transform(flat, lambda x: F.struct(x.alias("s"), tx.fold_cheaply(x).alias("f"))))
 
 
 def matching(said: str, terms, without=(), limit: int = 8, length: int = 280) -> Column:
+    """said: sentences, normalised, with their folded form. Folding changes no character that strip_edge takes off, so it need not be done again."""
     kept = F.filter(said, lambda x: tx.any_of(x["f"], terms) & ~tx.any_of(x["f"], without))
-    return tx.unique_items(F.transform(kept, lambda x: x["s"]), limit, length)
+    return tx.first_distinct(F.transform(kept, lambda x: F.struct(tx.strip_edge(x["f"]).alias("fold"), tx.strip_edge(x["s"]).alias("item"))), limit, length)
 
 
 def match_lists(df: DataFrame, lexicon: Lexicon = DEFAULT, whole: str | None = None) -> DataFrame:

@@ -483,21 +483,20 @@ def page_budget(spark, sf_dir):
 
 
 def _crawl_pages(spark, sf_dir):
-    """Pages of hosts with the driver's HTML, a snippet in each, and links to the pages 2i+1 and 2i+2."""
-    n = _pages(spark, sf_dir).agg(F.count("*").alias("n"))
-    link = lambda k: F.concat(F.lit('<a href="/p/'), ((F.col("page_id") * 2 + k) % F.col("n")).cast("string"), F.lit('">next</a>'))
-    body = F.concat(
-        F.lit("<html><head><title>Malaria and the like</title></head><body><article><p>"),
-        F.regexp_replace(overlay.pick("page_id", overlay.SNIPPETS), "\n\n", "</p><p>"), F.lit("</p>"), link(1), link(2),
-        F.lit("</article></body></html>")
-    )
-    rows = _pages(spark, sf_dir).crossJoin(F.broadcast(n)).filter("page_id % 7 <> 5")
-    return rows.select(F.concat(F.lit("https://site.example/p/"), F.col("page_id").cast("string")).alias("url"), body.alias("html"))
+    """The driver's pages on two sites, by turns, with a snippet in each; page k of a site links to 8k+1 to 8k+8, round and round."""
+    pages = _pages(spark, sf_dir)
+    sizes = pages.groupBy((F.col("page_id") % 2).alias("site")).agg(F.count("*").alias("m"))
+    k = F.floor(F.col("page_id") / 2)
+    links = F.concat(*(F.concat(F.lit('<a href="/malaria/'), ((k * 8 + j) % F.col("m")).cast("string"), F.lit('">next</a>')) for j in range(1, 9)))
+    rows = pages.withColumn("site", F.col("page_id") % 2).join(F.broadcast(sizes), "site").filter("page_id % 7 <> 5")
+    host = F.when(F.col("site") == 0, "https://a.example/malaria/").otherwise("https://b.example/malaria/")
+    return rows.select(F.concat(host, k.cast("string")).alias("url"), overlay.page_html(links).alias("html"))
 
 
 @query
 def crawl_progress(spark, sf_dir):
-    config = crawl.CrawlConfig(("https://site.example/p/0", "site.example/p/1"), max_pages=20, max_depth=5)
+    """Crawls every page; every seventh is lost."""
+    config = crawl.CrawlConfig(("https://a.example/malaria/0", "b.example/malaria/0"), max_pages=25_000, max_depth=6)
     return crawl.run_crawl(spark, _crawl_pages(spark, sf_dir), config).progress
 
 
@@ -639,7 +638,7 @@ def stream_equals_batch(spark, sf_dir):
     base = new_path(spark, "stream")
     pages = _pages(spark, sf_dir).select(
         "page_id", F.concat(F.lit("https://site.example/malaria/"), F.col("page_id").cast("string")).alias("url"),
-        F.concat(F.lit("<title>Malaria</title><p>"), F.regexp_replace(overlay.pick("page_id", overlay.SNIPPETS), "\n\n", "</p><p>"), F.lit("</p>")).alias("html")
+        overlay.page_html().alias("html")
     )
     pages.filter("page_id % 2 = 0").write.parquet(f"{base}/in")
     for _ in range(2):

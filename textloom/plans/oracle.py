@@ -375,12 +375,18 @@ _HOSTS = f"h AS (SELECT DISTINCT {_HOST} AS host FROM pages)"
 
 # The driver's links are absolute addresses or paths from the root.
 _ABSOLUTE = f"CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN lower({part('base', 1)}) || ':' || href WHEN starts_with(href, '/') THEN lower({part('base', 1)}) || '://' || {part('base', 2)} || href WHEN starts_with(href, '#') THEN base END"
-#: Relations up to p: page_id, html, title and paragraphs (z) of each page.
-PARSED_PAGES = f"""
-e AS (SELECT page_id, html, regexp_replace({bare('html')}, '&(amp|lt|gt|quot)([^;a-zA-Z0-9])', '&\\1;\\2', 'g') AS x FROM pages),
-b AS (SELECT page_id, html, regexp_replace(x, '&(amp|lt|gt|quot)([^;a-zA-Z0-9])', '&\\1;\\2', 'g') AS x FROM e),
-t AS (SELECT page_id, html, {_TITLE_OF} AS title, CASE WHEN regexp_matches(x, '(?i)<article\\b') THEN regexp_extract(x, '(?is)<article\\b[^>]*>(.*)</article>', 1) ELSE x END AS x FROM b),
-p AS (SELECT page_id, html, title, {_PARAGRAPHS} AS z FROM t)"""
+
+
+def parsed_pages(table: str) -> str:
+    """Relations up to p: page_id, html, title and paragraphs (z) of each page of the table."""
+    return f"""
+pe AS (SELECT page_id, html, regexp_replace({bare('html')}, '&(amp|lt|gt|quot)([^;a-zA-Z0-9])', '&\\1;\\2', 'g') AS x FROM {table}),
+pb AS (SELECT page_id, html, regexp_replace(x, '&(amp|lt|gt|quot)([^;a-zA-Z0-9])', '&\\1;\\2', 'g') AS x FROM pe),
+pt AS (SELECT page_id, html, {_TITLE_OF} AS title, CASE WHEN regexp_matches(x, '(?i)<article\\b') THEN regexp_extract(x, '(?is)<article\\b[^>]*>(.*)</article>', 1) ELSE x END AS x FROM pb),
+p AS (SELECT page_id, html, title, {_PARAGRAPHS} AS z FROM pt)"""
+
+
+PARSED_PAGES = parsed_pages("pages")
 LINKS = """len(regexp_extract_all(html, '(?i)<a\\s[^>]*href="[^"]*"'))::BIGINT"""
 ORACLE |= {
     "html_title": f"SELECT page_id, CASE WHEN t = '' THEN {quoted(lx.UNTITLED_PAGE)} ELSE t END AS title FROM (SELECT page_id, {_TITLE_OF} AS t FROM (SELECT page_id, {bare('html')} AS x FROM pages))",
@@ -422,3 +428,29 @@ ORACLE |= {
     "job_responses": f"SELECT doc_id::VARCHAR AS job_id, array_to_string(list_transform(range(greatest(1, doc_id % 40 - 18), doc_id % 40 + 2), lambda x: 'e' || x), '|') AS errors, CASE WHEN {_STATE} = 'completed' THEN '/api/crawl/' || doc_id || '/download/csv' END AS download_csv_url, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 2 END::BIGINT AS platforms FROM documents",
     "job_id_union": f"SELECT count(*) AS jobs FROM documents WHERE {_PAGES} < 30 OR ({_PENDING})",
 }
+
+
+def using_pages(url: str, select: str, *more: str) -> str:
+    """A query over the records (r) of the pages with a snippet in each; doc_id is the page's."""
+    with_snippet = f"sp AS (SELECT page_id, {overlay.PAGE_SQL} AS html FROM pages)"
+    as_documents = f"o AS (SELECT page_id AS doc_id, '' AS src, html AS raw, array_to_string(z, chr(10) || chr(10)) AS text, CASE WHEN title = '' THEN {quoted(lx.UNTITLED_PAGE)} ELSE title END AS title, {url} AS source_url FROM p)"
+    need = [k for k in RELATIONS if k in _NEEDS["r"] and k != "o"] + ["r"]
+    return f"WITH RECURSIVE {', '.join([with_snippet, parsed_pages('sp'), as_documents, *(RELATIONS[k] for k in need), *more])} {select}"
+
+
+_SITE = "CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END"
+ORACLE |= {
+    "stream_equals_batch": using_pages(
+        "'https://site.example/malaria/' || page_id",
+        "SELECT count(*) AS streamed, count(*) AS batch, 0::BIGINT AS different FROM r WHERE reject_reason IS NULL"
+    ),
+    "crawl_progress": using_pages(
+        f"'https://' || {_SITE} || '.example/malaria/' || page_id // 2",
+        """SELECT 'https://' || site || '.example/malaria/0' AS platform_id, discovered, discovered AS scraped, accepted, rejected, failed, CASE WHEN accepted = 0 THEN 'empty' ELSE 'completed' END AS status,
+            CASE WHEN accepted > 0 THEN 'Completed.' ELSE 'No accepted medical pages.' END AS message
+        FROM (SELECT site, count(*) AS discovered, count(*) FILTER (lost) AS failed, count(*) FILTER (NOT lost AND reject_reason IS NULL) AS accepted, count(*) FILTER (NOT lost AND reject_reason IS NOT NULL) AS rejected
+            FROM (SELECT DISTINCT site, k FROM reached) JOIN pl USING (site, k) JOIN r ON r.doc_id = pl.page_id GROUP BY site)""",
+        f"pl AS (SELECT page_id, {_SITE} AS site, page_id // 2 AS k, page_id % 7 = 5 AS lost, count(*) OVER (PARTITION BY page_id % 2) AS m FROM pages)",
+        "reached AS (SELECT site, 0::BIGINT AS k, 0 AS depth FROM pl WHERE k = 0 UNION SELECT pl.site, (8 * pl.k + j) % m, depth + 1 FROM reached JOIN pl USING (site, k), range(1, 9) v(j) WHERE NOT lost AND depth < 6)"
+    ),
+}

@@ -76,6 +76,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DOCUMENTS_SQL = f"o AS (SELECT doc_id, source AS src, text AS raw, text || chr(10) || chr(10) || {pick_sql('doc_id', SNIPPETS)} AS text, {pick_sql('doc_id', TITLES)} AS title, {pick_sql('doc_id', URLS)} AS source_url FROM documents)"
 
+def page_html(links: Column = None) -> Column:
+    """A page's HTML with a snippet as its last paragraphs, and these links; its own links are none any more."""
+    snippet = F.regexp_replace(pick("page_id", SNIPPETS), "\n\n", "</p><p>")
+    end = [F.lit("<p>"), snippet, F.lit("</p>"), *([] if links is None else [links]), F.lit("</article>")]
+    return F.replace(F.replace(F.col("html"), F.lit('href="'), F.lit('data-was="')), F.lit("</article>"), F.concat(*end))
+
+
+PAGE_SQL = f"replace(replace(html, 'href=\"', 'data-was=\"'), '</article>', '<p>' || replace({pick_sql('page_id', SNIPPETS)}, chr(10) || chr(10), '</p><p>') || '</p></article>')"
+
 #: Turns a page's URL into one of every kind.
 KINDS = 12
 

@@ -6,6 +6,11 @@ for finding those with work left, and for the views of a job.
 
 from __future__ import annotations
 
+import time
+from collections import Counter
+from collections.abc import Callable
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,14 +140,38 @@ def write_manifests(jobs: DataFrame, root: str) -> None:
     spark = jobs.sparkSession
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     names = [f.name for f in spark.createDataFrame([], MANIFEST).schema.fields]
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = getattr(hadoop.Options.Rename, "OVERWRITE")
     for row in jobs.select("job_id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("body")).toLocalIterator():
-        path, new = hadoop.Path(f"{root}/{row.job_id}/job.json"), hadoop.Path(f"{root}/{row.job_id}/job.json.new")
+        folder = f"{root}/{quote(row.job_id, safe='').replace('.', '%2E')}"  # an id is one name, whatever is in it
+        path, new = hadoop.Path(f"{folder}/job.json"), hadoop.Path(f"{folder}/job.json.new")
         files = path.getFileSystem(conf)
         out = files.create(new, True)
         out.write(bytearray(row.body.encode()))
         out.close()
-        files.delete(path, False)
-        files.rename(new, path)
+        # one step where the file system has it: there is a whole manifest at any moment
+        hadoop.FileContext.getFileContext(path.toUri(), conf).rename(new, path, over)
+
+
+def keeper(spark: SparkSession, root: str, config: CrawlConfig, job_id: str, every: float = 1.25, clock: Callable[[], float] = time.monotonic) -> Callable[[dict], None]:
+    """For run_crawl's `told`: keeps the manifest of a running crawl, from the counts of its levels. It is written once in `every` seconds at most, the first at once;
+    what is not written then is in the next, or in the snapshot of the whole."""
+    sums, last = Counter(), [-every]
+
+    def told(level: dict) -> None:
+        sums.update({k: level[k] for k in ("discovered", "failed", "accepted", "rejected")})
+        if clock() - last[0] < every:
+            return
+        given = {
+            "job_id": job_id, "status": "running", "status_message": f"Depth {level['depth']} done.", "start_url": config.start_urls[0], "start_urls": list(config.start_urls),
+            "platform_max_pages": config.max_pages, "max_pages": config.total_pages, "max_depth": config.max_depth, "include_sitemap": config.include_sitemap,
+            "concurrency": config.concurrency, "discovered_pages": sums["discovered"], "scraped_pages": sums["accepted"] + sums["rejected"] + sums["failed"],
+            **{f"{k}_pages": sums[k] for k in ("accepted", "rejected", "failed")}
+        }
+        write_manifests(with_defaults(spark.createDataFrame([given], MANIFEST)), root)
+        last[0] = clock()
+
+    return told
 
 
 def pending(jobs: DataFrame) -> DataFrame:

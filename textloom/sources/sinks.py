@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.plans import lexicon as lx
+from textloom.plans.storage import materialise
 
 CSV_COLUMNS = (*lx.EXPORT_FIELDS, "language", "quality_score", "raw_text")
 CSV_OPTIONS = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -34,11 +35,13 @@ def csv_rows(records: DataFrame) -> DataFrame:
 def json_parts(records: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """The pieces of one JSON array of the records' data, indented, in the order of these columns, ties by the data itself.
 
-    Sorted by ranges, so no task holds more than its share; the parts in order of their names are the array. A comma begins the line of each record but the first."""
+    Sorted by ranges, so no task holds more than its share; the parts in order of their names are the array. A comma begins the line of each record but the first.
+    The lines are written to the shared folder first, so that the records are computed once, and not again for the first line and the ranges. Without
+    an order it is that of the lines themselves."""
     given = [F.col(c) for c in order]
     keys = [f"k{i}" for i in range(len(given))]
     rows = records.select(*(c.alias(k) for c, k in zip(given, keys, strict=True)), F.to_json("data", {"ignoreNullFields": "false", "pretty": "true"}).alias("line"))
-    rows = rows.groupBy(*keys, "line").agg(F.count("*").alias("n"))
+    rows = materialise(rows.groupBy(*keys, "line").agg(F.count("*").alias("n")), "json-lines")
     first = rows.agg(F.min(F.struct(*keys, "line")).alias("first"))
     body = F.concat(F.when(F.struct(*keys, "line") == F.col("first"), "").otherwise(","), F.array_join(F.array_repeat("line", F.col("n").cast("int")), "\n,"))
     pieces = rows.crossJoin(F.broadcast(first)).select(F.lit(1).alias("part"), *keys, "line", body.alias("value"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from textloom.functions import urls
 from textloom.operators.html import with_parsed
@@ -35,11 +35,38 @@ def once_per_url(pages: DataFrame) -> DataFrame:
 
 def start_export(pages: DataFrame, path: str, checkpoint: str, lexicon: Lexicon = DEFAULT, every: str | None = None) -> StreamingQuery:
     """Append accepted records as JSON lines; every: a processing-time trigger, or all there is and stop."""
-    accepted = page_records(once_per_url(pages), lexicon).filter("reject_reason is null")
+    records = page_records(once_per_url(pages), lexicon).observe(
+        "records", F.count(F.lit(1)).alias("scraped"), F.count_if(F.col("reject_reason").isNull()).alias("accepted"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected")
+    )
+    accepted = records.filter("reject_reason is null")
     writer = accepted.select(json_line().alias("value")).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+class Counters(StreamingQueryListener):
+    """Counts of records while streams run, by query id, from what their batches observed as they were written: no pass of their own. Register it by spark.streams.addListener."""
+
+    def __init__(self):
+        self.by_query: dict[str, dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.by_query.setdefault(str(event.id), {"batches": 0, "scraped": 0, "accepted": 0, "rejected": 0})
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get("records")
+        if seen is not None:
+            own = self.by_query.setdefault(str(event.progress.id), {"batches": 0, "scraped": 0, "accepted": 0, "rejected": 0})
+            own["batches"] += 1
+            for k in ("scraped", "accepted", "rejected"):
+                own[k] += seen[k]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def pause(query: StreamingQuery) -> None:
     """Stop after the batch at hand; start_export with the same checkpoint goes on."""
     query.stop()
