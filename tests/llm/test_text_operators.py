@@ -572,6 +572,19 @@ def test_chat(spark):
     assert chat.read_back(chat.format_turns(none(spark, chat.TURNS))).count() == 0
 
 
+def test_chat_passes_over_other_columns_and_takes_very_long_texts(spark):
+    long = "word </s>[INST] " * 200_000
+    table = spark.createDataFrame([(1, 0, "user", long, 3, "x"), (1, 1, "assistant", None, 4, None), (None, None, None, "a", None, "y")], "conv_id long, turn long, role string, text string, loss_chars int, source string")
+    turns = chat.turns_of_table(table)
+    assert turns.columns == ["conv_id", "turn", "role", "text"] and turns.count() == 3
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(turns)).collect()}
+    assert got[1].n_turns == 2 and got[1].formatted_chars > len(long) and got[1].loss_chars == 0 and got[None].n_turns == 1
+    more = spark.createDataFrame([("q", "a", 1, "s")], "prompt string, response string, score int, system string")
+    assert [(r.role, r.text) for r in chat.turns_of_table(more).orderBy("turn").collect()] == [("system", "s"), ("user", "q"), ("assistant", "a")]
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.turns_of_table(spark.createDataFrame([(1,)], "x int"))
+
+
 def test_chat_layouts(spark):
     import json
 

@@ -143,10 +143,18 @@ def turns_of_records(records: DataFrame, id_col: str, json_col: str) -> DataFram
 
 
 def turns_of_table(table: DataFrame, id_col: str | None = None) -> DataFrame:
-    """Rows conv_id, turn, role, text of a table, by the mapping that its schema's fingerprint selects. Extra columns: name the table's columns first."""
-    mapping = registry().get(fingerprint(paths_of_schema(table.schema) - ({id_col} if id_col else set())))
+    """Rows conv_id, turn, role, text of a table, by the mapping that its schema's fingerprint selects. Where no layout has just these columns, those beyond the layout
+    that has the most of them (the first of such) are passed over."""
+    there = paths_of_schema(table.schema) - ({id_col} if id_col else set())
+    mapping = registry().get(fingerprint(there))
     if mapping is None:
-        raise ValueError(f"no mapping for the layout {sorted(paths_of_schema(table.schema))}")
+        within = [(len(paths), -i, paths) for i, (_, every) in enumerate(LAYOUTS) for paths in every if paths <= there]
+        if not within:
+            raise ValueError(f"no mapping for the layout {sorted(there)}")
+        own = max(within, key=lambda x: x[:2])[2]
+        mapping = registry()[fingerprint(set(own))]
+        tops = {re.split(r"\.|\[", p)[0] for p in own} | ({id_col} if id_col else set())
+        table = table.select(*(c for c in table.columns if c in tops))
     if mapping.rows:
         conv, turn, role, text = (F.col(c) for c in mapping.rows)
         return table.select(conv.cast("long").alias("conv_id"), turn.cast("long").alias("turn"), role.cast("string").alias("role"), text.cast("string").alias("text"))
