@@ -107,6 +107,18 @@ def test_the_manifest_of_a_running_crawl(spark, tmp_path):
     assert [p.name for p in Path(f"{tmp_path}/jobs").rglob("job.json*") if not p.name.startswith(".")] == ["job.json"]
 
 
+def test_one_job_is_read_alone_and_jobs_are_reset(spark, tmp_path):
+    root = f"{tmp_path}/jobs"
+    jobs.write_manifests(jobs.with_defaults(spark.createDataFrame([{"job_id": x, "status": s} for x, s in (("a", "running"), ("b/c", "completed"), ("..", "failed"))], jobs.MANIFEST)), root)
+    assert sorted(r.job_id for r in jobs.read_manifests(spark, root).collect()) == ["..", "a", "b/c"]
+    Path(f"{root}/a/job.json").rename(f"{root}/a/gone")  # another job's folder is not looked at
+    assert jobs.read_job(spark, root, "b/c").first().status == "completed" and jobs.read_job(spark, root, "a").count() == 0
+    read = jobs.read_job(spark, root, "..")
+    assert read.first().status == "failed" and len(read.inputFiles()) == 1
+    assert jobs.reset(spark, root, spark.createDataFrame([("b/c",), ("none",)], "job_id string")) == 1
+    assert jobs.reset(spark, root) == 1 and jobs.read_manifests(spark, root).count() == 0
+
+
 def test_an_array_of_json_computes_its_records_once(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.functions import urls
-from textloom.operators import crawl, dedup, html, records, sitemap
+from textloom.operators import crawl, dedup, html, notes, records, sitemap
 from textloom.plans import overlay
 from textloom.plans.lexicon import DEFAULT as LEX
 from textloom.sources import files, jobs, sinks
@@ -506,6 +506,14 @@ def completion_message(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.coalesce(crawl.completion_message(i % 2, i % 3, i % 5 == 0), F.lit("")).alias("message"))
 
 
+@query
+def note_runs(spark, sf_dir):
+    """Runs of one kind of event in a user's events, the last 220 of each user."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type")
+    rows = notes.tail(notes.runs(events, ["user_id"], ["ts", "event_id"], "event_type"), ["user_id"], "run", 220)
+    return rows.select("user_id", "run", "event_type", "n", F.col("began.event_id").alias("first_event"), F.col("ended.event_id").alias("last_event"))
+
+
 @query
 def error_tail(spark, sf_dir):
     errors = _docs(spark, sf_dir).select("doc_id", F.concat("source_url", F.lit(": no page")).alias("error"))

@@ -453,4 +453,9 @@ ORACLE |= {
         f"pl AS (SELECT page_id, {_SITE} AS site, page_id // 2 AS k, page_id % 7 = 5 AS lost, count(*) OVER (PARTITION BY page_id % 2) AS m FROM pages)",
         "reached AS (SELECT site, 0::BIGINT AS k, 0 AS depth FROM pl WHERE k = 0 UNION SELECT pl.site, (8 * pl.k + j) % m, depth + 1 FROM reached JOIN pl USING (site, k), range(1, 9) v(j) WHERE NOT lost AND depth < 6)"
     ),
+    "note_runs": """
+        WITH a AS (SELECT user_id, ts, event_id, event_type, coalesce(event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        b AS (SELECT *, (sum(fresh::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS run FROM a),
+        c AS (SELECT user_id, run, any_value(event_type) AS event_type, count(*) AS n, min_by(event_id, (ts, event_id)) AS first_event, max_by(event_id, (ts, event_id)) AS last_event FROM b GROUP BY user_id, run)
+        SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY run DESC) <= 220""",
 }

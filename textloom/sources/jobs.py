@@ -11,11 +11,13 @@ from collections import Counter
 from collections.abc import Callable
 from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import urls
 from textloom.operators.crawl import Crawl, CrawlConfig, completion_message, error_tail
+from textloom.plans.storage import exists, remove
 
 QUEUE_ITEM = "struct<url:string,depth:int,platform_id:string,root_host:string,source_name:string,verified:boolean,verified_from:string,tags:array<string>>"
 PLATFORM = "struct<platform_id:string,label:string,start_url:string,root_host:string,max_pages:int,discovered_pages:int,scraped_pages:int,accepted_pages:int,rejected_pages:int,status:string,status_message:string>"
@@ -98,12 +100,37 @@ def with_defaults(manifests: DataFrame) -> DataFrame:
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """The manifests under root/*/job.json; a job without an id has its folder's name, one that is broken has a row of defaults and `broken`."""
-    rows = spark.read.schema(f"{MANIFEST}, _corrupt_record string").option("multiLine", True).json(f"{root}/*/job.json")
+    try:
+        rows = spark.read.schema(f"{MANIFEST}, _corrupt_record string").option("multiLine", True).json(f"{root}/*/job.json")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return with_defaults(spark.createDataFrame([], f"{MANIFEST}, broken boolean"))
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/job\.json\z", 1)
     rows = rows.select("*", folder.alias("__folder"))
     return with_defaults(rows.withColumn("job_id", F.coalesce("job_id", "__folder")).withColumn("broken", F.col("_corrupt_record").isNotNull()).drop("__folder", "_corrupt_record"))
 
 
+def read_job(spark: SparkSession, root: str, job_id: str) -> DataFrame:
+    """The manifest of one job, of whose folder alone anything is read; no row where there is none."""
+    path = f"{_folder(root, job_id)}/job.json"
+    return with_defaults(spark.read.schema(MANIFEST).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], MANIFEST))
+
+
+def reset(spark: SparkSession, root: str, job_ids: DataFrame | None = None) -> int:
+    """Removes the folders of these jobs (job_id), or of all, and tells how many there were. The ids come to the driver one by one: jobs are few."""
+    wanted = read_manifests(spark, root).select("job_id") if job_ids is None else job_ids.select("job_id").distinct()
+    there = [path for row in wanted.toLocalIterator() if exists(spark, path := _folder(root, row.job_id))]
+    for path in there:
+        remove(spark, path)
+    return len(there)
+
+
+def _folder(root: str, job_id: str) -> str:
+    """A job's folder: its id is one name, whatever is in it."""
+    return f"{root}/{quote(job_id, safe='').replace('.', '%2E')}"
+
+
 def snapshot(crawl: Crawl, config: CrawlConfig, job_id: str) -> DataFrame:
     """The manifest of a crawl that is over, as one row of MANIFEST: its settings, counters, platforms and last errors; queues and URL sets are empty."""
     spark = crawl.progress.sparkSession
@@ -143,7 +170,7 @@ def write_manifests(jobs: DataFrame, root: str) -> None:
     over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
     over[0] = getattr(hadoop.Options.Rename, "OVERWRITE")
     for row in jobs.select("job_id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("body")).toLocalIterator():
-        folder = f"{root}/{quote(row.job_id, safe='').replace('.', '%2E')}"  # an id is one name, whatever is in it
+        folder = _folder(root, row.job_id)
         path, new = hadoop.Path(f"{folder}/job.json"), hadoop.Path(f"{folder}/job.json.new")
         files = path.getFileSystem(conf)
         out = files.create(new, True)
