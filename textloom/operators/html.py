@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import urls
@@ -180,6 +180,26 @@ def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     return with_parsed(pages.select(key, html), html)
 
 
+class PageBlocks:
+    """A row per block of a page, for SQL: `FROM pages, LATERAL page_blocks(html)`. A page that the parser rejects has none."""
+
+    def eval(self, html: str):
+        yield from enumerate(parsed_or_error(html)[1] or ())
+
+
+class PageHrefs:
+    """A row per href of a page as it is written, for SQL: `FROM pages, LATERAL page_hrefs(html)`."""
+
+    def eval(self, html: str):
+        yield from enumerate(parsed_or_error(html)[2] or ())
+
+
+def register_sql(spark: SparkSession) -> None:
+    """page_blocks and page_hrefs for this session's SQL: rows as they are found, instead of arrays in a row that are exploded."""
+    spark.udtf.register("page_blocks", F.udtf(PageBlocks, returnType="pos int, block string", useArrow=True))
+    spark.udtf.register("page_hrefs", F.udtf(PageHrefs, returnType="pos int, href string", useArrow=True))
+
+
 def _bare(html: Column) -> Column:
     """Without comments and the content of removed tags."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")

@@ -389,6 +389,17 @@ def html_parsed_pages(spark, sf_dir):
     )
 
 
+@query
+def html_lateral_blocks(spark, sf_dir):
+    """Blocks and hrefs of pages by table functions in SQL."""
+    html.register_sql(spark)
+    return spark.sql(
+        """SELECT page_id, 'block' AS what, pos, md5(block) AS text_md5 FROM {pages}, LATERAL page_blocks(html)
+        UNION ALL SELECT page_id, 'href', pos, md5(href) FROM {pages}, LATERAL page_hrefs(html)""",
+        pages=_pages(spark, sf_dir).select("page_id", "html")
+    )
+
+
 def _robots(spark, sf_dir):
     lines = F.concat(
         F.lit("User-agent: *\nDisallow: /x\nSITEMAP:  https://"), "host", F.lit("/a.xml \nSitemap:https://"), "host",

@@ -458,4 +458,8 @@ ORACLE |= {
         b AS (SELECT *, (sum(fresh::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS run FROM a),
         c AS (SELECT user_id, run, any_value(event_type) AS event_type, count(*) AS n, min_by(event_id, (ts, event_id)) AS first_event, max_by(event_id, (ts, event_id)) AS last_event FROM b GROUP BY user_id, run)
         SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY run DESC) <= 220""",
+    "html_lateral_blocks": f"""
+        WITH {PARSED_PAGES}
+        SELECT page_id, 'block' AS what, (generate_subscripts(z, 1) - 1)::INTEGER AS pos, md5(unnest(z)) AS text_md5 FROM p
+        UNION ALL SELECT page_id, 'href', (generate_subscripts(h, 1) - 1)::INTEGER, md5(trim(unnest(h))) FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages)""",
 }
