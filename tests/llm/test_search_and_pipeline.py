@@ -8,7 +8,7 @@ import numpy as np
 from textloom.llm import crf, topk
 from textloom.llm import queries as registered
 
-from .common import SF, none, odd
+from .common import SF, none, odd, odd_rows
 
 
 def top_by_hand(rows, asked, k):
@@ -107,12 +107,38 @@ def test_best_labels_of_a_long_line():
 
 
 def test_stages_on_odd_tables(spark):
-    for name, stage in corpus_pipeline.STAGES:
-        for table in (odd(spark), none(spark)):
-            out = stage(spark, table, "")
-            if name != "packing":
-                assert out.schema == table.schema
-            out.collect()
+    """The values of each stage on nulls, empty and long texts, repeats, clashing columns; and an empty table."""
+    rows = odd_rows()
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        out = stage(spark, none(spark), "")
+        assert out.count() == 0 and (name == "packing" or out.schema == none(spark).schema)
+    told = {}
+    for name in list(stages)[:-1]:
+        out = stages[name](spark, odd(spark), "")
+        assert out.schema == odd(spark).schema
+        told[name] = [tuple(r) for r in out.collect()]
+        # other columns stay as they are, and n_chars is that of the text where it was changed
+        assert {(r[0], *r[5:]) for r in told[name]} <= {(r[0], *r[5:]) for r in rows}
+    # quality: rejected are null, empty and short texts, and one of five words over and over
+    long = [r for r in rows if r[1] and len(r[1].split()) >= 50]
+    kept = Counter(r[0] for r in told["quality rules"])
+    assert kept == Counter(r[0] for r in long if not r[1].startswith(("a b c d e", "line."))) and kept[6] == 3 and kept[None] == 1
+    # line dedup: each row stays; of a host's lines those go that two documents and over a tenth of them share
+    assert Counter(r[0] for r in told["line dedup"]) == Counter(r[0] for r in rows)
+    lines = {r[0]: r[1] for r in told["line dedup"]}
+    assert lines[0] is None and lines[1] == "" and lines[10] == rows[10][1] and lines[11] == rows[11][1]
+    # near duplicates: texts without words stay, each by itself; one row of the texts that are alike; the first by doc_id
+    near = Counter(r[0] for r in told["near duplicates"])
+    assert near[6] == 1 and not {7, 8, 9} & set(near) and near[4] == 1 and near[5] == 0 and near[10] == near[11] == near[0] == near[1] == near[2] == 1
+    # personal data: only texts that hold some are changed
+    for r in told["personal data"]:
+        given = next(x for x in rows if x[0] == r[0] and (x[1] is None) == (r[1] is None))
+        assert r[1] == ("mail [EMAIL] or [PHONE]\n[CARD] at [IP]" if r[0] == 15 else given[1])
+    # packing: every row once, as many ids as its tokens
+    packed = stages["packing"](spark, odd(spark), "").collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r[0] for r in rows)
+    assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0)
 
 
 def test_pipeline(spark):
