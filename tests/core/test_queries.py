@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "embeddings"):
+    for t in ("documents", "pages", "conversations", "embeddings", "events"):
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return connection
 
