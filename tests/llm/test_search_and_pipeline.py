@@ -162,7 +162,7 @@ def test_pipeline(spark):
 
 def test_queries_are_registered(spark):
     names = registered.queries()
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 13))
     assert set(registered.oracle_sql()) <= set(names)
 
 
