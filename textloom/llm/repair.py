@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_chunks, small_batches
+from .common import chunks, map_chunks, materialise, small_batches
 
 INITIALS, FAULTS = "sua-", ("", "truncated", "blank", "duplicate")
 #: A letter for each initial and fault, as in "sua-" + "SUA=" + ...: fixed by place.
@@ -232,7 +232,8 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 def audits(rows: DataFrame) -> DataFrame:
     """A row per conversation: gaps, faults, cost and audit. Each distinct signature is solved once."""
-    found = signatures(rows)
+    # read twice, for the distinct ones and for the join, so written once
+    found = materialise(signatures(rows), "signatures")
     solved = map_chunks(found.select("signature").distinct(), "signature", lambda: _solve_batch, SOLVED, 1 << 20)
     return found.join(solved, "signature").select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
 
