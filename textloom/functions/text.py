@@ -120,10 +120,21 @@ def retry_after_seconds(header: Column) -> Column:
 
 
 def seed_list(text: Column) -> Column:
-    """Seeds between line ends, commas, semicolons and tabs; quotes stripped; the first of each, whatever its case."""
+    """Seeds between line ends, commas, semicolons and tabs; quotes stripped; the first of each, whatever its case.
+
+    Sorted by lower case and place, a seed that differs from the one before it is the first of its kind, so a list costs n log n. The sorted
+    list is a lambda's variable, as it would be made again for each of its uses otherwise."""
     parts = F.filter(F.transform(F.split(text, r"[\r\n,;\t]+", -1), lambda x: F.btrim(strip_ws(x), F.lit("\"'"))), lambda x: x != "")
-    low = F.transform(parts, lambda x: F.lower(x))
-    return F.filter(parts, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    by_case = F.sort_array(F.transform(parts, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("seed"))))
+
+    def firsts(found):
+        before = F.concat(F.array(F.lit(None).cast("string")), F.transform(found, lambda x: x["low"]))
+        first = F.zip_with(
+            F.slice(before, 1, F.size(found)), found, lambda was, x: F.when(~was.eqNullSafe(x["low"]), F.struct(x["i"].alias("i"), x["seed"].alias("seed")))
+        )
+        return F.transform(F.sort_array(F.filter(first, lambda x: x.isNotNull())), lambda x: x["seed"])
+
+    return F.flatten(F.transform(F.array(by_case), firsts))
 
 
 def progress_percent(scraped: Column, accepted: Column, rejected: Column, max_pages: Column) -> Column:

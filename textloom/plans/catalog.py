@@ -116,7 +116,7 @@ def retry_after_parse(spark, sf_dir):
 def seed_list_parse(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("host", F.regexp_extract("url", "://([^/]+)", 1))
     per = rows.groupBy("host").agg(F.array_join(
-        F.array_sort(F.collect_list(F.concat_ws("", F.lit('"'), "url", F.lit('"; '), F.upper("url"), F.lit(",,\n")))), "\t"
+        F.sort_array(F.collect_list(F.concat_ws("", F.lit('"'), "url", F.lit('"; '), F.upper("url"), F.lit(",,\n")))), "\t"
     ).alias("given"))
     return per.select("host", F.array_join(F.transform(tx.seed_list(F.col("given")), lambda x: F.lower(x)), "|").alias("seeds"))
 
