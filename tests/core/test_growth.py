@@ -2,9 +2,12 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
+from textloom.operators import crawl
+from textloom.sources import web
 
 
 def test_seed_lists_of_any_length(spark):
@@ -21,3 +24,38 @@ def test_seed_lists_of_any_length(spark):
 def test_seed_list_of_nothing(spark):
     rows = spark.createDataFrame([(0, None), (1, ""), (2, " ,;\n"), (3, "b,B,a;A,b")], "i int, text string")
     assert [r.seeds for r in rows.orderBy("i").select(tx.seed_list(F.col("text")).alias("seeds")).collect()] == [None, [], [], ["b", "a"]]
+
+
+def _admitted(spark, n, start, **config):
+    """Page k of a site links to 8k+1 to 8k+8, each link twice."""
+    at = lambda k: F.concat(F.lit("https://a.org/malaria/"), k.cast("string"))
+    to = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.col("id") * 8 + 1 + j % 8)
+    links = spark.range(n).select(at(F.col("id")).alias("src"), F.posexplode(to).alias("pos", "to")).filter(F.col("to") < n).select("src", "pos", at(F.col("to")).alias("url"))
+    seeds = [(f"https://a.org/malaria/{k}", f"https://a.org/malaria/{k}", "a.org", i) for i, k in enumerate(start)]
+    seeds = spark.createDataFrame(seeds, "url string, platform_id string, root_host string, seq long")
+    return crawl.frontier(spark, links, seeds, crawl.CrawlConfig(tuple(s.url for s in seeds.collect()), **config))
+
+
+def test_a_crawl_without_a_budget_reaches_every_page(spark):
+    """More than the job model's 25 000 pages of a platform, numbered level by level with no gap."""
+    every = _admitted(spark, 37_000, [0], max_pages=None, max_depth=6)
+    levels = every.groupBy("depth").agg(F.count("*").alias("n"), F.count_distinct("nth").alias("places"), F.min("nth").alias("first"), F.max("nth").alias("last")).orderBy("depth").collect()
+    sizes = [1, 8, 64, 512, 4096, 37_000 - 4681]
+    assert [(r.n, r.places, r.first, r.last) for r in levels if r.n] == [(n, n, 1, n) for n in sizes]
+
+
+def test_no_budget_is_a_large_budget(spark):
+    """Below a budget, both admit the same URLs in the same order."""
+    both = [_admitted(spark, 500, [0, 7], max_pages=m, max_depth=3) for m in (None, 25_000)]
+    plain, budget = ([(r.url, r.platform_id, str(r.seq), r.nth, r.depth) for r in v.select("url", "platform_id", F.to_json(F.struct("seq")).alias("seq"), "nth", "depth").orderBy("url").collect()] for v in both)
+    assert plain == budget
+    assert {str(v.schema["nth"].dataType) for v in both} == {"IntegerType()"}
+
+
+def test_only_a_table_is_crawled_without_a_budget(spark):
+    config = crawl.CrawlConfig(("https://a.org/",), max_pages=None)
+    assert config.total_pages == 0
+    with pytest.raises(ValueError):
+        web.live_crawl(spark, config)
+    with pytest.raises(ValueError):
+        crawl.CrawlConfig.requested(("https://a.org/",), max_pages=None)

@@ -28,10 +28,10 @@ from textloom.plans.storage import remove as release_path
 
 @dataclass(frozen=True)
 class CrawlConfig:
-    """max_pages: of each platform; limits as in the job model."""
+    """max_pages: of each platform; limits as in the job model. None: no budget, for a table of pages, which has an end of its own."""
 
     start_urls: tuple[str, ...]
-    max_pages: int = 250
+    max_pages: int | None = 250
     max_depth: int = 2
     concurrency: int = 2
     include_sitemap: bool = True
@@ -40,19 +40,22 @@ class CrawlConfig:
     def __post_init__(self):
         if not self.start_urls:
             raise ValueError("a crawl needs a start URL")
-        if not 1 <= self.max_pages <= 25_000 or not 0 <= self.max_depth <= 8 or self.concurrency < 1:
+        if self.max_pages is not None and not 1 <= self.max_pages <= 25_000 or not 0 <= self.max_depth <= 8 or self.concurrency < 1:
             raise ValueError("max_pages is 1 to 25000, max_depth 0 to 8, concurrency 1 or more")
 
     @classmethod
     def requested(cls, start_urls: tuple[str, ...], concurrency: int = 2, **more) -> CrawlConfig:
-        """A configuration as a caller may ask for it: 1 to 6 workers."""
+        """A configuration as a caller may ask for it: 1 to 6 workers, and a budget."""
         if not 1 <= concurrency <= 6:
             raise ValueError("concurrency is 1 to 6")
+        if more.get("max_pages", 1) is None:
+            raise ValueError("a request has a budget of pages")
         return cls(start_urls, concurrency=concurrency, **more)
 
     @property
     def total_pages(self) -> int:
-        return self.max_pages * len(self.start_urls)
+        """0 where there is no budget."""
+        return (self.max_pages or 0) * len(self.start_urls)
 
     @property
     def workers(self) -> int:
@@ -78,13 +81,27 @@ def seeds(spark: SparkSession, config: CrawlConfig) -> DataFrame:
     return first.select("url", F.col("url").alias("platform_id"), urls.root_host(F.col("url")).alias("root_host"), "seq")
 
 
-def admit(candidates: DataFrame, visited: DataFrame | None, depth: int, max_pages: int, lexicon: Lexicon = DEFAULT) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds nth, the place within a key from 1, with no key in one task: rows are dealt by ranges of key and order, numbered within a range, and each range begins where those before it end."""
+    dealt = materialise(rows.repartitionByRange(key, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = dealt.groupBy(key, "__range").agg(F.count("*").alias("__n")).select(key, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(key, "__range").orderBy(*order))
+    return dealt.withColumn("__within", within).join(F.broadcast(begins), [key, "__range"]).select(
+        *rows.columns, (F.col("__before") + F.col("__within")).cast("int").alias("nth")
+    )
+
+
+def admit(candidates: DataFrame, visited: DataFrame | None, depth: int, max_pages: int | None, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Candidates (url, platform_id, root_host, seq) that enter the frontier: new, of the site, a page, relevant below the seeds, within the platform's budget."""
     ok = urls.same_site(F.col("url"), F.col("root_host")) & urls.is_page(F.col("url"))
     if depth:
         ok = ok & urls.relevant(F.col("url"), lexicon)
     rows = first_of_each(candidates.filter(ok), ["url"], ["seq", "platform_id"])
     nth = F.row_number().over(Window.partitionBy("platform_id").orderBy("seq", "url"))
+    if max_pages is None:
+        new = rows if visited is None else rows.join(visited.select("url"), "url", "left_anti")
+        return numbered(new, "platform_id", ["seq", "url"]).withColumn("depth", F.lit(depth))
     if visited is None:
         return rows.withColumn("nth", nth).filter(F.col("nth") <= max_pages).withColumn("depth", F.lit(depth))
     used = visited.groupBy("platform_id").agg(F.count("*").alias("used"))

@@ -507,7 +507,7 @@ def _crawl_pages(spark, sf_dir):
 @query
 def crawl_progress(spark, sf_dir):
     """Crawls every page; every seventh is lost."""
-    config = crawl.CrawlConfig(("https://a.example/malaria/0", "b.example/malaria/0"), max_pages=25_000, max_depth=6)
+    config = crawl.CrawlConfig(("https://a.example/malaria/0", "b.example/malaria/0"), max_pages=None, max_depth=6)
     return crawl.run_crawl(spark, _crawl_pages(spark, sf_dir), config).progress
 
 

@@ -139,7 +139,7 @@ def snapshot(crawl: Crawl, config: CrawlConfig, job_id: str) -> DataFrame:
     state = [
         F.col("platform_id"), urls.source(F.col("platform_id"))["source_name"].alias("label"),
         F.col("platform_id").alias("start_url"), urls.root_host(F.col("platform_id")).alias("root_host"),
-        F.lit(config.max_pages).alias("max_pages"),
+        F.lit(config.max_pages or 0).alias("max_pages"),
         *(F.col(c).cast("int").alias(f"{c}_pages") for c in ("discovered", "scraped", "accepted", "rejected")), "status",
         F.col("message").alias("status_message")
     ]
@@ -147,7 +147,7 @@ def snapshot(crawl: Crawl, config: CrawlConfig, job_id: str) -> DataFrame:
     errors = error_tail(crawl.errors, "url").agg(F.sort_array(F.collect_list("error")).alias("errors"))
     none = lambda name: F.array().cast(f"array<{QUEUE_ITEM}>" if name.endswith("items") else "array<string>").alias(name)
     given = {
-        "job_id": job_id, "start_url": config.start_urls[0], "platform_max_pages": config.max_pages,
+        "job_id": job_id, "start_url": config.start_urls[0], "platform_max_pages": config.max_pages or 0,
         "max_pages": config.total_pages, "max_depth": config.max_depth, "include_sitemap": config.include_sitemap,
         "concurrency": config.concurrency, "pause_requested": False, "cancel_requested": False
     }
@@ -191,7 +191,7 @@ def keeper(spark: SparkSession, root: str, config: CrawlConfig, job_id: str, eve
             return
         given = {
             "job_id": job_id, "status": "running", "status_message": f"Depth {level['depth']} done.", "start_url": config.start_urls[0], "start_urls": list(config.start_urls),
-            "platform_max_pages": config.max_pages, "max_pages": config.total_pages, "max_depth": config.max_depth, "include_sitemap": config.include_sitemap,
+            "platform_max_pages": config.max_pages or 0, "max_pages": config.total_pages, "max_depth": config.max_depth, "include_sitemap": config.include_sitemap,
             "concurrency": config.concurrency, "discovered_pages": sums["discovered"], "scraped_pages": sums["accepted"] + sums["rejected"] + sums["failed"],
             **{f"{k}_pages": sums[k] for k in ("accepted", "rejected", "failed")}
         }

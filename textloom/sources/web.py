@@ -184,6 +184,8 @@ def live_pages(fetch: Callable[[str], Fetched] = fetch, delay: float = 0.0, task
 
 def live_crawl(spark: SparkSession, config: CrawlConfig, path: str | None = None, told: Callable[[dict], None] | None = None, **options) -> Crawl:
     """Crawl live sites from their start URLs and sitemaps, as many requests at once as the configuration has workers for a platform; goes on where the log in `path` ends."""
+    if config.max_pages is None:
+        raise ValueError("a crawl of live sites needs a budget of pages")
     found = lambda: discover(spark, list(config.start_urls), config.max_pages)
     return run_crawl(spark, live_pages(**options), config, found if config.include_sitemap else None, path, told)
 
