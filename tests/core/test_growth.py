@@ -59,3 +59,19 @@ def test_only_a_table_is_crawled_without_a_budget(spark):
         web.live_crawl(spark, config)
     with pytest.raises(ValueError):
         crawl.CrawlConfig.requested(("https://a.org/",), max_pages=None)
+
+
+def test_cheap_normalising_is_normalising(spark):
+    """Every kind of white space, alone, doubled, at the edges and beside letters of other scripts."""
+    kinds = [*tx.WS_CHARS, "​", "…", "ü", "ᚁ", "१", "a", ""]
+    given = [None, ""] + [f"{e}x{a}{b}üy {b}z{e}" for a in kinds for b in kinds for e in ("", a)]
+    rows = spark.createDataFrame([(g,) for g in given], "t string")
+    got = rows.select("t", tx.ws_normalize(F.col("t")).alias("a"), tx.ws_normalize_cheaply(F.col("t")).alias("b"), F.transform(F.array("t"), tx.ws_normalize_cheaply)[0].alias("c"))
+    assert got.filter("not (a <=> b) or not (a <=> c)").count() == 0
+
+
+def test_lines_end_at_every_line_end(spark):
+    ends = ("\r\n", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", " ", " ")
+    rows = spark.createDataFrame([(f"a{e}ü b{e}~\x1fc",) for e in (*ends, "\x1f", "\xa0", "‧")], "t string")
+    got = [r.b for r in rows.coalesce(1).select(tx.text_blocks(F.col("t")).alias("b")).collect()]
+    assert got == [["a", "ü b", "~\x1fc"]] * len(ends) + [["a\x1fü b\x1f~\x1fc"], ["a\xa0ü b\xa0~\x1fc"], ["a‧ü b‧~\x1fc"]]

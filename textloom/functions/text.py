@@ -14,6 +14,12 @@ WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0,
 EDGE = " -:;"
 #: A run that is not one plain space already; most gaps between words are, and are passed over. The look-aheads turn plain characters away at once.
 _UNEVEN = f"(?=[^ -~]){WS}+| (?=[^!-~]){WS}+"
+#: White space below U+0100 but for the plain space, as single characters: a class without ranges is one look into a table.
+_ODD = r"[\x09\x0A\x0B\x0C\x0D\x1C\x1D\x1E\x1F\x85\xA0]"
+#: All white space above, zero-width spaces, and more.
+_HIGH = r"[\x{1680}-\x{3000}]"
+#: Line ends. None is a plain character, which one look turns away.
+_LINE_END = r"(?=[^ -~])(?:\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\x{2028}\x{2029}])"
 
 
 def ws_normalize(text: Column) -> Column:
@@ -21,6 +27,13 @@ def ws_normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(text, F.lit("\u200b"), F.lit("")), _UNEVEN, " "))
 
 
+def ws_normalize_cheaply(text: Column) -> Column:
+    """ws_normalize of a column or a lambda's variable: only trimmed where there is no white space but single plain spaces."""
+    high = (F.octet_length(text) != F.length(text)) & F.rlike(text, F.lit(_HIGH))
+    uneven = F.contains(text, F.lit("  ")) | F.rlike(text, F.lit(_ODD)) | high
+    return F.when(~uneven, F.trim(text)).otherwise(ws_normalize(text))
+
+
 def strip_ws(text: Column) -> Column:
     return F.btrim(text, F.lit(WS_CHARS))
 
@@ -48,7 +61,7 @@ def text_blocks(text: Column) -> Column:
     """Paragraphs at blank lines, or lines where there is no blank line; stripped, empty ones dropped."""
     unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     paragraphs = F.split(unix, "\n\n", -1)
-    lines = F.split(text, r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]", -1)
+    lines = F.split(text, _LINE_END, -1)
     chosen = F.when(F.size(paragraphs) <= 1, lines).otherwise(paragraphs)
     return F.filter(F.transform(chosen, strip_ws), lambda x: x != "")
 
@@ -56,7 +69,7 @@ def text_blocks(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences end at . ! or ? before white space; normalised, blank ones dropped."""
     parts = F.filter(F.split(text, f"(?<=[.!?]){WS}+", -1), lambda x: strip_ws(x) != "")
-    return F.transform(parts, ws_normalize)
+    return F.transform(parts, ws_normalize_cheaply)
 
 
 def strip_edge(text: Column) -> Column:
@@ -65,7 +78,7 @@ def strip_edge(text: Column) -> Column:
 
 def unique_items(items: Column, limit: int, length: int = 280) -> Column:
     """The first `limit` items that differ in their folded, normalised form, truncated. One pass, whatever the number of items."""
-    plain = F.transform(F.transform(items, ws_normalize), strip_edge)
+    plain = F.transform(F.transform(items, ws_normalize_cheaply), strip_edge)
     return first_distinct(F.transform(plain, lambda x: F.struct(fold_cheaply(x).alias("fold"), x.alias("item"))), limit, length)
 
 
