@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators import crawl
+from textloom.plans import catalog
 from textloom.sources import web
 
 
@@ -66,7 +67,7 @@ def test_cheap_normalising_is_normalising(spark):
     kinds = [*tx.WS_CHARS, "​", "…", "ü", "ᚁ", "१", "a", ""]
     given = [None, ""] + [f"{e}x{a}{b}üy {b}z{e}" for a in kinds for b in kinds for e in ("", a)]
     rows = spark.createDataFrame([(g,) for g in given], "t string")
-    got = rows.select("t", tx.ws_normalize(F.col("t")).alias("a"), tx.ws_normalize_cheaply(F.col("t")).alias("b"), F.transform(F.array("t"), tx.ws_normalize_cheaply)[0].alias("c"))
+    got = rows.select("t", tx.ws_normalize(F.col("t")).alias("a"), tx.ws_normalize_cheaply(F.col("t")).alias("b"), tx.ws_normalize_each(F.array("t"))[0].alias("c"))
     assert got.filter("not (a <=> b) or not (a <=> c)").count() == 0
 
 
@@ -75,3 +76,20 @@ def test_lines_end_at_every_line_end(spark):
     rows = spark.createDataFrame([(f"a{e}ü b{e}~\x1fc",) for e in (*ends, "\x1f", "\xa0", "‧")], "t string")
     got = [r.b for r in rows.coalesce(1).select(tx.text_blocks(F.col("t")).alias("b")).collect()]
     assert got == [["a", "ü b", "~\x1fc"]] * len(ends) + [["a\x1fü b\x1f~\x1fc"], ["a\xa0ü b\xa0~\x1fc"], ["a‧ü b‧~\x1fc"]]
+
+
+def test_merging_makes_each_record_once(spark):
+    """The two files part the documents, so each document is cleaned in one of them: the filter stands on the scan in both."""
+    frame = catalog.QUERIES["merge_datasets"](spark, "/root/testdata/sf0.001")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    below = [line for line in plan.splitlines() if "Filter" in line and "doc_id" in line and "% 2" in line and "r#" not in line]
+    assert len(below) == 2 and plan.count("Relation [") == 2
+
+
+def test_parted_copies_are_all_copies(spark):
+    sf = "/root/testdata/sf0.001"
+    whole = catalog._copies(spark, sf)
+    for k in (0, 1):
+        part = catalog._copies(spark, sf, f"doc_id % 2 = {k}")
+        assert part.count() > 0
+        assert sorted(map(str, part.collect())) == sorted(map(str, whole.filter(f"doc_id % 2 = {k}").collect()))

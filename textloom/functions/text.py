@@ -34,6 +34,11 @@ def ws_normalize_cheaply(text: Column) -> Column:
     return F.when(~uneven, F.trim(text)).otherwise(ws_normalize(text))
 
 
+def ws_normalize_each(texts: Column) -> Column:
+    """ws_normalize of each element. Line feeds, which paragraphs hold, are plain spaces first, in a pass of their own, so that they alone need no regular expression."""
+    return F.transform(F.transform(texts, lambda x: F.replace(x, F.lit("\n"), F.lit(" "))), ws_normalize_cheaply)
+
+
 def strip_ws(text: Column) -> Column:
     return F.btrim(text, F.lit(WS_CHARS))
 
@@ -69,7 +74,7 @@ def text_blocks(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences end at . ! or ? before white space; normalised, blank ones dropped."""
     parts = F.filter(F.split(text, f"(?<=[.!?]){WS}+", -1), lambda x: strip_ws(x) != "")
-    return F.transform(parts, ws_normalize_cheaply)
+    return ws_normalize_each(parts)
 
 
 def strip_edge(text: Column) -> Column:
@@ -78,7 +83,7 @@ def strip_edge(text: Column) -> Column:
 
 def unique_items(items: Column, limit: int, length: int = 280) -> Column:
     """The first `limit` items that differ in their folded, normalised form, truncated. One pass, whatever the number of items."""
-    plain = F.transform(F.transform(items, ws_normalize_cheaply), strip_edge)
+    plain = F.transform(ws_normalize_each(items), strip_edge)
     return first_distinct(F.transform(plain, lambda x: F.struct(fold_cheaply(x).alias("fold"), x.alias("item"))), limit, length)
 
 

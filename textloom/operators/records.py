@@ -26,7 +26,7 @@ def clean_blocks(df: DataFrame, blocks: str, out: str, lexicon: Lexicon = DEFAUL
     Sorted by folded form and place, a block that differs from the one before it is the first of its form. The neighbour
     comes from the same array moved by one: within its own lambda the array would be sorted again for each element.
     The sorted array and the result are settled, so a filter or an explode above computes neither of them twice."""
-    long = F.filter(F.transform(blocks, tx.ws_normalize_cheaply), lambda x: F.length(x) >= lexicon.min_block)
+    long = F.filter(tx.ws_normalize_each(blocks), lambda x: F.length(x) >= lexicon.min_block)
     df = settled(df, "__sorted", F.array_sort(F.transform(long, lambda x, i: F.struct(tx.fold_cheaply(x).alias("fold"), i.alias("i"), x.alias("b")))))
     before = F.concat(F.array(F.lit(None).cast("string")), F.transform("__sorted", lambda x: x["fold"]))
     marked = F.zip_with(

@@ -44,8 +44,8 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.accept_blocks(_blocks(spark, sf_dir), "cleaned")
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.build_records(_docs(spark, sf_dir).withColumn("blocks", tx.text_blocks(F.col("text"))))
+def _records(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    return records.build_records(_docs(spark, sf_dir).filter(where).withColumn("blocks", tx.text_blocks(F.col("text"))))
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,9 +315,9 @@ def extract_documents(spark, sf_dir):
 # Fingerprints and merging.
 
 
-def _copies(spark, sf_dir):
-    """Complete records with a re-cased copy of every third."""
-    rows = records.settled(_records(spark, sf_dir), "whole", records.complete()).filter("whole").select("doc_id", "data")
+def _copies(spark, sf_dir, where="true"):
+    """Complete records, of the documents with that, with a re-cased copy of every third."""
+    rows = records.settled(_records(spark, sf_dir, where), "whole", records.complete()).filter("whole").select("doc_id", "data")
     again = F.col("data").withField("title", F.upper("data.title")).withField("description", F.concat(F.lit("  "), F.upper("data.description")))
     one = lambda doc_id, data: F.struct(doc_id.alias("doc_id"), data.alias("data"))
     both = F.array(one(F.col("doc_id"), F.col("data")), F.when(F.col("doc_id") % 3 == 0, one(F.col("doc_id") + 1_000_000_000, again)))
@@ -338,8 +338,10 @@ def dedup_records(spark, sf_dir):
 
 @query
 def merge_datasets(spark, sf_dir):
-    rows = _copies(spark, sf_dir)
-    return dedup.merge_records(rows.filter("doc_id % 2 = 1"), rows.filter("doc_id % 2 = 0"), order="doc_id")[1]
+    """Records of odd ids and of even ids, as two files. A copy's id is as odd as its document's, so the documents are parted before their records are made:
+    a filter on the copies stays above the generators, and each half would make the records of all."""
+    odd, even = (_copies(spark, sf_dir, f"doc_id % 2 = {k}") for k in (1, 0))
+    return dedup.merge_records(odd, even, order="doc_id")[1]
 
 
 @query
