@@ -1,12 +1,15 @@
 """What must not grow faster than the input, and what must not stop before its end."""
 
+import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import crawl
+from textloom.functions import urls
+from textloom.operators import crawl, html, records
 from textloom.plans import catalog
 from textloom.sources import web
 
@@ -93,3 +96,46 @@ def test_parted_copies_are_all_copies(spark):
         part = catalog._copies(spark, sf, f"doc_id % 2 = {k}")
         assert part.count() > 0
         assert sorted(map(str, part.collect())) == sorted(map(str, whole.filter(f"doc_id % 2 = {k}").collect()))
+
+
+def test_gates_make_what_they_search_once(spark):
+    """Not once for each of the terms that are looked for in it."""
+    rows = spark.createDataFrame([], "title string, source_url string, blocks array<string>")
+    plan = records.build_records(rows).select("reject_reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"coalesce\(title#\d+, \)", plan)) <= 2  # for the gate, and for the record's title
+    assert len(re.findall(r"coalesce\(source_url#\d+, \)", plan)) == 1
+    asked = spark.createDataFrame([], "u string").select(urls.relevant(F.col("u")).alias("ok"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_extract\(u#", asked)) == 2  # path and query
+
+
+def test_a_text_is_not_searched_for_terms_that_hold_another_one_that_is_missing(spark):
+    """The same counts as a search for each, nulls and repeated terms too."""
+    r = random.Random(3)
+    texts = [None, "", *("".join(r.choice("ab ") for _ in range(r.randrange(9))) for _ in range(150))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").cache()
+    for terms in (("a", "ab", "ab", "bab", "b a"), ("bb", "abb", "abba", "a"), ("ab",), (), ("cause", "causes", "b")):
+        got = rows.orderBy("i").select(tx.hits(F.col("t"), terms).alias("n"), tx.any_of(F.col("t"), terms).alias("some")).collect()
+        for text, row in zip(texts, got, strict=True):
+            if text is None and terms:
+                assert row.n is None and row.some is None
+            else:
+                assert (row.n, row.some) == (sum(x in (text or "") for x in terms), any(x in (text or "") for x in terms)), (text, terms)
+    rows.unpersist()
+
+
+def test_blocks_of_parsed_pages_need_no_normalising(spark):
+    """Every kind of white space, in runs and alone, and zero-width spaces: records are the same with the pass and without."""
+    space = [*tx.WS_CHARS, "\u200b", " \u200b ", "\r\n", "&nbsp;", "&#8203;", " \u3000\t"]
+    told = "Malaria is an infection and its symptoms are fever and cough.{}Treatment by a doctor helps,{}{}prevention is to avoid bites. Seek care if there is severe pain.{}"
+    pages = [(i, f"<h1>Mal{s}aria</h1><p>{s}{told.format(s, s, s, s)}</p><p>{told.format('', s, ' ', s)} {i}</p>") for i, s in enumerate(space)]
+    rows = html.with_parsed(spark.createDataFrame(pages, "page_id long, html string")).withColumn("source_url", F.lit("https://site.example/malaria")).drop("hrefs", "error")
+    plain, even = ([str(x) for x in records.build_records(rows, even=e).orderBy("page_id").collect()] for e in (False, True))
+    assert plain == even and len(plain) == len(space)
+    assert rows.select(F.explode("blocks").alias("b")).filter(F.col("b") != tx.ws_normalize(F.col("b"))).count() == 0
+
+
+def test_length_and_blankness_without_a_whole_pass(spark):
+    texts = [None, "", " ", "\u3000\t", "\u3000x ", "é" * 99, "é" * 100, "𝄞" * 99, "𝄞" * 100, "x" * 99, "x" * 100, "x" * 400]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tx.at_least(F.col("t"), 100).alias("long"), tx.is_said(F.col("t")).alias("said")).collect()
+    assert [r.long for r in got] == [None if t is None else len(t) >= 100 for t in texts]
+    assert [r.said for r in got] == [None if t is None else t.strip() != "" for t in texts]

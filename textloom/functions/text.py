@@ -43,6 +43,16 @@ def strip_ws(text: Column) -> Column:
     return F.btrim(text, F.lit(WS_CHARS))
 
 
+def is_said(text: Column) -> Column:
+    """strip_ws(text) != "", by the beginning alone: a trim at the end looks at the whole text."""
+    return F.ltrim(text, F.lit(WS_CHARS)) != ""
+
+
+def at_least(text: Column, chars: int) -> Column:
+    """Whether a text has so many characters. They are counted only where the bytes, four a character at most, do not tell."""
+    return F.when(F.octet_length(text) >= 4 * chars, True).otherwise(F.length(text) >= chars)
+
+
 def fold(text: Column) -> Column:
     """Case-folded text: lower case, with sharp s, long s and final sigma as their plain forms."""
     out = F.lower(text)
@@ -73,7 +83,7 @@ def text_blocks(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences end at . ! or ? before white space; normalised, blank ones dropped."""
-    parts = F.filter(F.split(text, f"(?<=[.!?]){WS}+", -1), lambda x: strip_ws(x) != "")
+    parts = F.filter(F.split(text, f"(?<=[.!?]){WS}+", -1), is_said)
     return ws_normalize_each(parts)
 
 
@@ -100,12 +110,23 @@ def first_distinct(prepared: Column, limit: int, length: int = 280) -> Column:
 
 
 def hits(folded: Column, terms: Sequence[str]) -> Column:
-    """How many of the terms are in the text; each counts once."""
-    return _balanced([F.contains(folded, F.lit(term)).cast("int") for term in terms], operator.add, F.lit(0))
+    """How many of the terms are in the text; each counts once. A term that holds another is looked for only where that one is."""
+    below: dict[int, list[int]] = {}
+    for i, term in enumerate(terms):
+        held = [k for k, other in enumerate(terms) if len(other) < len(term) and other in term]
+        below.setdefault(max(held, key=lambda k: len(terms[k])) if held else -1, []).append(i)
+
+    def count(i: int) -> Column:
+        found = F.contains(folded, F.lit(terms[i]))
+        return F.when(~found, 0).otherwise(_balanced([F.lit(1), *map(count, below[i])], operator.add, F.lit(0))) if i in below else found.cast("int")
+
+    return _balanced([count(i) for i in below.get(-1, ())], operator.add, F.lit(0))
 
 
 def any_of(folded: Column, terms: Sequence[str]) -> Column:
-    return _balanced([F.contains(folded, F.lit(term)) for term in terms], operator.or_, F.lit(False))
+    """Whether one of the terms is in the text. A term that holds another need not be looked for."""
+    least = [t for t in terms if not any(o != t and o in t for o in terms)]
+    return _balanced([F.contains(folded, F.lit(term)) for term in least], operator.or_, F.lit(False))
 
 
 def _balanced(parts: list[Column], join, none: Column) -> Column:
@@ -116,10 +137,10 @@ def _balanced(parts: list[Column], join, none: Column) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    """unknown for empty text; hi where over a fifth as many Devanagari characters as letters; else en."""
+    """unknown for empty text; hi where over a fifth as many Devanagari characters as letters; else en. Nothing is counted in ASCII."""
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
     devanagari = F.regexp_count(text, F.lit(r"[\x{0900}-\x{097F}]"))
-    return F.when(F.coalesce(text, F.lit("")) == "", "unknown").when((letters > 0) & (devanagari * 5 > letters), "hi").otherwise("en")
+    return F.when(F.coalesce(text, F.lit("")) == "", "unknown").when(F.octet_length(text) == F.length(text), "en").when((letters > 0) & (devanagari * 5 > letters), "hi").otherwise("en")
 
 
 def fingerprint_text(value: Column) -> Column:

@@ -57,15 +57,20 @@ def is_page(url: Column) -> Column:
 
 
 def relevant(url: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """The bare root is; a path or query with an excluded segment, token or substring is not."""
-    where, asked = fold(path(url)), fold(query(url))
-    both = F.concat(where, F.lit(" "), asked)
+    """The bare root is; a path or query with an excluded segment, token or substring is not.
+
+    The folded parts are fields of a lambda's variable, as they would be made again for each term otherwise."""
     segments = F.array(*(F.lit(s) for s in lexicon.url_segments))
-    plain = F.replace(asked, F.lit("+"), F.lit(" "))
-    pairs = F.transform(F.split(plain, "&", -1), lambda x: F.split(x, "=", 2))
-    tokens = F.transform(F.flatten(pairs), lambda x: F.coalesce(F.try_url_decode(x), x))
-    out = F.arrays_overlap(F.split(where, "/", -1), segments) | F.arrays_overlap(tokens, segments) | any_of(both, lexicon.url_substrings)
-    return (F.btrim(both, F.lit(" /")) == "") | ~out
+    parts = F.array(F.struct(fold(path(url)).alias("where"), fold(query(url)).alias("asked")))
+    joined = F.transform(parts, lambda x: F.struct(x["where"].alias("where"), x["asked"].alias("asked"), F.concat(x["where"], F.lit(" "), x["asked"]).alias("both")))
+
+    def judge(x):
+        pairs = F.transform(F.split(F.replace(x["asked"], F.lit("+"), F.lit(" ")), "&", -1), lambda y: F.split(y, "=", 2))
+        tokens = F.transform(F.flatten(pairs), lambda y: F.coalesce(F.try_url_decode(y), y))
+        out = F.arrays_overlap(F.split(x["where"], "/", -1), segments) | F.arrays_overlap(tokens, segments) | any_of(x["both"], lexicon.url_substrings)
+        return (F.btrim(x["both"], F.lit(" /")) == "") | ~out
+
+    return F.exists(joined, judge)
 
 
 def _first(host: Column, values, otherwise: Column) -> Column:

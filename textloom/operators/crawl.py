@@ -253,7 +253,7 @@ def run_crawl(
         parsed = with_parsed(source(wanted)).withColumn("error", F.coalesce("failed", "error")).withColumn("source_url", F.col("url")).drop("failed", "workers")
         empty = F.array().cast("array<string>")
         whole = parsed.withColumns({c: F.when(F.col("error").isNull(), F.col(c)).otherwise(empty) for c in ("blocks", "hrefs")})
-        done.append(log.write(depth, build_records(whole, config.lexicon), settings))
+        done.append(log.write(depth, build_records(whole, config.lexicon, even=True), settings))
         release(wanted)
         if told:
             told(done[-1])

@@ -23,6 +23,7 @@ from textloom.plans.lexicon import REMOVED_CLASSES, REMOVED_TAGS, UNTITLED_PAGE
 MIN_BLOCK = 40
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ROOT_CLASSES = frozenset(("content", "entry-content", "article-body"))
+_REMOVED = frozenset(REMOVED_TAGS)
 
 
 def spaced(text: str) -> str:
@@ -54,15 +55,22 @@ class PageParser(HTMLParser):
         """A section of unknown kind is a comment, as browsers take it."""
         return self.parse_bogus_comment(i)
 
+    def updatepos(self, i, j):
+        """Lines are not counted: nobody asks where a tag stands."""
+        return j
+
     def handle_starttag(self, tag, attrs):
-        given = {k: v or "" for k, v in attrs}
-        if tag == "a" and "href" in given:
-            self.links.append(given["href"].strip())
+        gone, root = tag in _REMOVED, tag in ("article", "main")
+        if attrs:
+            given = {k: v or "" for k, v in attrs}
+            if tag == "a" and "href" in given:
+                self.links.append(given["href"].strip())
+            classes = given.get("class", "").split()
+            gone = gone or given.get("aria-hidden") == "true" or any(c in REMOVED_CLASSES for c in classes)
+            root = root or given.get("role") == "main" or any(c in _ROOT_CLASSES for c in classes)
         if tag in _VOID:
             return
-        classes = given.get("class", "").split()
-        gone = tag in REMOVED_TAGS or given.get("aria-hidden") == "true" or any(c in REMOVED_CLASSES for c in classes)
-        root = not gone and not self.removed and (tag in ("article", "main") or given.get("role") == "main" or any(c in _ROOT_CLASSES for c in classes))
+        root = root and not gone and not self.removed
         if tag in ("p", "li"):
             self._close(tag)
         self.places.setdefault(tag, []).append(len(self.stack))
@@ -84,7 +92,7 @@ class PageParser(HTMLParser):
     def _close(self, tag):
         """End an open p (or li) before a sibling of its kind; a list inside an item keeps the item open."""
         at = self._last(tag)
-        if at > max(map(self._last, _CLOSES_NONE)):
+        if at >= 0 and at > max(map(self._last, _CLOSES_NONE)):
             self._pop(at)
 
     def _pop(self, at):

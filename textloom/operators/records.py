@@ -20,21 +20,26 @@ def strings(*values: str) -> Column:
     return F.array(*(F.lit(v) for v in values)).cast(STRINGS)
 
 
-def clean_blocks(df: DataFrame, blocks: str, out: str, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Normalised blocks of min_block characters at least, the first of each folded form, in order.
+def folded_blocks(df: DataFrame, blocks: str, out: str, lexicon: Lexicon = DEFAULT, even: bool = False) -> DataFrame:
+    """array(struct(b, f)): normalised blocks of min_block characters at least with their folded form, the first of each form, in order. even: they are normalised already.
 
     Sorted by folded form and place, a block that differs from the one before it is the first of its form. The neighbour
     comes from the same array moved by one: within its own lambda the array would be sorted again for each element.
     The sorted array and the result are settled, so a filter or an explode above computes neither of them twice."""
-    long = F.filter(tx.ws_normalize_each(blocks), lambda x: F.length(x) >= lexicon.min_block)
+    long = F.filter(F.col(blocks) if even else tx.ws_normalize_each(blocks), lambda x: tx.at_least(x, lexicon.min_block))
     df = settled(df, "__sorted", F.array_sort(F.transform(long, lambda x, i: F.struct(tx.fold_cheaply(x).alias("fold"), i.alias("i"), x.alias("b")))))
     before = F.concat(F.array(F.lit(None).cast("string")), F.transform("__sorted", lambda x: x["fold"]))
     marked = F.zip_with(
         F.slice(before, 1, F.size("__sorted")), "__sorted", lambda was,
-        x: F.when(~was.eqNullSafe(x["fold"]), F.struct(x["i"].alias("i"), x["b"].alias("b")))
+        x: F.when(~was.eqNullSafe(x["fold"]), F.struct(x["i"].alias("i"), x["b"].alias("b"), x["fold"].alias("f")))
     )
     placed = F.array_sort(F.filter(marked, lambda x: x.isNotNull()))
-    return settled(df, out, F.transform(placed, lambda x: x["b"])).drop("__sorted")
+    return settled(df, out, F.transform(placed, lambda x: F.struct(x["b"].alias("b"), x["f"].alias("f")))).drop("__sorted")
+
+
+def clean_blocks(df: DataFrame, blocks: str, out: str, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """Normalised blocks of min_block characters at least, the first of each folded form, in order."""
+    return folded_blocks(df, blocks, "__folded", lexicon).withColumn(out, F.transform("__folded", lambda x: x["b"])).drop("__folded")
 
 
 def evidence(folded: Column, lexicon: Lexicon = DEFAULT) -> tuple[Column, Column, Column, Column]:
@@ -51,41 +56,69 @@ def strong_folded(folded: Column, required: Column, lexicon: Lexicon = DEFAULT)
 
 def strong_blocks(blocks: str, lexicon: Lexicon = DEFAULT) -> Column:
     """array(struct(ok, b)): each block folded once, its required terms counted once, then judged."""
-    folded = F.transform(blocks, lambda x: F.struct(x.alias("b"), tx.fold_cheaply(x).alias("f")))
+    return strong_of_folded(F.transform(blocks, lambda x: F.struct(x.alias("b"), tx.fold_cheaply(x).alias("f"))), lexicon)
+
+
+def strong_of_folded(folded: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """strong_blocks of an array(struct(b, f)): blocks with their folded form."""
     counted = F.transform(folded, lambda x: F.struct(x["b"].alias("b"), x["f"].alias("f"), tx.hits(x["f"], lexicon.required).alias("required")))
     return F.transform(counted, lambda y: F.struct(strong_folded(y["f"], y["required"], lexicon).alias("ok"), y["b"].alias("b")))
 
 
+_COUNTS = ("__required", "__context", "__condition", "__excluded")
+
+
 def with_score(df: DataFrame, folded: str, out: str = "score", lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Adds the quality in hundredths by whole numbers: 0.14 a required term, 0.04 context, 0.08 condition, up to 0.2 for length, 0.25 off for excluded terms, 1 at most; 0 for no text."""
-    names = ("required", "context", "condition", "excluded")
-    df = df.withColumns({f"__{n}": c for n, c in zip(names, evidence(F.col(folded), lexicon), strict=True)})
+    return _score_and_counts(df, folded, out, lexicon).drop(*_COUNTS)
+
+
+def _score_and_counts(df: DataFrame, folded: str, out: str, lexicon: Lexicon) -> DataFrame:
+    df = df.withColumns(dict(zip(_COUNTS, evidence(F.col(folded), lexicon), strict=True)))
     raw = F.col("__required") * 14000 + F.col("__context") * 4000 + F.col("__condition") * 8000 + F.least(F.length(folded), F.lit(5000)) * 4 - F.when(F.col("__excluded"), 25000).otherwise(0)
     df = df.withColumn("__raw", F.least(raw, F.lit(100000)))
     hundredths = F.when(F.col("__raw") >= 0, F.floor((F.col("__raw") + 500) / 1000)).otherwise(-F.floor((-F.col("__raw") + 500) / 1000))
     score = F.when(F.coalesce(F.col(folded), F.lit("")) == "", F.lit(0.0)).otherwise(hundredths / 100.0)
-    return df.withColumn(out, score).drop("__raw", *(f"__{n}" for n in names))
+    return df.withColumn(out, score).drop("__raw")
 
 
 def accept_blocks(df: DataFrame, cleaned: str, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Adds accepted, rejected (arrays), joined (folded text of the accepted) and score."""
-    df = df.withColumn("__marked", strong_blocks(cleaned, lexicon))
+    return _accept(df, strong_blocks(cleaned, lexicon), lexicon).drop("__said", *_COUNTS)
+
+
+def _accept(df: DataFrame, marked: Column, lexicon: Lexicon) -> DataFrame:
+    """Adds what accept_blocks does, the accepted blocks' text and the counts of its terms."""
+    df = df.withColumn("__marked", marked)
     pick = lambda ok: F.transform(F.filter("__marked", lambda x: x["ok"] == ok), lambda x: x["b"])
     df = df.withColumn("accepted", pick(F.lit(True))).withColumn("rejected", pick(F.lit(False))).drop("__marked")
-    return with_score(df.withColumn("joined", tx.fold(F.array_join("accepted", " "))), "joined", lexicon=lexicon)
+    df = df.withColumn("__said", F.array_join("accepted", " "))
+    return _score_and_counts(df.withColumn("joined", tx.fold_cheaply(F.col("__said"))), "joined", "score", lexicon)
 
 
 def reference_page(title: Column, joined: Column, url: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """A condition named in the title or URL, no generic title, and evidence in the blocks."""
-    low, where = tx.fold(tx.strip_ws(F.coalesce(title, F.lit("")))), tx.fold(tx.strip_ws(F.coalesce(url, F.lit(""))))
-    named = tx.any_of(low, lexicon.condition)
-    return (
-        ~tx.any_of(low, lexicon.generic_titles)
-        & (tx.any_of(joined, lexicon.condition) | named)
-        & tx.any_of(joined, lexicon.required)
-        & (named | tx.any_of(where, lexicon.condition))
-        & ((tx.hits(joined, lexicon.context) >= 2) | (tx.hits(joined, lexicon.required) >= 2))
-    )
+    return reference_by_counts(title, url, *(tx.hits(joined, terms) for terms in (lexicon.required, lexicon.context, lexicon.condition)), lexicon)
+
+
+def reference_by_counts(title: Column, url: Column, required: Column, context: Column, condition: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """reference_page by the hits in the blocks. Folded title, URL and hits are fields of a lambda's variable, as they would be made again for each use otherwise."""
+    values = {
+        "low": tx.fold(tx.strip_ws(F.coalesce(title, F.lit("")))), "where": tx.fold(tx.strip_ws(F.coalesce(url, F.lit("")))),
+        "required": required, "context": context, "condition": condition
+    }
+
+    def judge(x):
+        named = tx.any_of(x["low"], lexicon.condition)
+        return (
+            ~tx.any_of(x["low"], lexicon.generic_titles)
+            & ((x["condition"] > 0) | named)
+            & (x["required"] > 0)
+            & (named | tx.any_of(x["where"], lexicon.condition))
+            & ((x["context"] >= 2) | (x["required"] >= 2))
+        )
+
+    return F.exists(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), judge)
 
 
 def with_sentences(df: DataFrame, blocks: str) -> DataFrame:
@@ -179,19 +212,24 @@ def complete(data: str = "data") -> Column:
     lists = [F.col(f"{data}.{f}") for f in ("symptoms", "warning_signs", "prevention")]
     out = F.lit(True)
     for t in texts:
-        out = out & (tx.strip_ws(t) != "")
+        out = out & tx.is_said(t)
     for a in lists:
         out = out & (F.size(a) > 0)
     return out
 
 
-def build_records(pages: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+def _accepted_records(rows: DataFrame, lexicon: Lexicon, even: bool) -> DataFrame:
+    df = folded_blocks(rows, "blocks", "__folded", lexicon, even)
+    df = _accept(df.withColumn("cleaned", F.transform("__folded", lambda x: x["b"])), strong_of_folded(F.col("__folded"), lexicon), lexicon).drop("__folded")
+    return df.withColumn("language", tx.detect_language(F.col("__said"))).drop("__said")
+
+
+def build_records(pages: DataFrame, lexicon: Lexicon = DEFAULT, even: bool = False) -> DataFrame:
     """Of rows with title, source_url and blocks: adds accepted, rejected, score, language, data, tags and reject_reason (null where accepted).
 
-    Gates in order: the URL, accepted blocks, the reference page, completeness."""
-    df = accept_blocks(clean_blocks(pages, "blocks", "cleaned", lexicon), "cleaned", lexicon)
+    even: the blocks are normalised already, as those of `html.with_parsed` are. Gates in order: the URL, accepted blocks, the reference page, completeness."""
+    df = _accepted_records(pages, lexicon, even)
     df = df.withColumn("__source", urls.source(F.col("source_url")))
-    df = df.withColumn("language", tx.detect_language(F.array_join("accepted", " ")))
     df = structure(
         df, "accepted", F.col("title"), F.col("__source.source_name"), F.col("source_url"), F.col("__source.verified"),
         F.col("__source.verified_from"), lexicon, "joined"
@@ -199,16 +237,15 @@ def build_records(pages: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     reason = (
         F.when(~urls.relevant(F.col("source_url"), lexicon), "url")
         .when(F.size("accepted") == 0, "no accepted block")
-        .when(~reference_page(F.col("title"), F.col("joined"), F.col("source_url"), lexicon), "not a reference page")
+        .when(~reference_by_counts(F.col("title"), F.col("source_url"), *map(F.col, _COUNTS[:3]), lexicon), "not a reference page")
         .when(~complete(), "incomplete")
     )
-    return settled(df.withColumn("tags", F.col("__source.tags")), "reject_reason", reason).drop("__source", "joined")
+    return settled(df.withColumn("tags", F.col("__source.tags")), "reject_reason", reason).drop("__source", "joined", *_COUNTS)
 
 
 def extract_documents(docs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """The single-source form, of rows with title, source_name, source_url, verified, verified_from and blocks: no gate on URL or page; failures are told in `error`."""
-    df = accept_blocks(clean_blocks(docs, "blocks", "cleaned", lexicon), "cleaned", lexicon)
-    df = df.withColumn("language", tx.detect_language(F.array_join("accepted", " ")))
+    df = _accepted_records(docs, lexicon, False).drop(*_COUNTS)
     df = structure(df, "accepted", F.col("title"), F.col("source_name"), F.col("source_url"), F.col("verified"), F.col("verified_from"), lexicon, "joined")
     error = F.when(F.size("accepted") == 0, "rejected: no block with required terms").when(~complete(), "incomplete: a required field is empty")
     return settled(df, "error", error).drop("joined")

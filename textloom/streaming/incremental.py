@@ -22,7 +22,7 @@ PAGES = "page_id long, url string, html string"
 def page_records(pages: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Stateless, and by the crawl's own parser, so it is the same on a stream, on a table and in a crawl. Pages that the parser rejects have no record."""
     rows = with_parsed(pages.select("page_id", urls.normalize(F.col("url")).alias("source_url"), "html"))
-    return build_records(rows.filter("error is null").drop("hrefs", "error"), lexicon)
+    return build_records(rows.filter("error is null").drop("hrefs", "error"), lexicon, even=True)
 
 
 def read_pages(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
